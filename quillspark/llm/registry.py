@@ -8,6 +8,8 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontaminate import decontaminate
+from quillspark.llm.mixing import MIX_SQL, pareto_mix
+from quillspark.llm.secrets import scan_secrets
 from quillspark.shipping import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -22,6 +24,16 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All documents mixed by source: weights 5, 2, 1, half again as many words, no more than two copies."""
+    return pareto_mix(table(spark, sf_dir, "documents"))
+
+
+def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Rules and character models over every whole document."""
+    return scan_secrets(table(spark, sf_dir, "documents"))
+
+
 def shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -31,7 +43,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op6_decontaminate]
+QUERIES: list[Query] = [op2_pareto_mix, op6_decontaminate, op10_secret_scan]
 
 
 def queries() -> dict[str, Query]:
@@ -39,4 +51,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op2_pareto_mix": MIX_SQL}
