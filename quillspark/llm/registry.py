@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
+from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
 from quillspark.shipping import ship_package
 
@@ -19,6 +20,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Base rules and n-gram ratio of every whole document, the good labels as target."""
+    return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all benchmark items, windows of ten words."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -43,7 +49,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op2_pareto_mix, op6_decontaminate, op10_secret_scan]
+QUERIES: list[Query] = [op2_pareto_mix, op4_quality_llr, op6_decontaminate, op10_secret_scan]
 
 
 def queries() -> dict[str, Query]:
