@@ -11,6 +11,7 @@ from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
+from quillspark.llm.warc import WARC_SQL, page_records
 from quillspark.shipping import ship_package
 
 Query = Callable[[SparkSession, str], DataFrame]
@@ -30,6 +31,11 @@ def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op1_warc_chunks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All pages written as WARC records and read back in chunks."""
+    return page_records(spark, table(spark, sf_dir, "pages"))
+
+
 def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All documents mixed by source: weights 5, 2, 1, half again as many words, no more than two copies."""
     return pareto_mix(table(spark, sf_dir, "documents"))
@@ -49,7 +55,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op2_pareto_mix, op4_quality_llr, op6_decontaminate, op10_secret_scan]
+QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op4_quality_llr, op6_decontaminate, op10_secret_scan]
 
 
 def queries() -> dict[str, Query]:
@@ -57,4 +63,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op2_pareto_mix": MIX_SQL}
+    return {"op1_warc_chunks": WARC_SQL, "op2_pareto_mix": MIX_SQL}
