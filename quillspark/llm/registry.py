@@ -11,6 +11,7 @@ from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
+from quillspark.llm.toxicity import score_toxicity, train
 from quillspark.llm.warc import WARC_SQL, page_records
 from quillspark.shipping import ship_package
 
@@ -41,6 +42,12 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
+def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every whole document scored by models of the labelled ones."""
+    docs = table(spark, sf_dir, "documents")
+    return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and character models over every whole document."""
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -55,7 +62,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op4_quality_llr, op6_decontaminate, op10_secret_scan]
+QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op4_quality_llr, op6_decontaminate, op8_toxicity, op10_secret_scan]
 
 
 def queries() -> dict[str, Query]:
