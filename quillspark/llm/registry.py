@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
+from quillspark.llm.neardup import near_duplicates
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
 from quillspark.llm.toxicity import score_toxicity, train
@@ -27,6 +28,11 @@ def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op5_setsketch_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Groups of all documents whose sets of word pairs are alike to 80 %."""
+    return near_duplicates(table(spark, sf_dir, "documents"), k=2).select("doc_id", "n_shingles", "component_id", "kept")
+
+
 def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every document against all benchmark items, windows of ten words."""
     return decontaminate(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -62,7 +68,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op4_quality_llr, op6_decontaminate, op8_toxicity, op10_secret_scan]
+QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op8_toxicity, op10_secret_scan]
 
 
 def queries() -> dict[str, Query]:
