@@ -12,6 +12,7 @@ from quillspark.llm.mixing import MIX_SQL, pareto_mix
 from quillspark.llm.neardup import near_duplicates
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
+from quillspark.llm.substrings import remove_repeats
 from quillspark.llm.toxicity import score_toxicity, train
 from quillspark.llm.warc import WARC_SQL, page_records
 from quillspark.shipping import ship_package
@@ -23,6 +24,11 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op3_suffix_levels(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Byte strings of 400 that occur twice in all documents, removed."""
+    return remove_repeats(table(spark, sf_dir, "documents")).drop("spans")
+
+
 def op4_quality_llr(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Base rules and n-gram ratio of every whole document, the good labels as target."""
     return quality_rules(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
@@ -68,7 +74,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op8_toxicity, op10_secret_scan]
+QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op8_toxicity, op10_secret_scan]
 
 
 def queries() -> dict[str, Query]:
