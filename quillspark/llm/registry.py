@@ -8,12 +8,14 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 from quillspark.llm.decontaminate import decontaminate
+from quillspark.llm.htmltext import render_pages
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
 from quillspark.llm.neardup import near_duplicates
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
 from quillspark.llm.substrings import remove_repeats
 from quillspark.llm.toxicity import score_toxicity, train
+from quillspark.llm.units import repeated_units
 from quillspark.llm.warc import WARC_SQL, page_records
 from quillspark.shipping import ship_package
 
@@ -54,12 +56,22 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pareto_mix(table(spark, sf_dir, "documents"))
 
 
+def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The repeated lines and sentences of all documents, with the occurrence that is kept."""
+    return repeated_units(table(spark, sf_dir, "documents"))
+
+
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Every whole document scored by models of the labelled ones."""
     docs = table(spark, sf_dir, "documents")
     return score_toxicity(docs, train(docs, table(spark, sf_dir, "labels")))
 
 
+def op9_html_layout(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The visible text of all pages, laid out."""
+    return render_pages(table(spark, sf_dir, "pages"))
+
+
 def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Rules and character models over every whole document."""
     return scan_secrets(table(spark, sf_dir, "documents"))
@@ -74,7 +86,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op8_toxicity, op10_secret_scan]
+QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_html_layout, op10_secret_scan]
 
 
 def queries() -> dict[str, Query]:
