@@ -143,46 +143,31 @@ class Block:
                 hits[row[p]].extend(which[a[p] : np.searchsorted(keys, g[p], "right")].tolist())
 
 
-def _scanner(handles: list, window: int, k: int):
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = Block(*handles[0].value, window, k) if len(handles) == 1 else None
-        for batch in batches:
-            ids = batch.column(0)
-            for s in bs.slices(batch.column(1)):
-                w = bs.words(s, bs.ALNUM)
-                h = bs.word_hashes(s.buf, w)
-                edge = np.zeros(len(h) + 1, np.int64)
-                names: list[set[str]] = [set() for _ in range(len(s))]
-                for handle in handles:
-                    block = held or Block(*handle.value, window, k)
-                    hits: list[list[int]] = [[] for _ in range(len(s))]
-                    block.mark(h, w, edge, hits)
-                    for mine, got in zip(names, hits):
-                        mine.update(str(block.ids[i]) for i in set(got) if block.ids[i] is not None)
-                hit = np.cumsum(edge)[:-1] > 0
-                n_hit = np.concatenate([[0], np.cumsum(hit)])[w.first]
-                n_hit = np.diff(n_hit)
-                yield pa.RecordBatch.from_arrays(
-                    [
-                        ids.slice(s.lo, len(s)),
-                        pa.array(w.counts, pa.int64()),
-                        pa.array(n_hit, pa.int64()),
-                        pa.array([len(x) for x in names], pa.int64()),
-                        pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]),
-                        pa.array(n_hit > 0),
-                    ],
-                    names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"],
-                )
-
-    return scan
-
-
-def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
-    """One row for each document: its words, its hit words and the items found in it.
-
-    Columns: doc_id, n_words, n_hit, n_items, items_sha256 (of the ids, sorted
-    as strings and joined by commas), contaminated.
-    """
+class Judge:
+    """Marks slices of documents against the blocks of a benchmark."""
+
+    def __init__(self, handles: list, window: int, k: int) -> None:
+        self.handles, self.window, self.k = handles, window, k
+        self.held = Block(*handles[0].value, window, k) if len(handles) == 1 else None
+
+    def mark(self, s: bs.TextSlice) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+        """Words, hit words and found items of each row."""
+        w = bs.words(s, bs.ALNUM)
+        h = bs.word_hashes(s.buf, w)
+        edge = np.zeros(len(h) + 1, np.int64)
+        names: list[set[str]] = [set() for _ in range(len(s))]
+        for handle in self.handles:
+            block = self.held or Block(*handle.value, self.window, self.k)
+            hits: list[list[int]] = [[] for _ in range(len(s))]
+            block.mark(h, w, edge, hits)
+            for mine, got in zip(names, hits):
+                mine.update(str(block.ids[i]) for i in set(got) if block.ids[i] is not None)
+        hit = np.cumsum(edge)[:-1] > 0
+        return w.counts, np.diff(np.concatenate([[0], np.cumsum(hit)])[w.first]), names
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> list:
+    """The benchmark in broadcast blocks of about ``block_bytes`` of text."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
@@ -192,5 +177,46 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
         part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
         rows = part.distinct().collect()  # at most about block_bytes of text
         handles.append(spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows])))
+    return handles
+
+
+def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
+    """One row for each document: its words, its hit words and the items found in it.
+
+    Columns: doc_id, n_words, n_hit, n_items, items_sha256 (of the ids, sorted
+    as strings and joined by commas), contaminated.
+    """
+    handles = _blocks(docs, benchmark, block_bytes)
+
+    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(handles, window, k)
+        for batch in batches:
+            for s in bs.slices(batch.column(1)):
+                n_words, n_hit, names = judge.mark(s)
+                columns = [
+                    batch.column(0).slice(s.lo, len(s)),
+                    pa.array(n_words, pa.int64()),
+                    pa.array(n_hit, pa.int64()),
+                    pa.array([len(x) for x in names], pa.int64()),
+                    pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]),
+                    pa.array(n_hit > 0),
+                ]
+                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
+
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(_scanner(handles, window, k), SCHEMA)
+    return narrow.mapInArrow(scan, SCHEMA)
+
+
+def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
+    """``docs`` without the rows in which a window of the benchmark occurs; all columns kept."""
+    handles = _blocks(docs, benchmark, block_bytes)
+    place = docs.columns.index("text")
+
+    def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        judge = Judge(handles, window, k)
+        for batch in batches:
+            clean = [judge.mark(s)[1] == 0 for s in bs.slices(batch.column(place))]
+            if clean:
+                yield batch.filter(pa.array(np.concatenate(clean)))
+
+    return docs.mapInArrow(keep, docs.schema)

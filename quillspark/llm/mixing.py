@@ -61,41 +61,94 @@ def source_targets(sizes: DataFrame, weights: tuple[int, ...], budget: float, ca
     return named.withColumn("target", F.when(F.col("capped"), F.col("most")).otherwise(F.least(final * F.col("weight"), F.col("most")))).select("source", "source_size", "target")
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 1024) -> DataFrame:
-    """One row for each document: doc_id, source, size, source_size, target, copies, taken."""
-    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(F.col("doc_id").cast("string"), F.lit("null"))))
-    u = (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**13))
-    base = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), u.alias("u"))
-    base = materialize(base, "mix")
+def draw(doc_id: Column, seed: str) -> Column:
+    """A uniform number in (0, 1) from the id alone."""
+    digest = F.md5(F.concat(F.lit(f"{seed}:"), F.coalesce(doc_id.cast("string"), F.lit("null"))))
+    return (F.conv(F.substring(digest, 1, 13), 16, 10).cast("double") + F.lit(0.5)) / F.lit(float(16**13))
+
+
+def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
+    """Each row with its source's line of ``plan``, a table of one row for each source.
+
+    The plan is broadcast if a count finds it small; else Spark joins it, and
+    may split a source that holds many rows.
+    """
+    small = plan.count() <= 20_000
+    return rows.join(F.broadcast(plan) if small else plan, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
+def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
+    """Adds the order quotient ``q`` and its bucket."""
+    odds = (F.col("u") / (F.lit(1.0) - F.col("u"))) * ((F.lit(1.0) - F.col("p")) / F.col("p"))
+    rows = rows.withColumn("q", F.when(F.col("p") > 0, odds).otherwise(F.lit(float("inf"))))
+    spot = F.least(F.floor(F.col("q") / (F.col("q") + 1.0) * buckets), F.lit(buckets - 1))
+    return rows.withColumn("bucket", F.when(F.col("p") > 0, spot).otherwise(F.lit(buckets - 1)).cast("int"))
+
+
+def _place() -> Column:
+    return F.struct("q", F.col("doc_id").isNull().alias("null"), "doc_id")
+
 
+def mix_plan(base: DataFrame, weights: tuple[int, ...], budget: float, cap: float, buckets: int) -> DataFrame:
+    """One row for each source: its target, certain copies, and where its sample ends.
+
+    ``base`` has doc_id, source, size, u.  A row is in the sample if its bucket
+    is at most ``whole``, or if it is in bucket ``cut`` and not beyond ``last``.
+    """
     targets = source_targets(base.groupBy("source").agg(F.sum("size").alias("source_size")), weights, budget, cap)
     ratio = F.when(F.col("source_size") > 0, F.col("target") / F.col("source_size")).otherwise(F.lit(0.0))
     targets = targets.withColumn("sure", F.floor(ratio).cast("long")).withColumn("p", ratio - F.floor(ratio))
     targets = targets.withColumn("rest", F.col("target") - F.col("sure") * F.col("source_size")).withColumnRenamed("source", "of")
-
-    odds = (F.col("u") / (F.lit(1.0) - F.col("u"))) * ((F.lit(1.0) - F.col("p")) / F.col("p"))
-    ranked = base.join(targets, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    ranked = ranked.withColumn("q", F.when(F.col("p") > 0, odds).otherwise(F.lit(float("inf"))))
-    ranked = ranked.withColumn("bucket", F.when(F.col("p") > 0, F.least(F.floor(F.col("q") / (F.col("q") + 1.0) * buckets), F.lit(buckets - 1))).otherwise(F.lit(buckets - 1)).cast("int"))
+    targets = materialize(targets, "targets")
+    ranked = _ranked(_with_plan(base, targets), buckets)
 
     upto = W.partitionBy("source").orderBy("bucket")
     sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
     sums = sums.withColumn("upto", F.sum("words").over(upto)).withColumn("below", F.col("upto") - F.col("words"))
-    cuts = sums.groupBy(F.col("source").alias("of")).agg(
-        F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("bucket"))), F.lit(-1)).alias("whole"),
-        F.max(F.when((F.col("below") < F.col("rest")) & (F.col("upto") > F.col("rest")), F.struct("bucket", "below"))).alias("cut"),
-    )
-    marked = ranked.join(cuts, F.col("source").eqNullSafe(F.col("of"))).drop("of")
-    at_cut = F.coalesce(F.col("bucket") == F.col("cut.bucket"), F.lit(False))
-    clear = marked.where(~at_cut).withColumn("extra", F.when((F.col("p") > 0) & (F.col("bucket") <= F.col("whole")), 1).otherwise(0))
+    cut = F.max(F.when((F.col("below") < F.col("rest")) & (F.col("upto") > F.col("rest")), F.struct("bucket", "below")))
+    cuts = sums.groupBy(F.col("source").alias("of")).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("bucket"))), F.lit(-1)).alias("whole"), cut.alias("c"))
+    cuts = materialize(cuts.select("of", "whole", F.col("c.bucket").alias("cut"), F.col("c.below").alias("below")), "cuts")
+
     # The frame is by value: rows that tie are taken or left together.
-    order = W.partitionBy("source").orderBy("q", F.col("doc_id").asc_nulls_last())
-    peers = W.partitionBy("source", "q", "doc_id")
-    near = marked.where(at_cut).withColumn("incl", F.col("cut.below") + F.sum("size").over(order))
-    near = near.withColumn("excl", F.col("incl") - F.sum("size").over(peers))
-    near = near.withColumn("extra", F.when(F.col("incl") + F.col("excl") <= F.col("rest") * 2.0, 1).otherwise(0)).drop("incl", "excl")
-    copies = (F.col("sure") + F.col("extra")).alias("copies")
-    return clear.unionByName(near).select("doc_id", "source", "size", "source_size", "target", copies, (F.col("size") * (F.col("sure") + F.col("extra"))).alias("taken"))
+    near = _with_plan(ranked, cuts).where(F.col("bucket") == F.col("cut")).withColumn("place", _place())
+    near = near.withColumn("incl", F.col("below") + F.sum("size").over(W.partitionBy("source").orderBy("place")))
+    near = near.withColumn("excl", F.col("incl") - F.sum("size").over(W.partitionBy("source", "place")))
+    ends = near.where(F.col("incl") + F.col("excl") <= F.col("rest") * 2.0).groupBy(F.col("source").alias("of_")).agg(F.max("place").alias("last"))
+    plan = targets.join(cuts, targets["of"].eqNullSafe(cuts["of"]), "left").drop(cuts["of"]).join(ends, F.col("of").eqNullSafe(F.col("of_")), "left").drop("of_")
+    return materialize(plan.select("of", "source_size", "target", "sure", "p", "whole", "cut", "last"), "plan")
+
+
+def _copies(rows: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
+    rows = _ranked(_with_plan(rows, plan), buckets)
+    inside = (F.col("bucket") <= F.col("whole")) | F.coalesce((F.col("bucket") == F.col("cut")) & (_place() <= F.col("last")), F.lit(False))
+    return rows.withColumn("copies", F.col("sure") + F.when((F.col("p") > 0) & inside, 1).otherwise(0))
+
+
+def _base(docs: DataFrame, seed: str) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("u"))
+
+
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 1024) -> DataFrame:
+    """One row for each document: doc_id, source, size, source_size, target, copies, taken."""
+    base = materialize(_base(docs, seed), "mix")
+    told = _copies(base, mix_plan(base, weights, budget, cap, buckets), buckets)
+    return told.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
+
+
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 1024) -> DataFrame:
+    """The documents of the mix with all their columns, and size, source_size, target, copies, taken.
+
+    Documents of which no copy is taken are left out; a clashing name among the
+    last five is replaced.
+    """
+    base = materialize(_base(docs, seed), "mix")
+    plan = mix_plan(base, weights, budget, cap, buckets)
+    rows = docs.select(
+        F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("u")
+    )
+    told = _copies(rows, plan, buckets).where("copies > 0").withColumn("taken", F.col("size") * F.col("copies"))
+    added = ["size", "source_size", "target", "copies", "taken"]
+    return told.select(*[F.col("row")[c].alias(c) for c in docs.columns if c not in added], *added)
 
 
 MIX_SQL = r"""

@@ -7,6 +7,7 @@ from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 
+import corpus_pipeline
 from quillspark.llm.decontaminate import decontaminate
 from quillspark.llm.htmltext import render_pages
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
@@ -90,7 +91,7 @@ QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_
 
 
 def queries() -> dict[str, Query]:
-    return {q.__name__: shipped(q) for q in QUERIES}
+    return {q.__name__: shipped(q) for q in QUERIES} | {"pipeline": corpus_pipeline.run}
 
 
 def oracle_sql() -> dict[str, str]:
