@@ -1,17 +1,455 @@
-"""The registered queries over the driver's tables and their SQL."""
+"""The registered queries over the driver's tables, each with its SQL."""
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+from pyspark.sql.window import Window as W
+
+from quillspark.functions import html
+from quillspark.functions import text as T
+from quillspark.operators import context, corpus, graph, ranking, retrieval, serving, stats
+from quillspark.plans import binding as B
+from quillspark.plans.oracle import sql
+from quillspark.profile import DEFAULT
+from quillspark.shipping import ship_package
+from quillspark.sources import models
+from quillspark.streaming import resume
 
 Query = Callable[[SparkSession, str], DataFrame]
+_queries: dict[str, Query] = {}
+_sql: dict[str, str] = {}
+
+
+def register(oracle: str | None) -> Callable[[Query], Query]:
+    def add(query: Query) -> Query:
+        def run(spark: SparkSession, sf: str) -> DataFrame:
+            ship_package(spark)
+            return query(spark, sf)
+
+        _queries[query.__name__] = run
+        if oracle is not None:
+            _sql[query.__name__] = sql(oracle)
+        return query
+
+    return add
+
+
+# ---- text and chunks ----
+
+
+@register("SELECT doc_id FROM documents WHERE regexp_matches(source || '/' || doc_id || substr(text, 1, 2000), '(?i)licen[cs]e|copyright|GNU')")
+def keyword_filter(spark, sf):
+    raw = B.table(spark, sf, "documents").select("doc_id", F.concat("source", F.lit("/"), F.col("doc_id").cast("string")).alias("path"), F.col("text").alias("raw"))
+    return corpus.keyword_filter(raw, B.LICENSES).select("doc_id")
+
+
+@register("SELECT id, parent_id, CAST(chunk_index AS INT) AS chunk_index, CAST(chunk_total AS INT) AS chunk_total, md5(text) AS digest, length(text) AS n_chars FROM chunks")
+def chunk_windows(spark, sf):
+    return B.chunks(spark, sf).select("id", "parent_id", "chunk_index", "chunk_total", F.md5("text").alias("digest"), F.length("text").cast("long").alias("n_chars"))
+
+
+@register("SELECT doc_id, count(*) AS n_chunks, CAST(sum(length(text)) AS BIGINT) AS n_chars FROM chunks GROUP BY doc_id")
+def chunk_counts(spark, sf):
+    return B.chunks(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
+
+
+@register(
+    r"""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(\n\s*[A-ZÄÖÅ][A-ZÄÖÅ ]{4,})\n', chr(1) || '\1' || chr(10), 'g'), '(\n\s*\d+(?:\.\d+){0,3}\s+[A-ZÄÖÅ])', chr(1) || '\1', 'g'), chr(1)),
+    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0)) AS INT) AS n_sections FROM documents"""
+)
+def section_counts(spark, sf):
+    pattern = "(?U)" + "|".join(f"(?={b})" for b in (DEFAULT.boundaries[0], DEFAULT.boundaries[2]))
+    parts = F.filter(F.transform(F.split("text", pattern), T.strip), lambda s: F.length(s) > 0)
+    return B.table(spark, sf, "documents").select("doc_id", F.size(parts).alias("n_sections"))
+
+
+@register("SELECT id, refs AS section_refs FROM chunks")
+def chunk_references(spark, sf):
+    return B.chunks(spark, sf).select("id", F.col("references").alias("section_refs"))
+
+
+@register("SELECT doc_id, replace(replace(source || '/' || lang || '/' || doc_id || ' x.html', '/', '_'), ' ', '_')[:-6] AS node_id, lang AS folder FROM documents")
+def path_projection(spark, sf):
+    d = B.table(spark, sf, "documents")
+    path = F.concat("source", F.lit("/"), "lang", F.lit("/"), F.col("doc_id").cast("string"), F.lit(" x.html"))
+    return corpus.describe_documents(d.select("doc_id", path.alias("path"), F.lit("").alias("title"), "text")).select("doc_id", F.col("parent_id").alias("node_id"), "folder")
+
+
+@register("SELECT source, CASE WHEN sum(chunk_total) IS NULL THEN 0 ELSE sum(chunk_total) END AS n FROM (SELECT source, CAST(len(pieces) AS BIGINT) AS chunk_total, coalesce(sum(len(pieces)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces) WHERE before < 500 GROUP BY source")
+def scan_limit(spark, sf):
+    d = B.chunks(spark, sf).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("chunk_total"))
+    return corpus.limit_documents(d, 500, order="doc_id").groupBy("source").agg(F.sum("chunk_total").alias("n"))
+
+
+# ---- lexical ----
+
+
+@register("SELECT doc_id, token, tf FROM doc_posts")
+def tokenize_tf(spark, sf):
+    return ranking.postings(B.table(spark, sf, "documents"), "doc_id", "text")
+
+
+@register("SELECT doc_id, CAST(sum(tf) AS BIGINT) AS dl FROM doc_posts GROUP BY doc_id")
+def doc_lengths(spark, sf):
+    return ranking.doc_lengths(ranking.postings(B.table(spark, sf, "documents"), "doc_id", "text"), "doc_id")
+
+
+@register("SELECT token, df, round(idf, 6) AS idf FROM idf")
+def term_idf(spark, sf):
+    return ranking.term_idf(B.chunk_postings(spark, sf), B.chunks(spark, sf).count()).select("token", "df", F.round("idf", 6).alias("idf"))
+
+
+@register("SELECT qid, chunk_ord, score, rnk FROM lex WHERE rnk < 10")
+def bm25_topk(spark, sf):
+    return B.lexical_list(spark, sf, 10)
+
+
+@register("SELECT item_id AS qid, substr(text, 1, 5) AS head FROM benchmark")
+def query_heads(spark, sf):
+    return B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 5).alias("head"))
+
+
+# ---- vectors and fusion ----
+
+
+@register("SELECT qid, vec_id, score, rnk FROM vec WHERE rnk < 10")
+def vector_topk_batch(spark, sf):
+    return B.vector_list(spark, sf, 10)
+
+
+@register("SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS rnk FROM (SELECT v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id = 0) QUALIFY rnk < 10")
+def vector_topk(spark, sf):
+    v = B.table(spark, sf, "embeddings")
+    q = v.where("vec_id = 0").select(F.lit(0).cast("long").alias("qid"), "embedding")
+    return ranking.top_k(ranking.vector_scores(v, q, "vec_id", 10), "vec_id", 10).drop("qid")
+
+
+@register("SELECT count(*) AS n, CAST(sum(len(embedding)) * 4 AS BIGINT) AS n_bytes FROM embeddings")
+def embedding_bytes(spark, sf):
+    return stats.embedding_bytes(B.table(spark, sf, "embeddings"))
+
+
+@register("SELECT count(*) AS n, count(*) FILTER (len(embedding) <> 64) AS bad_dim, count(*) FILTER (abs(sqrt(list_dot_product(CAST(embedding AS DOUBLE[]), CAST(embedding AS DOUBLE[]))) - 1) > 0.001) AS not_unit FROM embeddings")
+def index_check(spark, sf):
+    return stats.index_check(B.table(spark, sf, "embeddings"), 64)
+
+
+@register("SELECT qid, id, round(rrf, 9) AS rrf FROM fused")
+def rrf_fusion(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    return ranking.fuse(vec.unionByName(lex), "id").select("qid", "id", F.round("rrf", 9).alias("rrf"))
+
+
+@register("SELECT qid, id, round(score, 9) AS score, fuse_ord FROM hits")
+def authority_boost(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    return retrieval.fused_hits(vec, lex, B.chunks(spark, sf)).select("qid", "id", F.round("score", 9).alias("score"), "fuse_ord")
+
+
+@register("SELECT qid, id, round(score, 9) AS score, tie[1] AS first_ord FROM expanded")
+def reference_expansion(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    out = retrieval.expand(retrieval.fused_hits(vec, lex, c), c, corpus.chunk_sections(c))
+    return out.select("qid", "id", F.round("score", 9).alias("score"), F.col("tie.fuse_ord").cast("long").alias("first_ord"))
+
+
+@register("SELECT qid, id, parent_id, score, rank FROM found")
+def hybrid_retrieve(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    return retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)).select("qid", "id", "parent_id", "score", "rank")
+
+
+@register("SELECT * FROM (SELECT qid, id, parent_id, row_number() OVER (PARTITION BY qid ORDER BY rnk) - 1 AS rnk FROM (SELECT l.qid, l.id, c.parent_id, l.rnk, row_number() OVER (PARTITION BY l.qid, c.parent_id ORDER BY l.rnk) AS own FROM lexc l JOIN chunks c USING (id)) WHERE own = 1) WHERE rnk < 40")
+def dedupe_pre_rrf(spark, sf):
+    _, lex = B.ranked_lists(spark, sf)
+    rows = lex.join(B.chunks(spark, sf).select("id", "parent_id"), "id")
+    return ranking.first_per_parent(rows, 40).select("qid", "id", "parent_id", "rnk")
+
+
+@register("SELECT qid, id, parent_id, rank FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY rnk) AS rank FROM (SELECT l.qid, l.id, c.parent_id, l.rnk, row_number() OVER (PARTITION BY l.qid, c.parent_id ORDER BY l.rnk) AS own FROM lexc l JOIN chunks c USING (id)) WHERE own <= CASE WHEN contains(id, 'Tuloverosopimukset') THEN 4 ELSE 2 END) WHERE rank <= 10")
+def parent_cap(spark, sf):
+    _, lex = B.ranked_lists(spark, sf)
+    rows = lex.join(B.chunks(spark, sf).select("id", "parent_id"), "id")
+    return ranking.parent_cap(rows, [F.col("rnk")], ranking.cap_of(F.col("id")), 10).select("qid", "id", "parent_id", "rank")
+
+
+@register("SELECT g AS qid, id, rrf, row_number() OVER (PARTITION BY g ORDER BY rrf DESC, seen) AS rank FROM (SELECT qid // 4 AS g, id, round(sum(1.0 / (60 + rank - 1)), 9) AS rrf, min((qid % 4, rank)) AS seen FROM found GROUP BY ALL)")
+def multi_query_merge(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    hits = retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c))
+    return ranking.merge_lists(hits.select(F.floor(F.col("qid") / 4).alias("qid"), (F.col("qid") % 4).alias("list_no"), "id", (F.col("rank") - 1).alias("rnk")))
+
+
+@register("SELECT qid // 4 AS qid, parent_id, CAST(min(qid % 4) AS BIGINT) AS sub_idx FROM found GROUP BY ALL")
+def first_claim(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    hits = retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c))
+    return serving.first_claim(hits.select(F.floor(F.col("qid") / 4).alias("qid"), "parent_id", (F.col("qid") % 4).alias("sub_idx")))
+
+
+@register("SELECT f.qid, CAST(min(f.rank) FILTER (contains(lower(c.text), 'ing')) AS INT) AS rank FROM found f JOIN chunks c USING (id) GROUP BY f.qid")
+def diagnose_rank(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    return ranking.diagnose(retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)), F.lit("ING"))
+
+
+# ---- parents, sections, graph ----
+
+
+@register("SELECT id, source, type, statute, title, date, array_to_string(chunk_ids, ',') AS chunk_ids, array_to_string(refs, ',') AS refs FROM parents")
+def parents_collapse(spark, sf):
+    return B.parents(spark, sf).select("id", "source", "type", "statute", "title", "date", F.array_join("chunk_ids", ",").alias("chunk_ids"), F.array_join("references", ",").alias("refs"))
+
+
+@register("SELECT ref_key, pos, parent_id FROM psec")
+def section_index(spark, sf):
+    return corpus.parent_sections(B.parents(spark, sf))
+
+
+@register("SELECT ref_key, pos, chunk_id FROM csec")
+def chunk_section_index(spark, sf):
+    return corpus.chunk_sections(B.chunks(spark, sf))
+
+
+@register("SELECT f, t, relation, confidence, ref_key FROM raw_edges WHERE relation = 'cites'")
+def edges_cites(spark, sf):
+    return B.edges_raw(spark, sf).where("relation = 'cites'").select(F.col("from").alias("f"), F.col("to").alias("t"), "relation", "confidence", "ref_key")
+
+
+@register("SELECT f, t, relation, confidence, ref_key FROM raw_edges WHERE relation = 'amends'")
+def edges_amends(spark, sf):
+    return B.edges_raw(spark, sf).where("relation = 'amends'").select(F.col("from").alias("f"), F.col("to").alias("t"), "relation", "confidence", "ref_key")
+
+
+@register("SELECT f, t, relation, confidence, ref_key FROM edges")
+def edges_dedup_last(spark, sf):
+    return B.edges(spark, sf).select(F.col("from").alias("f"), F.col("to").alias("t"), "relation", "confidence", "ref_key")
+
+
+@register("SELECT relation, count(*) AS n FROM raw_edges GROUP BY relation")
+def edge_counts(spark, sf):
+    return stats.edge_counts(B.edges_raw(spark, sf))
+
+
+@register("SELECT f, t, relation, CAST(confidence AS DOUBLE) AS confidence, llm_typed FROM v2")
+def edge_retype_v2(spark, sf):
+    e = B.edges(spark, sf)
+    return graph.retype(e, B.extraction_log(e))[0].select(F.col("from").alias("f"), F.col("to").alias("t"), "relation", "confidence", "llm_typed")
+
+
+@register(
+    """SELECT count(*) FILTER (NOT missing AND confidence >= 0.7 AND relation = 'none') AS dropped_none,
+    count(*) FILTER (NOT missing AND confidence >= 0.7 AND relation IN ('interpreted_by', 'clarified_by', 'overrides')) AS retyped,
+    count(*) FILTER (NOT missing AND confidence >= 0.7 AND relation = 'references') AS kept_references,
+    count(*) FILTER (NOT missing AND confidence < 0.7) AS low_conf_skipped, count(*) FILTER (missing) AS missing_edge FROM judged_log"""
+)
+def retype_stats(spark, sf):
+    e = B.edges(spark, sf)
+    return graph.retype(e, B.extraction_log(e))[1]
+
+
+@register("SELECT qid, id, hop, CAST(ord AS BIGINT) AS ord FROM entry UNION ALL SELECT qid, id, hop, ord FROM hop1 UNION ALL SELECT qid, id, hop, ord FROM hop2")
+def graph_walk_2hop(spark, sf):
+    return graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[0]
+
+
+@register(
+    """SELECT qid, hop, ord, CASE WHEN relation = 'amends (newer)' THEN id ELSE via END AS f, CASE WHEN relation = 'amends (newer)' THEN via ELSE id END AS t, relation FROM hop1
+    UNION ALL SELECT qid, hop, ord, CASE WHEN relation = 'amends (newer)' THEN id ELSE via END, CASE WHEN relation = 'amends (newer)' THEN via ELSE id END, relation FROM hop2"""
+)
+def traversal_log(spark, sf):
+    log = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[1]
+    return log.select("qid", "hop", "ord", F.col("from").alias("f"), F.col("to").alias("t"), "relation")
+
+
+@register(
+    """SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY hop > 0, CASE WHEN hop = 0 THEN ord END NULLS FIRST,
+      CASE WHEN hop > 0 THEN CASE type WHEN 'ARTICLE' THEN 0 WHEN 'STATUTE' THEN 0 WHEN 'GUIDANCE' THEN 1 WHEN 'COURT_CASE' THEN 2 ELSE 3 END END NULLS FIRST,
+      CASE WHEN hop > 0 THEN ascii(dd) END DESC NULLS FIRST, CASE WHEN hop > 0 THEN dd END NULLS FIRST, id) AS parent_ord
+    FROM (SELECT v.*, p.type, coalesce(p.date, '0000-00-00') AS dd FROM (SELECT qid, id, hop, ord FROM entry UNION ALL SELECT qid, id, hop, ord FROM hop1 UNION ALL SELECT qid, id, hop, ord FROM hop2) v LEFT JOIN parents p USING (id))"""
+)
+def graph_parent_order(spark, sf):
+    visited, _ = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))
+    return graph.order_parents(visited, B.parents(spark, sf))
+
+
+@register("SELECT DISTINCT f, t FROM raw_edges e WHERE relation = 'cites' AND NOT EXISTS (SELECT 1 FROM log l WHERE l.f = e.f AND l.t = e.t AND l.line % 2 = 0)")
+def resume_antijoin(spark, sf):
+    e = B.edges(spark, sf)
+    done = B.extraction_log(e).where("line % 2 = 0")
+    pairs = graph.pairs_to_type(B.edges_raw(spark, sf))
+    return resume.remaining(pairs, done, ["from", "to"]).select(F.col("from").alias("f"), F.col("to").alias("t"))
+
+
+@register(None)
+def graph_retrieve(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    entries = retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c), k=10 * DEFAULT.entry_multiple)
+    hits, _ = graph.retrieve_with_graph(entries.select("qid", "id", "parent_id", "rank"), c, B.parents(spark, sf), B.edges(spark, sf))
+    return hits.select("qid", "rank", "parent_id", "id")
+
+
+@register(None)
+def sample_exact_n(spark, sf):
+    return graph.sample_exact(B.table(spark, sf, "documents").select("doc_id"), ["doc_id"], 100, seed=42)
+
+
+# ---- contexts ----
+
+_BLOCK = "'[' || c.id || '] ' || title || ' (' || source || ', ' || type || ')' || CASE WHEN coalesce(date, '') <> '' THEN ' — ' || date ELSE '' END || chr(10) || text"
+
+
+@register(f"SELECT qid, count(*) AS n_blocks, md5(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS total FROM (SELECT qid, rank, {_BLOCK} AS block FROM found f JOIN chunks c USING (id))) WHERE total <= 4000 GROUP BY qid")
+def context_pack(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    packed = context.pack_context(retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)), 4000)
+    return packed.select("qid", "n_blocks", F.md5("context").alias("digest"))
+
+
+@register("SELECT parent_id AS id, arg_min(title, chunk_ord) AS title, md5(string_agg(substr(text, 1, CAST(2500 - before AS INT)), chr(10) ORDER BY chunk_ord)) AS digest FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY parent_id ORDER BY chunk_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks) WHERE before < 2500 GROUP BY parent_id")
+def excerpt_concat(spark, sf):
+    return context.excerpts(B.chunks(spark, sf)).select("id", "title", F.md5("excerpt").alias("digest"))
+
+
+# ---- statistics and evaluation ----
+
+
+@register(
+    """SELECT 'type' AS kind, type AS name, count(*) AS n, CAST(NULL AS DOUBLE) AS value FROM chunks GROUP BY type
+    UNION ALL SELECT 'source', source, count(*), NULL FROM chunks GROUP BY source
+    UNION ALL (SELECT 'statute', statute, count(*) AS n, NULL FROM chunks GROUP BY statute ORDER BY n DESC, statute LIMIT 10)
+    UNION ALL SELECT 'mean_length', NULL, count(*), round(avg(length(text)), 6) FROM chunks
+    UNION ALL SELECT 'share_with_references', NULL, count(*), round(avg(CAST(len(refs) > 0 AS INT)), 6) FROM chunks"""
+)
+def corpus_stats(spark, sf):
+    return stats.corpus_stats(B.chunks(spark, sf))
+
+
+@register("SELECT count(*) AS total_parents, count(*) FILTER (source = 'vero') AS authority_total, count(*) FILTER (source = 'finlex' AND type = 'COURT_CASE') AS court_total, count(DISTINCT statute) FILTER (source = 'finlex') AS statute_count FROM parents")
+def parent_stats(spark, sf):
+    return stats.parent_stats(B.parents(spark, sf))
+
+
+@register("SELECT statute, count(*) AS n FROM parents WHERE source = 'finlex' GROUP BY statute")
+def statute_counts(spark, sf):
+    return stats.statute_counts(B.parents(spark, sf))
+
+
+_TIERS = "['basic', 'medium', 'hard', 'difficulty_1', 'difficulty_2', 'difficulty_3', 'difficulty_4', 'difficulty_5'][doc_id % 8 + 1]"
+_GRADED = f"(SELECT doc_id, {_TIERS} AS tier, (quality + (doc_id % 3 = 0)::INT) / 2 AS fact_score, regexp_matches(title || ' ' || statute, '(?i)§\\s*\\d+|TVL|AVL|EPL|VML|KHO|KVL|VH-|ohje') AS cited FROM labels JOIN d USING (doc_id))"
+
+
+def _graded(spark: SparkSession, sf: str) -> DataFrame:
+    names = F.array(*[F.lit(x) for x in ("basic", "medium", "hard", "difficulty_1", "difficulty_2", "difficulty_3", "difficulty_4", "difficulty_5")])
+    rows = B.documents(spark, sf).join(B.table(spark, sf, "labels"), "doc_id").withColumn("tier", F.get(names, (F.col("doc_id") % 8).cast("int")))
+    facts = rows.select(F.col("doc_id").alias("id"), F.explode(F.array(F.col("quality") == 1, F.col("doc_id") % 3 == 0)).alias("covered"))
+    return stats.score_answers(facts, rows.select(F.col("doc_id").alias("id"), "tier", F.concat("title", F.lit(" "), "statute").alias("answer")))
+
+
+@register(f"SELECT tier, round(avg(fact_score), 6) AS fact_coverage, round(avg(CAST(cited AS INT)), 6) AS citation_rate, count(*) AS n FROM {_GRADED} GROUP BY ROLLUP (tier)")
+def eval_tier_rollup(spark, sf):
+    return stats.tier_report(_graded(spark, sf))
+
+
+@register(
+    f"""SELECT *, CASE WHEN pct >= 55 THEN 'green' WHEN pct >= 30 THEN 'amber' ELSE 'red' END AS color FROM (
+    SELECT CASE WHEN tier IN ('basic', 'difficulty_1', 'difficulty_2') THEN 'basic' WHEN tier IN ('medium', 'difficulty_3') THEN 'medium' ELSE 'hard' END AS bucket, count(*) AS n, CAST(round_even(avg(fact_score) * 100, 0) AS INT) AS pct FROM {_GRADED} GROUP BY bucket)"""
+)
+def eval_buckets(spark, sf):
+    return stats.eval_buckets(_graded(spark, sf))
+
+
+@register(f"SELECT cited AS has_citation, count(*) AS n FROM {_GRADED} GROUP BY cited")
+def citation_rate(spark, sf):
+    return _graded(spark, sf).groupBy("has_citation").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register("SELECT conv_id, turn, regexp_matches(lower(text), 'the|ing|no information') AS refusal FROM conversations")
+def refusal_markers(spark, sf):
+    from dataclasses import replace
+
+    p = replace(DEFAULT, refusals=("the", "ing", "no information"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", T.is_refusal(F.col("text"), p).alias("refusal"))
+
+
+# ---- serving ----
+
+
+@register("SELECT id, parent_id AS parentId, CAST(chunk_index AS INT) AS chunkIndex, source, title, date FROM chunks WHERE parent_id = 'd_2' AND chunk_index = 0")
+def point_lookup(spark, sf):
+    c = B.chunks(spark, sf)
+    first = c.where("doc_id = 2 and chunk_index = 0").select("id").first()
+    return serving.point_lookup(c, first.id).select("id", "parentId", "chunkIndex", "source", "title", "date")
+
+
+@register(r"SELECT parent_id AS id, CASE WHEN type = 'STATUTE' THEN 'ARTICLE' ELSE type END AS type, CASE WHEN length(title) > 38 THEN substr(title, 1, 38) || '…' ELSE title END AS label, FALSE AS superseded, CASE WHEN length(s) > 140 THEN substr(s, 1, 140) || '…' ELSE s END AS desc_text FROM (SELECT *, replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' ') AS s FROM chunks)")
+def display_nodes(spark, sf):
+    return serving.graph_node(B.chunks(spark, sf)).withColumnRenamed("desc", "desc_text")
+
+
+@register("SELECT f.qid, f.parent_id, CAST(min(f.rank) AS INT) AS first_rank, CASE WHEN any_value(c.type) = 'COURT_CASE' THEN 'court' WHEN any_value(c.source) = 'vero' THEN 'guidance' ELSE 'statute' END AS tag, string_agg(f.id, ',' ORDER BY f.rank) AS ids FROM found f JOIN chunks c USING (id) GROUP BY f.qid, f.parent_id")
+def source_rows(spark, sf):
+    vec, lex = B.ranked_lists(spark, sf)
+    c = B.chunks(spark, sf)
+    rows = serving.source_rows(retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)))
+    return rows.select("qid", "parent_id", "first_rank", "tag", F.array_join(F.transform("chunks", lambda x: x["id"]), ",").alias("ids"))
+
+
+@register("""SELECT conv_id AS qid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, 'event: ' || CASE WHEN role = 'user' THEN 'plan' ELSE 'token' END AS head FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE turn < 2 AND role IN ('user', 'assistant') AND (role = 'user') = (turn = 0))""")
+def sse_events(spark, sf):
+    c = B.table(spark, sf, "conversations").where("turn < 2 and role in ('user', 'assistant')").select(F.col("conv_id").alias("qid"), F.col("turn").alias("ord"), "role", "text")
+    c = c.where((F.col("role") == "user") == (F.col("ord") == 0)).dropDuplicates(["qid", "ord", "role"])
+    events = serving.event_rows([("plan", c.where("role = 'user'").select("qid", "ord", "text")), ("token", c.where("role = 'assistant'").select("qid", "ord", "text"))])
+    return events.select("qid", "seq", F.get(F.split("frame", "\n"), F.lit(0)).alias("head"))
+
+
+# ---- pages ----
+
+
+@register(None)
+def html_leaf_text(spark, sf):
+    return html.page_texts(B.table(spark, sf, "pages"), "page_id", "html")
+
+
+@register("SELECT page_id, count(*) AS n FROM pages WHERE html LIKE '%<h1>%' GROUP BY page_id")
+def html_with_heading(spark, sf):
+    return B.table(spark, sf, "pages").where(F.contains("html", F.lit("<h1>"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@register(None)
+def embed_chunks(spark, sf):
+    c = B.chunks(spark, sf).select("id", "title", "text")
+    return models.embed_chunks(c, models.hashed_embedder(16))
+
+
+@register("SELECT item_id AS qid, 0 AS sub_idx, text FROM benchmark")
+def planned_queries(spark, sf):
+    q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+    replies = models.complete_rows(q, "qid", "question", models.refusing)
+    return models.sub_queries(q, replies)
+
+
+@register("SELECT from_id AS id, count(*) AS n FROM (SELECT a.doc_id AS from_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id > b.doc_id) GROUP BY from_id")
+def later_copies(spark, sf):
+    """For each later exact copy of a document, how many come before it; equal texts are counted, not paired."""
+    d = B.table(spark, sf, "documents").where("text is not null").select("doc_id", F.sha2("text", 256).alias("h"))
+    before = F.row_number().over(W.partitionBy("h").orderBy("doc_id")) - 1
+    return d.select(F.col("doc_id").alias("id"), before.cast("long").alias("n")).where("n > 0")
 
 
 def queries() -> dict[str, Query]:
-    return {}
+    return dict(_queries)
 
 
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return dict(_sql)
