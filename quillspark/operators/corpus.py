@@ -78,7 +78,7 @@ def chunk_sections(chunks: DataFrame, profile: Profile = DEFAULT, order: str = "
     text = F.concat(F.coalesce("title", F.lit("")), F.lit(" "), F.substring(F.coalesce("text", F.lit("")), 1, profile.section_prefix))
     keys = chunks.where("statute is not null and statute != ''").select("id", order, F.explode(F.array_distinct(T.extract_references(text, F.col("statute"), profile))).alias("ref_key"))
     keys = keys.groupBy("ref_key", "id").agg(F.min(order).alias(order))
-    return keys.select("ref_key", (F.row_number().over(W.partitionBy("ref_key").orderBy(order)) - 1).alias("pos"), F.col("id").alias("chunk_id"))
+    return keys.select("ref_key", (F.row_number().over(W.partitionBy("ref_key").orderBy(order)).cast("long") - 1).alias("pos"), F.col("id").alias("chunk_id"))
 
 
 def title_sections(title, statute, profile: Profile = DEFAULT):
@@ -92,4 +92,4 @@ def parent_sections(parents: DataFrame, profile: Profile = DEFAULT) -> DataFrame
     none = F.array().cast("array<string>")
     keys = F.concat(F.coalesce("references", none), F.coalesce(F.when(F.coalesce("statute", F.lit("")) != "", title_sections(F.coalesce("title", F.lit("")), F.col("statute"), profile)), none))
     rows = parents.select("id", "parent_ord", F.explode(F.array_distinct(keys)).alias("ref_key"))
-    return rows.select("ref_key", (F.row_number().over(W.partitionBy("ref_key").orderBy("parent_ord")) - 1).alias("pos"), F.col("id").alias("parent_id"))
+    return rows.select("ref_key", (F.row_number().over(W.partitionBy("ref_key").orderBy("parent_ord")).cast("long") - 1).alias("pos"), F.col("id").alias("parent_id"))

@@ -26,7 +26,7 @@ def build_edges(parents: DataFrame, sections: DataFrame, profile: Profile = DEFA
         hits = refs.join(sections.withColumnRenamed("parent_id", "to"), "ref_key").where("to != id").join(target, "to").where(F.col("to_source") == profile.statute_source)
         if relation == "amends":
             hits = hits.where(~amending("to_title"))
-        nth = F.row_number().over(W.partitionBy("id", "ref_key").orderBy("pos"))
+        nth = F.row_number().over(W.partitionBy("id", "ref_key").orderBy("pos")).cast("long")
         hits = hits.withColumn("n", nth).where(F.col("n") <= profile.max_targets)
         return hits.select(F.struct(F.lit(phase).alias("phase"), F.col("parent_ord").cast("long").alias("p"), F.col("i").cast("int").alias("i"), F.col("n").cast("int").alias("n")).alias("edge_ord"), F.col("id").alias("from"), "to", F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"), "ref_key")
 
@@ -143,16 +143,16 @@ def order_parents(visited: DataFrame, parents: DataFrame, profile: Profile = DEF
     entry = F.col("hop") == 0
     dates = [F.when(~entry, F.col("d")).desc_nulls_first()] if newest_first else [F.when(~entry, F.ascii("d")).desc_nulls_first(), F.when(~entry, F.col("d")).asc_nulls_first()]
     order = [F.when(entry, 0).otherwise(1), F.when(entry, F.col("ord")).asc_nulls_first(), F.when(~entry, rank).asc_nulls_first(), *dates, F.col("id")]
-    return rows.select("qid", "id", F.row_number().over(W.partitionBy("qid").orderBy(*order)).alias("parent_ord"))
+    return rows.select("qid", "id", F.row_number().over(W.partitionBy("qid").orderBy(*order)).cast("long").alias("parent_ord"))
 
 
 def reexpand(ordered: DataFrame, chunks: DataFrame, matched: DataFrame, k: int, profile: Profile = DEFAULT, order: str = "chunk_ord") -> DataFrame:
     """The chunks of the ordered parents: matched ones first, capped by parent, ``k`` a query; ``rank`` from 1."""
     rows = ordered.select("qid", F.col("id").alias("parent_id"), "parent_ord").join(chunks, "parent_id")
     rows = rows.join(matched.select("qid", "id", F.col("rank").alias("m")), ["qid", "id"], "left")
-    nth = F.row_number().over(W.partitionBy("qid", "parent_id").orderBy(F.col("m").asc_nulls_last(), order))
+    nth = F.row_number().over(W.partitionBy("qid", "parent_id").orderBy(F.col("m").asc_nulls_last(), order)).cast("long")
     rows = rows.withColumn("nth", nth).where(F.col("nth") <= cap_of(F.col("parent_id"), profile))
-    return rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("parent_ord", "nth"))).where(F.col("rank") <= k).drop("nth", "m")
+    return rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("parent_ord", "nth")).cast("long")).where(F.col("rank") <= k).drop("nth", "m")
 
 
 def retrieve_with_graph(entries: DataFrame, chunks: DataFrame, parents: DataFrame, edges: DataFrame, k: int = 10, hops: int = 2, profile: Profile = DEFAULT) -> tuple[DataFrame, DataFrame]:

@@ -63,7 +63,7 @@ def top_k(scores: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
     """(qid, key, score, rnk): the ``k`` best of each query, rank from 0; scores of 0 and less are no hits."""
     rounded = scores.withColumn("score", F.round("score", digits)).where("score > 0")
     order = W.partitionBy("qid").orderBy(F.desc("score"), key)
-    return rounded.withColumn("rnk", F.row_number().over(order)).where(F.col("rnk") <= k).withColumn("rnk", F.col("rnk") - 1)
+    return rounded.withColumn("rnk", F.row_number().over(order).cast("long")).where(F.col("rnk") <= k).withColumn("rnk", F.col("rnk") - 1)
 
 
 def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
@@ -77,7 +77,7 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> D
     ids = queries.select("qid", "embedding").where("embedding is not null").orderBy("qid")
     n = ids.count()
     blocks = []
-    numbered = ids.withColumn("__n", F.row_number().over(W.orderBy("qid")) - 1) if n > 4096 else None
+    numbered = ids.withColumn("__n", F.row_number().over(W.orderBy("qid")).cast("long") - 1) if n > 4096 else None
     for lo in range(0, n, 4096):
         rows = (ids if numbered is None else numbered.where(F.col("__n").between(lo, lo + 4095))).collect()
         blocks.append(spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.embedding for r in rows], np.float64))))
@@ -114,21 +114,21 @@ def cap_of(node: Column, profile: Profile = DEFAULT) -> Column:
 
 def parent_cap(ranked: DataFrame, order: list, cap: Column, k: int) -> DataFrame:
     """At most ``cap`` hits of each parent, then the first ``k`` of each query; ``rank`` from 1."""
-    own = F.row_number().over(W.partitionBy("qid", "parent_id").orderBy(*order))
+    own = F.row_number().over(W.partitionBy("qid", "parent_id").orderBy(*order)).cast("long")
     kept = ranked.withColumn("__own", own).where(F.col("__own") <= cap).drop("__own")
-    return kept.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order))).where(F.col("rank") <= k)
+    return kept.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy(*order)).cast("long")).where(F.col("rank") <= k)
 
 
 def first_per_parent(ranked: DataFrame, k: int) -> DataFrame:
     """The first hit of each parent of each query, ranked anew from 0, ``k`` at most."""
-    first = ranked.withColumn("__own", F.row_number().over(W.partitionBy("qid", "parent_id").orderBy("rnk"))).where("__own = 1").drop("__own")
-    return first.withColumn("rnk", F.row_number().over(W.partitionBy("qid").orderBy("rnk")) - 1).where(F.col("rnk") < k)
+    first = ranked.withColumn("__own", F.row_number().over(W.partitionBy("qid", "parent_id").orderBy("rnk")).cast("long")).where("__own = 1").drop("__own")
+    return first.withColumn("rnk", F.row_number().over(W.partitionBy("qid").orderBy("rnk")).cast("long") - 1).where(F.col("rnk") < k)
 
 
 def merge_lists(hits: DataFrame, k: int = 60) -> DataFrame:
     """(qid, id, rrf, rank): the hits (qid, list_no, id, rnk) of several sub-queries, best sum first, ties by first sight."""
     merged = hits.groupBy("qid", "id").agg(F.round(F.sum(1.0 / (k + F.col("rnk"))), 9).alias("rrf"), F.min(F.struct("list_no", "rnk")).alias("seen"))
-    return merged.select("qid", "id", "rrf", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rrf"), "seen")).alias("rank"))
+    return merged.select("qid", "id", "rrf", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rrf"), "seen")).cast("long").alias("rank"))
 
 
 def diagnose(hits: DataFrame, expected: Column) -> DataFrame:

@@ -19,7 +19,7 @@ def fused_hits(vector: DataFrame, lexical: DataFrame, chunks: DataFrame, profile
     k = profile.rrf_k if rrf_k is None else rrf_k
     both = vector.select("qid", "id", "rnk", F.lit(0).alias("of")).unionByName(lexical.select("qid", "id", "rnk", F.lit(1).alias("of")))
     fused = both.groupBy("qid", "id").agg(F.sum(1.0 / (k + F.col("rnk"))).alias("rrf"), F.min(F.struct("of", "rnk")).alias("seen"))
-    fused = fused.withColumn("fuse_ord", F.row_number().over(W.partitionBy("qid").orderBy("seen")) - 1)
+    fused = fused.withColumn("fuse_ord", F.row_number().over(W.partitionBy("qid").orderBy("seen")).cast("long") - 1)
     about = chunks.select("id", "source")
     return fused.join(about, "id").select("qid", "id", (F.col("rrf") * R.boost(F.col("source"), F.col("id"), profile)).alias("score"), "fuse_ord")
 

@@ -80,5 +80,5 @@ def event_rows(phases: list[tuple[str, DataFrame]]) -> DataFrame:
         data = F.to_json(F.struct(*[c for c in df.columns if c not in ("qid", "ord")]), {"ignoreNullFields": "false"})
         rows = df.select("qid", F.lit(i).alias("phase"), F.col("ord").cast("long").alias("ord"), F.lit(event).alias("event"), data.alias("data"))
         out = rows if out is None else out.unionByName(rows)
-    seq = F.row_number().over(W.partitionBy("qid").orderBy("phase", "ord", "data"))
+    seq = F.row_number().over(W.partitionBy("qid").orderBy("phase", "ord", "data")).cast("long")
     return out.select("qid", seq.alias("seq"), "event", "data", T.sse_frame(F.col("event"), F.col("data")).alias("frame"))

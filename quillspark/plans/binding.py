@@ -6,7 +6,9 @@ The tables hold no statutes, sections or dates, so those are derived from
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import replace
+from functools import wraps
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,12 +16,29 @@ from pyspark.sql import functions as F
 from quillspark.functions import text as T
 from quillspark.operators import corpus, graph, ranking
 from quillspark.profile import DEFAULT
+from quillspark.scratch import materialize
 
 #: No section headings: long texts are windows only.
 WINDOWS = replace(DEFAULT, boundaries=(r"\x00",))
 LICENSES = replace(DEFAULT, keywords="licen[cs]e|copyright|GNU")
 
 
+_built: dict[tuple[str, str, str], DataFrame] = {}
+
+
+def once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    """Builds an index table on first use in a session and keeps it in the shared folder."""
+
+    @wraps(build)
+    def get(spark: SparkSession, sf: str) -> DataFrame:
+        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        if key not in _built:
+            _built[key] = materialize(build(spark, sf), build.__name__)
+        return _built[key]
+
+    return get
+
+
 def table(spark: SparkSession, sf: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf}/{name}.parquet")
 
@@ -39,6 +58,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@once
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
     rows = d.withColumn("pieces", T.chunk_text(F.col("text"), WINDOWS)).select("*", F.size("pieces").alias("chunk_total"), F.posexplode("pieces").alias("chunk_index", "piece"))
@@ -50,10 +70,12 @@ def chunks(spark: SparkSession, sf: str) -> DataFrame:
     )
 
 
+@once
 def parents(spark: SparkSession, sf: str) -> DataFrame:
     return corpus.collapse_parents(chunks(spark, sf))
 
 
+@once
 def edges_raw(spark: SparkSession, sf: str) -> DataFrame:
     p = parents(spark, sf)
     return graph.build_edges(p, corpus.parent_sections(p))
@@ -83,6 +105,7 @@ def query_tokens(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(T.tokens(F.col("text")), 1, 12)).alias("token"))
 
 
+@once
 def chunk_postings(spark: SparkSession, sf: str) -> DataFrame:
     c = chunks(spark, sf).select("chunk_ord", F.concat("title", F.lit(" "), "text").alias("body"))
     return ranking.postings(c, "chunk_ord", "body")

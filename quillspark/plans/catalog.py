@@ -66,9 +66,9 @@ def section_counts(spark, sf):
     return B.table(spark, sf, "documents").select("doc_id", F.size(parts).alias("n_sections"))
 
 
-@register("SELECT id, refs AS section_refs FROM chunks")
+@register("SELECT id, array_to_string(refs, ',') AS section_refs FROM chunks")
 def chunk_references(spark, sf):
-    return B.chunks(spark, sf).select("id", F.col("references").alias("section_refs"))
+    return B.chunks(spark, sf).select("id", F.array_join("references", ",").alias("section_refs"))
 
 
 @register("SELECT doc_id, replace(replace(source || '/' || lang || '/' || doc_id || ' x.html', '/', '_'), ' ', '_')[:-6] AS node_id, lang AS folder FROM documents")
@@ -78,7 +78,7 @@ def path_projection(spark, sf):
     return corpus.describe_documents(d.select("doc_id", path.alias("path"), F.lit("").alias("title"), "text")).select("doc_id", F.col("parent_id").alias("node_id"), "folder")
 
 
-@register("SELECT source, CASE WHEN sum(chunk_total) IS NULL THEN 0 ELSE sum(chunk_total) END AS n FROM (SELECT source, CAST(len(pieces) AS BIGINT) AS chunk_total, coalesce(sum(len(pieces)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces) WHERE before < 500 GROUP BY source")
+@register("SELECT source, CAST(sum(chunk_total) AS BIGINT) AS n FROM (SELECT source, CAST(len(pieces) AS BIGINT) AS chunk_total, coalesce(sum(len(pieces)) OVER (ORDER BY doc_id ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM pieces) WHERE before < 500 GROUP BY source")
 def scan_limit(spark, sf):
     d = B.chunks(spark, sf).groupBy("doc_id", "source").agg(F.count(F.lit(1)).alias("chunk_total"))
     return corpus.limit_documents(d, 500, order="doc_id").groupBy("source").agg(F.sum("chunk_total").alias("n"))
@@ -194,7 +194,7 @@ def first_claim(spark, sf):
     return serving.first_claim(hits.select(F.floor(F.col("qid") / 4).alias("qid"), "parent_id", (F.col("qid") % 4).alias("sub_idx")))
 
 
-@register("SELECT f.qid, CAST(min(f.rank) FILTER (contains(lower(c.text), 'ing')) AS INT) AS rank FROM found f JOIN chunks c USING (id) GROUP BY f.qid")
+@register("SELECT f.qid, min(f.rank) FILTER (contains(lower(c.text), 'ing')) AS rank FROM found f JOIN chunks c USING (id) GROUP BY f.qid")
 def diagnose_rank(spark, sf):
     vec, lex = B.ranked_lists(spark, sf)
     c = B.chunks(spark, sf)
@@ -397,7 +397,7 @@ def display_nodes(spark, sf):
     return serving.graph_node(B.chunks(spark, sf)).withColumnRenamed("desc", "desc_text")
 
 
-@register("SELECT f.qid, f.parent_id, CAST(min(f.rank) AS INT) AS first_rank, CASE WHEN any_value(c.type) = 'COURT_CASE' THEN 'court' WHEN any_value(c.source) = 'vero' THEN 'guidance' ELSE 'statute' END AS tag, string_agg(f.id, ',' ORDER BY f.rank) AS ids FROM found f JOIN chunks c USING (id) GROUP BY f.qid, f.parent_id")
+@register("SELECT f.qid, f.parent_id, min(f.rank) AS first_rank, CASE WHEN any_value(c.type) = 'COURT_CASE' THEN 'court' WHEN any_value(c.source) = 'vero' THEN 'guidance' ELSE 'statute' END AS tag, string_agg(f.id, ',' ORDER BY f.rank) AS ids FROM found f JOIN chunks c USING (id) GROUP BY f.qid, f.parent_id")
 def source_rows(spark, sf):
     vec, lex = B.ranked_lists(spark, sf)
     c = B.chunks(spark, sf)
