@@ -8,7 +8,7 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 
 import corpus_pipeline
-from quillspark.llm.decontaminate import decontaminate
+from quillspark.llm.decontaminate import WINNOW_SQL, decontaminate
 from quillspark.llm.htmltext import render_pages
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
 from quillspark.llm.neardup import near_duplicates
@@ -16,7 +16,7 @@ from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
 from quillspark.llm.substrings import remove_repeats
 from quillspark.llm.toxicity import score_toxicity, train
-from quillspark.llm.units import repeated_units
+from quillspark.llm.units import UNITS_SQL, repeated_units
 from quillspark.llm.warc import WARC_SQL, page_records
 from quillspark.shipping import ship_package
 
@@ -95,4 +95,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chunks": WARC_SQL, "op2_pareto_mix": MIX_SQL}
+    return {"op1_warc_chunks": WARC_SQL, "op2_pareto_mix": MIX_SQL, "op6_decontaminate": WINNOW_SQL, "op7_line_dedup": UNITS_SQL}

@@ -95,3 +95,17 @@ def repeated_units(docs: DataFrame, min_words: int = 20) -> DataFrame:
     again = again.withColumn("island", F.col("unit_no") - F.dense_rank().over(mine))
     again = again.withColumn("passage", F.sum("n_words").over(W.partitionBy("doc_id", "tk", "island")))
     return again.where(F.col("passage") >= min_words).select("doc_id", "unit_no", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no"))
+
+
+UNITS_SQL = r"""
+WITH cut AS (SELECT doc_id, string_split(replace(regexp_replace(text, '([.!?])([\x20\x09-\x0D])', '\1' || chr(1) || '\2', 'g'), chr(10), chr(1) || chr(10)), chr(1)) AS p FROM documents),
+pieces AS (SELECT doc_id, unnest(p) AS piece, generate_subscripts(p, 1) AS k FROM cut),
+placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER BY k ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS off,
+  regexp_extract_all(translate(piece, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\x20\x09-\x0D]+') AS w FROM pieces),
+units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit_no, off + length(piece) - length(regexp_replace(piece, '^[\x20\x09-\x0D]+', '')) AS a,
+  off + length(regexp_replace(piece, '[\x20\x09-\x0D]+$', '')) AS b, len(w) AS n, w FROM placed WHERE len(w) > 0),
+again AS (SELECT * FROM (SELECT *, min((doc_id, unit_no)) OVER (PARTITION BY w) AS kept FROM units) WHERE (doc_id, unit_no) > kept),
+islands AS (SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS g FROM again)
+SELECT doc_id, CAST(unit_no AS INT) AS unit_no, CAST(a AS INT) AS start, CAST(b AS INT) AS "end", CAST(n AS INT) AS n_words, kept[1] AS kept_doc_id, CAST(kept[2] AS INT) AS kept_unit_no
+FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, g) AS total FROM islands) WHERE total >= 20
+"""
