@@ -57,3 +57,10 @@ def semi_join(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = 400
         cond = term if cond is None else cond & term
     small = right.count() <= max_rows
     return df.join(F.broadcast(right) if small else right, cond, "left_semi")
+
+
+def purge(spark: SparkSession) -> None:
+    """Delete all scratch tables of this package; results not yet written need them."""
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    path = jvm.org.apache.hadoop.fs.Path(f"{scratch_root(spark)}/quillspark")
+    path.getFileSystem(conf).delete(path, True)
