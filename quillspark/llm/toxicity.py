@@ -41,8 +41,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import bytescan as bs
 from quillspark.scratch import materialize
 
-WORDS = 1 << 20
-PAIRS = 1 << 20
+WORDS = 1 << 19
+PAIRS = 1 << 18
 SHARED = 1 << 18
 DISCOUNTS = (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0, 32.0, 50.0)
 #: Added to the number of words, so that a few words never make an extreme mean.
@@ -78,7 +78,7 @@ def shared_counts(docs: DataFrame) -> DataFrame:
                     continue
                 inner = np.ones(len(h), bool)
                 inner[w.first[:-1][w.counts > 0]] = False
-                at = ((h % np.uint64(WORDS)) >> np.uint64(2)).astype(np.int64)[1:][inner[1:]]
+                at = ((h % np.uint64(WORDS)) >> np.uint64(1)).astype(np.int64)[1:][inner[1:]]
                 bit = (np.uint64(1) << (h >> np.uint64(58)))[:-1][inner[1:]]
                 np.bitwise_or.at(mask, at, bit)
         some = np.flatnonzero(mask)
@@ -126,10 +126,9 @@ def class_counts(sample: DataFrame) -> DataFrame:
 class KneserNeyPair:
     """Both class models over hashed tables, for one discount."""
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray, before: np.ndarray, follows: np.ndarray, shared: np.ndarray, discount: float) -> None:
-        """``words`` and ``pairs``: [class, bucket] document counts; ``before``: the first word of each pair
+    def __init__(self, words: np.ndarray, totals: np.ndarray, pairs: np.ndarray, before: np.ndarray, follows: np.ndarray, shared: np.ndarray, discount: float) -> None:
+        """``words`` and ``pairs``: [class, bucket] document counts over 1; ``totals``: all words of each class; ``before``: the first word of each pair
         bucket; ``follows``: [class, word bucket] summed counts of the pairs it begins; ``shared``: probabilities."""
-        totals = words.sum(1)
         scale = totals.min() / np.maximum(totals, 1)
         self.log_word, self.pair, self.back = [], [], []
         for c in (0, 1):
@@ -192,7 +191,13 @@ class ToxicityModel:
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, discounts: tuple[float, ...] = DISCOUNTS, cut: float = 0.3) -> ToxicityModel:
+def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
+    """Columns of a small table, by way of Arrow."""
+    table = df.select(*names).toArrow()
+    return [table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in names]
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discounts: tuple[float, ...] = DISCOUNTS, cut: float = 0.3) -> ToxicityModel:
     """Fit both models and the calibration; see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     sample = materialize(labelled_sample(docs, labels, max_labelled), "sample")
@@ -203,32 +208,39 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, discount
         return ToxicityModel(None, 0.0, float(prior))
 
     counts = materialize(class_counts(sample.where("r != 3")), "counts")
-    words, pairs, follows = np.zeros((2, WORDS)), np.zeros((2, PAIRS)), np.zeros((2, WORDS))
-    before = np.zeros(PAIRS, np.int64)
-    t = counts.where("kind = 0").groupBy("toxic", "bucket").agg(F.sum("n").alias("n")).toPandas()
-    words[t.toxic, t.bucket] = t.n
-    t = counts.where("kind = 1").groupBy("toxic", "before").agg(F.sum("n").alias("n")).toPandas()
-    follows[t.toxic, t.before] = t.n
-    # a pair seen in one document never outlasts a discount of 1; the rest has at most PAIRS buckets
-    t = counts.where("kind = 1").groupBy("toxic", "bucket").agg(F.sum("n").alias("n"), F.max_by("before", F.struct("n", "before")).alias("before")).where("n > 1").toPandas()
-    pairs[t.toxic, t.bucket] = t.n
-    before[t.bucket] = t.before
-
-    t = shared_counts(docs).toPandas()
-    empty = 64 - np.array([int(x).bit_count() for x in t["mask"].to_numpy().view(np.uint64)], np.float64)
+    ones = counts.where("kind = 0").groupBy("toxic", "bucket").agg(F.sum("n").alias("n"))
+    twos = counts.where("kind = 1").groupBy("toxic", "bucket").agg(F.sum("n").alias("n"), F.max_by("before", F.struct("n", "before")).alias("before"))
+    # What occurs in one document never outlasts a discount of 1; only the rest comes to the driver,
+    # at most one row for each class and bucket, and the sums over everything.
+    words, pairs, follows = (np.zeros((2, n), np.float32) for n in (WORDS, PAIRS, WORDS))
+    before = np.zeros(PAIRS, np.int32)
+    totals = np.zeros(2)
+    for r in ones.groupBy("toxic").agg(F.sum("n").alias("n")).collect():
+        totals[r.toxic] = r.n
+    toxic, bucket, n = _columns(ones.where("n > 1"), "toxic", "bucket", "n")
+    words[toxic, bucket] = n
+    twos = materialize(twos.where("n > 1"), "pairs")
+    toxic, bucket, n, first = _columns(twos, "toxic", "bucket", "n", "before")
+    pairs[toxic, bucket] = n
+    before[bucket] = first
+    history = counts.where("kind = 1").join(twos.select("before").distinct(), "before", "left_semi").groupBy("toxic", "before").agg(F.sum("n").alias("n"))
+    toxic, bucket, n = _columns(history, "toxic", "before", "n")
+    follows[toxic, bucket] = n
+
+    bucket, mask = _columns(shared_counts(docs), "bucket", "mask")
+    empty = 64 - np.bitwise_count(mask.view(np.uint64)).astype(np.float64)
     kinds = np.full(SHARED, 0.1)
-    kinds[t.bucket] += -64 * np.log(np.maximum(empty, 0.5) / 64)
-    shared = np.repeat(kinds / kinds.sum() / 4, 4)
+    kinds[bucket] += -64 * np.log(np.maximum(empty, 0.5) / 64)
+    shared = np.repeat(kinds / kinds.sum() / 2, 2)
 
-    tables = tuple(t.astype(np.float32) for t in (words, pairs, follows, shared))
-    handle = docs.sparkSession.sparkContext.broadcast((*tables, before.astype(np.int32)))
+    handle = docs.sparkSession.sparkContext.broadcast((words, pairs, follows, shared.astype(np.float32), before))
     grid = [(d, pair) for pair in (False, True) for d in discounts]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         ones, twos, next_to, base, first = handle.value
         held = [(batch.column(1).slice(s.lo, len(s)), _codes(s)) for batch in batches for s in bs.slices(batch.column(0))]
         for i, (d, pair) in enumerate(grid if held else []):
-            model = KneserNeyPair(ones, twos * pair, first, next_to * pair, base, d)
+            model = KneserNeyPair(ones, totals, twos * pair, first, next_to * pair, base, d)
             for y, codes in held:
                 x = model.ratio(*codes)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), y, pa.array(x)], names=["i", "toxic", "x"])
@@ -239,7 +251,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 6000, discount
     best = max(fits, key=lambda i: (round(fits[i][2], 9), -i))
     slope, intercept, _ = fits[best]
     d, pair = grid[best]
-    return ToxicityModel(KneserNeyPair(words, pairs * pair, before, follows * pair, shared, d), slope, intercept)
+    return ToxicityModel(KneserNeyPair(words, totals, pairs * pair, before, follows * pair, shared, d), slope, intercept)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:
