@@ -19,11 +19,12 @@ A-Z as a-z).  Documents whose sets have a Jaccard similarity of at least
    The rest is confirmed on the full sets of both whole texts.
 
 A bucket of thousands of classes isn't expanded into pairs.  Every member is
-first compared with the bucket's least and greatest class only; first of all
-with the most similar of them.  Components of the confirmed links are formed,
-and only members that then still lie in *different* components of one bucket
-are compared with each other.  No candidate is left out: a pair of one bucket
-is either compared or already in one component.
+first compared with two members of the bucket, drawn by hash; first of all with
+the most similar of those it meets.  Components of the confirmed links are
+formed.  What then still lies in *different* components of one bucket, the
+strays of large groups, is compared on full sets in blocks, and only links are
+emitted.  No link is left out: a pair of one bucket is compared or already in
+one component.
 
 Links, components and fingerprints stay in tables.
 
@@ -203,13 +204,80 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where("c_a != c_b").select("a", "b", *[c for c in pairs.columns if c == "est"])
 
 
+def stray_links(placed: DataFrame, groups: DataFrame, texts: DataFrame, k: int, percent: int, strays: int = 500, others: int = 2000) -> DataFrame:
+    """(a, b): links between different components ``c`` of one group, without a row for each pair.
+
+    ``placed`` has (cid, c), ``groups`` (node, component): classes that shared a
+    bucket, by way of its drawn members.  Those outside the largest component
+    of their group, the strays, are compared with all of the group: blocks of
+    strays meet blocks of the others, a task holds one of each, and only links
+    leave it, one for each stray and component.
+    """
+    rows = placed.join(groups.select(F.col("node").alias("cid"), F.col("component").alias("g")), "cid")
+    sizes = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
+    main = sizes.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
+    main = main.where("all > most").select("g", "main", F.ceil((F.col("all") - F.col("most")) / strays).alias("n_i"), F.ceil(F.col("all") / others).alias("n_j"))
+    rows = materialize(rows.join(main, "g"), "strays")
+    own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
+    every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
+    asking = rows.where("c != main").select("g", own("n_i").alias("i"), every("n_j").alias("j"), F.lit(0).alias("role"), "cid", "c")
+    asked = rows.select("g", every("n_i").alias("i"), own("n_j").alias("j"), F.lit(1).alias("role"), "cid", "c")
+    placed_texts = asking.unionByName(asked).join(semi_join(texts, rows.select("cid"), ["cid"]), "cid").select("g", "i", "j", "role", "cid", "c", "text")
+
+    def judge(block: list[tuple]) -> list[tuple]:
+        column = pa.array([r[6] for r in block], pa.large_string())
+        sets = [x for s in bs.slices(column) for x in shingle_sets(s, k)]
+        left = [n for n, r in enumerate(block) if r[3] == 0]
+        right = [n for n, r in enumerate(block) if r[3] == 1]
+        if not left or not right:
+            return []
+        n_right = np.array([len(sets[n]) for n in right])
+        owner = np.repeat(np.arange(len(right)), n_right)
+        values = np.concatenate([sets[n] for n in right])
+        order = np.argsort(values, kind="stable")
+        values, owner = values[order], owner[order]
+        c_right = np.array([block[n][5] for n in right])
+        out = []
+        for n in left:
+            x = sets[n]
+            lo, hi = np.searchsorted(values, x, "left"), np.searchsorted(values, x, "right")
+            span = hi - lo
+            at = np.repeat(lo - np.concatenate([[0], np.cumsum(span)[:-1]]), span) + np.arange(int(span.sum()))
+            inter = np.bincount(owner[at], minlength=len(right))
+            ok = (inter * 100 >= (len(x) + n_right - inter) * percent) & (c_right != block[n][5])
+            _, first = np.unique(c_right[ok], return_index=True)
+            out += [(block[n][4], block[right[m]][4]) for m in np.flatnonzero(ok)[first]]
+        return out
+
+    def meet(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        def pack(links: list[tuple]) -> pa.RecordBatch:
+            return pa.RecordBatch.from_arrays([pa.array(list(c), pa.int64()) for c in zip(*links)], names=["a", "b"])
+
+        block: list[tuple] = []
+        for batch in batches:
+            out = []
+            for row in zip(*(batch.column(n).to_pylist() for n in range(7))):
+                if block and block[0][:3] != row[:3]:
+                    out += judge(block)
+                    block = []
+                block.append(row)
+            if out:
+                yield pack(out)
+        if block and (out := judge(block)):
+            yield pack(out)
+
+    return placed_texts.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(meet, "a long, b long")
+
+
 def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
     """(node, component) over class ids, for classes with at least one link."""
     m = rows * bands
     cut = percent / 100 - 5 * (0.16 / m) ** 0.5
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(j, F.substring(F.col("sketch"), j * rows + 1, F.lit(rows)))))
     in_band = classes.select("cid", band.alias("band"))
-    ends = in_band.groupBy("band").agg(F.min("cid").alias("p"), F.max("cid").alias("q")).where("p < q")
+    # Two members of each bucket, drawn by hash, so that buckets of one group differ in them.
+    draw = F.struct(F.xxhash64("cid", "band").alias("h"), "cid")
+    ends = in_band.groupBy("band").agg(F.min(draw).alias("p"), F.max(draw).alias("q")).select("band", F.col("p.cid").alias("p"), F.col("q.cid").alias("q")).where("p != q")
     members = materialize(in_band.join(ends, "band"), "members")
 
     wanted = semi_join(classes.select("cid", "doc", "tk"), members.select("cid"), ["cid"]).select("cid", F.col("doc").alias("d"), F.col("tk").alias("t"))
@@ -218,32 +286,31 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")))
     texts = materialize(texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
 
-    stars = members.select(F.col("cid").alias("a"), F.explode(F.array("p", "q")).alias("b")).where("a != b").distinct()
+    stars = members.select("cid", F.explode(F.array("p", "q")).alias("end")).where("cid != end")
+    stars = stars.select(F.least("cid", "end").alias("a"), F.greatest("cid", "end").alias("b")).distinct()
     scored = materialize(estimated(stars, classes, percent, cut), "scored")
-    best = scored.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
+    near = scored.select("a", "b", "est").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
+    best = near.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
+    best = best.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
     links = materialize(verified(best, texts, k, percent), "links")
     components = connected_components(links)
 
-    once = scored.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct()
-    rest = materialize(_apart(once, components), "rest")
+    rest = materialize(_apart(scored.select("a", "b").join(best, ["a", "b"], "left_anti"), components), "rest")
     if not rest.isEmpty():
         links = links.unionByName(materialize(verified(rest, texts, k, percent), "links"))
         components = connected_components(links)
 
     # What is still apart in a bucket, without the two classes that all were compared with.
-    placed = members.where("cid != p and cid != q").join(components.select(F.col("node").alias("cid"), "component"), "cid", "left")
-    placed = placed.select("band", "cid", F.coalesce("component", "cid").alias("c"))
-    mixed = placed.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
-    placed = materialize(placed.join(mixed, "band"), "placed")
-    if placed.isEmpty():
-        return components
-    left = placed.select("band", F.col("cid").alias("a"), F.col("c").alias("c_a"))
-    right = placed.select("band", F.col("cid").alias("b"), F.col("c").alias("c_b"))
-    cross = left.join(right, "band").where("c_a < c_b").select("a", "b").distinct()
-    found = materialize(estimated(cross, classes, percent, cut), "cross")
-    if found.isEmpty():
+    named = members.join(components.select(F.col("node").alias("cid"), "component"), "cid", "left").select("band", "cid", "p", "q", F.coalesce("component", "cid").alias("c"))
+    open_ = named.where("cid != p and cid != q")
+    mixed = open_.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
+    named = materialize(named.join(mixed, "band"), "mixed")
+    placed = named.where("cid != p and cid != q").select("cid", "c").distinct()
+    if named.isEmpty():
         return components
-    return connected_components(links.unionByName(materialize(verified(found, texts, k, percent), "links")))
+    groups = connected_components(named.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct())
+    found = materialize(stray_links(placed, groups, texts, k, percent), "strays")
+    return components if found.isEmpty() else connected_components(links.unionByName(found))
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, bands: int = 42) -> DataFrame:
