@@ -250,11 +250,13 @@ def repeated_spans(docs: DataFrame, length: int, k: int, batches: int, few: int)
     return spans
 
 
-def remove_repeats(docs: DataFrame, length: int = 400, k: int = 100, batches: int = 4, few: int = 256) -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = 400, k: int = 100, batches: int = 4, few: int = 20_000) -> DataFrame:
     """One row for each document: doc_id, n_bytes, n_removed, n_spans, kept_sha256 and ``spans``.
 
     ``spans`` lists the removed byte ranges of the original text, end exclusive.
-    ``few`` is the most kinds of stretches that are gathered under one key.
+    ``few`` is the most kinds of stretches that are gathered under one key: at
+    700 bytes and some 150 windows each, 14 MB of bytes and 24 MB of hashes in a
+    task.  Keys beyond it are judged by hashes spread over all tasks.
     """
     rows = docs.select("doc_id", "text")
     whole = _keyed(rows).withColumn("n_bytes", F.octet_length("text").cast("long")).withColumn("sha", F.sha2("text", 256)).drop("text")
