@@ -1,9 +1,9 @@
 """Secret scans: fixed rules, and character Markov models for strings no rule names.
 
-Two first-order character models, one of random strings and one of ordinary
+First-order character models, of random strings by alphabet and of ordinary
 identifiers, are trained from labelled samples.  A candidate (a run of at least
 ``least`` characters as secrets have them) is a secret if its log-likelihood
-under the first exceeds that under the second by more than ``margin``.
+under the former exceeds that under the latter by more than ``margin``.
 
 The labelled samples: random strings are drawn with a fixed seed over the
 alphabets that keys are commonly written in; ordinary identifiers are words of
@@ -47,10 +47,15 @@ _N = 69
 
 
 class MarkovPair:
-    """Log-likelihood ratios of character transitions, random over ordinary."""
+    """Log-likelihood ratios of character transitions, random over ordinary.
 
-    def __init__(self, random: list[str], ordinary: list[str], prior: float = 0.5) -> None:
-        self.ratio = self._log(random, prior) - self._log(ordinary, prior)
+    Random strings have a model for each kind of the labelled sample, since an
+    alphabet shows in every transition; their likelihoods are averaged.
+    """
+
+    def __init__(self, random: dict[str, list[str]], ordinary: list[str], prior: float = 0.5) -> None:
+        base = self._log(ordinary, prior)
+        self.ratios = np.stack([self._log(sample, prior) - base for _, sample in sorted(random.items())])
 
     @staticmethod
     def _log(sample: list[str], prior: float) -> np.ndarray:
@@ -62,14 +67,25 @@ class MarkovPair:
 
     def score(self, s: str) -> float:
         x = _STATES[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
-        return float(self.ratio[x[:-1], x[1:]].sum())
+        kinds = self.ratios[:, x[:-1], x[1:]].sum(1)
+        return float(kinds.max() + np.log(np.exp(kinds - kinds.max()).mean()))
+
+
+# fixed values: the alphabets of hexadecimal, base 62, base 32 and both forms of base 64
+ALPHABETS = {
+    "hex": "0123456789abcdef",
+    "HEX": "0123456789ABCDEF",
+    "base62": string.ascii_letters + string.digits,
+    "base32": string.ascii_uppercase + "234567",
+    "base64": string.ascii_letters + string.digits + "+/",
+    "base64url": string.ascii_letters + string.digits + "-_",
+}
 
 
-def random_sample(n: int, seed: int = 7) -> list[str]:
-    """``n`` labelled random strings of 20 to 64 characters over common key alphabets."""
+def random_sample(n: int, seed: int = 7) -> dict[str, list[str]]:
+    """``n`` labelled random strings of 20 to 64 characters for each of the alphabets that keys are written in."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    alphabets = ["0123456789abcdef", "0123456789ABCDEF", string.ascii_letters + string.digits, string.ascii_uppercase + "234567", string.ascii_letters + string.digits + "+/", string.ascii_letters + string.digits + "-_"]
-    return ["".join(np.array(list(alphabets[i % len(alphabets)]))[rng.integers(0, len(alphabets[i % len(alphabets)]), int(rng.integers(20, 65)))]) for i in range(n)]
+    return {kind: ["".join(np.array(list(letters))[rng.integers(0, len(letters), int(rng.integers(20, 65)))]) for _ in range(n)] for kind, letters in ALPHABETS.items()}
 
 
 def ordinary_sample(docs: DataFrame, n_docs: int, n_strings: int) -> list[str]:
@@ -77,7 +93,9 @@ def ordinary_sample(docs: DataFrame, n_docs: int, n_strings: int) -> list[str]:
 
     At most ``n_strings`` words come to the driver.
     """
-    picked = docs.select("doc_id", "text").where("text is not null").orderBy(F.xxhash64(F.col("doc_id").cast("string")), "doc_id").limit(n_docs)
+    key = F.col("doc_id").cast("string")
+    ids = docs.where("text is not null").select(key.alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(n_docs)
+    picked = docs.join(F.broadcast(ids), key.eqNullSafe(F.col("id")), "left_semi")  # n_docs ids at most
     word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))).alias("w")
     found = [r.w for r in picked.select(word).distinct().orderBy(F.xxhash64("w"), "w").limit(n_strings).collect()]
     out = list(found)
@@ -144,7 +162,7 @@ def _scanner(model, least: int, margin: float):
     return scan
 
 
-def train(docs: DataFrame, n_random: int = 6000, n_docs: int = 400, n_strings: int = 20_000) -> MarkovPair:
+def train(docs: DataFrame, n_random: int = 1500, n_docs: int = 400, n_strings: int = 20_000) -> MarkovPair:
     """Both models from their labelled samples; the sizes bound the training."""
     return MarkovPair(random_sample(n_random), ordinary_sample(docs, n_docs, n_strings))
 
