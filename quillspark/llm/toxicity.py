@@ -15,7 +15,7 @@ log-likelihoods divided by its number of words.
 * A discount is an absolute number of documents of the smaller class; both
   classes are scaled to its size first, so that rare words of either fall back
   to the shared counts alike.  It is picked from ``discounts``, and whether pairs
-  count at all, by the best F1 on labelled rows that gave no counts; the
+  count at all, by the best F0.5 on labelled rows that gave no counts; the
   calibration, which puts the best cut at a score of 0.3, is made there too.
 
 Rows whose crc32(doc_id) modulo 4 is 2 never give a label; of the rest, 3
@@ -161,23 +161,24 @@ class KneserNeyPair:
         return (sums[w.first[1:]] - sums[w.first[:-1]]) / (w.counts + SHRINK)
 
 
-def calibrate(x: np.ndarray, y: np.ndarray, cut: float) -> tuple[float, float, float]:
-    """Slope and intercept of a logistic function of ``x``, and the F1 it reaches at ``cut``.
+def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cut: float) -> tuple[float, float, float]:
+    """Slope and intercept of a logistic function of ``x``, and the F measure it reaches at ``cut``.
 
     The function passes ``cut`` at the value that separates the labels with the
-    best F1; its slope follows the spread of the ordinary rows.
+    best F0.5, which counts precision twice; its slope follows the spread of the ordinary rows.  Weights undo
+    the sampling by class.
     """
     order = np.argsort(-x, kind="stable")
-    ranked, hits = x[order], np.cumsum(y[order])
-    f1 = 2 * hits / (np.arange(1, len(y) + 1) + y.sum())
-    f1[:-1][ranked[:-1] == ranked[1:]] = -1  # ties stand on one side
-    best = int(np.argmax(f1))
+    ranked, hits = x[order], np.cumsum((y * weight)[order])
+    fit = 1.25 * hits / (np.cumsum(weight[order]) + 0.25 * (y * weight).sum())
+    fit[:-1][ranked[:-1] == ranked[1:]] = -1  # ties stand on one side
+    best = int(np.argmax(fit))
     below = ranked[best + 1] if best + 1 < len(ranked) else ranked[best] - 1e-3
     at = (ranked[best] + below) / 2
     calm = x[y == 0]
     spread = max(1.4826 * float(np.median(np.abs(calm - np.median(calm)))), 1e-6)
     slope = 1.0 / spread
-    return slope, float(np.log(cut / (1 - cut)) - slope * at), float(f1[best])
+    return slope, float(np.log(cut / (1 - cut)) - slope * at), float(fit[best])
 
 
 class ToxicityModel:
@@ -200,10 +201,12 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discounts: tuple[float, ...] = DISCOUNTS, cut: float = 0.3) -> ToxicityModel:
     """Fit both models and the calibration; see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    sample = materialize(labelled_sample(docs, labels, max_labelled), "sample")
+    # Copies of a text count once, with the label that most of them bear.
+    sample = labelled_sample(docs, labels, max_labelled).groupBy("text").agg((F.avg("toxic") > 0.5).cast("int").alias("toxic"), F.min("r").alias("r"))
+    sample = materialize(sample, "sample")
     share = {(r.toxic, r.held): r["count"] for r in sample.groupBy("toxic", (F.col("r") == 3).alias("held")).count().collect()}
-    n = [sum(v for (c, _), v in share.items() if c == k) for k in (0, 1)]
-    prior = np.log((n[1] + 0.5) / (n[0] + 0.5))
+    n_class = [sum(v for (c, _), v in share.items() if c == k) for k in (0, 1)]
+    prior = np.log((n_class[1] + 0.5) / (n_class[0] + 0.5))
     if any(share.get((c, held), 0) == 0 for c in (0, 1) for held in (False, True)):
         return ToxicityModel(None, 0.0, float(prior))
 
@@ -247,7 +250,10 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discount
 
     held = sample.where("r = 3").select("text", "toxic").mapInArrow(measure, "i int, toxic int, x double").toPandas()
     handle.unpersist()
-    fits = {i: calibrate(g.x.to_numpy(), g.toxic.to_numpy(np.float64), cut) for i, g in held.sort_values(["i", "x", "toxic"]).groupby("i")}
+    rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).where(remainder(F.col("id")) != 2)
+    weight = {r.toxic: r["count"] / max(1, n_class[r.toxic]) for r in rows.groupBy("toxic").count().collect()}
+    held["weight"] = held.toxic.map(weight).astype(float)
+    fits = {i: calibrate(g.x.to_numpy(), g.toxic.to_numpy(np.float64), g.weight.to_numpy(), cut) for i, g in held.sort_values(["i", "x", "toxic"]).groupby("i")}
     best = max(fits, key=lambda i: (round(fits[i][2], 9), -i))
     slope, intercept, _ = fits[best]
     d, pair = grid[best]
