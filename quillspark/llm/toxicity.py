@@ -6,21 +6,26 @@ off to discounted counts of the word, backed off to one *shared* distribution.
 A document's score is a calibrated function of the difference of its two
 log-likelihoods divided by its number of words.
 
-* Class counts are Kneser-Ney counts: in how many documents of the class a
-  word or pair occurs, not how often, so one document cannot make a word toxic.
-  They come from a bounded sample, at most ``max_labelled`` rows of each label.
+* Class counts come from a bounded sample, at most ``max_labelled`` rows of each
+  label, and are kept exactly, those of 1 included.  A pair counts the documents
+  of the class it occurs in, so that one document cannot make it toxic.
 * The shared backoff counts cover every document: for each hash bucket of
   words, how many different words come before it, by linear counting in 64
   bits.  Bits merge by OR in each task before any shuffle.
-* A discount is an absolute number of documents of the smaller class; both
-  classes are scaled to its size first, so that rare words of either fall back
-  to the shared counts alike.  It is picked from ``discounts``, and whether pairs
-  count at all, by the best F0.5 on labelled rows that gave no counts; the
-  calibration, which puts the best cut at a score of 0.3, is made there too.
+* Two ways to lessen counts compete by the best F0.5 on labelled rows that gave
+  no counts.  The first is Kneser-Ney's: a word counts the different words before
+  it in the class (a text's start is one of them), and the discounts of counts of
+  1, 2 and more are estimated from the counts of counts of each class and level,
+  always below the count.  The other takes the documents with the word and an
+  absolute number of documents of the smaller class (``discounts``), both classes
+  scaled to its size first; it finds only what many documents share, but is
+  surer where rare words are noise.  The pair level is part of both.
+* The calibration, which puts the best cut at a score of 0.3, is made on those
+  rows too.
 
 Rows whose crc32(doc_id) modulo 4 is 2 never give a label; of the rest, 3
-calibrates and 0 and 1 give counts.  Words and pairs are hashed to tables of
-fixed size, so what reaches the driver and the tasks is bounded.
+calibrates and 0 and 1 give counts.  What reaches the driver and the tasks is
+bounded by the words of the sample.
 
 Edge cases: an empty or null text scores as its prior; labels other than 0 and
 1 and null ids are ignored; a doc_id with several labels is toxic if one says
@@ -42,8 +47,8 @@ from quillspark.llm import bytescan as bs
 from quillspark.scratch import materialize
 
 WORDS = 1 << 19
-PAIRS = 1 << 18
 SHARED = 1 << 18
+#: Of documents of the smaller class; the estimated discounts are tried before them.
 DISCOUNTS = (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0, 32.0, 50.0)
 #: Added to the number of words, so that a few words never make an extreme mean.
 SHRINK = 30
@@ -55,14 +60,17 @@ def remainder(doc_id: Column) -> Column:
     return F.pmod(F.crc32(doc_id.cast("string").cast("binary")), F.lit(4))
 
 
-def _codes(s: bs.TextSlice) -> tuple[np.ndarray, np.ndarray, bs.Words]:
-    """Word buckets, pair buckets (entry i: words i-1 and i) and word bounds of a slice."""
+def _hashes(s: bs.TextSlice) -> tuple[np.ndarray, np.ndarray, bs.Words]:
+    """Hashes of the words of a slice and of the words before them (0 at a text's start), and the word bounds."""
     w = bs.words(s, bs.ALNUM)
     h = bs.word_hashes(s.buf, w)
-    pairs = np.zeros(len(h), np.int64)
-    if len(h) > 1:
-        pairs[1:] = (bs.gram_hashes(h, 2) % np.uint64(PAIRS)).astype(np.int64)
-    return (h % np.uint64(WORDS)).astype(np.int64), pairs, w
+    before = np.concatenate([np.zeros(1, np.uint64), h])[: len(h)]
+    before[w.first[:-1][w.counts > 0]] = 0
+    return h, before, w
+
+
+def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
+    return bs.fmix64(before * np.uint64(0x9E3779B97F4A7C15) ^ word)
 
 
 def shared_counts(docs: DataFrame) -> DataFrame:
@@ -98,66 +106,103 @@ def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> Da
 
 
 def class_counts(sample: DataFrame) -> DataFrame:
-    """(kind, bucket, before, toxic, n): documents of each class with a word (kind 0) or pair (kind 1)."""
+    """(kind, before, word, n0, n1): ordinary and toxic documents with a word (kind 0), or with a word after another (kind 1)."""
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             toxic = batch.column(1).to_numpy()
             for s in bs.slices(batch.column(0)):
-                code, pair, w = _codes(s)
-                for i in range(len(s)):
-                    a, b = int(w.first[i]), int(w.first[i + 1])
-                    ones = np.unique(code[a:b])
-                    twos, at = np.unique(pair[a + 1 : b], return_index=True)
-                    n = len(ones) + len(twos)
-                    if n:
-                        columns = [
-                            np.repeat(np.array([0, 1], np.int8), [len(ones), len(twos)]),
-                            np.concatenate([ones, twos]).astype(np.int32),
-                            np.concatenate([np.full(len(ones), -1), code[a:b][at]]).astype(np.int32),
-                            np.full(n, toxic[s.lo + i], np.int32),
-                        ]
-                        yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "bucket", "before", "toxic"])
-
-    rows = sample.select("text", "toxic").mapInArrow(gather, "kind byte, bucket int, before int, toxic int")
-    return rows.groupBy("kind", "bucket", "before", "toxic").agg(F.count(F.lit(1)).alias("n"))
+                h, before, w = _hashes(s)
+                row = np.repeat(np.arange(len(s)), w.counts)
+                for kind, first in ((0, np.zeros_like(before)), (1, before)):
+                    order = np.lexsort((h, first, row))
+                    x, v, of = h[order], first[order], row[order]
+                    new = np.ones(len(x), bool)
+                    new[1:] = (x[1:] != x[:-1]) | (v[1:] != v[:-1]) | (of[1:] != of[:-1])
+                    columns = [np.full(int(new.sum()), kind, np.int8), v[new].view(np.int64), x[new].view(np.int64), toxic[of[new] + s.lo].astype(np.int32)]
+                    yield pa.RecordBatch.from_arrays([pa.array(c) for c in columns], names=["kind", "before", "word", "toxic"])
+
+    rows = sample.select("text", "toxic").mapInArrow(gather, "kind byte, before long, word long, toxic int")
+    return rows.groupBy("kind", "before", "word").agg(*[F.count(F.when(F.col("toxic") == c, 1)).cast("int").alias(f"n{c}") for c in (0, 1)])
+
+
+def discounts_of(counts: np.ndarray) -> np.ndarray:
+    """The discount of each count, by its size (1, 2, 3 and more), from the counts of counts (Chen and Goodman)."""
+    n = np.bincount(np.minimum(counts, 5), minlength=6).astype(np.float64)
+    y = n[1] / max(1.0, n[1] + 2 * n[2])
+    d = np.zeros(4)
+    for k in (1, 2, 3):
+        d[k] = np.clip(k - (k + 1) * y * n[k + 1] / n[k], 0.1, k - 0.1) if n[k] and n[k + 1] else 0.75
+    return d[np.minimum(counts, 3)]
+
+
+def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
+    """Places of ``keys`` in a sorted table; its length for those that aren't there."""
+    at = np.searchsorted(table, keys)
+    return np.where(table[np.minimum(at, len(table) - 1)] == keys, at, len(table)) if len(table) else at
+
+
+class ClassCounts:
+    """Documents of each class by word and pair, and the shared probabilities of the words."""
+
+    def __init__(self, kind: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
+        two = kind == 1
+        keys = _pair_key(before[two], word[two])
+        order = np.argsort(keys)
+        before, after = before[two][order], word[two][order]
+        self.keys, self.pairs = keys[order], n[:, two][:, order]
+        self.vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), word[~two]]))  # 0 is a text's start
+        self.first, self.second = (np.searchsorted(self.vocabulary, x).astype(np.int32) for x in (before, after))
+        self.words = np.zeros((2, len(self.vocabulary)), np.int64)
+        self.words[:, np.searchsorted(self.vocabulary, word[~two])] = n[:, ~two]
+        self.shared = np.zeros(len(self.vocabulary))
 
 
 class KneserNeyPair:
-    """Both class models over hashed tables, for one discount."""
+    """Log ratios, toxic over ordinary, of the words and pairs of both class models.
 
-    def __init__(self, words: np.ndarray, totals: np.ndarray, pairs: np.ndarray, before: np.ndarray, follows: np.ndarray, shared: np.ndarray, discount: float) -> None:
-        """``words`` and ``pairs``: [class, bucket] document counts over 1; ``totals``: all words of each class; ``before``: the first word of each pair
-        bucket; ``follows``: [class, word bucket] summed counts of the pairs it begins; ``shared``: probabilities."""
-        scale = totals.min() / np.maximum(totals, 1)
-        self.log_word, self.pair, self.back = [], [], []
-        for c in (0, 1):
-            kept = np.maximum(words[c] * scale[c] - discount, 0) / max(1.0, totals.min())
-            p = kept + (1 - kept.sum()) * shared
-            pair = np.maximum(pairs[c] * scale[c] - discount, 0)
-            mass = np.bincount(before, pair, minlength=WORDS)
-            history = follows[c] * scale[c]
-            share = np.divide(history - mass, history, out=np.ones(WORDS), where=history > 0)
-            self.log_word.append(p.astype(np.float32))
-            self.back.append(np.clip(share, 1e-6, 1).astype(np.float32))
-            used = np.flatnonzero(pair)
-            table = np.zeros(PAIRS, np.float32)
-            table[used] = pair[used] / np.maximum(history[before[used]], 1e-9)
-            self.pair.append(table)
-
-    def ratio(self, code: np.ndarray, pair: np.ndarray, w: bs.Words) -> np.ndarray:
-        """Per row, the log ratio of its words over their number (and ``SHRINK``); 0 without words."""
-        if not len(code):
-            return np.zeros(len(w.first) - 1)
+    A pair that neither class has seen backs off in both, so it has the ratio of
+    what its first word leaves to the backoff plus that of its second word; a
+    word that neither has seen has the ratio of what the classes leave to the
+    shared counts, which are the same for both.
+    """
+
+    def __init__(self, counts: ClassCounts, discount: float | None) -> None:
+        """``discount``: documents of the smaller class; None for estimated ones."""
+        n, first, second = len(counts.vocabulary), counts.first, counts.second
+        totals = counts.words.sum(1)
         logs = []
-        inner = np.ones(len(code), bool)
-        inner[w.first[:-1][w.counts > 0]] = False
-        previous = np.concatenate([[0], code[:-1]])
         for c in (0, 1):
-            p = self.log_word[c][code]
-            full = self.pair[c][pair] + self.back[c][previous] * p
-            logs.append(np.log(np.where(inner, full, p)))
-        sums = np.concatenate([[0.0], np.cumsum(logs[1].astype(np.float64) - logs[0])])
+            pairs = counts.pairs[c]
+            if discount is None:
+                kinds = np.bincount(second, pairs > 0, n).astype(np.int64)
+                kept, of = kinds - discounts_of(kinds), kinds.sum()
+                kept_pairs, history = pairs - discounts_of(pairs), np.bincount(first, pairs, n)
+            else:
+                scale = totals.min() / totals[c]
+                kept, of = np.maximum(counts.words[c] * scale - discount, 0), totals.min()
+                kept_pairs, history = np.maximum(pairs * scale - discount, 0), np.bincount(first, pairs, n) * scale
+            rest = 1 - kept.sum() / of
+            p = kept / of + rest * counts.shared
+            back = np.divide(history - np.bincount(first, kept_pairs, n), history, out=np.ones(n), where=history > 0).clip(1e-6, 1)
+            full = np.divide(kept_pairs, history[first], out=np.zeros(len(pairs)), where=history[first] > 0) + back[first] * p[second]
+            logs.append([np.log(x).astype(np.float32) for x in (np.append(p, rest), np.append(back, 1), full)])
+        self.vocabulary, self.pairs = counts.vocabulary, counts.keys
+        self.of_word, self.of_back, of_pair = [y - x for x, y in zip(*logs, strict=True)]
+        self.of_pair = np.append(of_pair, np.float32(0))
+
+    def ratio(self, s: bs.TextSlice) -> np.ndarray:
+        """Per row, the log ratio of its words over their number (and ``SHRINK``); 0 without words."""
+        h, before, w = _hashes(s)
+        if not len(h):
+            return np.zeros(len(s))
+        code = _find(self.vocabulary, h)
+        start = _find(self.vocabulary, np.zeros(1, np.uint64))[0]
+        previous = np.concatenate([[start], code[:-1]])
+        previous[before == 0] = start
+        pair = _find(self.pairs, _pair_key(before, h))
+        logs = np.where(pair < len(self.pairs), self.of_pair[pair], self.of_back[previous] + self.of_word[code])
+        sums = np.concatenate([[0.0], np.cumsum(logs.astype(np.float64))])
         return (sums[w.first[1:]] - sums[w.first[:-1]]) / (w.counts + SHRINK)
 
 
@@ -188,7 +233,7 @@ class ToxicityModel:
         self.pair, self.slope, self.intercept = pair, slope, intercept
 
     def scores(self, s: bs.TextSlice) -> np.ndarray:
-        x = np.zeros(len(s)) if self.pair is None else self.pair.ratio(*_codes(s))
+        x = np.zeros(len(s)) if self.pair is None else self.pair.ratio(s)
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
 
 
@@ -210,42 +255,26 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discount
     if any(share.get((c, held), 0) == 0 for c in (0, 1) for held in (False, True)):
         return ToxicityModel(None, 0.0, float(prior))
 
-    counts = materialize(class_counts(sample.where("r != 3")), "counts")
-    ones = counts.where("kind = 0").groupBy("toxic", "bucket").agg(F.sum("n").alias("n"))
-    twos = counts.where("kind = 1").groupBy("toxic", "bucket").agg(F.sum("n").alias("n"), F.max_by("before", F.struct("n", "before")).alias("before"))
-    # What occurs in one document never outlasts a discount of 1; only the rest comes to the driver,
-    # at most one row for each class and bucket, and the sums over everything.
-    words, pairs, follows = (np.zeros((2, n), np.float32) for n in (WORDS, PAIRS, WORDS))
-    before = np.zeros(PAIRS, np.int32)
-    totals = np.zeros(2)
-    for r in ones.groupBy("toxic").agg(F.sum("n").alias("n")).collect():
-        totals[r.toxic] = r.n
-    toxic, bucket, n = _columns(ones.where("n > 1"), "toxic", "bucket", "n")
-    words[toxic, bucket] = n
-    twos = materialize(twos.where("n > 1"), "pairs")
-    toxic, bucket, n, first = _columns(twos, "toxic", "bucket", "n", "before")
-    pairs[toxic, bucket] = n
-    before[bucket] = first
-    history = counts.where("kind = 1").join(twos.select("before").distinct(), "before", "left_semi").groupBy("toxic", "before").agg(F.sum("n").alias("n"))
-    toxic, bucket, n = _columns(history, "toxic", "before", "n")
-    follows[toxic, bucket] = n
+    kind, before, word, *n = _columns(materialize(class_counts(sample.where("r != 3")), "counts"), "kind", "before", "word", "n0", "n1")
+    counts = ClassCounts(kind, before.view(np.uint64), word.view(np.uint64), np.stack(n))
+    if not counts.words.any(1).all():  # a class without words
+        return ToxicityModel(None, 0.0, float(prior))
 
     bucket, mask = _columns(shared_counts(docs), "bucket", "mask")
     empty = 64 - np.bitwise_count(mask.view(np.uint64)).astype(np.float64)
     kinds = np.full(SHARED, 0.1)
     kinds[bucket] += -64 * np.log(np.maximum(empty, 0.5) / 64)
-    shared = np.repeat(kinds / kinds.sum() / 2, 2)
+    counts.shared = (kinds / kinds.sum() / 2)[(counts.vocabulary % np.uint64(WORDS) >> np.uint64(1)).astype(np.int64)]
 
-    handle = docs.sparkSession.sparkContext.broadcast((words, pairs, follows, shared.astype(np.float32), before))
-    grid = [(d, pair) for pair in (False, True) for d in discounts]
+    handle = docs.sparkSession.sparkContext.broadcast(counts)
+    grid = [None, *discounts]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        ones, twos, next_to, base, first = handle.value
-        held = [(batch.column(1).slice(s.lo, len(s)), _codes(s)) for batch in batches for s in bs.slices(batch.column(0))]
-        for i, (d, pair) in enumerate(grid if held else []):
-            model = KneserNeyPair(ones, totals, twos * pair, first, next_to * pair, base, d)
-            for y, codes in held:
-                x = model.ratio(*codes)
+        held = [(batch.column(1).slice(s.lo, len(s)), s) for batch in batches for s in bs.slices(batch.column(0))]
+        for i, d in enumerate(grid if held else []):
+            pair = KneserNeyPair(handle.value, d)
+            for y, s in held:
+                x = pair.ratio(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), y, pa.array(x)], names=["i", "toxic", "x"])
 
     held = sample.where("r = 3").select("text", "toxic").mapInArrow(measure, "i int, toxic int, x double").toPandas()
@@ -256,8 +285,7 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discount
     fits = {i: calibrate(g.x.to_numpy(), g.toxic.to_numpy(np.float64), g.weight.to_numpy(), cut) for i, g in held.sort_values(["i", "x", "toxic"]).groupby("i")}
     best = max(fits, key=lambda i: (round(fits[i][2], 9), -i))
     slope, intercept, _ = fits[best]
-    d, pair = grid[best]
-    return ToxicityModel(KneserNeyPair(words, totals, pairs * pair, before, follows * pair, shared, d), slope, intercept)
+    return ToxicityModel(KneserNeyPair(counts, grid[best]), slope, intercept)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:

@@ -6,6 +6,7 @@ import random
 import re
 from collections import Counter
 
+import numpy as np
 import pytest
 
 from quillspark.llm import decontaminate, htmltext, mixing, neardup, quality, secrets, substrings, toxicity, units, warc
@@ -348,6 +349,21 @@ def test_toxicity(spark, make_docs):
     assert {r.score for r in toxicity.score_toxicity(make_docs(rows), none).collect()} == {0.5}
 
 
+def test_toxicity_of_rare_words(spark, make_docs):
+    rng = random.Random(13)
+    # toxic texts draw on 400 words, each in one or two of them; ordinary ones on 40
+    rows = [(i, " ".join(f"bad{rng.randrange(400)}" if i % 5 == 0 else f"good{rng.randrange(40)}" for _ in range(6)) + " " + invented(rng, 20, 30)) for i in range(600)]
+    table = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
+    model = toxicity.train(make_docs(rows), table, discounts=(12.0, 20.0))
+    held = [r for r in toxicity.score_toxicity(make_docs(rows), model).collect() if r.held_out]
+    assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) / len(held) > 0.95
+    once = toxicity.class_counts(spark.createDataFrame([("a b b b c", 1), ("b c", 0)], "text string, toxic int")).collect()
+    assert sorted((r.kind, r.n0, r.n1) for r in once) == [(0, 0, 1), (0, 1, 1), (0, 1, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
+    counts = np.array([0, 1, 1, 1, 1, 2, 2, 3, 4, 9])
+    off = toxicity.discounts_of(counts)
+    assert off[0] == 0 and (0 < off[1:]).all() and (off[1:] < counts[1:]).all()
+
+
 # ---- secrets ----
 
 
