@@ -9,9 +9,11 @@ log-likelihoods divided by its number of words.
 * Class counts come from a bounded sample, at most ``max_labelled`` rows of each
   label, and are kept exactly, those of 1 included.  A pair counts the documents
   of the class it occurs in, so that one document cannot make it toxic.
-* The shared backoff counts cover every document: for each hash bucket of
-  words, how many different words come before it, by linear counting in 64
-  bits.  Bits merge by OR in each task before any shuffle.
+* The shared backoff counts cover every document: for each word of the corpus,
+  how many different words come before it, estimated by a HyperLogLog sketch of
+  256 registers (some 6 %, without a ceiling).  The table of registers grows with
+  the vocabulary; each task merges its registers before the only shuffle, so that
+  a word sends 256 rows a task at most.  Only the words of the sample are looked up.
 * Two ways to lessen counts compete by the best F0.5 on labelled rows that gave
   no counts.  The first is Kneser-Ney's: a word counts the different words before
   it in the class (a text's start is one of them), and the discounts of counts of
@@ -46,8 +48,8 @@ from pyspark.sql import functions as F
 from quillspark.llm import bytescan as bs
 from quillspark.scratch import materialize
 
-WORDS = 1 << 19
-SHARED = 1 << 18
+#: Low bits of a register's code: its number and its rank; the word's hash is above them.
+REGISTER, RANK = 8, 6
 #: Of documents of the smaller class; the estimated discounts are tried before them.
 DISCOUNTS = (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0, 32.0, 50.0)
 #: Added to the number of words, so that a few words never make an extreme mean.
@@ -73,26 +75,57 @@ def _pair_key(before: np.ndarray, word: np.ndarray) -> np.ndarray:
     return bs.fmix64(before * np.uint64(0x9E3779B97F4A7C15) ^ word)
 
 
+def _word_key(h: np.ndarray) -> np.ndarray:
+    """What the table of shared counts keeps of a word's hash: its upper 50 bits."""
+    return (h >> np.uint64(REGISTER + RANK)).astype(np.int64)
+
+
 def shared_counts(docs: DataFrame) -> DataFrame:
-    """(bucket, mask): the OR of one bit for each word before, over the whole corpus."""
+    """(word, kinds): how many different words come before each word (``_word_key``), over the whole corpus."""
+
+    def registers(h: np.ndarray, before: np.ndarray) -> np.ndarray:
+        x = bs.fmix64(before ^ np.uint64(0x9E3779B97F4A7C15))
+        tail = x >> np.uint64(REGISTER)
+        # the position of the lowest set bit; a tail of zeros ranks last
+        low = tail & (~tail + np.uint64(1))
+        rank = np.where(tail > 0, np.bitwise_count(low - np.uint64(1)) + 1, 64 - REGISTER).astype(np.uint64)
+        key = h >> np.uint64(REGISTER + RANK) << np.uint64(REGISTER + RANK)
+        return key | (x & np.uint64((1 << REGISTER) - 1)) << np.uint64(RANK) | rank
+
+    def merged(parts: list[np.ndarray]) -> np.ndarray:
+        codes = np.sort(np.concatenate(parts))
+        group = codes >> np.uint64(RANK)
+        last = np.ones(len(codes), bool)
+        last[:-1] = group[1:] != group[:-1]
+        return codes[last]
 
     def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        mask = np.zeros(SHARED, np.uint64)
+        parts, waiting, most = [], 0, 1 << 20
         for batch in batches:
             for s in bs.slices(batch.column(0)):
-                w = bs.words(s, bs.ALNUM)
-                h = bs.word_hashes(s.buf, w)
-                if len(h) < 2:
-                    continue
-                inner = np.ones(len(h), bool)
-                inner[w.first[:-1][w.counts > 0]] = False
-                at = ((h % np.uint64(WORDS)) >> np.uint64(1)).astype(np.int64)[1:][inner[1:]]
-                bit = (np.uint64(1) << (h >> np.uint64(58)))[:-1][inner[1:]]
-                np.bitwise_or.at(mask, at, bit)
-        some = np.flatnonzero(mask)
-        yield pa.RecordBatch.from_arrays([pa.array(some.astype(np.int32)), pa.array(mask[some].view(np.int64))], names=["bucket", "mask"])
-
-    return docs.select(F.col("text").cast("string")).mapInArrow(gather, "bucket int, mask long").groupBy("bucket").agg(F.bit_or("mask").alias("mask"))
+                h, before, _ = _hashes(s)
+                inner = before != 0
+                parts.append(merged([registers(h[inner], before[inner])]))
+                waiting += len(parts[-1])
+                if waiting > most:
+                    parts = [merged(parts)]
+                    waiting, most = len(parts[0]), max(1 << 20, 2 * len(parts[0]))
+                if waiting > 1 << 22:
+                    yield pa.RecordBatch.from_arrays([pa.array(parts[0].view(np.int64))], names=["code"])
+                    parts, waiting, most = [], 0, 1 << 20
+        if parts:
+            codes = merged(parts)
+            for at in range(0, len(codes), 100_000):
+                yield pa.RecordBatch.from_arrays([pa.array(codes[at : at + 100_000].view(np.int64))], names=["code"])
+
+    m = 1 << REGISTER
+    word = F.shiftrightunsigned("code", REGISTER + RANK)
+    codes = docs.select(F.col("text").cast("string")).mapInArrow(gather, "code long").repartition(word)
+    ranks = codes.groupBy(word.alias("word"), F.shiftrightunsigned("code", RANK).alias("register")).agg(F.max(F.col("code").bitwiseAND((1 << RANK) - 1)).alias("rank"))
+    rows = ranks.groupBy("word").agg(F.count(F.lit(1)).alias("filled"), F.sum(F.pow(F.lit(2.0), -F.col("rank"))).alias("weight"))
+    raw = 0.7213 / (1 + 1.079 / m) * m * m / (F.col("weight") + m - F.col("filled"))
+    small = m * F.log(m / (m - F.col("filled")))
+    return rows.select("word", F.when((F.col("filled") < m) & (raw <= 2.5 * m), small).otherwise(raw).alias("kinds"))
 
 
 def labelled_sample(docs: DataFrame, labels: DataFrame, max_labelled: int) -> DataFrame:
@@ -130,7 +163,7 @@ def discounts_of(counts: np.ndarray) -> np.ndarray:
     """The discount of each count, by its size (1, 2, 3 and more), from the counts of counts (Chen and Goodman)."""
     n = np.bincount(np.minimum(counts, 5), minlength=6).astype(np.float64)
     y = n[1] / max(1.0, n[1] + 2 * n[2])
-    d = np.zeros(4)
+    d = np.zeros(4, np.float32)
     for k in (1, 2, 3):
         d[k] = np.clip(k - (k + 1) * y * n[k + 1] / n[k], 0.1, k - 0.1) if n[k] and n[k + 1] else 0.75
     return d[np.minimum(counts, 3)]
@@ -145,17 +178,13 @@ def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
 class ClassCounts:
     """Documents of each class by word and pair, and the shared probabilities of the words."""
 
-    def __init__(self, kind: np.ndarray, before: np.ndarray, word: np.ndarray, n: np.ndarray) -> None:
-        two = kind == 1
-        keys = _pair_key(before[two], word[two])
-        order = np.argsort(keys)
-        before, after = before[two][order], word[two][order]
-        self.keys, self.pairs = keys[order], n[:, two][:, order]
-        self.vocabulary = np.unique(np.concatenate([np.zeros(1, np.uint64), word[~two]]))  # 0 is a text's start
-        self.first, self.second = (np.searchsorted(self.vocabulary, x).astype(np.int32) for x in (before, after))
-        self.words = np.zeros((2, len(self.vocabulary)), np.int64)
-        self.words[:, np.searchsorted(self.vocabulary, word[~two])] = n[:, ~two]
-        self.shared = np.zeros(len(self.vocabulary))
+    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, first: np.ndarray, second: np.ndarray, pairs: np.ndarray) -> None:
+        """``words`` and ``pairs``: [class, word or pair] documents; ``first`` and ``second``: places of a pair's words in the sorted vocabulary."""
+        self.vocabulary, self.words = vocabulary, words
+        keys = _pair_key(vocabulary[first], vocabulary[second])
+        order = np.argsort(keys).astype(np.int32)
+        self.keys, self.first, self.second, self.pairs = keys[order], first[order], second[order], pairs[:, order]
+        self.shared = np.zeros(len(vocabulary))
 
 
 class KneserNeyPair:
@@ -173,19 +202,20 @@ class KneserNeyPair:
         totals = counts.words.sum(1)
         logs = []
         for c in (0, 1):
-            pairs = counts.pairs[c]
+            pairs = counts.pairs[c].astype(np.float32)
             if discount is None:
                 kinds = np.bincount(second, pairs > 0, n).astype(np.int64)
                 kept, of = kinds - discounts_of(kinds), kinds.sum()
-                kept_pairs, history = pairs - discounts_of(pairs), np.bincount(first, pairs, n)
+                kept_pairs, history = pairs - discounts_of(counts.pairs[c]), np.bincount(first, pairs, n)
             else:
                 scale = totals.min() / totals[c]
                 kept, of = np.maximum(counts.words[c] * scale - discount, 0), totals.min()
-                kept_pairs, history = np.maximum(pairs * scale - discount, 0), np.bincount(first, pairs, n) * scale
+                kept_pairs, history = np.maximum(pairs * np.float32(scale) - np.float32(discount), 0), np.bincount(first, pairs, n) * scale
             rest = 1 - kept.sum() / of
             p = kept / of + rest * counts.shared
             back = np.divide(history - np.bincount(first, kept_pairs, n), history, out=np.ones(n), where=history > 0).clip(1e-6, 1)
-            full = np.divide(kept_pairs, history[first], out=np.zeros(len(pairs)), where=history[first] > 0) + back[first] * p[second]
+            full = kept_pairs / np.maximum(history, 1e-9).astype(np.float32)[first]
+            full += back.astype(np.float32)[first] * p.astype(np.float32)[second]
             logs.append([np.log(x).astype(np.float32) for x in (np.append(p, rest), np.append(back, 1), full)])
         self.vocabulary, self.pairs = counts.vocabulary, counts.keys
         self.of_word, self.of_back, of_pair = [y - x for x, y in zip(*logs, strict=True)]
@@ -227,12 +257,18 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cut: float) -> t
 
 
 class ToxicityModel:
-    """A pair of models with its calibration; ``pair`` is None where labels did not suffice."""
+    """Counts of both classes with a discount and its calibration; ``counts`` is None where labels did not suffice.
+
+    The tasks make the log ratios of the counts, once in each worker, which spares the driver's memory.
+    """
 
-    def __init__(self, pair: KneserNeyPair | None, slope: float, intercept: float) -> None:
-        self.pair, self.slope, self.intercept = pair, slope, intercept
+    def __init__(self, counts: ClassCounts | None, slope: float, intercept: float, discount: float | None = None) -> None:
+        self.counts, self.slope, self.intercept, self.discount = counts, slope, intercept, discount
+        self.pair: KneserNeyPair | None = None
 
     def scores(self, s: bs.TextSlice) -> np.ndarray:
+        if self.counts is not None and self.pair is None:
+            self.pair = KneserNeyPair(self.counts, self.discount)
         x = np.zeros(len(s)) if self.pair is None else self.pair.ratio(s)
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
 
@@ -255,37 +291,58 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discount
     if any(share.get((c, held), 0) == 0 for c in (0, 1) for held in (False, True)):
         return ToxicityModel(None, 0.0, float(prior))
 
-    kind, before, word, *n = _columns(materialize(class_counts(sample.where("r != 3")), "counts"), "kind", "before", "word", "n0", "n1")
-    counts = ClassCounts(kind, before.view(np.uint64), word.view(np.uint64), np.stack(n))
-    if not counts.words.any(1).all():  # a class without words
+    table = materialize(class_counts(sample.where("r != 3")), "counts")
+    word, *n = _columns(table.where("kind = 0"), "word", "n0", "n1")
+    if not all(x.any() for x in n):  # a class without words
         return ToxicityModel(None, 0.0, float(prior))
+    word = np.append(word.view(np.uint64), np.uint64(0))  # 0 is a text's start
+    order = np.argsort(word)
+    vocabulary, words = word[order], np.stack([np.append(x, 0)[order] for x in n]).astype(np.int64)
+    handle = docs.sparkSession.sparkContext.broadcast(vocabulary)
 
-    bucket, mask = _columns(shared_counts(docs), "bucket", "mask")
-    empty = 64 - np.bitwise_count(mask.view(np.uint64)).astype(np.float64)
-    kinds = np.full(SHARED, 0.1)
-    kinds[bucket] += -64 * np.log(np.maximum(empty, 0.5) / 64)
-    counts.shared = (kinds / kinds.sum() / 2)[(counts.vocabulary % np.uint64(WORDS) >> np.uint64(1)).astype(np.int64)]
+    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            at = [pa.array(np.searchsorted(handle.value, batch.column(i).to_numpy().view(np.uint64)).astype(np.int32)) for i in (0, 1)]
+            yield pa.RecordBatch.from_arrays([*at, batch.column(2), batch.column(3)], names=["first", "second", "n0", "n1"])
 
-    handle = docs.sparkSession.sparkContext.broadcast(counts)
+    # places instead of hashes halve what comes to the driver
+    rows = table.where("kind = 1").select("before", "word", "n0", "n1").mapInArrow(placed, "first int, second int, n0 int, n1 int")
+    first, second, *n = _columns(rows, "first", "second", "n0", "n1")
+    handle.unpersist()
+    counts = ClassCounts(vocabulary, words, first, second, np.stack(n))
+    del first, second, n
+    pa.default_memory_pool().release_unused()
+
+    corpus = materialize(shared_counts(docs), "shared")
+    every = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0.0)).alias("kinds")).first()
+    keys = _word_key(counts.vocabulary)
+    mine = docs.sparkSession.createDataFrame(pa.table({"word": np.unique(keys)}))
+    word, kinds = _columns(corpus.join(mine, "word", "left_semi"), "word", "kinds")
+    order = np.argsort(word)
+    at = _find(word[order], keys)
+    # a tenth for each word, so that one that only opens texts isn't impossible
+    counts.shared = (np.append(kinds[order], 0.0)[at] + 0.1) / (every.kinds + 0.1 * (every.n + 1))
+
+    tables = docs.sparkSession.sparkContext.broadcast(counts)
     grid = [None, *discounts]
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = [(batch.column(1).slice(s.lo, len(s)), s) for batch in batches for s in bs.slices(batch.column(0))]
         for i, d in enumerate(grid if held else []):
-            pair = KneserNeyPair(handle.value, d)
+            pair = KneserNeyPair(tables.value, d)
             for y, s in held:
                 x = pair.ratio(s)
                 yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), y, pa.array(x)], names=["i", "toxic", "x"])
 
     held = sample.where("r = 3").select("text", "toxic").mapInArrow(measure, "i int, toxic int, x double").toPandas()
-    handle.unpersist()
+    tables.unpersist()
     rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).where(remainder(F.col("id")) != 2)
     weight = {r.toxic: r["count"] / max(1, n_class[r.toxic]) for r in rows.groupBy("toxic").count().collect()}
     held["weight"] = held.toxic.map(weight).astype(float)
     fits = {i: calibrate(g.x.to_numpy(), g.toxic.to_numpy(np.float64), g.weight.to_numpy(), cut) for i, g in held.sort_values(["i", "x", "toxic"]).groupby("i")}
     best = max(fits, key=lambda i: (round(fits[i][2], 9), -i))
     slope, intercept, _ = fits[best]
-    return ToxicityModel(KneserNeyPair(counts, grid[best]), slope, intercept)
+    return ToxicityModel(counts, slope, intercept, grid[best])
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:

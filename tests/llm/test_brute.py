@@ -364,6 +364,26 @@ def test_toxicity_of_rare_words(spark, make_docs):
     assert off[0] == 0 and (0 < off[1:]).all() and (off[1:] < counts[1:]).all()
 
 
+def test_shared_counts(spark, make_docs):
+    rng = random.Random(14)
+    rows = [(i, " ".join(f"p{i * 40 + j} hot p{rng.randrange(50)} few" for j in range(40))) for i in range(200)]
+    before = {}
+    for _, text in rows:
+        words = text.split()
+        for a, b in zip(words, words[1:]):
+            before.setdefault(b, set()).add(a)
+    import pyarrow as pa
+
+    from quillspark.llm import bytescan as bs
+
+    (s,) = bs.slices(pa.array([" ".join(before)]))
+    key = dict(zip(before, toxicity._word_key(toxicity._hashes(s)[0]).tolist(), strict=True))
+    got = {r.word: r.kinds for r in toxicity.shared_counts(make_docs(rows * 2)).collect()}
+    assert set(got) == set(key.values())  # a row for each word
+    assert len(before["hot"]) == 8000 and all(abs(got[key[w]] / len(x) - 1) < 0.25 for w, x in before.items() if len(x) > 2)
+    assert all(round(got[key[w]]) == len(x) for w, x in before.items() if len(x) == 1)
+
+
 # ---- secrets ----
 
 
