@@ -8,29 +8,35 @@ from pyspark.sql import functions as F
 from quillspark.scratch import materialize
 
 
-def connected_components(links: DataFrame, most_rounds: int = 60) -> DataFrame:
+def connected_components(links: DataFrame) -> DataFrame:
     """(node, component): the smallest node that can be reached, for each node of ``links`` (a, b).
 
-    Alternates two steps of label propagation, each an aggregate with partial
-    sums, until no label changes: a node takes the smallest label among its
-    neighbours and itself, then the label of its label.  The second step halves
-    the distance to the root, so that long chains take logarithmically many
-    rounds.  A hub of many links is the skewed side of a plain equi-join, which
-    Spark splits.  Each round is written to the shared folder.
+    Alternates large-star and small-star (Kiveris et al.), each an aggregate
+    with partial sums and an equi-join, until no link changes: every larger
+    neighbour of a node is linked to the smallest node around it, then every
+    smaller one and the node itself.  Links then form stars around the smallest
+    nodes.  Roots are hooked too, so that long chains take few rounds, and there
+    is no cap on these.  A hub of many links is the skewed side of a plain
+    equi-join, which Spark splits.  Each round is written to the shared folder.
 
     Self-links are allowed; nulls are dropped; an empty table gives no rows.
     """
-    links = links.where("a is not null and b is not null")
-    both = materialize(links.select("a", "b").unionByName(links.select(F.col("b").alias("a"), F.col("a").alias("b"))).distinct(), "links")
-    labels = materialize(both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("component")), "labels")
-    for _ in range(most_rounds):
-        near = both.join(labels.select(F.col("node").alias("b"), F.col("component").alias("c")), "b").groupBy(F.col("a").alias("node")).agg(F.min("c").alias("c"))
-        hooked = labels.join(near, "node", "left").select("node", F.col("component").alias("was"), F.least("component", "c").alias("component"))
-        roots = labels.select(F.col("node").alias("component"), F.col("component").alias("root"))
-        jumped = hooked.join(roots, "component", "left").select("node", "was", F.least(F.col("component"), F.col("root")).alias("component"))
-        after = materialize(jumped, "labels")
-        changed = not after.where("component < was").isEmpty()
-        labels = after.select("node", "component")
-        if not changed:
-            return labels
-    raise RuntimeError(f"no fixed point after {most_rounds} rounds")
+    links = links.where("a is not null and b is not null").select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b"))
+    links = materialize(links.distinct(), "links")
+    nodes = links.select(F.col("a").alias("node")).unionByName(links.select(F.col("b").alias("node"))).distinct()
+    stars = links.where("a > b")
+    while True:
+        # large-star: neighbours above a node go to the least of it and its neighbours
+        both = stars.unionByName(stars.select(F.col("b").alias("a"), F.col("a").alias("b")))
+        least = both.groupBy(F.col("a").alias("node")).agg(F.least(F.col("node"), F.min("b")).alias("m"))
+        large = both.where("b > a").join(least, F.col("a") == F.col("node")).select(F.col("b").alias("a"), F.col("m").alias("b")).distinct()
+        large = materialize(large, "links")
+        # small-star: neighbours below a node, and the node, go to the least of them
+        least = large.groupBy(F.col("a").alias("node")).agg(F.min("b").alias("m"))
+        below = large.join(least, F.col("a") == F.col("node"))
+        small = below.where("b > m").select(F.col("b").alias("a"), F.col("m").alias("b")).unionByName(least.select(F.col("node").alias("a"), F.col("m").alias("b")))
+        after = materialize(small.distinct(), "links")
+        if after.exceptAll(stars).isEmpty() and stars.exceptAll(after).isEmpty():
+            break
+        stars = after
+    return materialize(nodes.join(stars.select(F.col("a").alias("node"), F.col("b").alias("root")), "node", "left").select("node", F.coalesce("root", "node").alias("component")), "labels")

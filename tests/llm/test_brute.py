@@ -315,6 +315,15 @@ def test_repeated_units(spark, make_docs):
     assert units.repeated_units(make_docs(rows).where("false")).count() == 0
 
 
+def test_components_of_a_long_chain(spark):
+    from quillspark.llm.components import connected_components
+
+    names = random.Random(15).sample(range(10_000), 400)  # step by step between neighbours, 400 nodes take over 60 rounds
+    links = [*zip(names, names[1:]), (20_000, 20_001), (20_002, 20_002), (20_001, 20_000), (None, 3)]
+    got = sorted(tuple(r) for r in connected_components(spark.createDataFrame(links, "a long, b long")).collect())
+    assert got == sorted([*((x, min(names)) for x in names), (20_000, 20_000), (20_001, 20_000), (20_002, 20_002)])
+
+
 # ---- toxicity ----
 
 
