@@ -2,32 +2,35 @@
 
 A model of toxic and one of ordinary documents each give a word its
 probability after the word before it: discounted counts of the pair, backed
-off to discounted counts of the word, backed off to one *shared* distribution.
-A document's score is a calibrated function of the difference of its two
-log-likelihoods divided by its number of words.
+off to discounted continuation counts of the word, backed off to one *shared*
+distribution.  A document's score is a calibrated function of the difference of
+its two log-likelihoods divided by its number of words.
 
 * Class counts come from a bounded sample, at most ``max_labelled`` rows of each
-  label, and are kept exactly, those of 1 included.  A pair counts the documents
-  of the class it occurs in, so that one document cannot make it toxic.
+  label.  A pair counts the documents of the class it occurs in, so that one
+  document cannot make it toxic; a word counts the different words before it in
+  the class (a text's start is one of them).
+* Discounts of counts of 1, 2 and more are estimated from the counts of counts
+  of each class and level (Chen and Goodman), always below the count.  The pair
+  level is always on.
+* Words and pairs keep counts of their own, in both models, only where the
+  documents of the two classes that hold them differ significantly (the G2
+  statistic reaches ``least``).  What is pruned, rare expressions above all, is
+  smoothed through the backoff: a pruned pair through its word, a pruned word
+  through the shared counts, which are the same for both classes.  The mass of
+  all pruned counts goes to the backoff, so that probabilities sum to 1.
 * The shared backoff counts cover every document: for each word of the corpus,
   how many different words come before it, estimated by a HyperLogLog sketch of
   256 registers (some 6 %, without a ceiling).  The table of registers grows with
   the vocabulary; each task merges its registers before the only shuffle, so that
-  a word sends 256 rows a task at most.  Only the words of the sample are looked up.
-* Two ways to lessen counts compete by the best F0.5 on labelled rows that gave
-  no counts.  The first is Kneser-Ney's: a word counts the different words before
-  it in the class (a text's start is one of them), and the discounts of counts of
-  1, 2 and more are estimated from the counts of counts of each class and level,
-  always below the count.  The other takes the documents with the word and an
-  absolute number of documents of the smaller class (``discounts``), both classes
-  scaled to its size first; it finds only what many documents share, but is
-  surer where rare words are noise.  The pair level is part of both.
-* The calibration, which puts the best cut at a score of 0.3, is made on those
-  rows too.
+  a word sends 256 rows a task at most.  Only the words kept are looked up.
+* ``least`` is chosen from ``levels``, by the best F1 on labelled rows that gave no
+  counts; the cut with that F1 is put at a score of 0.3.
 
 Rows whose crc32(doc_id) modulo 4 is 2 never give a label; of the rest, 3
-calibrates and 0 and 1 give counts.  What reaches the driver and the tasks is
-bounded by the words of the sample.
+calibrates and 0 and 1 give counts.  Counts are pruned before anything reaches
+the driver, so that it and the tasks hold the words and pairs kept, at most those
+of the sample.
 
 Edge cases: an empty or null text scores as its prior; labels other than 0 and
 1 and null ids are ignored; a doc_id with several labels is toxic if one says
@@ -50,8 +53,8 @@ from quillspark.scratch import materialize
 
 #: Low bits of a register's code: its number and its rank; the word's hash is above them.
 REGISTER, RANK = 8, 6
-#: Of documents of the smaller class; the estimated discounts are tried before them.
-DISCOUNTS = (1.0, 2.0, 3.0, 5.0, 8.0, 12.0, 20.0, 32.0, 50.0)
+#: Significance (G2) that words and pairs need to keep their counts; the best of these is taken.  The least keeps what a rare class alone has, once at least.
+LEVELS = (3.0, 8.0, 12.0, 16.0, 24.0, 36.0)
 #: Added to the number of words, so that a few words never make an extreme mean.
 SHRINK = 30
 SCORED = "doc_id long, held_out boolean, score double, predicted int"
@@ -159,80 +162,92 @@ def class_counts(sample: DataFrame) -> DataFrame:
     return rows.groupBy("kind", "before", "word").agg(*[F.count(F.when(F.col("toxic") == c, 1)).cast("int").alias(f"n{c}") for c in (0, 1)])
 
 
-def discounts_of(counts: np.ndarray) -> np.ndarray:
-    """The discount of each count, by its size (1, 2, 3 and more), from the counts of counts (Chen and Goodman)."""
-    n = np.bincount(np.minimum(counts, 5), minlength=6).astype(np.float64)
+def significance(n0: Column, n1: Column, all0: int, all1: int) -> Column:
+    """G2 of the documents with an expression, ``n0`` of ``all0`` ordinary and ``n1`` of ``all1`` toxic ones."""
+    share = (n0 + n1) / F.lit(float(all0 + all1))
+    cell = lambda n, total, p: F.when(n > 0, n * F.log(n / (F.lit(float(total)) * p))).otherwise(F.lit(0.0))
+    return 2 * (cell(n0, all0, share) + cell(all0 - n0, all0, 1 - share) + cell(n1, all1, share) + cell(all1 - n1, all1, 1 - share))
+
+
+def discounts_of(n: np.ndarray) -> np.ndarray:
+    """Discounts of counts of 0, 1, 2, 3 and more, from how many counts are 1, 2, 3 and 4 (``n``, by count)."""
     y = n[1] / max(1.0, n[1] + 2 * n[2])
-    d = np.zeros(4, np.float32)
+    d = np.zeros(4)
     for k in (1, 2, 3):
         d[k] = np.clip(k - (k + 1) * y * n[k + 1] / n[k], 0.1, k - 0.1) if n[k] and n[k + 1] else 0.75
-    return d[np.minimum(counts, 3)]
+    return d
 
 
 def _find(table: np.ndarray, keys: np.ndarray) -> np.ndarray:
     """Places of ``keys`` in a sorted table; its length for those that aren't there."""
     at = np.searchsorted(table, keys)
-    return np.where(table[np.minimum(at, len(table) - 1)] == keys, at, len(table)) if len(table) else at
+    return np.where(table[np.minimum(at, len(table) - 1)] == keys, at, len(table)) if len(table) else np.zeros(len(keys), np.int64)
 
 
 class ClassCounts:
-    """Documents of each class by word and pair, and the shared probabilities of the words."""
+    """What the class models know: counts of significant words and pairs, and totals over all of the sample.
+
+    ``words``: sorted hashes, with ``kinds`` [class, word], ``history`` [class,
+    word] (pairs that begin with it) and ``worth`` (G2; 0 for words that only
+    begin pairs).  ``first`` and ``second``: places of a pair's words, with
+    ``pairs`` [class, pair] and ``pair_worth``.  ``kind_sums`` [class] and the
+    counts of counts ``kind_coc``, ``pair_coc`` [class, count] cover what is pruned, too.
+    """
+
+    def __init__(self, words, kinds, history, worth, first, second, pairs, pair_worth, kind_sums, kind_coc, pair_coc) -> None:
+        self.words, self.kinds, self.history, self.worth = words, kinds, history, worth
+        self.first, self.second, self.pairs, self.pair_worth = first, second, pairs, pair_worth
+        self.kind_sums, self.kind_coc, self.pair_coc = kind_sums, kind_coc, pair_coc
+        self.shared = np.zeros(len(words))
 
-    def __init__(self, vocabulary: np.ndarray, words: np.ndarray, first: np.ndarray, second: np.ndarray, pairs: np.ndarray) -> None:
-        """``words`` and ``pairs``: [class, word or pair] documents; ``first`` and ``second``: places of a pair's words in the sorted vocabulary."""
-        self.vocabulary, self.words = vocabulary, words
-        keys = _pair_key(vocabulary[first], vocabulary[second])
-        order = np.argsort(keys).astype(np.int32)
-        self.keys, self.first, self.second, self.pairs = keys[order], first[order], second[order], pairs[:, order]
-        self.shared = np.zeros(len(vocabulary))
+    def pruned(self, least: float) -> ClassCounts:
+        """Without the words and pairs whose significance is below ``least``; words that only serve pairs stay, as pruned ones."""
+        p = self.pair_worth >= least
+        use = self.worth >= least
+        use[self.first[p]] = use[self.second[p]] = True
+        place = np.cumsum(use) - 1
+        worth = np.where(self.worth >= least, self.worth, 0.0)[use]
+        out = ClassCounts(self.words[use], self.kinds[:, use], self.history[:, use], worth, place[self.first[p]], place[self.second[p]], self.pairs[:, p], self.pair_worth[p], self.kind_sums, self.kind_coc, self.pair_coc)
+        out.shared = self.shared[use]
+        return out
 
 
 class KneserNeyPair:
     """Log ratios, toxic over ordinary, of the words and pairs of both class models.
 
-    A pair that neither class has seen backs off in both, so it has the ratio of
-    what its first word leaves to the backoff plus that of its second word; a
-    word that neither has seen has the ratio of what the classes leave to the
-    shared counts, which are the same for both.
+    A pair without counts of its own has the ratio of what its first word
+    leaves to the backoff plus that of its second word; a word without counts
+    has the ratio of what the classes leave to the shared counts, which are the
+    same for both.
     """
 
-    def __init__(self, counts: ClassCounts, discount: float | None) -> None:
-        """``discount``: documents of the smaller class; None for estimated ones."""
-        n, first, second = len(counts.vocabulary), counts.first, counts.second
-        totals = counts.words.sum(1)
+    def __init__(self, counts: ClassCounts) -> None:
+        n, first, second = len(counts.words), counts.first, counts.second
+        keys = _pair_key(counts.words[first], counts.words[second])
+        order = np.argsort(keys)
         logs = []
         for c in (0, 1):
-            pairs = counts.pairs[c].astype(np.float32)
-            if discount is None:
-                kinds = np.bincount(second, pairs > 0, n).astype(np.int64)
-                kept, of = kinds - discounts_of(kinds), kinds.sum()
-                kept_pairs, history = pairs - discounts_of(counts.pairs[c]), np.bincount(first, pairs, n)
-            else:
-                scale = totals.min() / totals[c]
-                kept, of = np.maximum(counts.words[c] * scale - discount, 0), totals.min()
-                kept_pairs, history = np.maximum(pairs * np.float32(scale) - np.float32(discount), 0), np.bincount(first, pairs, n) * scale
-            rest = 1 - kept.sum() / of
-            p = kept / of + rest * counts.shared
-            back = np.divide(history - np.bincount(first, kept_pairs, n), history, out=np.ones(n), where=history > 0).clip(1e-6, 1)
-            full = kept_pairs / np.maximum(history, 1e-9).astype(np.float32)[first]
-            full += back.astype(np.float32)[first] * p.astype(np.float32)[second]
-            logs.append([np.log(x).astype(np.float32) for x in (np.append(p, rest), np.append(back, 1), full)])
-        self.vocabulary, self.pairs = counts.vocabulary, counts.keys
+            kinds, pairs, history = counts.kinds[c], counts.pairs[c], counts.history[c]
+            kept = np.where(counts.worth > 0, kinds - discounts_of(counts.kind_coc[c])[np.minimum(kinds, 3)], 0.0)
+            rest = 1 - kept.sum() / counts.kind_sums[c]
+            p = kept / counts.kind_sums[c] + rest * counts.shared
+            kept_pairs = pairs - discounts_of(counts.pair_coc[c])[np.minimum(pairs, 3)]
+            back = 1 - np.divide(np.bincount(first, kept_pairs, n), history, out=np.zeros(n), where=history > 0)
+            full = np.divide(kept_pairs, history[first], out=np.zeros(len(pairs)), where=history[first] > 0) + back[first] * p[second]
+            logs.append([np.log(np.maximum(x, 1e-300)) for x in (np.append(p, rest), np.append(back, 1.0), full)])
+        # a word that only serves pairs has the shared probability in both classes
+        self.words, self.keys = counts.words, keys[order]
         self.of_word, self.of_back, of_pair = [y - x for x, y in zip(*logs, strict=True)]
-        self.of_pair = np.append(of_pair, np.float32(0))
+        self.of_pair = np.append(of_pair[order], 0.0)
 
     def ratio(self, s: bs.TextSlice) -> np.ndarray:
         """Per row, the log ratio of its words over their number (and ``SHRINK``); 0 without words."""
         h, before, w = _hashes(s)
         if not len(h):
             return np.zeros(len(s))
-        code = _find(self.vocabulary, h)
-        start = _find(self.vocabulary, np.zeros(1, np.uint64))[0]
-        previous = np.concatenate([[start], code[:-1]])
-        previous[before == 0] = start
-        pair = _find(self.pairs, _pair_key(before, h))
-        logs = np.where(pair < len(self.pairs), self.of_pair[pair], self.of_back[previous] + self.of_word[code])
-        sums = np.concatenate([[0.0], np.cumsum(logs.astype(np.float64))])
+        pair = _find(self.keys, _pair_key(before, h))
+        logs = np.where(pair < len(self.keys), self.of_pair[pair], self.of_back[_find(self.words, before)] + self.of_word[_find(self.words, h)])
+        sums = np.concatenate([[0.0], np.cumsum(logs)])
         return (sums[w.first[1:]] - sums[w.first[:-1]]) / (w.counts + SHRINK)
 
 
@@ -240,35 +255,34 @@ def calibrate(x: np.ndarray, y: np.ndarray, weight: np.ndarray, cut: float) -> t
     """Slope and intercept of a logistic function of ``x``, and the F measure it reaches at ``cut``.
 
     The function passes ``cut`` at the value that separates the labels with the
-    best F0.5, which counts precision twice; its slope follows the spread of the ordinary rows.  Weights undo
-    the sampling by class.
+    best F1 and reaches about 0.9 at the mean of the toxic rows above it.
+    Weights undo the sampling by class.
     """
     order = np.argsort(-x, kind="stable")
     ranked, hits = x[order], np.cumsum((y * weight)[order])
-    fit = 1.25 * hits / (np.cumsum(weight[order]) + 0.25 * (y * weight).sum())
+    fit = 2 * hits / (np.cumsum(weight[order]) + (y * weight).sum())
     fit[:-1][ranked[:-1] == ranked[1:]] = -1  # ties stand on one side
     best = int(np.argmax(fit))
     below = ranked[best + 1] if best + 1 < len(ranked) else ranked[best] - 1e-3
     at = (ranked[best] + below) / 2
-    calm = x[y == 0]
-    spread = max(1.4826 * float(np.median(np.abs(calm - np.median(calm)))), 1e-6)
-    slope = 1.0 / spread
+    above = x[(y == 1) & (x > at)]
+    slope = 3.0 / max(float(above.mean()) - at if len(above) else 0.0, 1e-6)
     return slope, float(np.log(cut / (1 - cut)) - slope * at), float(fit[best])
 
 
 class ToxicityModel:
-    """Counts of both classes with a discount and its calibration; ``counts`` is None where labels did not suffice.
+    """Counts of both classes and a calibration; ``counts`` is None where labels did not suffice.
 
-    The tasks make the log ratios of the counts, once in each worker, which spares the driver's memory.
+    The tasks make the log ratios of the counts, once in each worker.
     """
 
-    def __init__(self, counts: ClassCounts | None, slope: float, intercept: float, discount: float | None = None) -> None:
-        self.counts, self.slope, self.intercept, self.discount = counts, slope, intercept, discount
+    def __init__(self, counts: ClassCounts | None, slope: float, intercept: float) -> None:
+        self.counts, self.slope, self.intercept = counts, slope, intercept
         self.pair: KneserNeyPair | None = None
 
     def scores(self, s: bs.TextSlice) -> np.ndarray:
         if self.counts is not None and self.pair is None:
-            self.pair = KneserNeyPair(self.counts, self.discount)
+            self.pair = KneserNeyPair(self.counts)
         x = np.zeros(len(s)) if self.pair is None else self.pair.ratio(s)
         return 1 / (1 + np.exp(-np.clip(self.slope * x + self.intercept, -30, 30)))
 
@@ -279,7 +293,45 @@ def _columns(df: DataFrame, *names: str) -> list[np.ndarray]:
     return [table[c].combine_chunks().to_numpy(zero_copy_only=False) for c in names]
 
 
-def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discounts: tuple[float, ...] = DISCOUNTS, cut: float = 0.3) -> ToxicityModel:
+def _counts_of_counts(rows: DataFrame, names: tuple[str, str]) -> np.ndarray:
+    """[class, count]: how many of the counts in the columns ``names`` are 1, 2, 3 and 4."""
+    found = rows.agg(*[F.count_if(F.col(c) == k).alias(f"{c}_{k}") for c in names for k in (1, 2, 3, 4)]).first()
+    return np.array([[0.0, *[float(found[f"{c}_{k}"]) for k in (1, 2, 3, 4)]] for c in names])
+
+
+def significant_counts(table: DataFrame, all0: int, all1: int, least: float) -> ClassCounts | None:
+    """The counts of ``class_counts`` that reach ``least``, pruned in Spark, with the totals of all; None if a class has no words."""
+    pairs = table.where("kind = 1")
+    kinds = materialize(pairs.groupBy("word").agg(F.count_if(F.col("n0") > 0).alias("k0"), F.count_if(F.col("n1") > 0).alias("k1")), "kinds")
+    sums = kinds.agg(*[F.coalesce(F.sum(c), F.lit(0)).alias(c) for c in ("k0", "k1")]).first()
+    if not (sums.k0 and sums.k1):
+        return None
+    worth = significance(F.col("n0"), F.col("n1"), all0, all1)
+    found = pairs.select("before", "word", "n0", "n1", worth.alias("worth")).where(F.col("worth") >= least)
+    before, second, n0, n1, pair_worth = _columns(found, "before", "word", "n0", "n1", "worth")
+    own, own_worth = _columns(table.where("kind = 0").select("word", worth.alias("worth")).where(F.col("worth") >= least), "word", "worth")
+    words = np.unique(np.concatenate([own, before, second]).view(np.uint64))
+    wanted = table.sparkSession.createDataFrame(pa.table({"word": words.view(np.int64)}))
+    history = pairs.groupBy(F.col("before").alias("word")).agg(F.sum("n0").alias("h0"), F.sum("n1").alias("h1"))
+
+    def of_words(rows: DataFrame, *names: str) -> np.ndarray:
+        # the words wanted are those the driver has; Spark broadcasts them if they are few
+        key, *values = _columns(rows.join(wanted, "word", "left_semi"), "word", *names)
+        at = np.searchsorted(words, key.view(np.uint64))
+        out = np.zeros((len(names), len(words)))
+        out[:, at] = np.stack(values)
+        return out
+
+    places = np.zeros(len(words))
+    places[np.searchsorted(words, own.view(np.uint64))] = own_worth
+    at = [np.searchsorted(words, x.view(np.uint64)) for x in (before, second)]
+    return ClassCounts(
+        words, of_words(kinds, "k0", "k1").astype(np.int64), of_words(history, "h0", "h1"), places, *at, np.stack([n0, n1]).astype(np.int64), pair_worth,
+        np.array([sums.k0, sums.k1], float), _counts_of_counts(kinds, ("k0", "k1")), _counts_of_counts(pairs, ("n0", "n1")),
+    )
+
+
+def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, levels: tuple[float, ...] = LEVELS, cut: float = 0.3) -> ToxicityModel:
     """Fit both models and the calibration; see the module's text."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
     # Copies of a text count once, with the label that most of them bear.
@@ -292,30 +344,13 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discount
         return ToxicityModel(None, 0.0, float(prior))
 
     table = materialize(class_counts(sample.where("r != 3")), "counts")
-    word, *n = _columns(table.where("kind = 0"), "word", "n0", "n1")
-    if not all(x.any() for x in n):  # a class without words
+    counts = significant_counts(table, share[0, False], share[1, False], min(levels))
+    if counts is None:
         return ToxicityModel(None, 0.0, float(prior))
-    word = np.append(word.view(np.uint64), np.uint64(0))  # 0 is a text's start
-    order = np.argsort(word)
-    vocabulary, words = word[order], np.stack([np.append(x, 0)[order] for x in n]).astype(np.int64)
-    handle = docs.sparkSession.sparkContext.broadcast(vocabulary)
-
-    def placed(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            at = [pa.array(np.searchsorted(handle.value, batch.column(i).to_numpy().view(np.uint64)).astype(np.int32)) for i in (0, 1)]
-            yield pa.RecordBatch.from_arrays([*at, batch.column(2), batch.column(3)], names=["first", "second", "n0", "n1"])
-
-    # places instead of hashes halve what comes to the driver
-    rows = table.where("kind = 1").select("before", "word", "n0", "n1").mapInArrow(placed, "first int, second int, n0 int, n1 int")
-    first, second, *n = _columns(rows, "first", "second", "n0", "n1")
-    handle.unpersist()
-    counts = ClassCounts(vocabulary, words, first, second, np.stack(n))
-    del first, second, n
-    pa.default_memory_pool().release_unused()
 
     corpus = materialize(shared_counts(docs), "shared")
     every = corpus.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("kinds"), F.lit(0.0)).alias("kinds")).first()
-    keys = _word_key(counts.vocabulary)
+    keys = _word_key(counts.words)
     mine = docs.sparkSession.createDataFrame(pa.table({"word": np.unique(keys)}))
     word, kinds = _columns(corpus.join(mine, "word", "left_semi"), "word", "kinds")
     order = np.argsort(word)
@@ -323,26 +358,27 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 5000, discount
     # a tenth for each word, so that one that only opens texts isn't impossible
     counts.shared = (np.append(kinds[order], 0.0)[at] + 0.1) / (every.kinds + 0.1 * (every.n + 1))
 
-    tables = docs.sparkSession.sparkContext.broadcast(counts)
-    grid = [None, *discounts]
+    grid = [counts.pruned(x) for x in sorted(levels)]
+    tables = docs.sparkSession.sparkContext.broadcast(grid)
 
     def measure(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held = [(batch.column(1).slice(s.lo, len(s)), s) for batch in batches for s in bs.slices(batch.column(0))]
-        for i, d in enumerate(grid if held else []):
-            pair = KneserNeyPair(tables.value, d)
-            for y, s in held:
-                x = pair.ratio(s)
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), y, pa.array(x)], names=["i", "toxic", "x"])
+        models = [KneserNeyPair(x) for x in tables.value]
+        for batch in batches:
+            for s in bs.slices(batch.column(0)):
+                for i, model in enumerate(models):
+                    x = model.ratio(s)
+                    yield pa.RecordBatch.from_arrays([pa.array(np.full(len(x), i, np.int32)), batch.column(1).slice(s.lo, len(s)), pa.array(x)], names=["i", "toxic", "x"])
 
+    # at most max_labelled rows of each class, a number for each level
     held = sample.where("r = 3").select("text", "toxic").mapInArrow(measure, "i int, toxic int, x double").toPandas()
     tables.unpersist()
     rows = labels.where("doc_id is not null and toxic in (0, 1)").groupBy(F.col("doc_id").cast("long").alias("id")).agg(F.max("toxic").alias("toxic")).where(remainder(F.col("id")) != 2)
     weight = {r.toxic: r["count"] / max(1, n_class[r.toxic]) for r in rows.groupBy("toxic").count().collect()}
     held["weight"] = held.toxic.map(weight).astype(float)
     fits = {i: calibrate(g.x.to_numpy(), g.toxic.to_numpy(np.float64), g.weight.to_numpy(), cut) for i, g in held.sort_values(["i", "x", "toxic"]).groupby("i")}
-    best = max(fits, key=lambda i: (round(fits[i][2], 9), -i))
+    best = max(fits, key=lambda i: (round(fits[i][2], 9), i))
     slope, intercept, _ = fits[best]
-    return ToxicityModel(counts, slope, intercept, grid[best])
+    return ToxicityModel(grid[best], slope, intercept)
 
 
 def score_toxicity(docs: DataFrame, model: ToxicityModel, threshold: float = 0.3) -> DataFrame:

@@ -363,14 +363,74 @@ def test_toxicity_of_rare_words(spark, make_docs):
     # toxic texts draw on 400 words, each in one or two of them; ordinary ones on 40
     rows = [(i, " ".join(f"bad{rng.randrange(400)}" if i % 5 == 0 else f"good{rng.randrange(40)}" for _ in range(6)) + " " + invented(rng, 20, 30)) for i in range(600)]
     table = spark.createDataFrame([(i, 1, int(i % 5 == 0)) for i, _ in rows], "doc_id long, quality int, toxic int")
-    model = toxicity.train(make_docs(rows), table, discounts=(12.0, 20.0))
+    model = toxicity.train(make_docs(rows), table)
     held = [r for r in toxicity.score_toxicity(make_docs(rows), model).collect() if r.held_out]
     assert sum(r.predicted == (r.doc_id % 5 == 0) for r in held) / len(held) > 0.95
     once = toxicity.class_counts(spark.createDataFrame([("a b b b c", 1), ("b c", 0)], "text string, toxic int")).collect()
     assert sorted((r.kind, r.n0, r.n1) for r in once) == [(0, 0, 1), (0, 1, 1), (0, 1, 1), (1, 0, 1), (1, 0, 1), (1, 0, 1), (1, 1, 0), (1, 1, 1)]
-    counts = np.array([0, 1, 1, 1, 1, 2, 2, 3, 4, 9])
-    off = toxicity.discounts_of(counts)
-    assert off[0] == 0 and (0 < off[1:]).all() and (off[1:] < counts[1:]).all()
+    off = toxicity.discounts_of(np.array([0, 4.0, 2.0, 1.0, 1.0]))
+    assert off[0] == 0 and (0 < off[1:]).all() and (off[1:] < np.array([1, 2, 3])).all()
+
+
+def kneser_ney_model(texts, keep, keep_pairs, shared):
+    """Probability of a word after another in one class, from its texts; ``keep``: what isn't pruned."""
+    pairs = Counter()
+    for t in texts:
+        w = [None, *t.split()]
+        pairs.update(set(zip(w, w[1:])))
+    kinds, history = Counter(w for _, w in pairs), Counter()
+    for (v, _), n in pairs.items():
+        history[v] += n
+
+    def off(counts):
+        n = Counter(counts.values())
+        y = n[1] / max(1, n[1] + 2 * n[2])
+        d = {k: min(max(k - (k + 1) * y * n[k + 1] / n[k], 0.1), k - 0.1) if n[k] and n[k + 1] else 0.75 for k in (1, 2, 3)}
+        return lambda c: d[min(c, 3)] if c else 0
+
+    low, high = off(kinds), off(pairs)
+    kept = {w: kinds[w] - low(kinds[w]) for w in keep}
+    rest = 1 - sum(kept.values()) / sum(kinds.values())
+
+    def word(w):
+        return kept.get(w, 0) / sum(kinds.values()) + rest * shared(w)
+
+    def p(v, w):
+        if not history[v]:
+            return word(w)
+        mass = {x: pairs[v, x] - high(pairs[v, x]) for a, x in keep_pairs if a == v}
+        return mass.get(w, 0) / history[v] + (1 - sum(mass.values()) / history[v]) * word(w)
+
+    return p
+
+
+def test_kneser_ney_probabilities(spark, make_docs):
+    rng = random.Random(21)
+    text = lambda y: " ".join(rng.choice(["a", "b", "c d", "vile one" if y else "e", "f g", "h", "i j", "vile" if y else "k"]) for _ in range(12))
+    rows = [(i, text(i % 3 == 0), int(i % 3 == 0)) for i in range(120)]
+    docs = make_docs([(i, t) for i, t, _ in rows])
+    sample = spark.createDataFrame([(t, y) for _, t, y in rows], "text string, toxic int")
+    n = [sum(y == c for *_, y in rows) for c in (0, 1)]
+    counts = toxicity.significant_counts(toxicity.class_counts(sample), *n, 8.0)
+    (s,) = toxicity.bs.slices(__import__("pyarrow").array([" ".join(sorted({w for _, t, _ in rows for w in t.split()}))]))
+    h, _, _ = toxicity._hashes(s)
+    names = dict(zip(h.tolist(), s.row(0).decode().split())) | {0: None}
+    share = {w: 1 / (i + 2) for i, w in enumerate(sorted(x for x in names.values() if x))}
+    shared = lambda w: share[w] / sum(share.values())
+    counts.shared = np.array([shared(names[x]) if x else 0.0 for x in counts.words.tolist()])
+    model = toxicity.KneserNeyPair(counts)
+    keep = [names[x] for x, g in zip(counts.words.tolist(), counts.worth) if g > 0]
+    pairs = [(names[counts.words[a]], names[counts.words[b]]) for a, b in zip(counts.first, counts.second)]
+    assert "vile" in keep and ("vile", "one") in pairs and len(keep) < len(names) - 1
+    classes = [kneser_ney_model([t for _, t, y in rows if y == c], keep, pairs, shared) for c in (0, 1)]
+    for p in classes:
+        for v in (None, "a", "vile", "c"):
+            assert abs(sum(p(v, w) for w in share) - 1) < 1e-9
+    for _, t, _ in rows[:20]:
+        w = [None, *t.split()]
+        want = sum(np.log(classes[1](a, b) / classes[0](a, b)) for a, b in zip(w, w[1:])) / (len(w) - 1 + toxicity.SHRINK)
+        (one,) = toxicity.bs.slices(__import__("pyarrow").array([t]))
+        assert model.ratio(one)[0] == pytest.approx(want, abs=1e-9)
 
 
 def test_shared_counts(spark, make_docs):
