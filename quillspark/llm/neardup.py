@@ -204,19 +204,21 @@ def _apart(pairs: DataFrame, components: DataFrame) -> DataFrame:
     return pairs.where("c_a != c_b").select("a", "b", *[c for c in pairs.columns if c == "est"])
 
 
-def stray_links(placed: DataFrame, groups: DataFrame, texts: DataFrame, k: int, percent: int, strays: int = 500, others: int = 2000) -> DataFrame:
+def stray_links(placed: DataFrame, groups: DataFrame, texts: DataFrame, k: int, percent: int, strays: int = 100, others: int = 400, shingles: int = 500) -> DataFrame:
     """(a, b): links between different components ``c`` of one group, without a row for each pair.
 
-    ``placed`` has (cid, c), ``groups`` (node, component): classes that shared a
+    ``placed`` has (cid, c, n), ``groups`` (node, component): classes that shared a
     bucket, by way of its drawn members.  Those outside the largest component
     of their group, the strays, are compared with all of the group: blocks of
     strays meet blocks of the others, a task holds one of each, and only links
-    leave it, one for each stray and component.
+    leave it, one for each stray and component.  A block has some ``strays`` or
+    ``others`` classes, fewer if they average more than ``shingles`` shingles.
     """
     rows = placed.join(groups.select(F.col("node").alias("cid"), F.col("component").alias("g")), "cid")
-    sizes = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"))
-    main = sizes.groupBy("g").agg(F.max_by("c", F.struct("n", "c")).alias("main"), F.sum("n").alias("all"), F.max("n").alias("most"))
-    main = main.where("all > most").select("g", "main", F.ceil((F.col("all") - F.col("most")) / strays).alias("n_i"), F.ceil(F.col("all") / others).alias("n_j"))
+    sizes = rows.groupBy("g", "c").agg(F.count(F.lit(1)).alias("n"), F.sum("n").alias("s"))
+    main = sizes.groupBy("g").agg(F.max_by(F.struct("c", "n", "s"), F.struct("n", "c")).alias("m"), F.sum("n").alias("n"), F.sum("s").alias("s"))
+    blocks = lambda n, s, most: F.greatest(F.ceil(n / most), F.ceil(s / (most * shingles)))
+    main = main.where("n > m.n").select("g", F.col("m.c").alias("main"), blocks(F.col("n") - F.col("m.n"), F.col("s") - F.col("m.s"), strays).alias("n_i"), blocks(F.col("n"), F.col("s"), others).alias("n_j"))
     rows = materialize(rows.join(main, "g"), "strays")
     own = lambda n: F.pmod(F.xxhash64("cid"), F.col(n))
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
@@ -274,9 +276,9 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     m = rows * bands
     cut = percent / 100 - 5 * (0.16 / m) ** 0.5
     band = F.explode(F.transform(F.sequence(F.lit(0), F.lit(bands - 1)), lambda j: F.xxhash64(j, F.substring(F.col("sketch"), j * rows + 1, F.lit(rows)))))
-    in_band = classes.select("cid", band.alias("band"))
-    # Two members of each bucket, drawn by hash, so that buckets of one group differ in them.
-    draw = F.struct(F.xxhash64("cid", "band").alias("h"), "cid")
+    in_band = classes.select("cid", "n", band.alias("band"))
+    # Two members of each bucket, drawn by the hash of the class alone, so that buckets of one group share them.
+    draw = F.struct(F.xxhash64("cid").alias("h"), "cid")
     ends = in_band.groupBy("band").agg(F.min(draw).alias("p"), F.max(draw).alias("q")).select("band", F.col("p.cid").alias("p"), F.col("q.cid").alias("q")).where("p != q")
     members = materialize(in_band.join(ends, "band"), "members")
 
@@ -287,7 +289,7 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     texts = materialize(texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
 
     stars = members.select("cid", F.explode(F.array("p", "q")).alias("end")).where("cid != end")
-    stars = stars.select(F.least("cid", "end").alias("a"), F.greatest("cid", "end").alias("b")).distinct()
+    stars = materialize(stars.select(F.least("cid", "end").alias("a"), F.greatest("cid", "end").alias("b")).distinct(), "stars")
     scored = materialize(estimated(stars, classes, percent, cut), "scored")
     near = scored.select("a", "b", "est").unionByName(scored.select(F.col("b").alias("a"), F.col("a").alias("b"), "est"))
     best = near.groupBy("a").agg(F.max_by("b", F.struct("est", "b")).alias("b"))
@@ -301,14 +303,17 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
         components = connected_components(links)
 
     # What is still apart in a bucket, without the two classes that all were compared with.
-    named = members.join(components.select(F.col("node").alias("cid"), "component"), "cid", "left").select("band", "cid", "p", "q", F.coalesce("component", "cid").alias("c"))
+    named = members.join(components.select(F.col("node").alias("cid"), "component"), "cid", "left").select("band", "cid", "n", "p", "q", F.coalesce("component", "cid").alias("c"))
     open_ = named.where("cid != p and cid != q")
     mixed = open_.groupBy("band").agg(F.min("c").alias("lo"), F.max("c").alias("hi")).where("lo < hi").select("band")
     named = materialize(named.join(mixed, "band"), "mixed")
-    placed = named.where("cid != p and cid != q").select("cid", "c").distinct()
+    placed = named.where("cid != p and cid != q").select("cid", "c", "n").distinct()
     if named.isEmpty():
         return components
-    groups = connected_components(named.select(F.col("cid").alias("a"), F.col("p").alias("b")).distinct())
+    # one link for each class, and those between the drawn members of its buckets
+    hubs = named.groupBy("cid").agg(F.min("p").alias("hub"), F.collect_set("p").alias("ps"))
+    joined = hubs.select(F.explode("ps").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
+    groups = connected_components(hubs.select(F.col("cid").alias("a"), F.col("hub").alias("b")).unionByName(joined))
     found = materialize(stray_links(placed, groups, texts, k, percent), "strays")
     return components if found.isEmpty() else connected_components(links.unionByName(found))
 
@@ -336,12 +341,15 @@ def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int =
 
 
 def drop_near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, bands: int = 42) -> DataFrame:
-    """``docs`` with one row of each group, all columns kept; rows without shingles stay."""
+    """``docs`` with one row of each group, all columns kept; rows without shingles stay, repeated or not."""
     judged = materialize(near_duplicates(docs, k, percent, rows, bands), "judged")
-    go = judged.where("not stays").select("doc_id", "tk").distinct().select(F.col("doc_id").alias("__d"), F.col("tk").alias("__t"))
-    keyed = docs.withColumn("__tk", F.xxhash64("text"))
-    left = keyed.join(go, F.col("doc_id").cast("long").eqNullSafe(F.col("__d")) & (F.col("__tk") == F.col("__t")), "left_anti")
-    again = judged.where("stays and n_shingles > 0").groupBy("doc_id", "tk").count().where("count > 1")
-    if not again.isEmpty():  # rows that repeat in id and text
-        left = left.where("length(trim(text)) = 0 or text is null").unionByName(left.where("length(trim(text)) > 0").dropDuplicates(["doc_id", "__tk"]))
-    return left.drop("__tk")
+    go = judged.where("not stays").select(F.col("doc_id").alias("d"), F.col("tk").alias("t")).distinct()
+    keyed = docs.select(F.struct("*").alias("row"), F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"))
+    left = keyed.join(go, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")), "left_anti")
+    # rows that repeat in id and text: one of each stays; usually there are none, and nothing is shuffled
+    again = judged.where("stays and n_shingles > 0").groupBy("doc_id", "tk").count().where("count > 1").select(F.col("doc_id").alias("d"), F.col("tk").alias("t"))
+    if not again.isEmpty():
+        again = materialize(again, "again")
+        same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t"))
+        left = left.join(again, same, "left_anti").unionByName(left.join(again, same, "left_semi").dropDuplicates(["doc_id", "tk"]))
+    return left.select("row.*")
