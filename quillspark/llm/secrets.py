@@ -1,19 +1,23 @@
 """Secret scans: fixed rules, and character Markov models for strings no rule names.
 
 First-order character models, of random strings by alphabet and of ordinary
-identifiers, are trained from labelled samples.  A candidate (a run of at least
-``least`` characters as secrets have them) is a secret if its log-likelihood
-under the former exceeds that under the latter by more than ``margin``.
+identifiers, are trained from labelled samples.  A run of characters as secrets
+have them is cut where the rules' spans lie; in each rest the stretch with the
+best log-likelihood ratio, random over ordinary, is found for each alphabet (the
+largest sum over neighbouring transitions).  It is a secret if it has at least
+``least`` characters and its ratio exceeds ``margin``; what lies before and after
+it is searched again.  A key is thus found wherever it stands in a path or in a
+long identifier.
 
 The labelled samples: random strings are drawn with a fixed seed over the
-alphabets that keys are commonly written in; ordinary identifiers are words of
-a bounded sample of documents, joined now and then the way identifiers are, and
-without the words that a rule marks.  Both sizes are parameters.  The scan
-itself covers every whole text.
-
-Edge cases: a null or empty text has no spans; overlapping spans of different
-kinds all count; a candidate that overlaps a rule's span is left to the rule;
-repeated rows are scanned each; extra columns are ignored.
+alphabets that keys are commonly written in; ordinary identifiers are words and
+numbers of a bounded sample of documents, without what a rule marks, joined the
+way identifiers, paths and dates are, and drawn numbers of 6 to 20 digits.  Both sizes are parameters.  The scan itself
+covers every whole text.
+
+Edge cases: a null or empty text has no spans; overlapping spans of the rules
+all count, the models' spans overlap nothing; repeated rows are scanned each;
+without any ordinary words the prior stands for them; extra columns are ignored.
 """
 
 from __future__ import annotations
@@ -40,6 +44,9 @@ CANDIDATE = np.zeros(256, bool)
 CANDIDATE[[ord(c) for c in string.ascii_letters + string.digits + "+/=_-"]] = True
 _RUN = re.compile(r"[A-Za-z0-9+/=_-]+")
 
+#: A stretch is lengthened by at most so many characters, to the next separator.
+EDGE, SEPARATORS = 4, "/=_-"
+
 #: Characters of the models; everything else shares the last state.
 _STATES = np.full(256, 64 + 4, np.int64)
 _STATES[[ord(c) for c in string.ascii_letters + string.digits + "+/=_-."]] = np.arange(68)
@@ -66,9 +73,34 @@ class MarkovPair:
         return np.log(counts / counts.sum(1, keepdims=True))
 
     def score(self, s: str) -> float:
+        """The ratio of the best alphabet over a whole string, all of them being as likely."""
+        x = _STATES[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
+        return float(self.ratios[:, x[:-1], x[1:]].sum(1).max() - np.log(len(self.ratios)))
+
+    def stretches(self, s: str, least: int, margin: float) -> list[tuple[int, int]]:
+        """The random stretches of a run, as (start, end)."""
         x = _STATES[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
-        kinds = self.ratios[:, x[:-1], x[1:]].sum(1)
-        return float(kinds.max() + np.log(np.exp(kinds - kinds.max()).mean()))
+        steps = self.ratios[:, x[:-1], x[1:]]
+        found, todo = [], [(0, len(s))]
+        while todo:
+            a, b = todo.pop()
+            if b - a < least:
+                continue
+            sums = np.concatenate([np.zeros((len(steps), 1)), np.cumsum(steps[:, a : b - 1], 1)], 1)
+            gain = sums - np.minimum.accumulate(sums, 1)
+            kind, end = np.unravel_index(int(gain.argmax()), gain.shape)
+            if gain[kind, end] - np.log(len(steps)) <= margin:
+                continue
+            start = int(sums[kind, : end + 1].argmin())
+            lo, hi = a + start, a + int(end) + 1
+            if hi - lo >= least:
+                # the first and last characters of a key may look ordinary: as far as a separator, if that is near
+                lo = next((i for i in range(lo, max(a, lo - EDGE) - 1, -1) if i == a or s[i - 1] in SEPARATORS), lo)
+                hi = next((i for i in range(hi, min(b, hi + EDGE) + 1) if i == b or s[i] in SEPARATORS), hi)
+                found.append((lo, hi))
+            # a short stretch is no secret, but one may lie on either side of it
+            todo += [(a, lo), (hi, b)]
+        return found
 
 
 # fixed values: the alphabets of hexadecimal, base 62, base 32 and both forms of base 64
@@ -83,26 +115,41 @@ ALPHABETS = {
 
 
 def random_sample(n: int, seed: int = 7) -> dict[str, list[str]]:
-    """``n`` labelled random strings of 20 to 64 characters for each of the alphabets that keys are written in."""
+    """``n`` labelled random strings of 16 to 64 characters for each of the alphabets that keys are written in."""
     rng = np.random.Generator(np.random.PCG64(seed))
-    return {kind: ["".join(np.array(list(letters))[rng.integers(0, len(letters), int(rng.integers(20, 65)))]) for _ in range(n)] for kind, letters in ALPHABETS.items()}
+    return {kind: ["".join(np.array(list(letters))[rng.integers(0, len(letters), int(rng.integers(16, 65)))]) for _ in range(n)] for kind, letters in ALPHABETS.items()}
+
+
+#: What the rules mark, for Spark's regular expressions.
+_MARKED = r"(?i:password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?[A-Za-z0-9+/_.=-]{8,}|AKIA[A-Z0-9]{12,}|[0-9a-f]{32,}"
 
 
 def ordinary_sample(docs: DataFrame, n_docs: int, n_strings: int) -> list[str]:
-    """Words of ``n_docs`` documents, picked by a hash of their id, and identifiers made of them.
+    """Words and numbers of ``n_docs`` documents, picked by a hash of their id, and identifiers made of them.
 
-    At most ``n_strings`` words come to the driver.
+    What a rule marks is left out.  At most ``n_strings`` words come to the driver.
     """
     key = F.col("doc_id").cast("string")
     ids = docs.where("text is not null").select(key.alias("id")).distinct().orderBy(F.xxhash64("id"), "id").limit(n_docs)
     picked = docs.join(F.broadcast(ids), key.eqNullSafe(F.col("id")), "left_semi")  # n_docs ids at most
-    word = F.explode(F.array_distinct(F.regexp_extract_all("text", F.lit("[A-Za-z]{3,}"), F.lit(0)))).alias("w")
+    plain = F.regexp_replace("text", _MARKED, " ")
+    word = F.explode(F.array_distinct(F.regexp_extract_all(plain, F.lit("[A-Za-z]{3,}|[0-9]{2,}"), F.lit(0)))).alias("w")
     found = [r.w for r in picked.select(word).distinct().orderBy(F.xxhash64("w"), "w").limit(n_strings).collect()]
+    names, numbers = [w for w in found if w[0] > "9"], [w for w in found if w[0] <= "9"]
     out = list(found)
-    for i in range(0, len(found) - 2, 3):
-        a, b, c = found[i : i + 3]
-        out += [f"{a}_{b}_{c}".lower(), f"{a.lower()}{b.title()}{c.title()}", f"{a}-{b}", f"{a}/{b}/{c}"]
-    return out
+    for i in range(0, len(names) - 2, 3):
+        a, b, c = names[i : i + 3]
+        out += [f"{a}_{b}_{c}".lower(), f"{a.lower()}{b.title()}{c.title()}", f"{a}-{b}", f"{a}/{b}/{c}", a.upper(), f"{b}_{c}".upper()]
+        if numbers:
+            m, n = numbers[i % len(numbers)], numbers[(i + 1) % len(numbers)]
+            out += [f"{a}{m}", f"{b}_{n}", f"{m}-{n}", f"{c}/{m}/{a}", f"{m}/{n}", f"{b}-{n}", f"{m}_{n}"]
+    return out + long_numbers(len(found) // 10)
+
+
+def long_numbers(n: int, seed: int = 11) -> list[str]:
+    """``n`` drawn numbers of 6 to 20 digits: times, accounts and counters are ordinary, not secrets."""
+    rng = np.random.Generator(np.random.PCG64(seed))
+    return ["".join(map(str, rng.integers(0, 10, int(rng.integers(6, 21))))) for _ in range(n)]
 
 
 def find_spans(text: str, model: MarkovPair, least: int, margin: float) -> list[tuple[int, int, int]]:
@@ -116,9 +163,21 @@ def find_spans(text: str, model: MarkovPair, least: int, margin: float) -> list[
     for r in runs:
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text, r.start(), r.end()) if m.end() - m.start() >= 32]
     base = sorted(spans)
+    i = 0
     for r in runs:
-        if not any(a < r.end() and r.start() < b for a, _, b in base) and model.score(r.group()) > margin:
-            spans.append((r.start(), 3, r.end()))
+        # the parts of the run that no rule covers
+        at = r.start()
+        while i < len(base) and base[i][2] <= at:
+            i += 1
+        rests = []
+        for a, _, b in base[i:]:
+            if a >= r.end():
+                break
+            rests.append((at, a))
+            at = max(at, b)
+        for a, b in [*rests, (at, r.end())]:
+            if b - a >= least:
+                spans += [(a + x, 3, a + y) for x, y in model.stretches(text[a:b], least, margin)]
     return sorted(spans)
 
 
@@ -167,7 +226,7 @@ def train(docs: DataFrame, n_random: int = 1500, n_docs: int = 400, n_strings: i
     return MarkovPair(random_sample(n_random), ordinary_sample(docs, n_docs, n_strings))
 
 
-def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, least: int = 20, margin: float = 12.0) -> DataFrame:
+def scan_secrets(docs: DataFrame, model: MarkovPair | None = None, least: int = 16, margin: float = 10.0) -> DataFrame:
     """One row for each document: counts by kind, the digest of the rules' spans, and all spans."""
     model = model or train(docs)
     handle = docs.sparkSession.sparkContext.broadcast(model)
@@ -185,7 +244,7 @@ def redact_text(text: str, spans: list[tuple[int, int, int]], mark: str = "[secr
     return "".join([*out, text[at:]])
 
 
-def redact_secrets(docs: DataFrame, model: MarkovPair | None = None, least: int = 20, margin: float = 12.0) -> DataFrame:
+def redact_secrets(docs: DataFrame, model: MarkovPair | None = None, least: int = 16, margin: float = 10.0) -> DataFrame:
     """``docs`` with all columns kept and the secrets in ``text`` replaced; ``n_chars`` follows, if there is one."""
     model = model or train(docs)
     handle = docs.sparkSession.sparkContext.broadcast(model)
