@@ -2,6 +2,7 @@
 
 import base64
 import hashlib
+import math
 import random
 import re
 from collections import Counter
@@ -101,6 +102,30 @@ def test_mix(spark, make_docs):
     assert mixing.pareto_mix(make_docs(rows).where("false")).count() == 0
 
 
+def test_mix_odds(spark, make_docs):
+    rng = random.Random(17)
+    rows = [(i, invented(rng, rng.choice([1, 3, 7, 20, 60])), rng.choice(["a", "a", "b", "c"])) for i in range(4000)]
+    size, total, target = mix_model(rows)
+    digits = [len(f"{n:b}") for n in size]
+    want = {}
+    for s in total:  # expected copies of a class: proportional to its digits, 2 at most, by bisection
+        mine = [(n, d) for n, d, (*_, x) in zip(size, digits, rows) if x == s]
+        lo, hi = 0.0, 3.0
+        for _ in range(100):
+            mid = (lo + hi) / 2
+            lo, hi = (mid, hi) if sum(n * min(2, mid * d) for n, d in mine) < target[s] else (lo, mid)
+        want |= {(s, d): min(2, lo * d) for _, d in mine}
+    assert len({round(e, 3) for e in want.values()}) > 4
+    for seed in ("mix", "other"):
+        found = {}
+        for r in mixing.pareto_mix(make_docs(rows), seed=seed).collect():
+            found.setdefault((r.source, len(f"{r.size:b}")), []).append(r.copies)
+        for key, copies in found.items():
+            p = want[key] % 1
+            assert abs(sum(copies) / len(copies) - want[key]) < 4.5 * math.sqrt(p * (1 - p) / len(copies)) + 0.02, key
+            assert {int(want[key] + 1e-9), math.ceil(want[key] - 1e-9)} >= set(copies)
+
+
 # ---- repeated byte strings ----
 
 
