@@ -563,3 +563,69 @@ def test_html_layout(spark):
     got = htmltext.render_pages(spark.createDataFrame([(*r, "t") for r in data], "page_id long, html string, title string")).collect()
     assert Counter((r.page_id, r.text) for r in got) == Counter((i, htmltext.extract(h)[1]) for i, h in data)
     assert {r.page_id: r.text for r in got}[4] == "deep" and {r.page_id: r.text for r in got}[5] == "plain < text & more"
+    assert htmltext.extract("<div>" * 250 + "<p hidden>SECRET</p>ok")[1] == "ok"
+    assert htmltext.extract("<ul><li>" * 400 + "deep<li>last")[1].endswith("- last")
+    assert htmltext.extract("<p>a<textarea>b &lt;c>\n d</textarea>e<details><summary>s</summary>no<p>no</p></details><details open>yes</details><ol><li value=7>x<li>y</ol><dialog>no</dialog>")[1] == "a\nb <c>\n d\ne\n\ns\nyes\n\n7. x\n8. y"
+    assert htmltext.extract("<ul><li><span><div>a</div></span><div>b</div></ul>a < b <3 </ x>c<a title='>'>d</a><!-- > -->e<!>f")[1] == "- a\n  b\n\na < b <3 cdef"
+
+
+@pytest.mark.parametrize("piece", ["<a ", '<a b="x ', "<div>", "<p>", "<ul><li>x", "<b>", "<!--", "<!-- -->", "<table><tr><td>", "</p>", "<li>", "<td>x", "<", "<script>", "<a b='", "&amp", "<x/><td>"])
+def test_broken_pages_take_linear_time(piece):
+    import time
+
+    start = time.process_time()
+    htmltext.extract(piece * (1_000_000 // len(piece)))
+    assert time.process_time() - start < 10
+
+
+def test_visible_words_against_another_parser(spark):
+    """Generated pages and those of the tables: the same words, in order, as a plain walk over the tags gives."""
+    from html.parser import HTMLParser
+
+    class Walk(HTMLParser):
+        def __init__(self):
+            super().__init__()
+            self.words, self.off, self.stack = [], 0, []
+
+        def handle_starttag(self, tag, attrs):
+            if tag not in ("br", "hr", "img", "input", "meta", "link"):
+                gone = self.off or tag in ("script", "style", "head", "template") or "hidden" in dict(attrs) or "none" in (dict(attrs).get("style") or "")
+                self.stack.append((tag, gone))
+                self.off = gone
+
+        def handle_endtag(self, tag):
+            while self.stack and self.stack.pop()[0] != tag:
+                pass
+            self.off = bool(self.stack and self.stack[-1][1])
+
+        def handle_data(self, data):
+            if not self.off:
+                self.words += re.findall(r"\w+", data)
+
+    rng = random.Random(30)
+
+    def page(depth):
+        if depth == 0 or rng.random() < 0.2:
+            return " " + invented(rng, rng.randint(1, 4)) + " "
+        kind = rng.choice(["div", "p", "span", "b", "section", "ul", "ol", "table", "pre", "h2", "blockquote", "hidden", "script", "style"])
+        inner = lambda: "".join(page(depth - 1) for _ in range(rng.randint(1, 3)))
+        text = lambda: " " + invented(rng, 2) + " "
+        if kind in ("ul", "ol"):
+            return f"<{kind}>" + "".join(f"<li>{inner()}</li>" for _ in range(2)) + f"</{kind}>"
+        if kind == "table":
+            return "<table>" + "".join(f"<tr><td>{text()}</td><th>{inner()}</th></tr>" for _ in range(2)) + "</table>"
+        if kind == "hidden":
+            return rng.choice(["<div hidden>{}</div>", "<span style='display: none'>{}</span>"]).format(inner())
+        if kind in ("p", "h2", "pre", "script", "style"):
+            return f"<{kind}>{text()}</{kind}>"
+        return f"<{kind}>{inner()}</{kind}>"
+
+    pages = ["<html><head><title>t</title></head><body>" + page(6) + "</body></html>" for _ in range(150)]
+    pages += [r.html for r in spark.read.parquet("/root/testdata/sf0.001/pages.parquet").collect() if r.html]
+    for html in pages:
+        walk = Walk()
+        walk.feed(html)
+        walk.close()
+        got = re.findall(r"\w+", re.sub(r"(?m)^ *(?:(?:- |\d+\. ) *)+(?=\S)", "", htmltext.extract(html)[1]))
+        want = [w for w in walk.words]
+        assert got == want or Counter(got) == Counter(want), html[:2000]
