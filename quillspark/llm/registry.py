@@ -16,7 +16,7 @@ from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
 from quillspark.llm.substrings import remove_repeats
 from quillspark.llm.toxicity import score_toxicity, train
-from quillspark.llm.units import UNITS_SQL, repeated_units
+from quillspark.llm.units import UNITS_SQL, document_repeats
 from quillspark.llm.warc import WARC_SQL, page_records
 from quillspark.shipping import ship_package
 
@@ -58,8 +58,8 @@ def op2_pareto_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The repeated lines and sentences of all documents, with the occurrence that is kept."""
-    return repeated_units(table(spark, sf_dir, "documents"))
+    """The repeated lines and sentences of every document, with the occurrences that are kept."""
+    return document_repeats(table(spark, sf_dir, "documents"))
 
 
 def op8_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -4,19 +4,21 @@ A unit is a sentence: it ends with its line, or after ``.``, ``!`` or ``?``
 before a blank.  Units are normalised (A-Z as a-z, runs of ASCII blanks as one)
 and digested to 128 bits.  Equal digests are grouped over the whole corpus; the
 occurrence with the least (doc_id, number in its document) is kept, all others
-are repeated.  Neighbouring repeated units of a document form a passage;
-passages of at least ``min_words`` words are removed, shorter ones, such as
-common phrases, are left alone.
+are removed.  Neighbouring removed units of a document form a passage, whose
+number of words tells common phrases from copied text; ``min_words`` spares
+shorter passages and is off by default.
 
-Only digests and positions are shuffled, first as one minimum for each digest
-and task, then in an equi-join whose other side has one row for each digest,
-so that Spark can split a digest that a third of all documents share.
+Only digests and positions are shuffled: first as one minimum for each digest
+and task, then in an equi-join with the table of repeated digests, which has one
+row for each, so that Spark can split a digest that a third of all documents
+share, then by document.
 
 Offsets are code points of the original text, end exclusive.
 
 Edge cases: null and empty texts and blank lines have no units; rows that share
-a doc_id count as one rank, so equal units of theirs at the same number are kept
-together; null doc_ids rank last; extra columns are ignored.
+a doc_id are documents of their own, in the order of their texts' hashes, and
+equal rows remove each other's units, too; null doc_ids rank last; extra columns
+are ignored.
 """
 
 from __future__ import annotations
@@ -32,7 +34,8 @@ from pyspark.sql.window import Window as W
 from quillspark.llm import bytescan as bs
 from quillspark.scratch import materialize
 
-UNITS = "doc_id long, tk long, unit_no int, start int, end int, n_words int, h1 long, h2 long"
+#: ``row`` numbers the documents; a line of ``unit_no`` -1 tells how many units a document has, in ``n_words``.
+UNITS = "doc_id long, row long, tk long, unit_no int, start int, end int, n_words int, h1 long, h2 long"
 _Q = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -68,33 +71,65 @@ def units_of(s: bs.TextSlice) -> tuple[np.ndarray, ...]:
 
 
 def unit_table(docs: DataFrame) -> DataFrame:
-    """All units of all documents, with their digests."""
+    """All units of all documents, with their digests, and a line for each document."""
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        names = ["doc_id", "row", "tk", "unit_no", "start", "end", "n_words", "h1", "h2"]
         for batch in batches:
-            for s in bs.slices(batch.column(2)):
+            for s in bs.slices(batch.column(3)):
                 row, number, start, end, n, h1, h2 = units_of(s)
                 at = pa.array(row + s.lo)
-                columns = [batch.column(0).take(at), batch.column(1).take(at), *[pa.array(x.astype(np.int32)) for x in (number, start, end, n)], *[pa.array(x.view(np.int64)) for x in (h1, h2)]]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "tk", "unit_no", "start", "end", "n_words", "h1", "h2"])
+                columns = [*[batch.column(i).take(at) for i in range(3)], *[pa.array(x.astype(np.int32)) for x in (number, start, end, n)], *[pa.array(x.view(np.int64)) for x in (h1, h2)]]
+                yield pa.RecordBatch.from_arrays(columns, names=names)
+                none = [pa.nulls(len(s), t) for t in (pa.int32(), pa.int32(), pa.int64(), pa.int64())]
+                total = pa.array(np.bincount(row, minlength=len(s)).astype(np.int32))
+                yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(s.lo, len(s)) for i in range(3)], pa.array(np.full(len(s), -1, np.int32)), *none[:2], total, *none[2:]], names=names)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
+    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
     return narrow.mapInArrow(scan, UNITS)
 
 
-def repeated_units(docs: DataFrame, min_words: int = 20) -> DataFrame:
+def _removed(units: DataFrame, min_words: int) -> DataFrame:
+    """The units that aren't the first of their digest, with the one that is and the words of their passage."""
+    rank = lambda: F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk", "row", "unit_no")
+    units = units.where("unit_no >= 0")
+    first = units.groupBy("h1", "h2").agg(F.min(rank()).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    first = materialize(first, "first")
+    again = units.join(first, ["h1", "h2"]).where(rank() > F.col("kept"))
+    again = again.withColumn("island", F.col("unit_no") - F.row_number().over(W.partitionBy("row").orderBy("unit_no")))
+    again = again.withColumn("passage_words", F.sum("n_words").over(W.partitionBy("row", "island")).cast("int"))
+    again = again if min_words <= 1 else again.where(F.col("passage_words") >= min_words)
+    return again.select("doc_id", "row", "unit_no", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no"), "passage_words")
+
+
+def repeated_units(docs: DataFrame, min_words: int = 1) -> DataFrame:
     """One row for each removed unit.
 
-    Columns: doc_id, unit_no, start, end, n_words, kept_doc_id, kept_unit_no.
+    Columns: doc_id, unit_no, start, end, n_words, kept_doc_id, kept_unit_no, passage_words.
+    """
+    return _removed(materialize(unit_table(docs), "units"), min_words).drop("row")
+
+
+def document_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
+    """One row for each document.
+
+    Columns: doc_id, n_units, n_removed, removed_words, longest_passage (in
+    words), spans (``start:end:kept_doc_id:kept_unit_no`` of the removed units, by
+    place, joined by commas).
     """
     units = materialize(unit_table(docs), "units")
-    rank = lambda: F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "unit_no")
-    first = units.groupBy("h1", "h2").agg(F.min(rank()).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    again = units.join(first, ["h1", "h2"]).where(rank() > F.col("kept"))
-    mine = W.partitionBy("doc_id", "tk").orderBy("unit_no")
-    again = again.withColumn("island", F.col("unit_no") - F.dense_rank().over(mine))
-    again = again.withColumn("passage", F.sum("n_words").over(W.partitionBy("doc_id", "tk", "island")))
-    return again.where(F.col("passage") >= min_words).select("doc_id", "unit_no", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no"))
+    whole = units.where("unit_no = -1").select("doc_id", "row", F.col("n_words").alias("n_units"), *[F.lit(None).cast(t).alias(c) for c, t in (("unit_no", "int"), ("n_words", "int"), ("passage_words", "int"), ("span", "string"))])
+    span = F.concat_ws(":", "start", "end", F.coalesce(F.col("kept_doc_id").cast("string"), F.lit("null")), "kept_unit_no")
+    again = _removed(units, min_words).select("doc_id", "row", F.lit(None).cast("int").alias("n_units"), "unit_no", "n_words", "passage_words", span.alias("span"))
+    spans = F.array_sort(F.collect_list(F.when(F.col("unit_no").isNotNull(), F.struct("unit_no", "span"))))
+    told = whole.unionByName(again).groupBy("doc_id", "row").agg(
+        F.max("n_units").cast("long").alias("n_units"),
+        F.count("unit_no").alias("n_removed"),
+        F.coalesce(F.sum("n_words"), F.lit(0)).cast("long").alias("removed_words"),
+        F.coalesce(F.max("passage_words"), F.lit(0)).cast("long").alias("longest_passage"),
+        F.array_join(F.transform(spans, lambda x: x["span"]), ",").alias("spans"),
+    )
+    return told.drop("row")
 
 
 UNITS_SQL = r"""
@@ -105,7 +140,10 @@ placed AS (SELECT *, coalesce(sum(length(piece)) OVER (PARTITION BY doc_id ORDER
 units AS (SELECT doc_id, row_number() OVER (PARTITION BY doc_id ORDER BY k) - 1 AS unit_no, off + length(piece) - length(regexp_replace(piece, '^[\x20\x09-\x0D]+', '')) AS a,
   off + length(regexp_replace(piece, '[\x20\x09-\x0D]+$', '')) AS b, len(w) AS n, w FROM placed WHERE len(w) > 0),
 again AS (SELECT * FROM (SELECT *, min((doc_id, unit_no)) OVER (PARTITION BY w) AS kept FROM units) WHERE (doc_id, unit_no) > kept),
-islands AS (SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS g FROM again)
-SELECT doc_id, CAST(unit_no AS INT) AS unit_no, CAST(a AS INT) AS start, CAST(b AS INT) AS "end", CAST(n AS INT) AS n_words, kept[1] AS kept_doc_id, CAST(kept[2] AS INT) AS kept_unit_no
-FROM (SELECT *, sum(n) OVER (PARTITION BY doc_id, g) AS total FROM islands) WHERE total >= 20
+islands AS (SELECT *, unit_no - row_number() OVER (PARTITION BY doc_id ORDER BY unit_no) AS g FROM again),
+passages AS (SELECT *, sum(n) OVER (PARTITION BY doc_id, g) AS total FROM islands),
+told AS (SELECT doc_id, count(*) AS n_removed, sum(n) AS words, max(total) AS longest, string_agg(a || ':' || b || ':' || kept[1] || ':' || kept[2], ',' ORDER BY unit_no) AS spans FROM passages GROUP BY doc_id),
+sizes AS (SELECT doc_id, count(*) AS n FROM units GROUP BY doc_id)
+SELECT doc_id, CAST(coalesce(sizes.n, 0) AS BIGINT) AS n_units, CAST(coalesce(n_removed, 0) AS BIGINT) AS n_removed, CAST(coalesce(words, 0) AS BIGINT) AS removed_words, CAST(coalesce(longest, 0) AS BIGINT) AS longest_passage, coalesce(spans, '') AS spans
+FROM documents LEFT JOIN sizes USING (doc_id) LEFT JOIN told USING (doc_id)
 """

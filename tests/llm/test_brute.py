@@ -310,34 +310,41 @@ def test_repeated_units(spark, make_docs):
     passage = ". ".join(invented(rng, 8).capitalize() for _ in range(4)) + "."
     rows = ODD + [(i, f"{invented(rng, 12)}. {invented(rng, 5)}\n{passage if i % 4 == 0 else 'Short line.'} {invented(rng, 9)}!") for i in range(20)]
     rows += [(30, f"{invented(rng, 9)}.\n{passage.upper()}")]
+    rows += [(40, rows[-1][1]), (40, rows[-1][1]), (40, "Own words here.\nOwn words here."), (None, "Own words here."), (None, "No one has. Own words here.")]
     split = re.compile(r"[^\n]+?(?:[.!?](?=[\x20\x09-\x0D])|(?=\n)|\Z)|[^\n]+", re.S)
-    found, first = [], {}
-    for d, t in sorted(((d, t) for d, t in rows if d is not None), key=lambda r: r[0]):
+    tk = {t: h for t, h in spark.createDataFrame(sorted({(t,) for _, t in rows if t is not None}), "t string").selectExpr("t", "xxhash64(t)").collect()} | {None: 42}
+    found, first, sizes = [], {}, []
+    for no, (d, t) in enumerate(sorted(rows, key=lambda r: (r[0] is None, r[0] or 0, tk[r[1]]))):
         n = 0
         for m in split.finditer(t or ""):
             w = words(m.group())
             if w:
                 a = m.start() + re.search(r"[^\x20\x09-\x0D]", m.group()).start()
-                found.append((d, n, a, a + len(m.group().strip(" \t\n\x0b\f\r")), len(w), tuple(w)))
+                found.append((no, n, a, a + len(m.group().strip(" \t\n\x0b\f\r")), len(w), tuple(w), d))
                 n += 1
+        sizes.append((d, n))
     for u in found:
-        first.setdefault(u[5], (u[0], u[1]))
-    again = [u for u in found if first[u[5]] < (u[0], u[1])]
-    marked, want = {(u[0], u[1]): u for u in again}, Counter()
-    for u in again:
-        total, i = 0, u[1]
-        while (u[0], i) in marked:
-            total += marked[u[0], i][4]
-            i += 1
-        i = u[1] - 1
-        while (u[0], i) in marked:
-            total += marked[u[0], i][4]
-            i -= 1
-        if total >= 20:
-            want[(*u[:5], *first[u[5]])] += 1
-    got = Counter(tuple(r) for r in units.repeated_units(make_docs(rows)).collect())
-    assert got == want and {d for d, *_ in got} == {4, 8, 12, 16, 30}
-    assert units.repeated_units(make_docs(rows).where("false")).count() == 0
+        first.setdefault(u[5], u)
+    again = {(u[0], u[1]): u for u in found if first[u[5]] is not u}
+
+    def passage(u):
+        lo = hi = u[1]
+        while (u[0], lo - 1) in again:
+            lo -= 1
+        while (u[0], hi + 1) in again:
+            hi += 1
+        return sum(again[u[0], i][4] for i in range(lo, hi + 1))
+
+    plain = Counter((u[6], *u[1:5], first[u[5]][6], first[u[5]][1], passage(u)) for u in again.values())
+    assert Counter(tuple(r) for r in units.repeated_units(make_docs(rows)).collect()) == plain
+    assert Counter(tuple(r) for r in units.repeated_units(make_docs(rows), 20).collect()) == Counter({r: n for r, n in plain.items() if r[-1] >= 20})
+    want = Counter()
+    for no, (d, n) in enumerate(sizes):
+        mine = [u for _, u in sorted(again.items()) if u[0] == no]
+        told = ",".join(f"{u[2]}:{u[3]}:{'null' if first[u[5]][6] is None else first[u[5]][6]}:{first[u[5]][1]}" for u in mine)
+        want[d, n, len(mine), sum(u[4] for u in mine), max(map(passage, mine), default=0), told] += 1
+    assert Counter(tuple(r) for r in units.document_repeats(make_docs(rows)).collect()) == want
+    assert units.repeated_units(make_docs(rows).where("false")).count() == 0 == units.document_repeats(make_docs(rows).where("false")).count()
 
 
 def test_components_of_a_long_chain(spark):
