@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+from contextlib import contextmanager
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame
@@ -9,11 +11,13 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
-from quillspark.operators import context, corpus, graph, ranking, retrieval, serving
+from quillspark.operators import context, corpus, graph, ranking, retrieval, serving, stats
 from quillspark.profile import DEFAULT, Profile
+from quillspark.scratch import materialize
 from quillspark.sources import models
 
-_SUBS = 1000  # sub-queries of one question at most; qid and number share one key
+
+_BITS = 20  # qid and number of a sub-query share one key; a plan of more sub-queries is an error
 
 
 @dataclass
@@ -22,7 +26,8 @@ class Engine:
 
     ``chunks`` has the columns of the chunk table, ``chunk_ord`` and unique
     ids; ``vectors`` (chunk_ord, embedding); ``posts`` the postings of
-    ``chunk_ord``; ``edges`` an assembled graph.  All of them are best read
+    ``chunk_ord`` and ``impacts`` what ``ranking.impacts`` made of them, if it is
+    stored; ``edges`` an assembled graph.  All of them are best read
     from stored tables.
     """
 
@@ -35,6 +40,7 @@ class Engine:
     plan: models.Complete = models.refusing
     profile: Profile = DEFAULT
     pool: int = 50
+    impacts: DataFrame | None = None
     _sections: DataFrame | None = field(default=None, repr=False)
 
     @property
@@ -46,8 +52,9 @@ class Engine:
     def sub_queries(self, questions: DataFrame) -> DataFrame:
         """(qid, question, sub_idx, sub, text): the planner's sub-queries of (qid, question), acronyms expanded."""
         replies = models.complete_rows(questions, "qid", "question", self.plan)
-        subs = models.sub_queries(questions, replies).where(F.col("sub_idx") < _SUBS)
-        subs = subs.withColumn("sub", F.col("qid") * _SUBS + F.col("sub_idx"))
+        subs = models.sub_queries(questions, replies)
+        fits = F.when(F.col("sub_idx") < 1 << _BITS, F.col("sub_idx")).otherwise(F.raise_error(F.lit("a plan has too many sub-queries")).cast("int"))
+        subs = subs.withColumn("sub", F.shiftleft(F.col("qid").cast("long"), _BITS) + fits)
         return subs.withColumn("text", T.expand_query(F.col("text"), self.profile))
 
     def lists(self, queries: DataFrame, k: int) -> tuple[DataFrame, DataFrame]:
@@ -55,7 +62,9 @@ class Engine:
         asked = models.embed_chunks(queries.select("qid", F.lit("").alias("title"), "text"), self.embed, "qid")
         vec = ranking.top_k(ranking.vector_scores(self.vectors, asked, "chunk_ord", k), "chunk_ord", k)
         tokens = queries.select("qid", F.explode(T.tokens(F.col("text"), self.profile)).alias("token"))
-        lex = ranking.top_k(ranking.bm25_scores(self.posts, "chunk_ord", tokens, self.chunks.count()), "chunk_ord", k)
+        if self.impacts is None:
+            self.impacts = materialize(ranking.impacts(self.posts, "chunk_ord", self.chunks.count()), "impacts")
+        lex = ranking.top_k(ranking.scored(self.impacts, "chunk_ord", tokens), "chunk_ord", k)
         ids = self.chunks.select("chunk_ord", "id")
         return tuple(x.join(ids, "chunk_ord").select("qid", "id", "rnk") for x in (vec, lex))
 
@@ -75,7 +84,28 @@ class Engine:
 
     @staticmethod
     def _split(hits: DataFrame) -> DataFrame:
-        return hits.withColumn("sub_idx", F.pmod("qid", F.lit(_SUBS))).withColumn("qid", F.floor(F.col("qid") / _SUBS))
+        return hits.withColumn("sub_idx", F.col("qid").bitwiseAND(F.lit((1 << _BITS) - 1))).withColumn("qid", F.shiftright("qid", _BITS))
+
+    def warm_up(self, dim: int) -> DataFrame:
+        """Builds what is built on first use and returns the row of index checks."""
+        self.sections.limit(1).count()
+        if self.impacts is None:
+            self.impacts = materialize(ranking.impacts(self.posts, "chunk_ord", self.chunks.count()), "impacts")
+        return stats.index_check(self.vectors, dim)
+
+    @contextmanager
+    def cancellable(self, tag: str) -> Iterator[None]:
+        """Jobs started in this block can be cancelled from any thread by ``cancel``."""
+        context_ = self.chunks.sparkSession.sparkContext
+        context_.addJobTag(tag)
+        try:
+            yield
+        finally:
+            context_.removeJobTag(tag)
+
+    def cancel(self, tag: str) -> None:
+        """Stop what runs under ``tag``, as when a listener has gone."""
+        self.chunks.sparkSession.sparkContext.cancelJobsWithTag(tag)
 
     def answer_context(self, questions: DataFrame, k: int = 12, use_graph: bool = False, budget: int = 18_000) -> DataFrame:
         """(qid, n_blocks, context) of questions (qid, question): the hits of all sub-queries merged by rank and packed."""

@@ -25,6 +25,12 @@ def keyword_match(path: Column, raw: Column, p: Profile = DEFAULT) -> Column:
     return F.concat(F.coalesce(path, F.lit("")), F.substring(F.coalesce(raw, F.lit("")), 1, p.keyword_prefix)).rlike(f"(?iu){p.keywords}")
 
 
+def sections(text: Column, p: Profile = DEFAULT) -> Column:
+    """The parts of a text before, between and after its section headings, stripped; empty ones go."""
+    pattern = "(?U)" + "|".join(f"(?={b})" for b in p.boundaries)
+    return F.filter(F.transform(F.split(text, pattern), strip), lambda s: F.length(s) > 0)
+
+
 def chunk_text(text: Column, p: Profile = DEFAULT) -> Column:
     """The chunks of a text, in order.
 
@@ -33,15 +39,13 @@ def chunk_text(text: Column, p: Profile = DEFAULT) -> Column:
     with too little text are dropped.  A text that yields nothing keeps its start.
     """
     size, step = p.chunk_chars, p.chunk_step
-    pattern = "(?U)" + "|".join(f"(?={b})" for b in p.boundaries)
 
     def windows(s: Column) -> Column:
         starts = F.sequence(F.lit(0), F.greatest(F.length(s) - 1, F.lit(0)), F.lit(step))
         cut = F.transform(starts, lambda a: F.substring(s, a + 1, F.lit(size)))
         return F.when(F.length(s) <= size, F.array(s)).otherwise(F.filter(cut, lambda w: F.length(strip(w)) >= p.chunk_min))
 
-    sections = F.filter(F.transform(F.split(text, pattern), strip), lambda s: F.length(s) > 0)
-    pieces = F.flatten(F.transform(sections, windows))
+    pieces = F.flatten(F.transform(sections(text, p), windows))
     long = let(pieces, lambda x: F.when(F.size(x) > 0, x).otherwise(F.array(F.substring(text, 1, size))))
     return F.when(F.length(text) <= size, F.array(text)).otherwise(long)
 

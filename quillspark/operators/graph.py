@@ -17,15 +17,19 @@ def build_edges(parents: DataFrame, sections: DataFrame, profile: Profile = DEFA
     """(edge_ord, from, to, relation, confidence, ref_key): citations, then amendments.
 
     Each reference of a parent has at most ``max_targets`` targets; a target
-    that is the parent itself or of another source doesn't count.
+    that is the parent itself or of another source doesn't count.  Of the targets
+    of a key only the first ``max_targets + 1`` are joined, as one of them may be
+    the parent itself.
     """
     amending = lambda c: F.coalesce(F.col(c), F.lit("")).rlike(f"(?iu){profile.amendment}")
     target = parents.select(F.col("id").alias("to"), F.col("source").alias("to_source"), F.col("title").alias("to_title"))
 
     def linked(refs: DataFrame, relation: str, confidence: float, phase: int) -> DataFrame:
-        hits = refs.join(sections.withColumnRenamed("parent_id", "to"), "ref_key").where("to != id").join(target, "to").where(F.col("to_source") == profile.statute_source)
-        if relation == "amends":
-            hits = hits.where(~amending("to_title"))
+        fits = F.col("to_source") == profile.statute_source
+        fits = fits & ~amending("to_title") if relation == "amends" else fits
+        first = sections.withColumnRenamed("parent_id", "to").join(target.where(fits), "to")
+        first = first.withColumn("n", F.row_number().over(W.partitionBy("ref_key").orderBy("pos"))).where(F.col("n") <= profile.max_targets + 1).select("ref_key", "to", "pos")
+        hits = refs.join(first, "ref_key").where("to != id")
         nth = F.row_number().over(W.partitionBy("id", "ref_key").orderBy("pos")).cast("long")
         hits = hits.withColumn("n", nth).where(F.col("n") <= profile.max_targets)
         return hits.select(F.struct(F.lit(phase).alias("phase"), F.col("parent_ord").cast("long").alias("p"), F.col("i").cast("int").alias("i"), F.col("n").cast("int").alias("n")).alias("edge_ord"), F.col("id").alias("from"), "to", F.lit(relation).alias("relation"), F.lit(confidence).alias("confidence"), "ref_key")

@@ -6,12 +6,15 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
 from quillspark.profile import DEFAULT, Profile
+from quillspark.scratch import scratch_path
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -46,17 +49,31 @@ def term_idf(posts: DataFrame, n_docs: int) -> DataFrame:
     return raw.select("token", "df", F.when(F.col("raw") < 0, F.lit(EPSILON * mean)).otherwise(F.col("raw")).alias("idf"))
 
 
-def bm25_scores(posts: DataFrame, key: str, query_tokens: DataFrame, n_docs: int) -> DataFrame:
-    """(qid, key, score): summed over the tokens of each query, repeats counted.
+def impacts(posts: DataFrame, key: str, n_docs: int) -> DataFrame:
+    """(key, token, impact): what one occurrence of a token in a query adds to a document's score.
 
-    ``query_tokens`` has (qid, token).  Documents without a token have no row.
+    It depends on the corpus alone, so an index stores it once and queries only add up.
     """
     lengths = doc_lengths(posts, key)
-    mean = lengths.agg(F.sum("dl")).first()[0] / max(n_docs, 1) if n_docs else 0.0
+    mean = (lengths.agg(F.sum("dl")).first()[0] or 0) / max(n_docs, 1)
+    weight = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / F.lit(float(mean)))))
+    return posts.join(term_idf(posts, n_docs), "token").join(lengths, key).select(key, "token", weight.alias("impact"))
+
+
+def scored(impact: DataFrame, key: str, query_tokens: DataFrame, most: int = 500_000) -> DataFrame:
+    """(qid, key, score): summed over the tokens of each query (qid, token), repeats counted.
+
+    Documents without a token have no row.  The queries' tokens are counted;
+    up to ``most`` of them are broadcast onto the index, which then isn't shuffled.
+    """
     wanted = query_tokens.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    hits = posts.join(term_idf(posts, n_docs), "token").join(wanted, "token").join(lengths, key)
-    weight = F.col("idf") * (F.col("tf") * (K1 + 1) / (F.col("tf") + K1 * (1 - B + B * F.col("dl") / mean)))
-    return hits.groupBy("qid", key).agg(F.sum(weight * F.col("qtf")).alias("score"))
+    wanted = F.broadcast(wanted) if wanted.count() <= most else wanted
+    return impact.join(wanted, "token").groupBy("qid", key).agg(F.sum(F.col("impact") * F.col("qtf")).alias("score"))
+
+
+def bm25_scores(posts: DataFrame, key: str, query_tokens: DataFrame, n_docs: int) -> DataFrame:
+    """``scored`` over the impacts of ``posts``, for corpora without a stored index."""
+    return scored(impacts(posts, key, n_docs), key, query_tokens)
 
 
 def top_k(scores: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
@@ -69,31 +86,50 @@ def top_k(scores: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
 def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """(qid, key, score): per task the ``k`` best of each query, so that the shuffle has k rows a query and task.
 
-    ``vectors`` has (key, embedding), ``queries`` (qid, embedding).  The query
-    vectors are taken in broadcast blocks of at most 4096; products are one
-    matrix multiplication for each Arrow batch.  ``top_k`` completes the ranking.
+    ``vectors`` has (key, embedding), ``queries`` (qid, embedding).  Up to 4096
+    query vectors are broadcast; more are written in blocks of about that size,
+    which every task reads one after another for each 16,384 of its vectors.
+    Products are one matrix multiplication for each block.  ``top_k`` completes
+    the ranking.
     """
     spark = vectors.sparkSession
-    ids = queries.select("qid", "embedding").where("embedding is not null").orderBy("qid")
+    ids = queries.select(F.col("qid").cast("long").alias("qid"), F.col("embedding").cast("array<double>").alias("embedding")).where("embedding is not null")
     n = ids.count()
-    blocks = []
-    numbered = ids.withColumn("__n", F.row_number().over(W.orderBy("qid")).cast("long") - 1) if n > 4096 else None
-    for lo in range(0, n, 4096):
-        rows = (ids if numbered is None else numbered.where(F.col("__n").between(lo, lo + 4095))).collect()
-        blocks.append(spark.sparkContext.broadcast(([r.qid for r in rows], np.array([r.embedding for r in rows], np.float64))))
+    if n <= 4096:
+        rows = ids.collect()
+        handle = spark.sparkContext.broadcast((np.array([r.qid for r in rows], np.int64), np.array([r.embedding for r in rows], np.float64)))
+        blocks = lambda: iter([handle.value])
+    else:
+        path = scratch_path(spark, "queries")
+        ids.repartition(-(-n // 4096)).write.parquet(path)
+
+        def blocks() -> Iterator[tuple[np.ndarray, np.ndarray]]:
+            store, root = fs.FileSystem.from_uri(path if "://" in path else f"file://{path}" if path.startswith("/") else path)
+            for info in store.get_file_info(fs.FileSelector(root)):
+                if info.path.endswith(".parquet"):
+                    part = pq.read_table(info.path, filesystem=store)
+                    lists = part["embedding"].combine_chunks()
+                    yield part["qid"].to_numpy(), np.asarray(lists.flatten(), np.float64).reshape(part.num_rows, -1)
+
+    def best(keys: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
+        take = min(k, len(keys))
+        for qids, q in blocks():
+            s = np.round(matrix @ q.T, 6) if len(qids) else np.zeros((len(keys), 0))
+            for j, qid in enumerate(qids):
+                top = np.lexsort((keys, -s[:, j]))[:take]
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(take, qid, np.int64)), pa.array(keys[top]), pa.array(s[top, j])], names=["qid", key, "score"])
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[tuple[np.ndarray, np.ndarray]] = []
         for batch in batches:
-            keys = batch.column(0).to_numpy()
-            lists = batch.column(1)
-            matrix = np.asarray(lists.flatten(), np.float64).reshape(len(keys), -1)
-            for block in blocks:
-                qids, q = block.value
-                s = np.round(matrix @ q.T, 6)
-                take = min(k, len(keys))
-                for j, qid in enumerate(qids):
-                    best = np.lexsort((keys, -s[:, j]))[:take]
-                    yield pa.RecordBatch.from_arrays([pa.array(np.full(take, qid, np.int64)), pa.array(keys[best]), pa.array(s[best, j])], names=["qid", key, "score"])
+            if batch.num_rows:
+                keys = batch.column(0).to_numpy()
+                held.append((keys, np.asarray(batch.column(1).flatten(), np.float64).reshape(len(keys), -1)))
+            if sum(len(x) for x, _ in held) >= 16_384:
+                yield from best(*(np.concatenate(x) for x in zip(*held)))
+                held = []
+        if held:
+            yield from best(*(np.concatenate(x) for x in zip(*held)))
 
     return vectors.where("embedding is not null").select(F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(scan, f"qid long, {key} long, score double")
 
@@ -131,6 +167,9 @@ def merge_lists(hits: DataFrame, k: int = 60) -> DataFrame:
     return merged.select("qid", "id", "rrf", F.row_number().over(W.partitionBy("qid").orderBy(F.desc("rrf"), "seen")).cast("long").alias("rank"))
 
 
-def diagnose(hits: DataFrame, expected: Column) -> DataFrame:
-    """(qid, rank): of the first hit whose text holds ``expected``, any case; null if none does."""
-    return hits.groupBy("qid").agg(F.min(F.when(F.contains(F.lower("text"), F.lower(expected)), F.col("rank"))).alias("rank"))
+def diagnose(hits: DataFrame, expected: Column, instead: int = 5) -> DataFrame:
+    """(qid, rank, instead): the first hit whose text holds ``expected``, any case; null if none does, and then the ids of the first ``instead`` hits."""
+    found = F.min(F.when(F.contains(F.lower("text"), F.lower(expected)), F.col("rank"))).alias("rank")
+    first = F.array_sort(F.collect_list(F.when(F.col("rank") <= instead, F.struct("rank", "id")))).alias("first")
+    rows = hits.groupBy("qid").agg(found, first)
+    return rows.select("qid", "rank", F.when(F.col("rank").isNull(), F.transform("first", lambda x: x["id"])).alias("instead"))

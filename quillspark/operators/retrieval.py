@@ -8,6 +8,7 @@ from pyspark.sql.window import Window as W
 
 from quillspark.operators import ranking as R
 from quillspark.profile import DEFAULT, Profile
+from quillspark.scratch import materialize
 
 
 def fused_hits(vector: DataFrame, lexical: DataFrame, chunks: DataFrame, profile: Profile = DEFAULT, rrf_k: int | None = None) -> DataFrame:
@@ -50,9 +51,10 @@ def expand(hits: DataFrame, chunks: DataFrame, sections: DataFrame, profile: Pro
 
 def rank_hits(expanded: DataFrame, chunks: DataFrame, k: int, profile: Profile = DEFAULT, digits: int = 9) -> DataFrame:
     """The chunks of the ``k`` best hits with ``score`` and ``rank``: current ones first, then by score, capped by parent."""
-    rows = expanded.join(chunks, "id").withColumn("score", F.round("score", digits))
     old = F.when(F.coalesce("superseded_by", F.lit("")) != "", 1).otherwise(0)
-    return R.parent_cap(rows, [old, F.desc("score"), F.col("tie")], R.cap_of(F.col("id"), profile), k)
+    rows = expanded.join(chunks.select("id", "parent_id", old.alias("old")), "id").withColumn("score", F.round("score", digits))
+    kept = R.parent_cap(rows, [F.col("old"), F.desc("score"), F.col("tie")], R.cap_of(F.col("id"), profile), k).drop("old", "parent_id")
+    return kept.join(chunks, "id")  # texts only of what is left
 
 
 def retrieve(vector: DataFrame, lexical: DataFrame, chunks: DataFrame, sections: DataFrame, k: int = 10, pool: int = 50, dedup: str = "post", rrf_k: int | None = None, profile: Profile = DEFAULT) -> DataFrame:
@@ -66,5 +68,5 @@ def retrieve(vector: DataFrame, lexical: DataFrame, chunks: DataFrame, sections:
         vector, lexical = wide(vector), wide(lexical)
     else:
         vector, lexical = vector.where(F.col("rnk") < pool), lexical.where(F.col("rnk") < pool)
-    hits = fused_hits(vector, lexical, chunks, profile, rrf_k)
+    hits = materialize(fused_hits(vector, lexical, chunks, profile, rrf_k), "hits")  # 2 * pool rows a query, read thrice
     return rank_hits(expand(hits, chunks, sections, profile), chunks, k, profile)

@@ -9,6 +9,7 @@ from pyspark.sql.window import Window as W
 from quillspark.functions import text as T
 from quillspark.profile import DEFAULT, Profile
 
+# fixed values: the types, search addresses and tags that the service shows
 SHOWN_TYPES = ("ARTICLE", "CLAUSE", "GUIDANCE_S", "GUIDANCE", "COURT_CASE")
 SEARCH = {"vero": "https://www.vero.fi/search/?q=", "finlex": "https://finlex.fi/fi/search/?text="}
 
@@ -70,15 +71,16 @@ def endpoints(log: DataFrame, chunks: DataFrame, order: str = "chunk_ord") -> Da
     return ends.join(chunks, "parent_id").groupBy("parent_id").agg(F.min_by("id", order).alias("chunk_id"))
 
 
-def event_rows(phases: list[tuple[str, DataFrame]]) -> DataFrame:
+def event_rows(phases: list[tuple[str, DataFrame]], by_ord: bool = False) -> DataFrame:
     """(qid, seq, event, data, frame): the rows of each phase (qid, ord, and what it tells) as numbered events.
 
-    Phases follow each other, rows keep their ``ord``; nulls are written out.
+    Phases follow each other and rows keep their ``ord`` in them; with ``by_ord``
+    the rows of all phases follow it together.  Nulls are written out.
     """
     out = None
     for i, (event, df) in enumerate(phases):
         data = F.to_json(F.struct(*[c for c in df.columns if c not in ("qid", "ord")]), {"ignoreNullFields": "false"})
         rows = df.select("qid", F.lit(i).alias("phase"), F.col("ord").cast("long").alias("ord"), F.lit(event).alias("event"), data.alias("data"))
         out = rows if out is None else out.unionByName(rows)
-    seq = F.row_number().over(W.partitionBy("qid").orderBy("phase", "ord", "data")).cast("long")
+    seq = F.row_number().over(W.partitionBy("qid").orderBy(*(("ord", "phase") if by_ord else ("phase", "ord")), "data")).cast("long")
     return out.select("qid", seq.alias("seq"), "event", "data", T.sse_frame(F.col("event"), F.col("data")).alias("frame"))

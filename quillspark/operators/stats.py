@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
@@ -73,3 +73,37 @@ def index_check(vectors: DataFrame, dim: int) -> DataFrame:
     """One row of checks: rows, rows of another dimension, rows that aren't of unit length."""
     norm = F.sqrt(T.dot(F.col("embedding"), F.col("embedding")))
     return vectors.agg(F.count(F.lit(1)).alias("n"), F.count_if(F.size("embedding") != dim).alias("bad_dim"), F.count_if(F.abs(norm - 1) > 1e-3).alias("not_unit"))
+
+
+def order_check(vectors: DataFrame, other: DataFrame, key: str, order: str = "vec_ord") -> DataFrame:
+    """One row: places of either table, those where the ids differ, and whether both are in one order."""
+    a, b = vectors.select(order, F.col(key).alias("a")), other.select(order, F.col(key).alias("b"))
+    both = a.join(b, order, "full")
+    return both.agg(F.count(F.lit(1)).alias("n"), F.count_if(~F.col("a").eqNullSafe(F.col("b"))).alias("n_differ")).withColumn("same_order", F.col("n_differ") == 0)
+
+
+def observed(df: DataFrame, name: str) -> tuple[DataFrame, Observation]:
+    """``df`` with a row counter that is filled while it is written, at no extra pass."""
+    seen = Observation(name)
+    return df.observe(seen, F.count(F.lit(1)).alias("rows")), seen
+
+
+def throughput(seen: Observation, seconds: float) -> dict[str, float]:
+    """Rows, seconds and rows a second of an observed write."""
+    rows = seen.get["rows"]
+    return {"rows": rows, "seconds": seconds, "rows_per_second": rows / seconds if seconds > 0 else 0.0}
+
+
+def paired_report(runs: dict[str, DataFrame], base: str) -> DataFrame:
+    """(mode, tier, fact_coverage, citation_rate, n, n_paired, gain): each mode's report, and its mean gain over ``base`` on the questions that both answered."""
+    out = None
+    for mode, results in runs.items():
+        ref = runs[base].select("id", F.col("fact_score").alias("base_score"))
+        rows = results.join(ref, "id", "left")
+        report = rows.rollup("tier").agg(
+            F.round(F.avg("fact_score"), 6).alias("fact_coverage"), F.round(F.avg(F.col("has_citation").cast("int")), 6).alias("citation_rate"), F.count(F.lit(1)).alias("n"),
+            F.count("base_score").alias("n_paired"), F.round(F.avg(F.col("fact_score") - F.col("base_score")), 6).alias("gain"),
+        )
+        report = report.select(F.lit(mode).alias("mode"), "*")
+        out = report if out is None else out.unionByName(report)
+    return out

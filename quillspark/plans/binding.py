@@ -13,25 +13,35 @@ from functools import wraps
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from quillspark.engine import Engine
 from quillspark.functions import text as T
-from quillspark.operators import corpus, graph, ranking
+from quillspark.operators import corpus, graph, ranking, retrieval
 from quillspark.profile import DEFAULT
 from quillspark.scratch import materialize
+from quillspark.sources import models
 
-#: No section headings: long texts are windows only.
-WINDOWS = replace(DEFAULT, boundaries=(r"\x00",))
 LICENSES = replace(DEFAULT, keywords="licen[cs]e|copyright|GNU")
 
 
-_built: dict[tuple[str, str, str], DataFrame] = {}
+_built: dict[tuple[str, str, str, str], DataFrame] = {}
+
+
+def version(spark: SparkSession, sf: str) -> str:
+    """Size and time of the tables that indexes are built from."""
+    told = []
+    for name in ("documents", "benchmark", "embeddings"):
+        path = spark._jvm.org.apache.hadoop.fs.Path(f"{sf}/{name}.parquet")
+        store = path.getFileSystem(spark._jsc.hadoopConfiguration())
+        told.append(f"{store.getFileStatus(path).getModificationTime()}:{store.getContentSummary(path).getLength()}")
+    return ",".join(told)
 
 
 def once(build: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
-    """Builds an index table on first use in a session and keeps it in the shared folder."""
+    """Builds an index table on first use in a session and keeps it in the shared folder; changed tables are indexed anew."""
 
     @wraps(build)
     def get(spark: SparkSession, sf: str) -> DataFrame:
-        key = (spark.sparkContext.applicationId, sf, build.__name__)
+        key = (spark.sparkContext.applicationId, sf, version(spark, sf), build.__name__)
         if key not in _built:
             _built[key] = materialize(build(spark, sf), build.__name__)
         return _built[key]
@@ -61,7 +71,7 @@ def documents(spark: SparkSession, sf: str) -> DataFrame:
 @once
 def chunks(spark: SparkSession, sf: str) -> DataFrame:
     d = documents(spark, sf)
-    rows = d.withColumn("pieces", T.chunk_text(F.col("text"), WINDOWS)).select("*", F.size("pieces").alias("chunk_total"), F.posexplode("pieces").alias("chunk_index", "piece"))
+    rows = d.withColumn("pieces", T.chunk_text(F.col("text"), DEFAULT)).select("*", F.size("pieces").alias("chunk_total"), F.posexplode("pieces").alias("chunk_index", "piece"))
     i, c = F.col("doc_id"), F.col("chunk_index")
     marks = F.concat(F.col("piece"), F.lit(" "), ((i * 13 + c * 5) % 31).cast("string"), F.lit(" § "), ((i * 7 + c) % 31).cast("string"), F.lit(" §"))
     return rows.select(
@@ -101,8 +111,8 @@ def extraction_log(e: DataFrame) -> DataFrame:
 
 
 def query_tokens(spark: SparkSession, sf: str) -> DataFrame:
-    """The first twelve tokens of each benchmark item."""
-    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(F.slice(T.tokens(F.col("text")), 1, 12)).alias("token"))
+    """All tokens of each benchmark item."""
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.explode(T.tokens(F.col("text"))).alias("token"))
 
 
 @once
@@ -111,10 +121,13 @@ def chunk_postings(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.postings(c, "chunk_ord", "body")
 
 
+@once
+def chunk_impacts(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.impacts(chunk_postings(spark, sf), "chunk_ord", chunks(spark, sf).count())
+
+
 def lexical_list(spark: SparkSession, sf: str, k: int = 50) -> DataFrame:
-    c = chunks(spark, sf)
-    scores = ranking.bm25_scores(chunk_postings(spark, sf), "chunk_ord", query_tokens(spark, sf), c.count())
-    return ranking.top_k(scores, "chunk_ord", k)
+    return ranking.top_k(ranking.scored(chunk_impacts(spark, sf), "chunk_ord", query_tokens(spark, sf)), "chunk_ord", k)
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -135,5 +148,37 @@ def ranked_lists(spark: SparkSession, sf: str, k: int = 50) -> tuple[DataFrame,
     return vec, lex
 
 
+@once
+def sections(spark: SparkSession, sf: str) -> DataFrame:
+    return corpus.chunk_sections(chunks(spark, sf))
+
+
+def hits(spark: SparkSession, sf: str, k: int = 10) -> DataFrame:
+    """Hybrid retrieval for every benchmark item."""
+    vec, lex = ranked_lists(spark, sf)
+    return retrieval.retrieve(vec, lex, chunks(spark, sf), sections(spark, sf), k)
+
+
+@once
+def wide_hits(spark: SparkSession, sf: str) -> DataFrame:
+    """The entries of a walk: ``entry_multiple`` times as many hits as asked for."""
+    return hits(spark, sf, 10 * DEFAULT.entry_multiple).select("qid", "id", "parent_id", "rank")
+
+
 def walk_entries(spark: SparkSession, sf: str) -> DataFrame:
-    return documents(spark, sf).where("doc_id < 60").select((F.col("doc_id") % 10).alias("qid"), F.col("parent_id").alias("id"), F.floor(F.col("doc_id") / 10).alias("f_ord"))
+    return wide_hits(spark, sf).groupBy("qid", F.col("parent_id").alias("id")).agg(F.min("rank").alias("f_ord"))
+
+
+def questions(spark: SparkSession, sf: str) -> DataFrame:
+    return table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
+
+
+@once
+def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
+    c = chunks(spark, sf).select("chunk_ord", "title", "text")
+    return models.embed_chunks(c, models.embedder("hashed-16").make(), "chunk_ord")
+
+
+def engine(spark: SparkSession, sf: str) -> Engine:
+    """The engine over the bound tables, with stand-in models."""
+    return Engine(chunks(spark, sf), chunk_vectors(spark, sf), chunk_postings(spark, sf), parents(spark, sf), edges(spark, sf), models.embedder("hashed-16").make(), models.halving, impacts=chunk_impacts(spark, sf))

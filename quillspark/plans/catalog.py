@@ -56,14 +56,9 @@ def chunk_counts(spark, sf):
     return B.chunks(spark, sf).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n_chunks"), F.sum(F.length("text")).alias("n_chars"))
 
 
-@register(
-    r"""SELECT doc_id, CAST(len(list_filter(list_transform(string_split(regexp_replace(regexp_replace(text, '(\n\s*[A-ZÄÖÅ][A-ZÄÖÅ ]{4,})\n', chr(1) || '\1' || chr(10), 'g'), '(\n\s*\d+(?:\.\d+){0,3}\s+[A-ZÄÖÅ])', chr(1) || '\1', 'g'), chr(1)),
-    lambda x: regexp_replace(x, '^\s+|\s+$', '', 'g')), lambda x: length(x) > 0)) AS INT) AS n_sections FROM documents"""
-)
+@register("SELECT doc_id, CAST(len(parts) AS INT) AS n_sections FROM sections")
 def section_counts(spark, sf):
-    pattern = "(?U)" + "|".join(f"(?={b})" for b in (DEFAULT.boundaries[0], DEFAULT.boundaries[2]))
-    parts = F.filter(F.transform(F.split("text", pattern), T.strip), lambda s: F.length(s) > 0)
-    return B.table(spark, sf, "documents").select("doc_id", F.size(parts).alias("n_sections"))
+    return B.table(spark, sf, "documents").select("doc_id", F.size(T.sections(F.col("text"))).alias("n_sections"))
 
 
 @register("SELECT id, array_to_string(refs, ',') AS section_refs FROM chunks")
@@ -107,9 +102,45 @@ def bm25_topk(spark, sf):
     return B.lexical_list(spark, sf, 10)
 
 
-@register("SELECT item_id AS qid, substr(text, 1, 5) AS head FROM benchmark")
-def query_heads(spark, sf):
-    return B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.substring("text", 1, 5).alias("head"))
+_BASE = "SELECT * FROM doc_tokens UNION ALL SELECT doc_id, substr(token, 1, 5) AS token FROM doc_tokens WHERE length(token) > 7"
+
+
+@register(f"SELECT doc_id, token, count(*) AS tf FROM ({_BASE}) GROUP BY ALL")
+def base_form_tf(spark, sf):
+    """Term counts with a base form, here the first five letters, beside each long token."""
+    d = B.table(spark, sf, "documents")
+    token = F.explode(F.array_distinct(T.tokens(F.col("text")))).alias("token")
+    lemmas = d.select(token).where(F.length("token") > 7).distinct().withColumn("baseform", F.substring("token", 1, 5))
+    return ranking.postings(d, "doc_id", "text", lemmas=lemmas)
+
+
+_LONG = ["Työntekijän eläkelaki (TyEL)", "Tuloverolaki (TVL)", "Arvonlisäverolaki (AVL)", "Merimieseläkelaki (MEL)"]
+
+
+@register(f"SELECT item_id AS qid, text || ' ' || {[*_LONG, 'xMEL']}[item_id % 5 + 1] || '?' AS expanded FROM benchmark")
+def expanded_queries(spark, sf):
+    """Benchmark items with an acronym at their end, written out."""
+    name = F.get(F.array(*[F.lit(x) for x in ("TyEL", "TVL", "AVL", "MEL", "xMEL")]), (F.col("item_id") % 5).cast("int"))
+    return B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.expand_query(F.concat("text", F.lit(" "), name, F.lit("?"))).alias("expanded"))
+
+
+_TITLES = ["Laki tuloverolain muuttamisesta", "TVL ohje", "Perintö ja lahja", "Xtvl", "Korkotulojen uusi lähdevero", "arvonlisäverolaki", "Kiinteistövero 2020", "plain"]
+_FOLDERS = ["Korkein hallinto-oikeus", "Asetus 3", "Lait", "Ennakkoratkaisut", "KVL 1", "Ohjeet"]
+
+
+@register(
+    f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS date,
+    ['TVL', 'TVL', 'PerVL', NULL, 'KoroVL', 'AVL', 'KiVL', NULL][doc_id % 8 + 1] AS statute,
+    CASE WHEN source = 'vero' THEN CASE WHEN doc_id % 6 IN (3, 4) THEN 'COURT_CASE' ELSE 'GUIDANCE' END ELSE CASE doc_id % 6 WHEN 0 THEN 'COURT_CASE' WHEN 1 THEN 'STATUTE' ELSE 'ARTICLE' END END AS type FROM d"""
+)
+def document_metadata(spark, sf):
+    """Date, statute and type of every document, from a dated text, a title and a folder."""
+    i = F.col("doc_id")
+    pick = lambda names: F.get(F.array(*[F.lit(x) for x in names]), (i % len(names)).cast("int"))
+    stamp = F.concat(F.lit(" 20"), F.lpad((i % 30).cast("string"), 2, "0"), F.lit("."), (i % 12 + 1).cast("string"), F.lit("/"), (i % 28 + 1).cast("string"), F.lit(" 2099-12-12"))
+    text = F.concat(F.regexp_replace("text", "20", ""), F.when(i % 4 == 0, F.lit(" 1999-01-01 20-1-1")).otherwise(stamp))
+    d = B.documents(spark, sf)
+    return d.select("doc_id", T.extract_date(text).alias("date"), T.infer_statute(pick(_TITLES), F.lit("x/y")).alias("statute"), T.classify_type(F.col("source"), pick(_FOLDERS)).alias("type"))
 
 
 # ---- vectors and fusion ----
@@ -153,15 +184,13 @@ def authority_boost(spark, sf):
 def reference_expansion(spark, sf):
     vec, lex = B.ranked_lists(spark, sf)
     c = B.chunks(spark, sf)
-    out = retrieval.expand(retrieval.fused_hits(vec, lex, c), c, corpus.chunk_sections(c))
+    out = retrieval.expand(retrieval.fused_hits(vec, lex, c), c, B.sections(spark, sf))
     return out.select("qid", "id", F.round("score", 9).alias("score"), F.col("tie.fuse_ord").cast("long").alias("first_ord"))
 
 
 @register("SELECT qid, id, parent_id, score, rank FROM found")
 def hybrid_retrieve(spark, sf):
-    vec, lex = B.ranked_lists(spark, sf)
-    c = B.chunks(spark, sf)
-    return retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)).select("qid", "id", "parent_id", "score", "rank")
+    return B.hits(spark, sf).select("qid", "id", "parent_id", "score", "rank")
 
 
 @register("SELECT * FROM (SELECT qid, id, parent_id, row_number() OVER (PARTITION BY qid ORDER BY rnk) - 1 AS rnk FROM (SELECT l.qid, l.id, c.parent_id, l.rnk, row_number() OVER (PARTITION BY l.qid, c.parent_id ORDER BY l.rnk) AS own FROM lexc l JOIN chunks c USING (id)) WHERE own = 1) WHERE rnk < 40")
@@ -180,25 +209,22 @@ def parent_cap(spark, sf):
 
 @register("SELECT g AS qid, id, rrf, row_number() OVER (PARTITION BY g ORDER BY rrf DESC, seen) AS rank FROM (SELECT qid // 4 AS g, id, round(sum(1.0 / (60 + rank - 1)), 9) AS rrf, min((qid % 4, rank)) AS seen FROM found GROUP BY ALL)")
 def multi_query_merge(spark, sf):
-    vec, lex = B.ranked_lists(spark, sf)
-    c = B.chunks(spark, sf)
-    hits = retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c))
+    hits = B.hits(spark, sf)
     return ranking.merge_lists(hits.select(F.floor(F.col("qid") / 4).alias("qid"), (F.col("qid") % 4).alias("list_no"), "id", (F.col("rank") - 1).alias("rnk")))
 
 
 @register("SELECT qid // 4 AS qid, parent_id, CAST(min(qid % 4) AS BIGINT) AS sub_idx FROM found GROUP BY ALL")
 def first_claim(spark, sf):
-    vec, lex = B.ranked_lists(spark, sf)
-    c = B.chunks(spark, sf)
-    hits = retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c))
+    hits = B.hits(spark, sf)
     return serving.first_claim(hits.select(F.floor(F.col("qid") / 4).alias("qid"), "parent_id", (F.col("qid") % 4).alias("sub_idx")))
 
 
-@register("SELECT f.qid, min(f.rank) FILTER (contains(lower(c.text), 'ing')) AS rank FROM found f JOIN chunks c USING (id) GROUP BY f.qid")
+@register(
+    """SELECT qid, rank, CASE WHEN rank IS NULL THEN first END AS instead FROM (
+    SELECT f.qid, min(f.rank) FILTER (contains(lower(c.text), 'shesou')) AS rank, string_agg(f.id, ',' ORDER BY f.rank) FILTER (f.rank <= 5) AS first FROM found f JOIN chunks c USING (id) GROUP BY f.qid)"""
+)
 def diagnose_rank(spark, sf):
-    vec, lex = B.ranked_lists(spark, sf)
-    c = B.chunks(spark, sf)
-    return ranking.diagnose(retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)), F.lit("ING"))
+    return ranking.diagnose(B.hits(spark, sf), F.lit("SHESOU")).withColumn("instead", F.array_join("instead", ","))
 
 
 # ---- parents, sections, graph ----
@@ -256,31 +282,48 @@ def retype_stats(spark, sf):
     return graph.retype(e, B.extraction_log(e))[1]
 
 
-@register("SELECT qid, id, hop, CAST(ord AS BIGINT) AS ord FROM entry UNION ALL SELECT qid, id, hop, ord FROM hop1 UNION ALL SELECT qid, id, hop, ord FROM hop2")
+@register("SELECT qid, id, hop, ord FROM visited")
 def graph_walk_2hop(spark, sf):
     return graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[0]
 
 
-@register(
-    """SELECT qid, hop, ord, CASE WHEN relation = 'amends (newer)' THEN id ELSE via END AS f, CASE WHEN relation = 'amends (newer)' THEN via ELSE id END AS t, relation FROM hop1
-    UNION ALL SELECT qid, hop, ord, CASE WHEN relation = 'amends (newer)' THEN id ELSE via END, CASE WHEN relation = 'amends (newer)' THEN via ELSE id END, relation FROM hop2"""
-)
+@register("SELECT qid, hop, ord, f, t, relation FROM walked")
 def traversal_log(spark, sf):
     log = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[1]
     return log.select("qid", "hop", "ord", F.col("from").alias("f"), F.col("to").alias("t"), "relation")
 
 
-@register(
-    """SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY hop > 0, CASE WHEN hop = 0 THEN ord END NULLS FIRST,
-      CASE WHEN hop > 0 THEN CASE type WHEN 'ARTICLE' THEN 0 WHEN 'STATUTE' THEN 0 WHEN 'GUIDANCE' THEN 1 WHEN 'COURT_CASE' THEN 2 ELSE 3 END END NULLS FIRST,
-      CASE WHEN hop > 0 THEN ascii(dd) END DESC NULLS FIRST, CASE WHEN hop > 0 THEN dd END NULLS FIRST, id) AS parent_ord
-    FROM (SELECT v.*, p.type, coalesce(p.date, '0000-00-00') AS dd FROM (SELECT qid, id, hop, ord FROM entry UNION ALL SELECT qid, id, hop, ord FROM hop1 UNION ALL SELECT qid, id, hop, ord FROM hop2) v LEFT JOIN parents p USING (id))"""
-)
+@register("SELECT qid, id, parent_ord FROM ordered")
 def graph_parent_order(spark, sf):
     visited, _ = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))
     return graph.order_parents(visited, B.parents(spark, sf))
 
 
+@register("SELECT parent_id, arg_min(id, chunk_ord) AS chunk_id FROM (SELECT f AS parent_id FROM walked UNION SELECT t FROM walked) JOIN chunks USING (parent_id) GROUP BY parent_id")
+def walk_endpoints(spark, sf):
+    log = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[1]
+    return serving.endpoints(log, B.chunks(spark, sf))
+
+
+@register(
+    r"""SELECT f, t, ['none', 'interpreted_by', 'overrides', 'references'][(length(a.excerpt) + 3 * length(b.excerpt) + length(a.title)) % 4 + 1] AS relation
+    FROM (SELECT DISTINCT f, t FROM raw_edges WHERE relation = 'cites') JOIN excerpt a ON a.id = f JOIN excerpt b ON b.id = t WHERE regexp_matches(a.excerpt, '\S') AND regexp_matches(b.excerpt, '\S')"""
+)
+def typed_pairs(spark, sf):
+    """The pairs to type, with both excerpts, through a stand-in classifier."""
+    import pyarrow as pa
+
+    def classify(batches):
+        names = ("none", "interpreted_by", "overrides", "references")
+        for b in batches:
+            rows = b.to_pylist()
+            relation = [names[(len(r["from_text"]) + 3 * len(r["to_text"]) + len(r["from_title"])) % 4] for r in rows]
+            yield pa.RecordBatch.from_arrays([pa.array([r[c] for r in rows], pa.string()) for c in ("from", "to")] + [pa.array(relation, pa.string())], names=["f", "t", "relation"])
+
+    pairs = graph.pairs_to_type(B.edges_raw(spark, sf))
+    return graph.type_pairs(pairs, context.excerpts(B.chunks(spark, sf)), classify, "f string, t string, relation string")
+
+
 @register("SELECT DISTINCT f, t FROM raw_edges e WHERE relation = 'cites' AND NOT EXISTS (SELECT 1 FROM log l WHERE l.f = e.f AND l.t = e.t AND l.line % 2 = 0)")
 def resume_antijoin(spark, sf):
     e = B.edges(spark, sf)
@@ -289,12 +332,9 @@ def resume_antijoin(spark, sf):
     return resume.remaining(pairs, done, ["from", "to"]).select(F.col("from").alias("f"), F.col("to").alias("t"))
 
 
-@register(None)
+@register("SELECT qid, rank, parent_id, id FROM regrown WHERE rank <= 10")
 def graph_retrieve(spark, sf):
-    vec, lex = B.ranked_lists(spark, sf)
-    c = B.chunks(spark, sf)
-    entries = retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c), k=10 * DEFAULT.entry_multiple)
-    hits, _ = graph.retrieve_with_graph(entries.select("qid", "id", "parent_id", "rank"), c, B.parents(spark, sf), B.edges(spark, sf))
+    hits, _ = graph.retrieve_with_graph(B.wide_hits(spark, sf), B.chunks(spark, sf), B.parents(spark, sf), B.edges(spark, sf))
     return hits.select("qid", "rank", "parent_id", "id")
 
 
@@ -310,13 +350,11 @@ _BLOCK = "'[' || c.id || '] ' || title || ' (' || source || ', ' || type || ')'
 
 @register(f"SELECT qid, count(*) AS n_blocks, md5(string_agg(block, chr(10) || chr(10) || '---' || chr(10) || chr(10) ORDER BY rank)) AS digest FROM (SELECT *, sum(length(block)) OVER (PARTITION BY qid ORDER BY rank) AS total FROM (SELECT qid, rank, {_BLOCK} AS block FROM found f JOIN chunks c USING (id))) WHERE total <= 4000 GROUP BY qid")
 def context_pack(spark, sf):
-    vec, lex = B.ranked_lists(spark, sf)
-    c = B.chunks(spark, sf)
-    packed = context.pack_context(retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)), 4000)
+    packed = context.pack_context(B.hits(spark, sf), 4000)
     return packed.select("qid", "n_blocks", F.md5("context").alias("digest"))
 
 
-@register("SELECT parent_id AS id, arg_min(title, chunk_ord) AS title, md5(string_agg(substr(text, 1, CAST(2500 - before AS INT)), chr(10) ORDER BY chunk_ord)) AS digest FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY parent_id ORDER BY chunk_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks) WHERE before < 2500 GROUP BY parent_id")
+@register("SELECT id, title, md5(excerpt) AS digest FROM excerpt")
 def excerpt_concat(spark, sf):
     return context.excerpts(B.chunks(spark, sf)).select("id", "title", F.md5("excerpt").alias("digest"))
 
@@ -369,27 +407,55 @@ def eval_buckets(spark, sf):
     return stats.eval_buckets(_graded(spark, sf))
 
 
+@register(
+    f"""SELECT mode, tier, round(avg(s), 6) AS fact_coverage, round(avg(CAST(cited AS INT)), 6) AS citation_rate, count(*) AS n, count(b) AS n_paired, round(avg(s - b), 6) AS gain FROM (
+    SELECT 'baseline' AS mode, tier, fact_score AS s, cited, fact_score AS b FROM {_GRADED} UNION ALL SELECT 'graph', tier, 1 - fact_score, cited, CASE WHEN doc_id % 2 = 0 THEN fact_score END FROM {_GRADED}) GROUP BY GROUPING SETS ((mode, tier), (mode))"""
+)
+def paired_evaluation(spark, sf):
+    """Two runs over the same questions; the second, with other scores, shares the even ones with the first."""
+    base = _graded(spark, sf)
+    other = base.withColumn("fact_score", 1 - F.col("fact_score"))
+    reports = stats.paired_report({"baseline": base, "graph": other}, "baseline").where("mode = 'baseline'")
+    halves = stats.paired_report({"graph": other, "even": base.where("id % 2 = 0")}, "even").where("mode = 'graph'")
+    return reports.unionByName(halves)
+
+
+@register("SELECT count(*) AS n, count(*) FILTER (a IS DISTINCT FROM b) AS n_differ, count(*) FILTER (a IS DISTINCT FROM b) = 0 AS same_order FROM (SELECT vec_id AS o, vec_id AS a FROM embeddings) FULL JOIN (SELECT doc_id AS o, doc_id AS b FROM documents) USING (o)")
+def vector_order(spark, sf):
+    """Whether vectors and documents are in one order."""
+    v = B.table(spark, sf, "embeddings").select(F.col("vec_id").alias("vec_ord"), F.col("vec_id").alias("id"))
+    d = B.table(spark, sf, "documents").select(F.col("doc_id").alias("vec_ord"), F.col("doc_id").alias("id"))
+    return stats.order_check(v, d, "id")
+
+
 @register(f"SELECT cited AS has_citation, count(*) AS n FROM {_GRADED} GROUP BY cited")
 def citation_rate(spark, sf):
     return _graded(spark, sf).groupBy("has_citation").agg(F.count(F.lit(1)).alias("n"))
 
 
-@register("SELECT conv_id, turn, regexp_matches(lower(text), 'the|ing|no information') AS refusal FROM conversations")
-def refusal_markers(spark, sf):
-    from dataclasses import replace
+_ANSWERS = "CASE (conv_id + turn) % 3 WHEN 0 THEN text WHEN 1 THEN text || ' I Cannot Find it.' ELSE 'Valitettavasti, EN LÖYDÄ. ' || text END"
 
-    p = replace(DEFAULT, refusals=("the", "ing", "no information"))
-    return B.table(spark, sf, "conversations").select("conv_id", "turn", T.is_refusal(F.col("text"), p).alias("refusal"))
+
+@register(f"SELECT conv_id, turn, len(list_filter({list(DEFAULT.refusals)}, lambda m: contains(lower({_ANSWERS}), m))) > 0 AS refusal FROM conversations")
+def refusal_markers(spark, sf):
+    """Every turn as an answer, two of three with a marker of not knowing."""
+    kind = (F.col("conv_id") + F.col("turn")) % 3
+    answer = F.when(kind == 0, F.col("text")).when(kind == 1, F.concat("text", F.lit(" I Cannot Find it."))).otherwise(F.concat(F.lit("Valitettavasti, EN LÖYDÄ. "), "text"))
+    return B.table(spark, sf, "conversations").select("conv_id", "turn", T.is_refusal(answer).alias("refusal"))
 
 
 # ---- serving ----
 
 
-@register("SELECT id, parent_id AS parentId, CAST(chunk_index AS INT) AS chunkIndex, source, title, date FROM chunks WHERE parent_id = 'd_2' AND chunk_index = 0")
+@register(
+    """SELECT id, parent_id AS parentId, CAST(chunk_index AS INT) AS chunkIndex, CAST(chunk_total AS INT) AS chunkTotal, source, type, statute, title, md5(text) AS text, date, CAST(NULL AS VARCHAR) AS supersededBy,
+    array_to_string(refs, ',') AS refs, CAST(NULL AS VARCHAR) AS filePath, CAST(NULL AS VARCHAR) AS section FROM chunks WHERE parent_id = 'd_2' AND chunk_index = 0"""
+)
 def point_lookup(spark, sf):
     c = B.chunks(spark, sf)
     first = c.where("doc_id = 2 and chunk_index = 0").select("id").first()
-    return serving.point_lookup(c, first.id).select("id", "parentId", "chunkIndex", "source", "title", "date")
+    row = serving.point_lookup(c, first.id).withColumn("text", F.md5("text"))
+    return row.withColumn("refs", F.array_join("references", ",")).drop("references")
 
 
 @register(r"SELECT parent_id AS id, CASE WHEN type = 'STATUTE' THEN 'ARTICLE' ELSE type END AS type, CASE WHEN length(title) > 38 THEN substr(title, 1, 38) || '…' ELSE title END AS label, FALSE AS superseded, CASE WHEN length(s) > 140 THEN substr(s, 1, 140) || '…' ELSE s END AS desc_text FROM (SELECT *, replace(regexp_replace(text, '^\s+|\s+$', '', 'g'), chr(10), ' ') AS s FROM chunks)")
@@ -397,20 +463,41 @@ def display_nodes(spark, sf):
     return serving.graph_node(B.chunks(spark, sf)).withColumnRenamed("desc", "desc_text")
 
 
-@register("SELECT f.qid, f.parent_id, min(f.rank) AS first_rank, CASE WHEN any_value(c.type) = 'COURT_CASE' THEN 'court' WHEN any_value(c.source) = 'vero' THEN 'guidance' ELSE 'statute' END AS tag, string_agg(f.id, ',' ORDER BY f.rank) AS ids FROM found f JOIN chunks c USING (id) GROUP BY f.qid, f.parent_id")
+_URL = "CASE source WHEN 'vero' THEN 'https://www.vero.fi/search/?q=' ELSE 'https://finlex.fi/fi/search/?text=' END || replace(url_encode(title), '%20', '+')"
+_LABEL = "statute || ' · ' || CASE source WHEN 'vero' THEN 'vero.fi' ELSE 'finlex.fi' END || ' #chunk' || chunk_index"
+
+
+@register(
+    f"""SELECT *, CASE tag WHEN 'court' THEN 'Court' WHEN 'guidance' THEN 'Guidance' ELSE 'Statute' END AS tag_label FROM (
+    SELECT f.qid, f.parent_id, min(f.rank) AS first_rank, any_value(substr(title, 1, 120)) AS label, CASE WHEN any_value(c.type) = 'COURT_CASE' THEN 'court' WHEN any_value(c.source) = 'vero' THEN 'guidance' ELSE 'statute' END AS tag,
+    any_value({_URL}) AS url, string_agg(f.rank || ' ' || f.id || ' ' || {_LABEL}, ',' ORDER BY f.rank) AS ids FROM found f JOIN chunks c USING (id) GROUP BY f.qid, f.parent_id)"""
+)
 def source_rows(spark, sf):
-    vec, lex = B.ranked_lists(spark, sf)
-    c = B.chunks(spark, sf)
-    rows = serving.source_rows(retrieval.retrieve(vec, lex, c, corpus.chunk_sections(c)))
-    return rows.select("qid", "parent_id", "first_rank", "tag", F.array_join(F.transform("chunks", lambda x: x["id"]), ",").alias("ids"))
+    rows = serving.source_rows(B.hits(spark, sf))
+    return rows.withColumn("ids", F.array_join(F.transform("chunks", lambda x: F.concat_ws(" ", x["rank"].cast("string"), x["id"], x["label"])), ",")).drop("chunks")
 
 
-@register("""SELECT conv_id AS qid, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS seq, 'event: ' || CASE WHEN role = 'user' THEN 'plan' ELSE 'token' END AS head FROM (SELECT DISTINCT conv_id, turn, role FROM conversations WHERE turn < 2 AND role IN ('user', 'assistant') AND (role = 'user') = (turn = 0))""")
+@register(
+    """SELECT *, md5('event: ' || event || chr(10) || 'data: ' || CAST(to_json({'text': text}) AS VARCHAR) || chr(10) || chr(10)) AS digest FROM (
+    SELECT conv_id AS qid, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role = 'assistant', role = 'user', text) AS seq, CASE role WHEN 'system' THEN 'context' WHEN 'user' THEN 'plan' ELSE 'token' END AS event, text FROM conversations)"""
+)
 def sse_events(spark, sf):
-    c = B.table(spark, sf, "conversations").where("turn < 2 and role in ('user', 'assistant')").select(F.col("conv_id").alias("qid"), F.col("turn").alias("ord"), "role", "text")
-    c = c.where((F.col("role") == "user") == (F.col("ord") == 0)).dropDuplicates(["qid", "ord", "role"])
-    events = serving.event_rows([("plan", c.where("role = 'user'").select("qid", "ord", "text")), ("token", c.where("role = 'assistant'").select("qid", "ord", "text"))])
-    return events.select("qid", "seq", F.get(F.split("frame", "\n"), F.lit(0)).alias("head"))
+    """All turns of all conversations as one stream of frames each."""
+    c = B.table(spark, sf, "conversations").select(F.col("conv_id").alias("qid"), F.col("turn").alias("ord"), "role", "text")
+    events = serving.event_rows([(event, c.where(F.col("role") == role).drop("role")) for event, role in (("context", "system"), ("plan", "user"), ("token", "assistant"))], by_ord=True)
+    return events.select("qid", "seq", "event", F.get_json_object("data", "$.text").alias("text"), F.md5("frame").alias("digest"))
+
+
+@register(None)
+def ask_events(spark, sf):
+    """The whole event stream of every benchmark item: plan, sub-queries, hops, sources, context."""
+    return B.engine(spark, sf).ask_events(B.questions(spark, sf))
+
+
+@register(None)
+def answer_contexts(spark, sf):
+    """The merged and packed evidence of every benchmark item."""
+    return B.engine(spark, sf).answer_context(B.questions(spark, sf))
 
 
 # ---- pages ----
@@ -421,22 +508,28 @@ def html_leaf_text(spark, sf):
     return html.page_texts(B.table(spark, sf, "pages"), "page_id", "html")
 
 
-@register("SELECT page_id, count(*) AS n FROM pages WHERE html LIKE '%<h1>%' GROUP BY page_id")
-def html_with_heading(spark, sf):
-    return B.table(spark, sf, "pages").where(F.contains("html", F.lit("<h1>"))).groupBy("page_id").agg(F.count(F.lit(1)).alias("n"))
+_H1 = r"regexp_replace(regexp_replace(regexp_extract(html, '(?is)<h1[^>]*>(.*?)</h1>', 1), '<[^>]*>', '', 'g'), '^\s+|\s+$', '', 'g')"
+
+
+@register(f"SELECT page_id, replace(replace(replace(replace({_H1}, '&lt;', '<'), '&gt;', '>'), '&quot;', '\"'), '&amp;', '&') AS title FROM pages")
+def page_titles(spark, sf):
+    return html.page_texts(B.table(spark, sf, "pages"), "page_id", "html").select("page_id", "title")
 
 
 @register(None)
 def embed_chunks(spark, sf):
     c = B.chunks(spark, sf).select("id", "title", "text")
-    return models.embed_chunks(c, models.hashed_embedder(16))
+    return models.embed_chunks(c, models.embedder("hashed-16").make())
+
+
+_SUBS = "list_filter([substr(text, 1, 40), '  ', substr(text, 41, 40)], lambda s: length(trim(s)) > 0)"
 
 
-@register("SELECT item_id AS qid, 0 AS sub_idx, text FROM benchmark")
+@register(f"SELECT item_id AS qid, CAST(generate_subscripts({_SUBS}, 1) - 1 AS INT) AS sub_idx, unnest({_SUBS}) AS text FROM benchmark")
 def planned_queries(spark, sf):
-    q = B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), F.col("text").alias("question"))
-    replies = models.complete_rows(q, "qid", "question", models.refusing)
-    return models.sub_queries(q, replies)
+    """Sub-queries from the fenced replies of a stand-in planner."""
+    replies = models.complete_rows(B.questions(spark, sf), "qid", "question", models.halving)
+    return models.sub_queries(B.questions(spark, sf), replies)
 
 
 @register("SELECT from_id AS id, count(*) AS n FROM (SELECT a.doc_id AS from_id FROM documents a JOIN documents b ON a.text = b.text AND a.doc_id > b.doc_id) GROUP BY from_id")

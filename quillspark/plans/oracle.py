@@ -27,12 +27,18 @@ SELECT doc_id, text, lang, CASE WHEN source IN ('src0', 'src1', 'src2') THEN 've
   CASE WHEN doc_id % 3 <> 0 THEN '20' || lpad(CAST(doc_id % 20 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-01' END AS date,
   CASE WHEN doc_id % 10 = 3 THEN 'Tuloverosopimukset_' ELSE 'd_' END || doc_id AS parent_id
 FROM documents"""
+_HEADINGS = (r"(\n\s*[A-ZÄÖÅ][A-ZÄÖÅ ]{4,})\n", r"(\n\s*\d+(?:\.\d+){0,3}\s+[A-ZÄÖÅ])", r"(\n\s*\d+\s*§\s)")
+_MARKED = f"regexp_replace(text, '{_HEADINGS[0]}', chr(1) || '\\1' || chr(10), 'g')"
+for _h in _HEADINGS[1:]:
+    _MARKED = f"regexp_replace({_MARKED}, '{_h}', chr(1) || '\\1', 'g')"
+CTE["sections"] = f"""
+SELECT *, list_filter(list_transform(string_split({_MARKED}, chr(1)), lambda x: {_STRIP.format("x")}), lambda x: length(x) > 0) AS parts FROM d"""
 CTE["pieces"] = f"""
-SELECT *, CASE WHEN length(text) <= 800 THEN [text] WHEN length(s) = 0 THEN [substr(text, 1, 800)] WHEN length(s) <= 800 THEN [s]
-  ELSE list_filter(list_transform(range(0, length(s), 650), lambda a: substr(s, a + 1, 800)), lambda x: length({_STRIP.format("x")}) >= 120) END AS pieces
-FROM (SELECT *, {_STRIP.format("text")} AS s FROM d)"""
+SELECT *, CASE WHEN length(text) <= 800 THEN [text] WHEN len(flat) > 0 THEN flat ELSE [substr(text, 1, 800)] END AS pieces
+FROM (SELECT *, flatten(list_transform(parts, lambda s: CASE WHEN length(s) <= 800 THEN [s]
+  ELSE list_filter(list_transform(range(0, length(s), 650), lambda a: substr(s, a + 1, 800)), lambda x: length({_STRIP.format("x")}) >= 120) END)) AS flat FROM sections)"""
 CTE["cut"] = """
-SELECT * EXCLUDE (text, s, pieces), unnest(pieces) AS text, generate_subscripts(pieces, 1) - 1 AS chunk_index, len(pieces) AS chunk_total FROM pieces"""
+SELECT * EXCLUDE (text, parts, flat, pieces), unnest(pieces) AS text, generate_subscripts(pieces, 1) - 1 AS chunk_index, len(pieces) AS chunk_total FROM pieces"""
 CTE["marked"] = """
 SELECT *, text || ' ' || ((doc_id * 13 + chunk_index * 5) % 31) || ' § ' || ((doc_id * 7 + chunk_index) % 31) || ' §' AS marks FROM cut"""
 CTE["numbered"] = f"SELECT *, list_transform({_numbers('marks')}, lambda n: statute || '_§' || n) AS all_refs FROM marked"
@@ -93,7 +99,7 @@ CTE["lens"] = "SELECT chunk_ord, sum(tf) AS dl FROM posts GROUP BY ALL"
 CTE["n_docs"] = "SELECT count(*) AS n, (SELECT sum(dl) FROM lens) / count(*) AS avgdl FROM chunks"
 CTE["dfs"] = "SELECT token, count(*) AS df, ln((SELECT n FROM n_docs) - count(*) + 0.5) - ln(count(*) + 0.5) AS raw FROM posts GROUP BY token"
 CTE["idf"] = "SELECT token, df, CASE WHEN raw < 0 THEN 0.25 * (SELECT avg(raw) FROM dfs) ELSE raw END AS idf FROM dfs"
-CTE["qtok"] = "SELECT item_id AS qid, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zäöå0-9§]+')[1:12]) AS token FROM benchmark) GROUP BY ALL"
+CTE["qtok"] = "SELECT item_id AS qid, token, count(*) AS qtf FROM (SELECT item_id, unnest(regexp_extract_all(lower(text), '[a-zäöå0-9§]+')) AS token FROM benchmark) GROUP BY ALL"
 CTE["bm25"] = """
 SELECT qid, chunk_ord, round(sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM n_docs)))) * qtf), 6) AS score
 FROM posts JOIN idf USING (token) JOIN qtok USING (token) JOIN lens USING (chunk_ord) GROUP BY ALL"""
@@ -122,8 +128,9 @@ CTE["capped"] = """
 SELECT * FROM (SELECT e.qid, e.id, c.parent_id, round(e.score, 9) AS score, tie,
   row_number() OVER (PARTITION BY e.qid, c.parent_id ORDER BY round(e.score, 9) DESC, tie) AS own FROM expanded e JOIN chunks c USING (id))
 WHERE own <= CASE WHEN contains(id, 'Tuloverosopimukset') THEN 4 ELSE 2 END"""
-CTE["found"] = "SELECT * FROM (SELECT qid, id, parent_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tie) AS rank FROM capped) WHERE rank <= 10"
-CTE["entry"] = "SELECT doc_id % 10 AS qid, parent_id AS id, doc_id // 10 AS ord, 0 AS hop FROM d WHERE doc_id < 60"
+CTE["wide"] = "SELECT * FROM (SELECT qid, id, parent_id, score, row_number() OVER (PARTITION BY qid ORDER BY score DESC, tie) AS rank FROM capped) WHERE rank <= 30"
+CTE["found"] = "SELECT * FROM wide WHERE rank <= 10"
+CTE["entry"] = "SELECT qid, parent_id AS id, min(rank) AS ord, 0 AS hop FROM wide GROUP BY qid, parent_id"
 CTE["moves"] = """
 SELECT f AS id, t AS next, relation, adj, 0 AS dir FROM edges WHERE relation IN ('cites', 'amends', 'interpreted_by', 'overrides')
 UNION ALL SELECT t, f, 'amends (newer)', adj, 1 FROM edges WHERE relation = 'amends'"""
@@ -146,6 +153,24 @@ CTE["front2"] = "SELECT * FROM hop1 WHERE ord < 20"
 CTE["seen2"] = "SELECT qid, id FROM entry UNION ALL SELECT qid, id FROM hop1"
 _hop(2, "front2", "seen2")
 
+CTE["visited"] = "SELECT qid, id, hop, CAST(ord AS BIGINT) AS ord FROM entry UNION ALL SELECT qid, id, hop, ord FROM hop1 UNION ALL SELECT qid, id, hop, ord FROM hop2"
+CTE["walked"] = """
+SELECT qid, hop, ord, CASE WHEN relation = 'amends (newer)' THEN id ELSE via END AS f, CASE WHEN relation = 'amends (newer)' THEN via ELSE id END AS t, relation
+FROM (SELECT * FROM hop1 UNION ALL SELECT * FROM hop2)"""
+CTE["ordered"] = """
+SELECT qid, id, row_number() OVER (PARTITION BY qid ORDER BY hop > 0, CASE WHEN hop = 0 THEN ord END NULLS FIRST,
+  CASE WHEN hop > 0 THEN CASE type WHEN 'ARTICLE' THEN 0 WHEN 'STATUTE' THEN 0 WHEN 'GUIDANCE' THEN 1 WHEN 'COURT_CASE' THEN 2 ELSE 3 END END NULLS FIRST,
+  CASE WHEN hop > 0 THEN ascii(dd) END DESC NULLS FIRST, CASE WHEN hop > 0 THEN dd END NULLS FIRST, id) AS parent_ord
+FROM (SELECT v.*, p.type, coalesce(p.date, '0000-00-00') AS dd FROM visited v LEFT JOIN parents p USING (id))"""
+CTE["regrown"] = """
+SELECT qid, parent_id, id, row_number() OVER (PARTITION BY qid ORDER BY parent_ord, nth) AS rank FROM (
+  SELECT o.qid, o.parent_ord, c.parent_id, c.id, row_number() OVER (PARTITION BY o.qid, c.parent_id ORDER BY w.rank NULLS LAST, c.chunk_ord) AS nth
+  FROM ordered o JOIN chunks c ON c.parent_id = o.id LEFT JOIN wide w ON w.qid = o.qid AND w.id = c.id)
+WHERE nth <= CASE WHEN contains(parent_id, 'Tuloverosopimukset') THEN 4 ELSE 2 END"""
+CTE["excerpt"] = """
+SELECT parent_id AS id, arg_min(title, chunk_ord) AS title, string_agg(substr(text, 1, CAST(2500 - before AS INT)), chr(10) ORDER BY chunk_ord) AS excerpt
+FROM (SELECT *, coalesce(sum(length(text)) OVER (PARTITION BY parent_id ORDER BY chunk_ord ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), 0) AS before FROM chunks) WHERE before < 2500 GROUP BY parent_id"""
+
 _used = {name: [n for n in CTE if n != name and _re.search(rf"\b(?:FROM|JOIN|,)\s+\(?{n}\b", sql)] for name, sql in CTE.items()}
 
 

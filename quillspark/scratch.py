@@ -1,12 +1,13 @@
 """Shared scratch tables: how a query cuts its lineage without losing data with an executor.
 
 Everything is written below ``spark.checkpoint.dir``, the one folder that the
-driver and all executors of a cluster share.  Only where that setting is
-missing, as in tests, a folder is made on the local machine.
+driver and all executors of a cluster share.  Only in local mode, where the
+driver is the only machine, a missing setting is replaced by a temporary folder.
 """
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -18,9 +19,11 @@ _own: dict[str, str] = {}
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder, set up on first use where the session names none."""
+    """The shared folder; in local mode, set up on first use where the session names none."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.match(r"local(\[.*\])?$", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that the driver and all executors share")
         app = spark.sparkContext.applicationId
         if app not in _own:
             _own[app] = tempfile.mkdtemp(prefix="quillspark-")

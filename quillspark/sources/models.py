@@ -4,7 +4,10 @@ from __future__ import annotations
 
 import hashlib
 import json
+import os
 from collections.abc import Callable, Iterator
+from dataclasses import dataclass
+from functools import partial
 
 import numpy as np
 import pyarrow as pa
@@ -81,3 +84,50 @@ def overlap_judge(facts: DataFrame, least: float = 0.5) -> DataFrame:
 def refusing(_: str) -> str:
     """A stand-in model that plans nothing."""
     return json.dumps([])
+
+
+def halving(question: str) -> str:
+    """A stand-in planner: the first two runs of 40 characters and a blank one between them, in a code fence."""
+    return "```json\n" + json.dumps([question[:40], "  ", question[40:80]]) + "\n```"
+
+
+@dataclass(frozen=True)
+class Embedder:
+    """An entry of the registry: how to make the model, its dimension, and where its vectors are stored."""
+
+    make: Callable[[], Embed]
+    dim: int
+    vectors: str
+
+
+EMBEDDERS: dict[str, Embedder] = {}
+
+
+def register_embedder(name: str, make: Callable[[], Embed], dim: int, vectors: str) -> None:
+    EMBEDDERS[name] = Embedder(make, dim, vectors)
+
+
+def embedder(name: str | None = None) -> Embedder:
+    """The embedder of a name, else of ``QUILLSPARK_EMBEDDER``, else the first registered one."""
+    name = name or os.environ.get("QUILLSPARK_EMBEDDER") or next(iter(EMBEDDERS))
+    if name not in EMBEDDERS:
+        raise KeyError(f"no embedder {name!r}; known: {', '.join(EMBEDDERS)}")
+    return EMBEDDERS[name]
+
+
+register_embedder("hashed-16", partial(hashed_embedder, 16), 16, "vectors_hashed_16")
+register_embedder("hashed-64", partial(hashed_embedder, 64), 64, "vectors_hashed_64")
+
+
+def search_fallback(questions: DataFrame, contexts: DataFrame, search: Complete) -> DataFrame:
+    """(qid, context, searched): the contexts, and for questions (qid, question) without one what ``search`` finds; its errors become text."""
+
+    def told(question: str) -> str:
+        try:
+            return search(question)
+        except Exception as e:  # whatever the client raises
+            return f"search failed: {e}"
+
+    lost = questions.join(contexts.select("qid"), "qid", "left_anti")
+    found = complete_rows(lost, "qid", "question", told, "context")
+    return contexts.select("qid", "context", F.lit(False).alias("searched")).unionByName(found.withColumn("searched", F.lit(True)))
