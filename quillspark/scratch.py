@@ -47,6 +47,16 @@ def materialize(df: DataFrame, tag: str) -> DataFrame:
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
+def read_or_none(spark: SparkSession, path: str) -> DataFrame | None:
+    """A Parquet table, or None where there is none."""
+    try:
+        return spark.read.parquet(path)
+    except Exception as e:  # Spark's analysis errors have no common Python type
+        if "PATH_NOT_FOUND" not in str(e):
+            raise
+        return None
+
+
 def semi_join(df: DataFrame, keys: DataFrame, on: list[str], max_rows: int = 400_000) -> DataFrame:
     """Rows of ``df`` whose ``on`` columns occur in ``keys``; nulls match nulls.
 
