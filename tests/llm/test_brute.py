@@ -161,15 +161,65 @@ def test_substrings(spark, make_docs, few):
     assert substrings.remove_repeats(make_docs(rows).where("false"), length=50, k=16).count() == 0
 
 
-def test_levels_merge_geometrically(spark, make_docs):
-    rng = random.Random(2)
-    runs = substrings.run_table(make_docs([(i, invented(rng, 200)) for i in range(12)]), 50, 16)
-    family, ranks = substrings.SuffixIndexFamily(), []
-    for b in range(5):
-        family.add(runs.where(f"d % 5 = {b}"))
+def passages(rng, n, size):
+    """Texts of some ``size`` bytes, of passages they share and of their own."""
+    shared = [invented(rng, 300) for _ in range(4)]
+    out = []
+    for _ in range(n):
+        parts = [invented(rng, rng.randint(0, 80))]
+        while sum(map(len, parts)) < size:
+            s = rng.choice(shared)
+            a = rng.randint(0, 600)
+            parts += [s[a : a + rng.randint(200, 900)], invented(rng, rng.randint(0, 60))]
+        out.append(" ".join(parts))
+    return out
+
+
+def removed_rows(df):
+    return Counter((r.doc_id, r.n_bytes, r.n_removed, r.n_spans, r.kept_sha256) for r in df.collect())
+
+
+def test_long_strings(spark, make_docs):
+    texts = passages(random.Random(5), 30, 2500)
+    rows = [*enumerate(texts), (40, texts[3]), (41, "x" * 1500), (42, texts[0][:399]), (43, texts[1][100:500]), (44, None)]
+    want = Counter((i, *x) for (i, _), x in zip(rows, removed_model([(t or "").encode() for _, t in rows], 400)))
+    assert removed_rows(substrings.remove_repeats(make_docs(rows))) == want
+    assert sum(n for (_, _, n, _, _) in want) > 20_000
+
+
+def test_a_stored_family_grows(spark, make_docs):
+    rows = list(enumerate(passages(random.Random(2), 24, 900)))
+    batches = [rows[b::5] for b in range(5)]
+    root = substrings.scratch_path(spark, "stored")
+    ranks = []
+    for b in batches:
+        family = substrings.SuffixIndexFamily(spark, root, 50, 16)  # opened anew each time
+        family.add(make_docs(b))
         ranks.append([r for r, _ in family.levels])
+        seen = [r for x in batches[: len(ranks)] for r in x]
+        want = Counter((i, *x) for (i, _), x in zip(seen, removed_model([t.encode() for _, t in seen], 50)))
+        if len(ranks) in (1, 3, 5):
+            assert removed_rows(substrings.removed(substrings.SuffixIndexFamily(spark, root, 50, 16), make_docs(seen))) == want
     assert ranks == [[0], [1], [1, 0], [2], [2, 0]]
-    assert sum(t.agg({"n": "sum"}).first()[0] for _, t in family.levels) == runs.count()
+    assert sum(t.agg({"n": "sum"}).first()[0] for _, t in family.levels) == family.runs().count()
+    # every level is sorted by the bytes of its suffixes
+    texts = {i: t.encode() for i, t in rows}
+    heads = {}
+    for r in family.runs().collect():
+        text = texts[r.d]
+        best = min(range(r.first, r.first + 35), key=lambda p: substrings_gram(text, p))
+        heads[r.p1, r.p2, r.p3, r.key, r.stretch] = text[best : best + 16]
+    for _, level in family.levels:
+        got = [heads[tuple(r)[:5]] for r in level.orderBy(*substrings.ORDER).collect()]
+        assert got == sorted(got)
+    with pytest.raises(ValueError):
+        substrings.SuffixIndexFamily(spark, root, 50, 20)
+
+
+def substrings_gram(text, p, k=16):
+    """The hash by which anchors are chosen, and its place."""
+    sums, inverse = substrings.Runs._sums(np.frombuffer(text[p : p + k], np.uint8))
+    return int(substrings.bs.fmix64((sums[k:] - sums[:1]) * inverse[:1])[0]) >> 32, p
 
 
 # ---- quality ----
