@@ -8,7 +8,8 @@ leaves behind is never seen.
 Reading: a segment is decompressed piece by piece.  Each record gives rows
 (record id, chunk number, offset, bytes) of at most ``chunk_bytes``; every row
 carries the SHA-1 of the payload up to its end, the last one that of the whole.
-Neither side copies a record; the reader never holds more than one chunk of it.
+The reader never holds more than one chunk of a record.  The writer gets whole rows
+from Spark, in batches bounded in rows, and compresses each payload piece by piece.
 
 Records with equal payloads of at least ``revisit_min_bytes`` are written once:
 that with the largest page_id is the response, the others are revisits that
@@ -53,16 +54,19 @@ _BATCH_BYTES = 4 << 20
 PROFILE = "http://netpreserve.org/warc/1.1/revisit/identical-payload-digest"
 
 
-def plan_records(pages: DataFrame, revisit_min_bytes: int = 0) -> DataFrame:
+def plan_records(pages: DataFrame, revisit_min_bytes: int = 0, most: int = 300_000) -> DataFrame:
     """page_id, url, html, digest (hex), keep_id: the response of equal payloads, null where the row has none other.
 
-    Only digests and ids are grouped; the join may be split by Spark where one
-    digest is hot, as its other side has one row for each digest.
+    Only digests and ids are grouped.  The digests that repeat are counted: up to
+    ``most`` of them are broadcast, so that no payload is shuffled; more are joined,
+    and Spark may split a hot digest, as the other side has one row for each.
     """
     rows = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.coalesce(F.col("html").cast("string"), F.lit("")).alias("html"))
     rows = rows.withColumn("digest", F.sha1("html"))
-    first = rows.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("keep_id"))
-    joined = rows.join(first.hint("shuffle_hash"), F.col("digest") == F.col("of")).drop("of")
+    first = rows.groupBy(F.col("digest").alias("of")).agg(F.max("page_id").alias("keep_id"), F.count(F.lit(1)).alias("n")).where("n > 1")
+    first = materialize(first.select("of", "keep_id"), "digests")
+    first = F.broadcast(first) if first.count() <= most else first
+    joined = rows.join(first, F.col("digest") == F.col("of"), "left").drop("of")
     other = (F.octet_length("html") >= revisit_min_bytes) & ~F.col("page_id").eqNullSafe(F.col("keep_id"))
     return joined.withColumn("keep_id", F.when(other, F.col("keep_id")))
 
