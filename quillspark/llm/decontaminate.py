@@ -12,10 +12,11 @@ fingerprints and extending each match to both sides, word by word, therefore
 finds every shared window and nothing else.  Items shorter than a window have
 no such guarantee; their whole word sequences are looked up directly.
 
-The benchmark is read in blocks of at most ``block_bytes`` of text.  One block
-is broadcast as plain arrays, several are taken one after another in every
-task, so neither the driver nor a task holds more than one block.  Documents
-are not shuffled.
+The benchmark is taken in blocks of about ``block_bytes`` of text.  A benchmark of
+one block is broadcast.  Several are written to the shared folder; a task gathers
+``SPAN_BYTES`` of documents and takes one block after another against them, so that
+neither the driver nor a task holds more than one block, and marks add up.
+Documents are not shuffled.
 
 Edge cases: null texts have no words; an item with a null id marks words but is
 not listed; equal ids count once; extra columns of either table are ignored;
@@ -29,10 +30,14 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
+from pyspark.core.broadcast import Broadcast
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from quillspark.llm import bytescan as bs
+from quillspark.scratch import scratch_path
 
 SCHEMA = "doc_id long, n_words long, n_hit long, n_items long, items_sha256 string, contaminated boolean"
 
@@ -143,41 +148,90 @@ class Block:
                 hits[row[p]].extend(which[a[p] : np.searchsorted(keys, g[p], "right")].tolist())
 
 
-class Judge:
-    """Marks slices of documents against the blocks of a benchmark."""
+class Marks:
+    """The words of a slice of documents, and what the blocks mark in it."""
+
+    def __init__(self, s: bs.TextSlice) -> None:
+        self.w = bs.words(s, bs.ALNUM)
+        self.h = bs.word_hashes(s.buf, self.w)
+        self.edge = np.zeros(len(self.h) + 1, np.int64)
+        self.names: list[set[str]] = [set() for _ in range(len(s))]
 
-    def __init__(self, handles: list, window: int, k: int) -> None:
-        self.handles, self.window, self.k = handles, window, k
-        self.held = Block(*handles[0].value, window, k) if len(handles) == 1 else None
+    def add(self, block: Block) -> None:
+        hits: list[list[int]] = [[] for _ in self.names]
+        block.mark(self.h, self.w, self.edge, hits)
+        for mine, got in zip(self.names, hits):
+            mine.update(str(block.ids[i]) for i in set(got) if block.ids[i] is not None)
 
-    def mark(self, s: bs.TextSlice) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
+    def told(self) -> tuple[np.ndarray, np.ndarray, list[set[str]]]:
         """Words, hit words and found items of each row."""
-        w = bs.words(s, bs.ALNUM)
-        h = bs.word_hashes(s.buf, w)
-        edge = np.zeros(len(h) + 1, np.int64)
-        names: list[set[str]] = [set() for _ in range(len(s))]
-        for handle in self.handles:
-            block = self.held or Block(*handle.value, self.window, self.k)
-            hits: list[list[int]] = [[] for _ in range(len(s))]
-            block.mark(h, w, edge, hits)
-            for mine, got in zip(names, hits):
-                mine.update(str(block.ids[i]) for i in set(got) if block.ids[i] is not None)
-        hit = np.cumsum(edge)[:-1] > 0
-        return w.counts, np.diff(np.concatenate([[0], np.cumsum(hit)])[w.first]), names
-
-
-def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> list:
-    """The benchmark in broadcast blocks of about ``block_bytes`` of text."""
+        hit = np.cumsum(self.edge)[:-1] > 0
+        return self.w.counts, np.diff(np.concatenate([[0], np.cumsum(hit)])[self.w.first]), self.names
+
+
+class Judge:
+    """Marks documents against the blocks of a benchmark, which it makes one at a time."""
+
+    def __init__(self, blocks: Blocks, window: int, k: int) -> None:
+        self.blocks, self.window, self.k = blocks, window, k
+        self.held: Block | None = None
+
+    def _each(self) -> Iterator[Block]:
+        if isinstance(self.blocks, list):
+            for path in self.blocks:
+                store, root = fs.FileSystem.from_uri(path)
+                files = [x.path for x in store.get_file_info(fs.FileSelector(root)) if x.path.endswith(".parquet")]
+                table = pa.concat_tables([pq.read_table(x, filesystem=store, partitioning=None) for x in files])
+                yield Block(table["item_id"].to_pylist(), table["text"].to_pylist(), self.window, self.k)
+        else:
+            self.held = self.held or Block(*self.blocks.value, self.window, self.k)
+            yield self.held
+
+    def run(self, batches: Iterator[pa.RecordBatch], place: int) -> Iterator[tuple[pa.RecordBatch, list[Marks]]]:
+        """Each batch with the marks of its slices."""
+        waiting: list[tuple[pa.RecordBatch, list[Marks]]] = []
+        size = 0
+        for batch in batches:
+            marks = []
+            for s in bs.slices(batch.column(place)):
+                marks.append(Marks(s))
+                size += len(s.buf)
+            waiting.append((batch, marks))
+            if size >= (SPAN_BYTES if isinstance(self.blocks, list) else 0):
+                yield from self._judged(waiting)
+                waiting, size = [], 0
+        yield from self._judged(waiting)
+
+    def _judged(self, waiting: list) -> Iterator[tuple[pa.RecordBatch, list[Marks]]]:
+        if waiting:
+            for block in self._each():
+                for _, marks in waiting:
+                    for m in marks:
+                        m.add(block)
+        yield from waiting
+
+
+#: Documents that a task gathers before it goes through several blocks.
+SPAN_BYTES = 32_000_000
+#: A broadcast block, or the folders of several.
+Blocks = Broadcast | list[str]
+
+
+def _blocks(docs: DataFrame, benchmark: DataFrame, block_bytes: int) -> Blocks:
+    """The benchmark as one broadcast block of at most ``block_bytes`` of text, or in several in the shared folder."""
     spark = docs.sparkSession
     items = benchmark.select(F.col("item_id").cast("long").alias("item_id"), F.col("text").cast("string").alias("text")).where("text is not null")
     total = items.agg(F.coalesce(F.sum(F.octet_length("text")), F.lit(0))).first()[0]
     n_blocks = max(1, -(-int(total) // block_bytes))
-    handles = []
-    for b in range(n_blocks):
-        part = items if n_blocks == 1 else items.where(F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)) == b)
-        rows = part.distinct().collect()  # at most about block_bytes of text
-        handles.append(spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows])))
-    return handles
+    if n_blocks == 1:
+        rows = items.distinct().collect()  # at most block_bytes of text
+        return spark.sparkContext.broadcast(([r.item_id for r in rows], [r.text for r in rows]))
+    root = scratch_path(spark, "benchmark")
+    parts = items.distinct().withColumn("block", F.pmod(F.xxhash64("item_id", "text"), F.lit(n_blocks)).cast("int"))
+    parts.repartition("block").write.partitionBy("block").parquet(root)
+    used = sorted(r.block for r in spark.read.parquet(root).select("block").distinct().collect())
+    uri = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    return [f"{uri}/block={b}" for b in used]
 
 
 def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
@@ -186,21 +240,22 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
     Columns: doc_id, n_words, n_hit, n_items, items_sha256 (of the ids, sorted
     as strings and joined by commas), contaminated.
     """
-    handles = _blocks(docs, benchmark, block_bytes)
+    blocks = _blocks(docs, benchmark, block_bytes)
 
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(handles, window, k)
-        for batch in batches:
-            for s in bs.slices(batch.column(1)):
-                n_words, n_hit, names = judge.mark(s)
+        for batch, marks in Judge(blocks, window, k).run(batches, 1):
+            at = 0
+            for m in marks:
+                n_words, n_hit, names = m.told()
                 columns = [
-                    batch.column(0).slice(s.lo, len(s)),
+                    batch.column(0).slice(at, len(names)),
                     pa.array(n_words, pa.int64()),
                     pa.array(n_hit, pa.int64()),
                     pa.array([len(x) for x in names], pa.int64()),
                     pa.array([hashlib.sha256(",".join(sorted(x)).encode()).hexdigest() for x in names]),
                     pa.array(n_hit > 0),
                 ]
+                at += len(names)
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "n_words", "n_hit", "n_items", "items_sha256", "contaminated"])
 
     narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -209,13 +264,12 @@ def decontaminate(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: in
 
 def drop_contaminated(docs: DataFrame, benchmark: DataFrame, window: int = 10, k: int = 5, block_bytes: int = 16_000_000) -> DataFrame:
     """``docs`` without the rows in which a window of the benchmark occurs; all columns kept."""
-    handles = _blocks(docs, benchmark, block_bytes)
+    blocks = _blocks(docs, benchmark, block_bytes)
     place = docs.columns.index("text")
 
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        judge = Judge(handles, window, k)
-        for batch in batches:
-            clean = [judge.mark(s)[1] == 0 for s in bs.slices(batch.column(place))]
+        for batch, marks in Judge(blocks, window, k).run(batches, place):
+            clean = [m.told()[1] == 0 for m in marks]
             if clean:
                 yield batch.filter(pa.array(np.concatenate(clean)))
 

@@ -345,7 +345,7 @@ def test_decontamination(spark, make_docs):
         digest = hashlib.sha256(",".join(sorted(map(str, found))).encode()).hexdigest()
         want[d, len(w), sum(hit), len(found), digest, any(hit)] += 1
     bench = spark.createDataFrame([(*r, "clash") for r in items], "item_id long, text string, doc_id string")
-    for size in (16_000_000, 600):  # one block, and several
+    for size in (16_000_000, 600, 20):  # one block, several, and one for almost each item
         assert Counter(tuple(r) for r in decontaminate.decontaminate(make_docs(rows), bench, block_bytes=size).collect()) == want
     kept = decontaminate.drop_contaminated(make_docs(rows), bench)
     assert Counter(r.doc_id for r in kept.collect()) == Counter(d for (d, *_, bad), n in want.items() for _ in range(n) if not bad)
