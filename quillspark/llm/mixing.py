@@ -16,7 +16,9 @@ at most half of one document.
 The order is global in a source, which may hold a third of all rows, so it is
 never sorted as a whole.  Quotients are mapped monotonically to ``buckets``
 ranges, the words of each (source, bucket) are summed before any shuffle, and
-only the one bucket of each source in which the target is reached is sorted.
+the one bucket of each source in which the target is reached is divided in the
+same way again; only the rows of one such fine bucket (a 65,536th of a source, at
+the default) are sorted.
 Sources may be as many as hosts: they are numbered by a distributed sort, and the
 targets are found by aggregates, so that no task holds all of them.
 
@@ -126,37 +128,60 @@ def _with_plan(rows: DataFrame, plan: DataFrame) -> DataFrame:
 
 
 def _ranked(rows: DataFrame, buckets: int) -> DataFrame:
-    """Adds the order quotient ``q`` and its bucket."""
+    """Adds the order quotient ``q``, its bucket and its fine bucket, both over all sources' common range."""
     odds = (F.col("u") / (F.lit(1.0) - F.col("u"))) * ((F.lit(1.0) - F.col("p")) / F.col("p"))
     rows = rows.withColumn("q", F.when(F.col("p") > 0, odds).otherwise(F.lit(float("inf"))))
-    spot = F.least(F.floor(F.col("q") / (F.col("q") + 1.0) * buckets), F.lit(buckets - 1))
-    return rows.withColumn("bucket", F.when(F.col("p") > 0, spot).otherwise(F.lit(buckets - 1)).cast("int"))
+    most = buckets * buckets - 1
+    spot = F.least(F.floor(F.col("q") / (F.col("q") + 1.0) * (most + 1)), F.lit(most))
+    rows = rows.withColumn("fine", F.when(F.col("p") > 0, spot).otherwise(F.lit(most)).cast("long"))
+    return rows.withColumn("bucket", F.floor(F.col("fine") / buckets).cast("long"))
 
 
 def _place() -> Column:
     return F.struct("q", F.col("doc_id").isNull().alias("null"), "doc_id")
 
 
+def _cut(ranked: DataFrame, bucket: str, below: Column) -> DataFrame:
+    """(of, whole, cut, below): for each source, the last bucket that its rest takes whole (-1: none), the one it ends in, and the words before that.
+
+    ``below`` are the words before the first of the buckets.
+    """
+    upto = W.partitionBy("source").orderBy(bucket)
+    sums = ranked.groupBy("source", bucket).agg(F.sum("size").alias("words"), F.first("rest").alias("rest"), F.first(below).alias("start"))
+    sums = sums.withColumn("upto", F.col("start") + F.sum("words").over(upto)).withColumn("below", F.col("upto") - F.col("words"))
+    cut = F.max(F.when((F.col("below") < F.col("rest")) & (F.col("upto") > F.col("rest")), F.struct(bucket, "below")))
+    cuts = sums.groupBy(F.col("source").alias("of")).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col(bucket))), F.lit(-1)).alias("whole"), cut.alias("c"))
+    return materialize(cuts.select("of", "whole", F.col(f"c.{bucket}").alias("cut"), F.col("c.below").alias("below")), "cuts")
+
+
+def _with_source(rows: DataFrame, table: DataFrame) -> DataFrame:
+    """Each row with its source's line of a table, which is broadcast if a count finds it small."""
+    small = table.count() <= 20_000
+    return rows.join(F.broadcast(table) if small else table, F.col("source").eqNullSafe(F.col("of"))).drop("of")
+
+
 def mix_plan(base: DataFrame, weights: tuple[int, ...], budget: float, cap: float, buckets: int) -> DataFrame:
     """One row for each source and size class: target, certain copies, and where the source's sample ends.
 
-    ``base`` has doc_id, source, size, cls, u.  A row is in the sample if its
-    bucket is at most ``whole``, or if it is in bucket ``cut`` and not beyond ``last``.
+    ``base`` has doc_id, source, size, cls, u.  A row is in the sample if its fine
+    bucket is at most ``whole``, or if it is in fine bucket ``cut`` and not beyond ``last``.
     """
     classes = materialize(base.groupBy("source", "cls").agg(F.sum("size").alias("words")), "classes")
     targets = source_targets(classes.groupBy("source").agg(F.sum("words").alias("source_size")), weights, budget, cap)
     shares = materialize(class_shares(classes, targets, cap), "shares")
     ranked = _ranked(_with_plan(base, shares), buckets)
 
-    upto = W.partitionBy("source").orderBy("bucket")
-    sums = ranked.groupBy("source", "bucket").agg(F.sum("size").alias("words"), F.first("rest").alias("rest"))
-    sums = sums.withColumn("upto", F.sum("words").over(upto)).withColumn("below", F.col("upto") - F.col("words"))
-    cut = F.max(F.when((F.col("below") < F.col("rest")) & (F.col("upto") > F.col("rest")), F.struct("bucket", "below")))
-    cuts = sums.groupBy(F.col("source").alias("of")).agg(F.coalesce(F.max(F.when(F.col("upto") <= F.col("rest"), F.col("bucket"))), F.lit(-1)).alias("whole"), cut.alias("c"))
-    cuts = materialize(shares.join(cuts.select("of", "whole", F.col("c.bucket").alias("cut"), F.col("c.below").alias("below")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of"), "cuts")
+    coarse = _cut(ranked, "bucket", F.lit(0))
+    inside = _with_source(ranked, coarse).where(F.col("bucket") == F.col("cut"))
+    fine = _cut(inside, "fine", F.col("below"))
+    # ``whole`` counts fine buckets: all of those before the coarse one, and those before the end in it
+    found = coarse.join(fine.select(F.col("of").alias("of_"), F.col("whole").alias("w"), F.col("cut").alias("fine_cut"), F.col("below").alias("fine_below")), F.col("of").eqNullSafe(F.col("of_")), "left")
+    whole = F.greatest(F.col("whole") * buckets + (buckets - 1), F.coalesce("w", F.lit(-1)))
+    cuts = shares.join(found.select("of", whole.alias("whole"), F.col("fine_cut").alias("cut"), F.col("fine_below").alias("below")), F.col("source").eqNullSafe(F.col("of")), "left").drop("of")
+    cuts = materialize(cuts, "cuts")
 
     # The frame is by value: rows that tie are taken or left together.
-    near = _with_plan(ranked.drop("source_size", "target", "sure", "p", "rest"), cuts).where((F.col("p") > 0) & (F.col("bucket") == F.col("cut"))).withColumn("place", _place())
+    near = _with_plan(ranked.drop("source_size", "target", "sure", "p", "rest"), cuts).where((F.col("p") > 0) & (F.col("fine") == F.col("cut"))).withColumn("place", _place())
     near = near.withColumn("incl", F.col("below") + F.sum("size").over(W.partitionBy("source").orderBy("place")))
     near = near.withColumn("excl", F.col("incl") - F.sum("size").over(W.partitionBy("source", "place")))
     ends = near.where(F.col("incl") + F.col("excl") <= F.col("rest") * 2.0).groupBy(F.col("source").alias("of")).agg(F.max("place").alias("last"))
@@ -166,7 +191,7 @@ def mix_plan(base: DataFrame, weights: tuple[int, ...], budget: float, cap: floa
 
 def _copies(rows: DataFrame, plan: DataFrame, buckets: int) -> DataFrame:
     rows = _ranked(_with_plan(rows, plan), buckets)
-    inside = (F.col("bucket") <= F.col("whole")) | F.coalesce((F.col("bucket") == F.col("cut")) & (_place() <= F.col("last")), F.lit(False))
+    inside = (F.col("fine") <= F.col("whole")) | F.coalesce((F.col("fine") == F.col("cut")) & (_place() <= F.col("last")), F.lit(False))
     return rows.withColumn("copies", F.col("sure") + F.when((F.col("p") > 0) & inside, 1).otherwise(0))
 
 
@@ -174,14 +199,14 @@ def _base(docs: DataFrame, seed: str) -> DataFrame:
     return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("source").cast("string").alias("source"), n_words(F.col("text")).alias("size"), draw(F.col("doc_id"), seed).alias("u")).withColumn("cls", size_class(F.col("size")))
 
 
-def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 1 << 14) -> DataFrame:
+def pareto_mix(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 256) -> DataFrame:
     """One row for each document: doc_id, source, size, source_size, target, copies, taken."""
     base = materialize(_base(docs, seed), "mix")
     told = _copies(base, mix_plan(base, weights, budget, cap, buckets), buckets)
     return told.select("doc_id", "source", "size", "source_size", "target", "copies", (F.col("size") * F.col("copies")).alias("taken"))
 
 
-def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 1 << 14) -> DataFrame:
+def mixed_documents(docs: DataFrame, weights: tuple[int, ...] = (5, 2, 1), budget: float = 1.5, cap: float = 2.0, seed: str = "mix", buckets: int = 256) -> DataFrame:
     """The documents of the mix with all their columns, and size, source_size, target, copies, taken.
 
     Documents of which no copy is taken are left out; a clashing name among the

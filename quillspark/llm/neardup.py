@@ -271,7 +271,7 @@ def stray_links(placed: DataFrame, groups: DataFrame, texts: DataFrame, k: int,
     return placed_texts.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(meet, "a long, b long")
 
 
-def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int, rows: int, bands: int) -> DataFrame:
+def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int, rows: int, bands: int, strays: int, others: int) -> DataFrame:
     """(node, component) over class ids, for classes with at least one link."""
     m = rows * bands
     cut = percent / 100 - 5 * (0.16 / m) ** 0.5
@@ -314,21 +314,22 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     hubs = named.groupBy("cid").agg(F.min("p").alias("hub"), F.collect_set("p").alias("ps"))
     joined = hubs.select(F.explode("ps").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
     groups = connected_components(hubs.select(F.col("cid").alias("a"), F.col("hub").alias("b")).unionByName(joined))
-    found = materialize(stray_links(placed, groups, texts, k, percent), "strays")
+    found = materialize(stray_links(placed, groups, texts, k, percent, strays, others), "strays")
     return components if found.isEmpty() else connected_components(links.unionByName(found))
 
 
-def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, bands: int = 42) -> DataFrame:
+def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, bands: int = 42, strays: int = 100, others: int = 400) -> DataFrame:
     """One row for each document: doc_id, n_shingles, component_id, kept, and ``tk``, ``stays``.
 
     ``tk`` is the hash of the text; ``stays`` marks the rows with the text that
-    represents the group, ``kept`` those whose doc_id is its least.
+    represents the group, ``kept`` those whose doc_id is its least.  ``strays`` and
+    ``others`` size the blocks of ``stray_links``.
     """
     rows_of = materialize(sketch_table(docs, k, rows * bands), "sketches")
     order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk")
     classes = rows_of.where("cls is not null").groupBy("cls").agg(F.min(order).alias("rep"), F.max("n").alias("n"), F.max("sketch").alias("sketch"))
     classes = materialize(classes.select(F.monotonically_increasing_id().alias("cid"), "cls", "n", F.col("rep.doc_id").alias("doc"), F.col("rep.tk").alias("tk"), "sketch"), "classes")
-    components = class_components(docs, classes, k, percent, rows, bands)
+    components = class_components(docs, classes, k, percent, rows, bands, strays, others)
 
     named = classes.select("cid", "cls", "doc", "tk").join(components.withColumnRenamed("node", "cid"), "cid", "left")
     named = named.select("cls", F.struct(F.col("doc").isNull().alias("null"), F.col("doc").alias("doc_id"), "tk").alias("own"), "component")

@@ -300,6 +300,34 @@ def test_near_duplicates(spark, make_docs, k):
     assert neardup.near_duplicates(make_docs(rows).where("false"), k=k).count() == 0
 
 
+def test_large_groups_across_blocks(spark, make_docs):
+    """One family of near copies of all degrees, so that links, strays and blocks of them are many."""
+    rng = random.Random(41)
+    base = invented(rng, 90, 5000).split()
+    rows = []
+    for i in range(900):
+        w = list(base)
+        for _ in range(rng.choice([1, 3, 5, 7, 9, 12, 16, 22])):
+            w[rng.randrange(len(w))] = f"edit{rng.randrange(400)}"
+        rows.append((i, " ".join(w)))
+    sets = [np.array([hash(g) for g in {tuple(w[j : j + 2]) for j in range(len(w) - 1)}]) for w in (words(t) for _, t in rows)]
+    names, column = np.unique(np.concatenate(sets), return_inverse=True)
+    grid = np.zeros((len(rows), len(names)), np.int32)
+    grid[np.repeat(np.arange(len(rows)), [len(x) for x in sets]), column] = 1
+    shared = grid @ grid.T
+    n = np.array([len(x) for x in sets])
+    linked = 100 * shared >= 80 * (n[:, None] + n[None, :] - shared)
+    label = np.arange(len(rows))
+    while True:
+        new = np.array([label[linked[i]].min() for i in range(len(rows))])
+        if (new == label).all():
+            break
+        label = new
+    assert 50 < len(set(label.tolist())) < 850
+    got = neardup.near_duplicates(make_docs(rows), k=2, strays=40, others=90).collect()
+    assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist()))
+
+
 def test_sketches_merge():
     import numpy as np
 
