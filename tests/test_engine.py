@@ -26,3 +26,61 @@ def test_engine(spark):
     mine = [e for e in events if e[0] == 2]
     assert [e[2] for e in mine][:2] == ["plan", "sub_done"] and mine[-1][2] == "done"
     assert any(json.loads(e[3]) == {"from": "c", "to": "d", "relation": "cites"} for e in mine if e[2] == "hop")
+
+
+def test_engine_upkeep(spark):
+    """Warm-up, cancellation, the registry, search fallback and counters."""
+    import threading
+    import time
+
+    import pytest
+
+    from quillspark.operators import stats
+
+    c = spark.createDataFrame([chunk("a", title="a", text="apples", chunk_ord=0)], CHUNK).selectExpr("*", "0 as chunk_index")
+    made = models.embedder("hashed-16")
+    vectors = models.embed_chunks(c.selectExpr("chunk_ord", "title", "text"), made.make(), "chunk_ord")
+    posts = ranking.postings(c.selectExpr("chunk_ord", "text as body"), "chunk_ord", "body")
+    edges = spark.createDataFrame([], "from string, to string, relation string, adj_ord long")
+    engine = Engine(c, vectors, posts, spark.createDataFrame([("a", "ARTICLE", None)], "id string, type string, date string"), edges, made.make())
+    row = engine.warm_up(made.dim).first()
+    assert (row.n, row.bad_dim, row.not_unit) == (1, 0, 0) and engine.impacts.count() == 1
+
+    with pytest.raises(KeyError):
+        models.embedder("none of this name")
+    assert models.embedder().dim == 16
+
+    stopper = threading.Thread(target=lambda: (time.sleep(2), engine.cancel("listener-gone")))
+    stopper.start()
+    started = time.time()
+    with pytest.raises(Exception, match="(?i)cancel"), engine.cancellable("listener-gone"):
+        spark.range(0, 10**12, 1, 8).selectExpr("sum(hash(id))").collect()
+    stopper.join()
+    assert time.time() - started < 60 and spark.range(3).count() == 3
+
+    def search(question):
+        if "fail" in question:
+            raise OSError("no network")
+        return f"found {question}"
+
+    questions = spark.createDataFrame([(1, "x"), (2, "y"), (3, "fail")], "qid long, question string")
+    got = {r.qid: (r.context, r.searched) for r in models.search_fallback(questions, spark.createDataFrame([(1, "here")], "qid long, context string"), search).collect()}
+    assert got == {1: ("here", False), 2: ("found y", True), 3: ("search failed: no network", True)}
+
+    counted, seen = stats.observed(spark.range(50).toDF("id"), "written")
+    counted.write.format("noop").mode("overwrite").save()
+    assert stats.throughput(seen, 2.0) == {"rows": 50, "seconds": 2.0, "rows_per_second": 25.0}
+
+
+def test_many_query_vectors(spark):
+    """More query vectors than one broadcast block."""
+    import numpy as np
+
+    rng = np.random.default_rng(3)
+    v = rng.normal(size=(300, 4)).round(3)
+    q = rng.normal(size=(5000, 4)).round(3)
+    frame = lambda x, name: spark.createDataFrame([(i, r) for i, r in enumerate(x.tolist())], f"{name} long, embedding array<double>")
+    got = ranking.top_k(ranking.vector_scores(frame(v, "vec_id"), frame(q, "qid"), "vec_id", 3), "vec_id", 3).collect()
+    s = np.round(v @ q.T, 6)
+    want = {(j, int(i), n) for j in range(5000) for n, i in enumerate(np.lexsort((np.arange(300), -s[:, j]))[:3]) if s[i, j] > 0}
+    assert {(r.qid, r.vec_id, r.rnk) for r in got} == want
