@@ -26,7 +26,7 @@ class Engine:
 
     ``chunks`` has the columns of the chunk table, ``chunk_ord`` and unique
     ids; ``vectors`` (chunk_ord, embedding); ``posts`` the postings of
-    ``chunk_ord`` and ``impacts`` what ``ranking.impacts`` made of them, if it is
+    ``chunk_ord`` and ``index`` the ``ranking.forward_index`` made of them, if it is
     stored; ``edges`` an assembled graph.  All of them are best read
     from stored tables.
     """
@@ -40,7 +40,7 @@ class Engine:
     plan: models.Complete = models.refusing
     profile: Profile = DEFAULT
     pool: int = 50
-    impacts: DataFrame | None = None
+    index: DataFrame | None = None
     _sections: DataFrame | None = field(default=None, repr=False)
 
     @property
@@ -62,9 +62,7 @@ class Engine:
         asked = models.embed_chunks(queries.select("qid", F.lit("").alias("title"), "text"), self.embed, "qid")
         vec = ranking.top_k(ranking.vector_scores(self.vectors, asked, "chunk_ord", k), "chunk_ord", k)
         tokens = queries.select("qid", F.explode(T.tokens(F.col("text"), self.profile)).alias("token"))
-        if self.impacts is None:
-            self.impacts = materialize(ranking.impacts(self.posts, "chunk_ord", self.chunks.count()), "impacts")
-        lex = ranking.top_k(ranking.scored(self.impacts, "chunk_ord", tokens), "chunk_ord", k)
+        lex = ranking.top_k(ranking.lexical_scores(self._lexical(), "chunk_ord", tokens, k), "chunk_ord", k)
         ids = self.chunks.select("chunk_ord", "id")
         return tuple(x.join(ids, "chunk_ord").select("qid", "id", "rnk") for x in (vec, lex))
 
@@ -86,11 +84,16 @@ class Engine:
     def _split(hits: DataFrame) -> DataFrame:
         return hits.withColumn("sub_idx", F.col("qid").bitwiseAND(F.lit((1 << _BITS) - 1))).withColumn("qid", F.shiftright("qid", _BITS))
 
+    def _lexical(self) -> DataFrame:
+        if self.index is None:
+            impacts = ranking.impacts(self.posts, "chunk_ord", self.chunks.count())
+            self.index = materialize(ranking.forward_index(impacts, "chunk_ord"), "index")
+        return self.index
+
     def warm_up(self, dim: int) -> DataFrame:
         """Builds what is built on first use and returns the row of index checks."""
         self.sections.limit(1).count()
-        if self.impacts is None:
-            self.impacts = materialize(ranking.impacts(self.posts, "chunk_ord", self.chunks.count()), "impacts")
+        self._lexical()
         return stats.index_check(self.vectors, dim)
 
     @contextmanager

@@ -126,8 +126,13 @@ def chunk_impacts(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.impacts(chunk_postings(spark, sf), "chunk_ord", chunks(spark, sf).count())
 
 
+@once
+def lexical_index(spark: SparkSession, sf: str) -> DataFrame:
+    return ranking.forward_index(chunk_impacts(spark, sf), "chunk_ord")
+
+
 def lexical_list(spark: SparkSession, sf: str, k: int = 50) -> DataFrame:
-    return ranking.top_k(ranking.scored(chunk_impacts(spark, sf), "chunk_ord", query_tokens(spark, sf)), "chunk_ord", k)
+    return ranking.top_k(ranking.lexical_scores(lexical_index(spark, sf), "chunk_ord", query_tokens(spark, sf), k), "chunk_ord", k)
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -181,4 +186,4 @@ def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def engine(spark: SparkSession, sf: str) -> Engine:
     """The engine over the bound tables, with stand-in models."""
-    return Engine(chunks(spark, sf), chunk_vectors(spark, sf), chunk_postings(spark, sf), parents(spark, sf), edges(spark, sf), models.embedder("hashed-16").make(), models.halving, impacts=chunk_impacts(spark, sf))
+    return Engine(chunks(spark, sf), chunk_vectors(spark, sf), chunk_postings(spark, sf), parents(spark, sf), edges(spark, sf), models.embedder("hashed-16").make(), models.halving, index=lexical_index(spark, sf))

@@ -44,7 +44,7 @@ def test_engine_upkeep(spark):
     edges = spark.createDataFrame([], "from string, to string, relation string, adj_ord long")
     engine = Engine(c, vectors, posts, spark.createDataFrame([("a", "ARTICLE", None)], "id string, type string, date string"), edges, made.make())
     row = engine.warm_up(made.dim).first()
-    assert (row.n, row.bad_dim, row.not_unit) == (1, 0, 0) and engine.impacts.count() == 1
+    assert (row.n, row.bad_dim, row.not_unit) == (1, 0, 0) and engine.index.count() == 1
 
     with pytest.raises(KeyError):
         models.embedder("none of this name")
@@ -84,3 +84,15 @@ def test_many_query_vectors(spark):
     s = np.round(v @ q.T, 6)
     want = {(j, int(i), n) for j in range(5000) for n, i in enumerate(np.lexsort((np.arange(300), -s[:, j]))[:3]) if s[i, j] > 0}
     assert {(r.qid, r.vec_id, r.rnk) for r in got} == want
+
+
+def test_lexical_scores_by_matrix(spark):
+    """Products of matrices and joins give the same ranking, ties included."""
+    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 9))) for i in range(1500)]
+    posts = ranking.postings(spark.createDataFrame(rows, "id long, body string"), "id", "body")
+    impact = ranking.impacts(posts, "id", len(rows))
+    asked = spark.createDataFrame([(q, f"w{(q * j) % 9}") for q in range(300) for j in range(1, 6)], "qid long, token string")
+    index = ranking.forward_index(impact, "id")
+    want = {(r.qid, r.id, r.rnk) for r in ranking.top_k(ranking.scored(impact, "id", asked), "id", 7).collect()}
+    for most in (500_000, 1):
+        assert {(r.qid, r.id, r.rnk) for r in ranking.top_k(ranking.lexical_scores(index, "id", asked, 7, most), "id", 7).collect()} == want
