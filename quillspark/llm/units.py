@@ -76,7 +76,7 @@ def unit_table(docs: DataFrame) -> DataFrame:
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "row", "tk", "unit_no", "start", "end", "n_words", "h1", "h2"]
         for batch in batches:
-            for s in bs.slices(batch.column(3)):
+            for s in bs.slices(batch.column(3), 1 << 20):
                 row, number, start, end, n, h1, h2 = units_of(s)
                 at = pa.array(row + s.lo)
                 columns = [*[batch.column(i).take(at) for i in range(3)], *[pa.array(x.astype(np.int32)) for x in (number, start, end, n)], *[pa.array(x.view(np.int64)) for x in (h1, h2)]]
@@ -89,17 +89,13 @@ def unit_table(docs: DataFrame) -> DataFrame:
     return narrow.mapInArrow(scan, UNITS)
 
 
-def _removed(units: DataFrame, min_words: int) -> DataFrame:
-    """The units that aren't the first of their digest, with the one that is and the words of their passage."""
+def _again(units: DataFrame) -> DataFrame:
+    """The units that aren't the first of their digest, with the one that is."""
     rank = lambda: F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk", "row", "unit_no")
     units = units.where("unit_no >= 0")
     first = units.groupBy("h1", "h2").agg(F.min(rank()).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    first = materialize(first, "first")
-    again = units.join(first, ["h1", "h2"]).where(rank() > F.col("kept"))
-    again = again.withColumn("island", F.col("unit_no") - F.row_number().over(W.partitionBy("row").orderBy("unit_no")))
-    again = again.withColumn("passage_words", F.sum("n_words").over(W.partitionBy("row", "island")).cast("int"))
-    again = again if min_words <= 1 else again.where(F.col("passage_words") >= min_words)
-    return again.select("doc_id", "row", "unit_no", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no"), "passage_words")
+    again = units.join(materialize(first, "first"), ["h1", "h2"]).where(rank() > F.col("kept"))
+    return again.select("doc_id", "row", "unit_no", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no"))
 
 
 def repeated_units(docs: DataFrame, min_words: int = 1) -> DataFrame:
@@ -107,7 +103,52 @@ def repeated_units(docs: DataFrame, min_words: int = 1) -> DataFrame:
 
     Columns: doc_id, unit_no, start, end, n_words, kept_doc_id, kept_unit_no, passage_words.
     """
-    return _removed(materialize(unit_table(docs), "units"), min_words).drop("row")
+    again = _again(materialize(unit_table(docs), "units"))
+    again = again.withColumn("island", F.col("unit_no") - F.row_number().over(W.partitionBy("row").orderBy("unit_no")))
+    again = again.withColumn("passage_words", F.sum("n_words").over(W.partitionBy("row", "island")).cast("int"))
+    return again.where(F.col("passage_words") >= min_words).drop("row", "island")
+
+
+def _document_rows(min_words: int):
+    """Batches of documents' lines, sorted by row and unit: the first line of each tells its units, the others are removed ones."""
+    names = ["doc_id", "n_units", "n_removed", "removed_words", "longest_passage", "spans"]
+
+    def told(t: pa.Table) -> pa.RecordBatch:
+        row, unit, n_words = (t[c].to_numpy() for c in ("row", "unit_no", "n_words"))
+        heads = np.flatnonzero(unit < 0)
+        own = np.flatnonzero(unit >= 0)
+        doc = np.searchsorted(heads, own, "right") - 1
+        n, removed, longest = (np.zeros(len(heads), np.int64) for _ in range(3))
+        spans = [""] * len(heads)
+        if len(own):
+            apart = np.concatenate([[True], (row[own][1:] != row[own][:-1]) | (unit[own][1:] != unit[own][:-1] + 1)])
+            sums = np.add.reduceat(n_words[own].astype(np.int64), np.flatnonzero(apart))[np.cumsum(apart) - 1]
+            keep = sums >= min_words
+            own, doc, sums = own[keep], doc[keep], sums[keep]
+            n = np.bincount(doc, minlength=len(heads))
+            removed = np.bincount(doc, n_words[own], len(heads)).astype(np.int64)
+            np.maximum.at(longest, doc, sums)
+            part = t.take(pa.array(own))
+            lines = [f"{a}:{b}:{'null' if c is None else c}:{d}" for a, b, c, d in zip(*(part[c].to_pylist() for c in ("start", "end", "kept_doc_id", "kept_unit_no")))]
+            cuts = np.concatenate([[0], np.cumsum(n)]).tolist()
+            spans = [",".join(lines[a:b]) for a, b in zip(cuts, cuts[1:])]
+        columns = [t["doc_id"].take(pa.array(heads)).combine_chunks(), *[pa.array(x.astype(np.int64)) for x in (n_words[heads], n, removed, longest)], pa.array(spans, pa.string())]
+        return pa.RecordBatch.from_arrays(columns, names=names)
+
+    def gather(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: list[pa.RecordBatch] = []
+        for batch in batches:
+            # a document may go on in the next batch
+            heads = np.flatnonzero(batch["unit_no"].to_numpy() < 0)
+            if len(heads) and held and (sum(b.num_rows for b in held) + int(heads[-1])) >= 10_000:
+                yield told(pa.Table.from_batches([*held, batch.slice(0, int(heads[-1]))]))
+                held = []
+                batch = batch.slice(int(heads[-1]))
+            held.append(batch)
+        if held and sum(b.num_rows for b in held):
+            yield told(pa.Table.from_batches(held))
+
+    return gather
 
 
 def document_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
@@ -115,21 +156,14 @@ def document_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
 
     Columns: doc_id, n_units, n_removed, removed_words, longest_passage (in
     words), spans (``start:end:kept_doc_id:kept_unit_no`` of the removed units, by
-    place, joined by commas).
+    place, joined by commas).  Documents are put together from sorted lines, one
+    after another.
     """
     units = materialize(unit_table(docs), "units")
-    whole = units.where("unit_no = -1").select("doc_id", "row", F.col("n_words").alias("n_units"), *[F.lit(None).cast(t).alias(c) for c, t in (("unit_no", "int"), ("n_words", "int"), ("passage_words", "int"), ("span", "string"))])
-    span = F.concat_ws(":", "start", "end", F.coalesce(F.col("kept_doc_id").cast("string"), F.lit("null")), "kept_unit_no")
-    again = _removed(units, min_words).select("doc_id", "row", F.lit(None).cast("int").alias("n_units"), "unit_no", "n_words", "passage_words", span.alias("span"))
-    spans = F.array_sort(F.collect_list(F.when(F.col("unit_no").isNotNull(), F.struct("unit_no", "span"))))
-    told = whole.unionByName(again).groupBy("doc_id", "row").agg(
-        F.max("n_units").cast("long").alias("n_units"),
-        F.count("unit_no").alias("n_removed"),
-        F.coalesce(F.sum("n_words"), F.lit(0)).cast("long").alias("removed_words"),
-        F.coalesce(F.max("passage_words"), F.lit(0)).cast("long").alias("longest_passage"),
-        F.array_join(F.transform(spans, lambda x: x["span"]), ",").alias("spans"),
-    )
-    return told.drop("row")
+    none = [F.lit(None).cast(t).alias(c) for c, t in (("kept_doc_id", "long"), ("kept_unit_no", "int"))]
+    lines = units.where("unit_no = -1").select("doc_id", "row", "unit_no", "start", "end", "n_words", *none).unionByName(_again(units))
+    lines = lines.repartition("row").sortWithinPartitions("row", "unit_no")
+    return lines.mapInArrow(_document_rows(min_words), "doc_id long, n_units long, n_removed long, removed_words long, longest_passage long, spans string")
 
 
 UNITS_SQL = r"""
