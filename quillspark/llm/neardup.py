@@ -271,6 +271,11 @@ def stray_links(placed: DataFrame, groups: DataFrame, texts: DataFrame, k: int,
     return placed_texts.repartition("g", "i", "j").sortWithinPartitions("g", "i", "j").mapInArrow(meet, "a long, b long")
 
 
+def _joined(components: DataFrame, links: DataFrame) -> DataFrame:
+    """The components after more links."""
+    return components if links.isEmpty() else connected_components(components.select(F.col("node").alias("a"), F.col("component").alias("b")).unionByName(links))
+
+
 def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int, rows: int, bands: int, strays: int, others: int) -> DataFrame:
     """(node, component) over class ids, for classes with at least one link."""
     m = rows * bands
@@ -299,8 +304,7 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
 
     rest = materialize(_apart(scored.select("a", "b").join(best, ["a", "b"], "left_anti"), components), "rest")
     if not rest.isEmpty():
-        links = links.unionByName(materialize(verified(rest, texts, k, percent), "links"))
-        components = connected_components(links)
+        components = _joined(components, materialize(verified(rest, texts, k, percent), "links"))
 
     # What is still apart in a bucket, without the two classes that all were compared with.
     named = members.join(components.select(F.col("node").alias("cid"), "component"), "cid", "left").select("band", "cid", "n", "p", "q", F.coalesce("component", "cid").alias("c"))
@@ -315,7 +319,7 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     joined = hubs.select(F.explode("ps").alias("a"), F.col("hub").alias("b")).where("a != b").distinct()
     groups = connected_components(hubs.select(F.col("cid").alias("a"), F.col("hub").alias("b")).unionByName(joined))
     found = materialize(stray_links(placed, groups, texts, k, percent, strays, others), "strays")
-    return components if found.isEmpty() else connected_components(links.unionByName(found))
+    return _joined(components, found)
 
 
 def near_duplicates(docs: DataFrame, k: int = 5, percent: int = 80, rows: int = 6, bands: int = 42, strays: int = 100, others: int = 400) -> DataFrame:
