@@ -23,19 +23,23 @@ are ignored.
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.parquet as pq
+from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window as W
 
 from quillspark.llm import bytescan as bs
-from quillspark.scratch import materialize
+from quillspark.scratch import scratch_path
 
 #: ``row`` numbers the documents; a line of ``unit_no`` -1 tells how many units a document has, in ``n_words``.
 UNITS = "doc_id long, row long, tk long, unit_no int, start int, end int, n_words int, h1 long, h2 long"
+_FILE = pa.schema([(c, pa.int64() if c in ("doc_id", "row", "tk", "h1", "h2") else pa.int32()) for c in ("doc_id", "row", "tk", "unit_no", "start", "end", "n_words", "h1", "h2")])
 _Q = (0x9E3779B97F4A7C15, 0xD1342543DE82EF95)
 
 
@@ -70,9 +74,7 @@ def units_of(s: bs.TextSlice) -> tuple[np.ndarray, ...]:
     return row[lo], number, points[w.start[lo]] - base, points[w.end[hi - 1]] - base, hi - lo, _sequence_hashes(h, lo, hi, _Q[0]), _sequence_hashes(h ^ np.uint64(0x5555), lo, hi, _Q[1])
 
 
-def unit_table(docs: DataFrame) -> DataFrame:
-    """All units of all documents, with their digests, and a line for each document."""
-
+def _unit_scan():
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         names = ["doc_id", "row", "tk", "unit_no", "start", "end", "n_words", "h1", "h2"]
         for batch in batches:
@@ -85,17 +87,86 @@ def unit_table(docs: DataFrame) -> DataFrame:
                 total = pa.array(np.bincount(row, minlength=len(s)).astype(np.int32))
                 yield pa.RecordBatch.from_arrays([*[batch.column(i).slice(s.lo, len(s)) for i in range(3)], pa.array(np.full(len(s), -1, np.int32)), *none[:2], total, *none[2:]], names=names)
 
-    narrow = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
-    return narrow.mapInArrow(scan, UNITS)
+    return scan
+
+
+def _narrow(docs: DataFrame) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.monotonically_increasing_id().alias("row"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
+
+
+def unit_table(docs: DataFrame) -> DataFrame:
+    """All units of all documents, with their digests, and a line for each document."""
+    return _narrow(docs).mapInArrow(_unit_scan(), UNITS)
+
+
+#: Bits of a packed rank that number the units of a document.
+_UNIT_BITS = 24
+
+
+def stored_units(docs: DataFrame) -> DataFrame:
+    """``unit_table``, written by the tasks themselves to the shared folder, a file for each.
+
+    Rows needn't pass through the JVM for that.  Only files that a task has
+    closed and reported are read, so what a lost or repeated task leaves behind
+    is never seen.
+    """
+    spark = docs.sparkSession
+    root = scratch_path(spark, "units")
+    uri = root if "://" in root or root.startswith("file:") else f"file://{root}"
+    scan = _unit_scan()
+
+    def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        store, base = fs.FileSystem.from_uri(uri)
+        name, out, held = f"units-{uuid.uuid4().hex}.parquet", None, []
+
+        def flush() -> None:
+            nonlocal out
+            table = pa.Table.from_batches(held).cast(_FILE)
+            if out is None:
+                store.create_dir(base, recursive=True)
+                out = pq.ParquetWriter(f"{base}/{name}", _FILE, filesystem=store)
+            out.write_table(table)
+            held.clear()
+
+        for batch in scan(batches):
+            held.append(batch)
+            if sum(b.num_rows for b in held) >= 200_000:
+                flush()
+        if held:
+            flush()
+        if out is not None:
+            out.close()
+            yield pa.RecordBatch.from_arrays([pa.array([name])], names=["name"])
+
+    names = sorted(r.name for r in _narrow(docs).mapInArrow(write, "name string").collect())  # one for each task
+    return spark.read.schema(UNITS).parquet(*[f"{uri}/{n}" for n in names]) if names else spark.createDataFrame([], UNITS)
+
+
+def _packs(units: DataFrame) -> bool:
+    """Whether (doc_id, unit_no) fits one number and tells all units apart: ids are unique, not null, and small enough."""
+    docs = units.where("unit_no = -1").agg(F.count(F.lit(1)).alias("n"), F.count_distinct("doc_id").alias("ids"), F.min("doc_id").alias("lo"), F.max("doc_id").alias("hi"), F.max("n_words").alias("units")).first()
+    return bool(docs.n) and docs.ids == docs.n and docs.lo >= 0 and docs.hi < 1 << (62 - _UNIT_BITS) and docs.units < 1 << _UNIT_BITS
 
 
 def _again(units: DataFrame) -> DataFrame:
-    """The units that aren't the first of their digest, with the one that is."""
-    rank = lambda: F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk", "row", "unit_no")
+    """The units that aren't the first of their digest, with the one that is.
+
+    The rank of a unit is (doc_id, text hash, row, unit_no), nulls last.  Where
+    (doc_id, unit_no) is as good and fits one number, the minimum of that is
+    taken instead, which Spark aggregates by hash, without objects.
+    """
+    every = ["doc_id", "row", "unit_no", "start", "end", "n_words"]
+    packed = _packs(units)
     units = units.where("unit_no >= 0")
-    first = units.groupBy("h1", "h2").agg(F.min(rank()).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    again = units.join(materialize(first, "first"), ["h1", "h2"]).where(rank() > F.col("kept"))
-    return again.select("doc_id", "row", "unit_no", "start", "end", "n_words", F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no"))
+    if packed:
+        rank = F.shiftleft("doc_id", _UNIT_BITS) + F.col("unit_no")
+        kept = [F.shiftright("kept", _UNIT_BITS).alias("kept_doc_id"), F.col("kept").bitwiseAND(F.lit((1 << _UNIT_BITS) - 1)).cast("int").alias("kept_unit_no")]
+    else:
+        rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk", "row", "unit_no")
+        kept = [F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no")]
+    first = units.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
+    again = units.join(first, ["h1", "h2"]).where(rank > F.col("kept"))
+    return again.select(*every, *kept)
 
 
 def repeated_units(docs: DataFrame, min_words: int = 1) -> DataFrame:
@@ -103,7 +174,7 @@ def repeated_units(docs: DataFrame, min_words: int = 1) -> DataFrame:
 
     Columns: doc_id, unit_no, start, end, n_words, kept_doc_id, kept_unit_no, passage_words.
     """
-    again = _again(materialize(unit_table(docs), "units"))
+    again = _again(stored_units(docs))
     again = again.withColumn("island", F.col("unit_no") - F.row_number().over(W.partitionBy("row").orderBy("unit_no")))
     again = again.withColumn("passage_words", F.sum("n_words").over(W.partitionBy("row", "island")).cast("int"))
     return again.where(F.col("passage_words") >= min_words).drop("row", "island")
@@ -159,7 +230,7 @@ def document_repeats(docs: DataFrame, min_words: int = 1) -> DataFrame:
     place, joined by commas).  Documents are put together from sorted lines, one
     after another.
     """
-    units = materialize(unit_table(docs), "units")
+    units = stored_units(docs)
     none = [F.lit(None).cast(t).alias(c) for c, t in (("kept_doc_id", "long"), ("kept_unit_no", "int"))]
     lines = units.where("unit_no = -1").select("doc_id", "row", "unit_no", "start", "end", "n_words", *none).unionByName(_again(units))
     lines = lines.repartition("row").sortWithinPartitions("row", "unit_no")
