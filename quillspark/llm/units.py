@@ -165,7 +165,8 @@ def _again(units: DataFrame) -> DataFrame:
         rank = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "tk", "row", "unit_no")
         kept = [F.col("kept.doc_id").alias("kept_doc_id"), F.col("kept.unit_no").alias("kept_unit_no")]
     first = units.groupBy("h1", "h2").agg(F.min(rank).alias("kept"), F.count(F.lit(1)).alias("c")).where("c > 1").drop("c")
-    again = units.join(first, ["h1", "h2"]).where(rank > F.col("kept"))
+    # dealt anew, so that the join has exchanges of its own on both sides, and Spark may split a frequent digest
+    again = units.join(first.repartition("kept"), ["h1", "h2"]).where(rank > F.col("kept"))
     return again.select(*every, *kept)
 
 
