@@ -5,8 +5,10 @@ from __future__ import annotations
 from collections.abc import Callable
 from functools import wraps
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.bytebpe import read_ranks, token_digests, vocabulary
 from quillspark.llm.decontaminate import WINNOW_SQL, decontaminate
 from quillspark.llm.htmltext import render_pages
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
@@ -77,6 +79,11 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op13_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
+    """Every whole document encoded by a public vocabulary and decoded again."""
+    return token_digests(table(spark, sf_dir, "documents"), vocabulary(read_ranks(ranks), public_tokenizers.PATTERN))
+
+
 def shipped(query: Query) -> Query:
     @wraps(query)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -86,7 +93,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_html_layout, op10_secret_scan]
+QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_html_layout, op10_secret_scan, op13_byte_bpe]
 
 
 def queries() -> dict[str, Query]:
