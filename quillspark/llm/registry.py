@@ -8,11 +8,13 @@ from functools import wraps
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
+from quillspark.llm.ballmeans import BALLS_SQL, ball_k_means, cluster_report
 from quillspark.llm.bytebpe import read_ranks, token_digests, vocabulary
 from quillspark.llm.decontaminate import WINNOW_SQL, decontaminate
 from quillspark.llm.htmltext import render_pages
 from quillspark.llm.mixing import MIX_SQL, pareto_mix
 from quillspark.llm.neardup import near_duplicates
+from quillspark.llm.periodic import periodic_runs, run_report, with_loops
 from quillspark.llm.quality import quality_rules
 from quillspark.llm.secrets import scan_secrets
 from quillspark.llm.substrings import remove_repeats
@@ -79,6 +81,16 @@ def op10_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return scan_secrets(table(spark, sf_dir, "documents"))
 
 
+def op11_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Runs of four periods and more in every whole document, a tenth of which are looped."""
+    return run_report(periodic_runs(with_loops(table(spark, sf_dir, "documents"))))
+
+
+def op12_ball_kmeans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All vectors in 40 clusters after five rounds."""
+    return cluster_report(*ball_k_means(table(spark, sf_dir, "embeddings")))
+
+
 def op13_byte_bpe(spark: SparkSession, sf_dir: str, ranks: str = public_tokenizers.path("byte_bpe_50k.tiktoken")) -> DataFrame:
     """Every whole document encoded by a public vocabulary and decoded again."""
     return token_digests(table(spark, sf_dir, "documents"), vocabulary(read_ranks(ranks), public_tokenizers.PATTERN))
@@ -93,7 +105,7 @@ def shipped(query: Query) -> Query:
     return run
 
 
-QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_html_layout, op10_secret_scan, op13_byte_bpe]
+QUERIES: list[Query] = [op1_warc_chunks, op2_pareto_mix, op3_suffix_levels, op4_quality_llr, op5_setsketch_dedup, op6_decontaminate, op7_line_dedup, op8_toxicity, op9_html_layout, op10_secret_scan, op11_periodic_runs, op12_ball_kmeans, op13_byte_bpe]
 
 
 def queries() -> dict[str, Query]:
@@ -101,4 +113,4 @@ def queries() -> dict[str, Query]:
 
 
 def oracle_sql() -> dict[str, str]:
-    return {"op1_warc_chunks": WARC_SQL, "op2_pareto_mix": MIX_SQL, "op6_decontaminate": WINNOW_SQL, "op7_line_dedup": UNITS_SQL}
+    return {"op1_warc_chunks": WARC_SQL, "op2_pareto_mix": MIX_SQL, "op6_decontaminate": WINNOW_SQL, "op7_line_dedup": UNITS_SQL, "op12_ball_kmeans": BALLS_SQL}
