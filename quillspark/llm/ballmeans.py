@@ -175,13 +175,13 @@ def _sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256) -> str:
     """The same by comparing all vectors with all centroids."""
     parts = [
         f"""kept AS MATERIALIZED (SELECT row_number() OVER () AS rid, vec_id,
-            list_transform(embedding, x -> CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
-            WHERE len(embedding) = {dim} AND len(list_filter(embedding, x -> x IS NOT NULL AND isfinite(x))) = {dim})""",
+            list_transform(embedding, lambda x: CAST(floor({scale} * CAST(x AS DOUBLE)) AS BIGINT)) AS v FROM embeddings
+            WHERE len(embedding) = {dim} AND len(list_filter(embedding, lambda x: x IS NOT NULL AND isfinite(x))) = {dim})""",
         f"""c0 AS MATERIALIZED (SELECT row_number() OVER (ORDER BY sha256('2:' || vec_id)) - 1 AS c, v FROM kept
             ORDER BY sha256('2:' || vec_id) LIMIT {k})""",
     ]
     for r in range(rounds + 1):
-        parts.append(f"""a{r} AS MATERIALIZED (SELECT rid, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x.v, y.v), z -> (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c := c)) AS best
+        parts.append(f"""a{r} AS MATERIALIZED (SELECT rid, min(struct_pack(d := CAST(list_sum(list_transform(list_zip(x.v, y.v), lambda z: (z[1] - z[2]) * (z[1] - z[2]))) AS BIGINT), c := c)) AS best
             FROM kept x CROSS JOIN c{r} y GROUP BY rid)""")
         if r < rounds:
             parts.append(f"""m{r} AS MATERIALIZED (SELECT c, list(CAST((s - ((s % n) + n) % n) / n AS BIGINT) ORDER BY i) AS v FROM (
@@ -191,7 +191,7 @@ def _sql(k: int = 40, rounds: int = 5, dim: int = 64, scale: int = 256) -> str:
     return f"""WITH {", ".join(parts)}
         SELECT vec_id, CAST(best.c AS INTEGER) AS cluster, best.d AS distance,
             CAST(sum(best.d) OVER (PARTITION BY best.c) AS BIGINT) AS cluster_inertia, CAST(sum(best.d) OVER () AS BIGINT) AS inertia,
-            sha256(array_to_string(list_transform(c{rounds}.v, x -> CAST(x AS VARCHAR)), ',')) AS centroid_sha256
+            sha256(array_to_string(list_transform(c{rounds}.v, lambda x: CAST(x AS VARCHAR)), ',')) AS centroid_sha256
         FROM a{rounds} JOIN kept USING (rid) JOIN c{rounds} ON best.c = c{rounds}.c"""
 
 

@@ -35,8 +35,9 @@ import base64
 import re
 import struct
 from array import array
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from dataclasses import dataclass
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -48,7 +49,7 @@ from pyspark.sql import types as t
 
 MOST_BYTES = 64 << 20
 WINDOW = 1 << 20
-CACHED = 200_000
+CACHED = 400_000
 CACHED_CHARS = 48
 BATCH_IDS = 1 << 20
 
@@ -139,62 +140,81 @@ def windows(text: str, size: int = WINDOW) -> Iterator[str]:
     yield text[at:]
 
 
-class _Kinds(dict):
-    """The ids of pre-tokens, as the bytes of 32-bit integers; emptied when full."""
-
-    def __init__(self, v: Vocabulary):
-        self.model = sentencepiece.SentencePieceProcessor(model_proto=v.model)
-        self.ranks, self.whole = v.ranks.tolist(), v.whole
-
-    def __missing__(self, kind: str) -> bytes:
-        name = named(kind.encode("utf-8", "replace"))
-        whole = self.whole.get(name)
-        ids = array("i", [self.ranks[i] for i in self.model.encode(name)] if whole is None else [whole]).tobytes()
-        if len(kind) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[kind] = ids
-        return ids
-
-
-class _Units(dict):
-    """The same of what follows a space up to the next one, the space included."""
-
-    def __init__(self, kinds: _Kinds, pattern: regex.Pattern):
-        self.kinds, self.pattern = kinds, pattern
-
-    def __missing__(self, unit: str) -> bytes:
-        ids = b"".join(map(self.kinds.__getitem__, self.pattern.findall(" " + unit)))
-        if len(unit) <= CACHED_CHARS:
-            if len(self) >= CACHED:
-                self.clear()
-            self[unit] = ids
-        return ids
-
-
 class Encoder:
     """Encodes texts in one task.
 
     No pre-token goes on from something else than a blank to a space, so texts
     are cut there, and the pattern has to look at each kind of part once only.
     A text with a space after another blank is left to the pattern as a whole.
+    Ids are held as the bytes of 32-bit integers.
     """
 
     def __init__(self, v: Vocabulary):
-        self.pattern = regex.compile(v.pattern)
-        self.kinds = _Kinds(v)
-        self.units = _Units(self.kinds, self.pattern)
+        self.model = sentencepiece.SentencePieceProcessor(model_proto=v.model)
+        self.cut = regex.compile(v.pattern).findall
+        self.ranks = None if (v.ranks == np.arange(len(v.ranks))).all() else v.ranks.tolist()
+        self.whole = v.whole
+        self.kinds: dict[str, bytes] = {}  # of pre-tokens
+        self.units: dict[str, bytes] = {}  # of what follows a space up to the next one, the space included
+
+    def _encode_kinds(self, kinds: list[str]) -> Iterator[bytes]:
+        names = [x.encode("utf-8", "replace").decode("latin-1").translate(_NAME) for x in kinds]
+        for name, ids in zip(names, self.model.encode(names, num_threads=1)):
+            if name in self.whole:
+                ids = [self.whole[name]]
+            elif self.ranks is not None:
+                ids = [self.ranks[i] for i in ids]
+            yield array("i", ids).tobytes()
+
+    def _encode_parts(self, parts: list[str]) -> list[bytes]:
+        for known in (self.kinds, self.units):
+            if len(known) > CACHED:
+                known.clear()
+        split = [(self.cut(x), []) if _ODD.search(x) else (self.cut(x[: x.find(" ")] if " " in x else x), x.split(" ")[1:]) for x in parts]
+        units = list({u: None for _, rest in split for u in rest if u not in self.units})
+        found = [self.cut(" " + u) for u in units]
+        kinds = list({k: None for x in chain(found, (head for head, _ in split)) for k in x if k not in self.kinds})
+        self.kinds |= zip(kinds, self._encode_kinds(kinds))
+        of_kind, of_unit = self.kinds.__getitem__, self.units.__getitem__
+        self.units |= zip(units, [b"".join(map(of_kind, x)) for x in found])
+        out = [b"".join(chain(map(of_kind, head), map(of_unit, rest))) for head, rest in split]
+        for known, new in ((self.kinds, kinds), (self.units, units)):
+            for x in new:
+                if len(x) > CACHED_CHARS:
+                    del known[x]
+        return out
+
+    def encode_all(self, texts: Iterable[str]) -> Iterator[np.ndarray]:
+        """The ids of each text.  Texts are taken together up to a window, and what is new in them is encoded at once."""
+        held: list[str] = []
+        owner: list[int] = []
+        begun: list[list[bytes]] = []  # texts whose ids aren't all there yet
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            for row, ids in zip(owner, self._encode_parts(held)):
+                begun[row].append(ids)
+            held.clear()
+            owner.clear()
+            size = 0
+
+        for text in texts:
+            begun.append([])
+            for part in windows(text):
+                held.append(part)
+                owner.append(len(begun) - 1)
+                size += len(part)
+                if size >= WINDOW:
+                    flush()
+            if not held:
+                yield from (np.frombuffer(b"".join(x), np.int32) for x in begun)
+                begun.clear()
+        flush()
+        yield from (np.frombuffer(b"".join(x), np.int32) for x in begun)
 
     def encode(self, text: str) -> np.ndarray:
-        kinds, units, out = self.kinds.__getitem__, self.units.__getitem__, []
-        for part in windows(text):
-            if _ODD.search(part):
-                out.extend(map(kinds, self.pattern.findall(part)))
-            else:
-                first, *rest = part.split(" ")
-                out.extend(map(kinds, self.pattern.findall(first)))
-                out.extend(map(units, rest))
-        return np.frombuffer(b"".join(out), np.int32)
+        return next(self.encode_all([text]))
 
 
 def _with(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
@@ -220,8 +240,8 @@ def encode(df: DataFrame, v: Vocabulary, text: str = "text", ids: str = "ids") -
                 flat = np.concatenate(held) if held else np.zeros(0, np.int32)
                 return _with(batch.slice(at, to - at), ids, pa.ListArray.from_arrays(pa.array(ends), pa.array(flat, pa.int32())))
 
-            for i in range(batch.num_rows):
-                held.append(encoder.encode(texts[i].as_py() or ""))
+            for i, found in enumerate(encoder.encode_all(x.as_py() or "" for x in texts)):
+                held.append(found)
                 n += len(held[-1])
                 if n >= BATCH_IDS:
                     yield flush(i + 1)
