@@ -12,8 +12,9 @@ from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
 from quillspark.operators import context, corpus, graph, ranking, retrieval, serving, stats
+from quillspark.operators.inverted import LexicalIndex
 from quillspark.profile import DEFAULT, Profile
-from quillspark.scratch import materialize
+from quillspark.scratch import scratch_path
 from quillspark.sources import models
 
 
@@ -25,22 +26,20 @@ class Engine:
     """Tables and plug points of one corpus.
 
     ``chunks`` has the columns of the chunk table, ``chunk_ord`` and unique
-    ids; ``vectors`` (chunk_ord, embedding); ``posts`` the postings of
-    ``chunk_ord`` and ``index`` the ``ranking.forward_index`` made of them, if it is
-    stored; ``edges`` an assembled graph.  All of them are best read
-    from stored tables.
+    ids; ``vectors`` (chunk_ord, embedding); ``edges`` is an assembled graph;
+    ``index`` the lexical index of titles and texts by ``chunk_ord``, made
+    on first use if there is none.  All of them are best read from stored tables.
     """
 
     chunks: DataFrame
     vectors: DataFrame
-    posts: DataFrame
     parents: DataFrame
     edges: DataFrame
     embed: models.Embed
     plan: models.Complete = models.refusing
     profile: Profile = DEFAULT
     pool: int = 50
-    index: DataFrame | None = None
+    index: LexicalIndex | None = None
     _sections: DataFrame | None = field(default=None, repr=False)
 
     @property
@@ -62,7 +61,7 @@ class Engine:
         asked = models.embed_chunks(queries.select("qid", F.lit("").alias("title"), "text"), self.embed, "qid")
         vec = ranking.top_k(ranking.vector_scores(self.vectors, asked, "chunk_ord", k), "chunk_ord", k)
         tokens = queries.select("qid", F.explode(T.tokens(F.col("text"), self.profile)).alias("token"))
-        lex = ranking.top_k(ranking.lexical_scores(self._lexical(), "chunk_ord", tokens, k), "chunk_ord", k)
+        lex = self._lexical().top_k(tokens, k, key="chunk_ord")
         ids = self.chunks.select("chunk_ord", "id")
         return tuple(x.join(ids, "chunk_ord").select("qid", "id", "rnk") for x in (vec, lex))
 
@@ -84,10 +83,11 @@ class Engine:
     def _split(hits: DataFrame) -> DataFrame:
         return hits.withColumn("sub_idx", F.col("qid").bitwiseAND(F.lit((1 << _BITS) - 1))).withColumn("qid", F.shiftright("qid", _BITS))
 
-    def _lexical(self) -> DataFrame:
+    def _lexical(self) -> LexicalIndex:
         if self.index is None:
-            impacts = ranking.impacts(self.posts, "chunk_ord", self.chunks.count())
-            self.index = materialize(ranking.forward_index(impacts, "chunk_ord"), "index")
+            spark = self.chunks.sparkSession
+            bodies = self.chunks.select("chunk_ord", F.concat_ws(" ", "title", "text").alias("body"))
+            self.index = LexicalIndex.open(spark, scratch_path(spark, "lexical"), profile=self.profile).refresh(bodies, "chunk_ord", "body")
         return self.index
 
     def warm_up(self, dim: int) -> DataFrame:

@@ -14,7 +14,7 @@ from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
 from quillspark.profile import DEFAULT, Profile
-from quillspark.scratch import materialize, scratch_path
+from quillspark.scratch import scratch_path
 
 K1, B, EPSILON = 1.5, 0.75, 0.25
 
@@ -71,63 +71,8 @@ def scored(impact: DataFrame, key: str, query_tokens: DataFrame, most: int = 500
     return impact.join(wanted, "token").groupBy("qid", key).agg(F.sum(F.col("impact") * F.col("qtf")).alias("score"))
 
 
-def forward_index(impact: DataFrame, key: str) -> DataFrame:
-    """(key, tokens, impacts): one row for each document, tokens as hashes, in order."""
-    pairs = F.array_sort(F.collect_list(F.struct(F.xxhash64("token").alias("t"), "impact")))
-    rows = impact.groupBy(key).agg(pairs.alias("p"))
-    return rows.select(key, F.transform("p", lambda x: x["t"]).alias("tokens"), F.transform("p", lambda x: x["impact"]).alias("impacts"))
-
-
-def lexical_scores(index: DataFrame, key: str, query_tokens: DataFrame, k: int, most: int = 500_000) -> DataFrame:
-    """(qid, key, score): per task the ``k`` best of each query, as ``vector_scores`` has them for vectors.
-
-    ``index`` is a ``forward_index``.  The queries' tokens are counted; up to ``most``
-    of them are broadcast, and scores are products of matrices in blocks of
-    documents and of 256 queries, so that neither the index nor a pair of query
-    and document is ever shuffled.  More tokens are joined (``scored``).
-    """
-    wanted = query_tokens.groupBy("qid", "token").agg(F.count(F.lit(1)).alias("qtf"))
-    wanted = materialize(wanted.select(F.col("qid").cast("long").alias("qid"), F.xxhash64("token").alias("token"), F.col("qtf").cast("double").alias("qtf")), "asked")
-    if wanted.count() > most:
-        flat = index.select(key, F.explode(F.arrays_zip("tokens", "impacts")).alias("p")).select(key, F.col("p.tokens").alias("token"), F.col("p.impacts").alias("impact"))
-        return flat.join(wanted, "token").groupBy("qid", key).agg(F.sum(F.col("impact") * F.col("qtf")).alias("score"))
-    table = wanted.toArrow()
-    handle = index.sparkSession.sparkContext.broadcast(tuple(table[c].to_numpy() for c in ("qid", "token", "qtf")))
-
-    def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        qid, token, qtf = handle.value
-        qids, row = np.unique(qid, return_inverse=True)
-        blocks = []
-        for lo in range(0, len(qids), 256):
-            mine = (row >= lo) & (row < lo + 256)
-            vocabulary, at = np.unique(token[mine], return_inverse=True)
-            asked = np.zeros((len(vocabulary), min(256, len(qids) - lo)))
-            asked[at, row[mine] - lo] = qtf[mine]
-            blocks.append((qids[lo : lo + 256], vocabulary, asked))
-        for batch in batches:
-            for lo in range(0, batch.num_rows, 512):
-                part = batch.slice(lo, 512)
-                keys, lists = part.column(0).to_numpy(), part.column(1)
-                flat, weights = lists.flatten().to_numpy(), part.column(2).flatten().to_numpy()
-                document = np.repeat(np.arange(len(keys)), lists.value_lengths().to_numpy())
-                take = min(k, len(keys))
-                for ids, vocabulary, asked in blocks:
-                    at = np.minimum(np.searchsorted(vocabulary, flat), len(vocabulary) - 1)
-                    known = vocabulary[at] == flat
-                    grid = np.zeros((len(keys), len(vocabulary)))
-                    grid[document[known], at[known]] = weights[known]
-                    s = np.round(grid @ asked, 6)
-                    order = np.argsort(keys, kind="stable")  # ties fall to the lesser key, as in the whole ranking
-                    best = order[np.argsort(-s[order], 0, kind="stable")[:take]]
-                    score = np.take_along_axis(s, best, 0)
-                    some = score.ravel() > 0
-                    yield pa.RecordBatch.from_arrays([pa.array(np.tile(ids, take)[some]), pa.array(keys[best].ravel()[some]), pa.array(score.ravel()[some])], names=["qid", key, "score"])
-
-    return index.select(F.col(key).cast("long").alias(key), "tokens", "impacts").mapInArrow(scan, f"qid long, {key} long, score double")
-
-
 def bm25_scores(posts: DataFrame, key: str, query_tokens: DataFrame, n_docs: int) -> DataFrame:
-    """``scored`` over the impacts of ``posts``, for corpora without a stored index."""
+    """``scored`` over the impacts of ``posts``, for corpora without a stored index (``inverted``)."""
     return scored(impacts(posts, key, n_docs), key, query_tokens)
 
 

@@ -16,8 +16,9 @@ from pyspark.sql import functions as F
 from quillspark.engine import Engine
 from quillspark.functions import text as T
 from quillspark.operators import corpus, graph, ranking, retrieval
+from quillspark.operators.inverted import LexicalIndex
 from quillspark.profile import DEFAULT
-from quillspark.scratch import materialize
+from quillspark.scratch import materialize, scratch_path
 from quillspark.sources import models
 
 LICENSES = replace(DEFAULT, keywords="licen[cs]e|copyright|GNU")
@@ -91,6 +92,7 @@ def edges_raw(spark: SparkSession, sf: str) -> DataFrame:
     return graph.build_edges(p, corpus.parent_sections(p))
 
 
+@once
 def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.assemble(edges_raw(spark, sf))
 
@@ -121,18 +123,20 @@ def chunk_postings(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.postings(c, "chunk_ord", "body")
 
 
-@once
-def chunk_impacts(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.impacts(chunk_postings(spark, sf), "chunk_ord", chunks(spark, sf).count())
+_indexes: dict[tuple[str, str, str], LexicalIndex] = {}
 
 
-@once
-def lexical_index(spark: SparkSession, sf: str) -> DataFrame:
-    return ranking.forward_index(chunk_impacts(spark, sf), "chunk_ord")
+def lexical_index(spark: SparkSession, sf: str) -> LexicalIndex:
+    """The lexical index of all chunks, built on first use; blocks of the chunks of eight documents."""
+    key = (spark.sparkContext.applicationId, sf, version(spark, sf))
+    if key not in _indexes:
+        bodies = chunks(spark, sf).select("chunk_ord", F.concat("title", F.lit(" "), "text").alias("body"))
+        _indexes[key] = LexicalIndex.open(spark, scratch_path(spark, "lexical"), parts=16, bits=13).refresh(bodies, "chunk_ord", "body")
+    return _indexes[key]
 
 
 def lexical_list(spark: SparkSession, sf: str, k: int = 50) -> DataFrame:
-    return ranking.top_k(ranking.lexical_scores(lexical_index(spark, sf), "chunk_ord", query_tokens(spark, sf), k), "chunk_ord", k)
+    return lexical_index(spark, sf).top_k(query_tokens(spark, sf), k, key="chunk_ord")
 
 
 def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
@@ -186,4 +190,4 @@ def chunk_vectors(spark: SparkSession, sf: str) -> DataFrame:
 
 def engine(spark: SparkSession, sf: str) -> Engine:
     """The engine over the bound tables, with stand-in models."""
-    return Engine(chunks(spark, sf), chunk_vectors(spark, sf), chunk_postings(spark, sf), parents(spark, sf), edges(spark, sf), models.embedder("hashed-16").make(), models.halving, index=lexical_index(spark, sf))
+    return Engine(chunks(spark, sf), chunk_vectors(spark, sf), parents(spark, sf), edges(spark, sf), models.embedder("hashed-16").make(), models.halving, index=lexical_index(spark, sf))

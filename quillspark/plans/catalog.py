@@ -522,7 +522,7 @@ def embed_chunks(spark, sf):
     return models.embed_chunks(c, models.embedder("hashed-16").make())
 
 
-_SUBS = "list_filter([substr(text, 1, 40), '  ', substr(text, 41, 40)], lambda s: length(trim(s)) > 0)"
+_SUBS = "list_filter([substr(text, 1, length(text) // 2), '  ', substr(text, length(text) // 2 + 1)], lambda s: length(trim(s)) > 0)"
 
 
 @register(f"SELECT item_id AS qid, CAST(generate_subscripts({_SUBS}, 1) - 1 AS INT) AS sub_idx, unnest({_SUBS}) AS text FROM benchmark")

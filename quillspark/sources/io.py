@@ -2,12 +2,15 @@
 
 from __future__ import annotations
 
+import uuid
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from quillspark.sources.commits import Commits
+
 CHUNK = "id string, parent_id string, chunk_index int, chunk_total int, source string, type string, statute string, title string, text string, date string, superseded_by string, references array<string>, file_path string"
 VERTEX = "id string, source string, type string, statute string, title string, date string, chunk_count int"
 EDGE = "from string, to string, relation string, confidence double, ref_key string, llm_typed boolean"
@@ -74,17 +77,27 @@ def vertices(parents: DataFrame) -> DataFrame:
     return parents.select("id", "source", "type", "statute", "title", "date", F.size("chunk_ids").alias("chunk_count"))
 
 
+def content(table: DataFrame) -> dict[str, str]:
+    """What tells a table from others: the number of its rows, and the sum and the exclusive or of their hashes, nulls included."""
+    h = F.xxhash64(*table.columns, *[F.col(c).isNull() for c in table.columns])
+    row = table.select(h.alias("h")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.col("h").cast("decimal(38,0)")).alias("s"), F.bit_xor("h").alias("x")).first()
+    return {k: str(row[k]) for k in ("n", "s", "x")}
+
+
 def build_once(spark: SparkSession, path: str, version: DataFrame, build: Callable[[], DataFrame]) -> DataFrame:
     """A stored index, built if it is absent or if the content it was built from has changed.
 
-    ``version`` is the source table; its order-free hash is stored beside the index.
+    ``version`` is the source table.  Each build has a folder of its own that a
+    commit names, so that readers of the one before keep what they hold, and of two builders one is taken.
     """
-    row = version.agg(F.bit_xor(F.xxhash64(*version.columns)).alias("h"), F.count(F.lit(1)).alias("n")).first()
-    meta = read_or_empty(spark, f"{path}/_meta.parquet", "h long, n long").collect()
-    if not meta or (meta[0].h, meta[0].n) != (row.h, row.n):
-        build().write.mode("overwrite").parquet(f"{path}/data")
-        spark.createDataFrame([(row.h, row.n)], "h long, n long").coalesce(1).write.mode("overwrite").parquet(f"{path}/_meta.parquet")
-    return spark.read.parquet(f"{path}/data")
+    told, commits = content(version), Commits(spark, path)
+    while True:
+        number, last = commits.latest()
+        if last is not None and last["content"] == told:
+            return spark.read.parquet(f"{path}/{last['folder']}")
+        folder = f"data-{uuid.uuid4().hex}"
+        build().write.parquet(f"{path}/{folder}")
+        commits.take(number + 1, {"folder": folder, "content": told})
 
 
 def write_vectors(vectors: DataFrame, path: str, shards: int = 1, order: str = "chunk_ord") -> None:

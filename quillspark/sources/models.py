@@ -87,8 +87,9 @@ def refusing(_: str) -> str:
 
 
 def halving(question: str) -> str:
-    """A stand-in planner: the first two runs of 40 characters and a blank one between them, in a code fence."""
-    return "```json\n" + json.dumps([question[:40], "  ", question[40:80]]) + "\n```"
+    """A stand-in planner: both halves of the whole question and a blank one between them, in a code fence."""
+    half = len(question) // 2
+    return "```json\n" + json.dumps([question[:half], "  ", question[half:]]) + "\n```"
 
 
 @dataclass(frozen=True)

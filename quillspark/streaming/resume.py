@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql.streaming import StreamingQuery
 
+from quillspark.sources.commits import SharedLog
 from quillspark.sources.io import EXTRACTION
 
 
@@ -26,17 +27,12 @@ def process_new(source: DataFrame, handle: Callable[[DataFrame, int], None], che
 
 
 def append_distinct(target: str, key: list[str]) -> Callable[[DataFrame, int], None]:
-    """A batch handler that appends the rows whose key the target doesn't have; repeated batches change nothing."""
+    """A batch handler that appends the rows whose key the ``SharedLog`` at ``target`` doesn't have.
+
+    Repeated batches change nothing, and several streams may write to one log.
+    """
 
     def handle(batch: DataFrame, _: int) -> None:
-        spark = batch.sparkSession
-        fresh = batch.dropDuplicates(key)
-        try:
-            seen = spark.read.schema(batch.schema).parquet(target)
-        except Exception as e:  # Spark's analysis errors have no common Python type
-            if "PATH_NOT_FOUND" not in str(e):
-                raise
-            seen = None
-        (fresh if seen is None else remaining(fresh, seen, key)).write.mode("append").parquet(target)
+        SharedLog(batch.sparkSession, target, batch.schema, key).append(batch)
 
     return handle

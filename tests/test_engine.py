@@ -12,11 +12,10 @@ def test_engine(spark):
     texts = {"a": "apples and pears", "b": "pears and plums", "c": "roads and rails", "d": "rails across town"}
     c = spark.createDataFrame([chunk(i, title=i, text=t, chunk_ord=n) for n, (i, t) in enumerate(texts.items())], CHUNK).selectExpr("*", "0 as chunk_index")
     vectors = models.embed_chunks(c.selectExpr("chunk_ord", "'' as title", "text"), models.hashed_embedder(32), "chunk_ord")
-    posts = ranking.postings(c.selectExpr("chunk_ord", "concat(title, ' ', text) as body"), "chunk_ord", "body")
     parents = spark.createDataFrame([(i, "ARTICLE", None) for i in texts], "id string, type string, date string")
     edges = spark.createDataFrame([("c", "d", "cites", 0)], "from string, to string, relation string, adj_ord long")
     plan = lambda q: json.dumps(["pears", "plums"]) if "fruit" in q else "no plan"
-    engine = Engine(c, vectors, posts, parents, edges, models.hashed_embedder(32), plan, pool=2)
+    engine = Engine(c, vectors, parents, edges, models.hashed_embedder(32), plan, pool=2)
     questions = spark.createDataFrame([(1, "which fruit"), (2, "roads")], "qid long, question string")
     subs = sorted((r.qid, r.sub_idx, r.text) for r in engine.sub_queries(questions).collect())
     assert subs == [(1, 0, "pears"), (1, 1, "plums"), (2, 0, "roads")]
@@ -40,11 +39,10 @@ def test_engine_upkeep(spark):
     c = spark.createDataFrame([chunk("a", title="a", text="apples", chunk_ord=0)], CHUNK).selectExpr("*", "0 as chunk_index")
     made = models.embedder("hashed-16")
     vectors = models.embed_chunks(c.selectExpr("chunk_ord", "title", "text"), made.make(), "chunk_ord")
-    posts = ranking.postings(c.selectExpr("chunk_ord", "text as body"), "chunk_ord", "body")
     edges = spark.createDataFrame([], "from string, to string, relation string, adj_ord long")
-    engine = Engine(c, vectors, posts, spark.createDataFrame([("a", "ARTICLE", None)], "id string, type string, date string"), edges, made.make())
+    engine = Engine(c, vectors, spark.createDataFrame([("a", "ARTICLE", None)], "id string, type string, date string"), edges, made.make())
     row = engine.warm_up(made.dim).first()
-    assert (row.n, row.bad_dim, row.not_unit) == (1, 0, 0) and engine.index.count() == 1
+    assert (row.n, row.bad_dim, row.not_unit) == (1, 0, 0) and engine.index.docs == 1
 
     with pytest.raises(KeyError):
         models.embedder("none of this name")
@@ -84,15 +82,3 @@ def test_many_query_vectors(spark):
     s = np.round(v @ q.T, 6)
     want = {(j, int(i), n) for j in range(5000) for n, i in enumerate(np.lexsort((np.arange(300), -s[:, j]))[:3]) if s[i, j] > 0}
     assert {(r.qid, r.vec_id, r.rnk) for r in got} == want
-
-
-def test_lexical_scores_by_matrix(spark):
-    """Products of matrices and joins give the same ranking, ties included."""
-    rows = [(i, " ".join(f"w{(i * j) % 7}" for j in range(1, 9))) for i in range(1500)]
-    posts = ranking.postings(spark.createDataFrame(rows, "id long, body string"), "id", "body")
-    impact = ranking.impacts(posts, "id", len(rows))
-    asked = spark.createDataFrame([(q, f"w{(q * j) % 9}") for q in range(300) for j in range(1, 6)], "qid long, token string")
-    index = ranking.forward_index(impact, "id")
-    want = {(r.qid, r.id, r.rnk) for r in ranking.top_k(ranking.scored(impact, "id", asked), "id", 7).collect()}
-    for most in (500_000, 1):
-        assert {(r.qid, r.id, r.rnk) for r in ranking.top_k(ranking.lexical_scores(index, "id", asked, 7, most), "id", 7).collect()} == want

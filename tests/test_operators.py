@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from quillspark.operators import context, corpus, graph, ranking, retrieval, serving, stats
 from quillspark.profile import DEFAULT
+from quillspark.sources.commits import SharedLog
 from quillspark.sources import io, models
 from quillspark.streaming import resume
 
@@ -248,10 +249,19 @@ def test_build_once(spark, tmp_path):
         calls.append(1)
         return spark.range(3)
 
-    v = spark.range(5)
-    for source in (v, v, spark.range(6)):
-        assert io.build_once(spark, str(tmp_path / "index"), source, build).count() == 3
-    assert len(calls) == 2
+    v, path = spark.range(5), str(tmp_path / "index")
+    held = io.build_once(spark, path, v, build)
+    for source in (v, spark.range(6)):
+        assert io.build_once(spark, path, source, build).count() == 3
+    assert len(calls) == 2 and held.count() == 3  # readers of the version before keep it
+
+
+def test_build_once_tells_repeats_and_nulls_apart(spark, tmp_path):
+    built = []
+    sources = ([("a", "b")], [("a", "b")] * 3, [("a", None)], [(None, "a")], [("c", "d")] * 2 + [("a", "b")], [("a", "b")] * 3 + [("c", "d")] * 2)
+    for rows_ in sources:
+        io.build_once(spark, str(tmp_path / "index"), spark.createDataFrame(rows_, "x string, y string"), lambda: built.append(1) or spark.range(1))
+    assert len(built) == len(sources)
 
 
 def test_streaming_resume(spark, tmp_path):
@@ -260,7 +270,7 @@ def test_streaming_resume(spark, tmp_path):
     for n, name in ((1, "a"), (2, "b")):
         (folder / f"{name}.json").write_text("".join(f'{{"from": "f{i}", "to": "t", "relation": "cites", "confidence": 0.9}}\n' for i in range(n + 1)))
         resume.process_new(resume.stream_log(spark, str(folder)), resume.append_distinct(target, ["from", "to"]), str(tmp_path / "cp")).awaitTermination()
-    assert rows(spark.read.parquet(target), "from") == [("f0",), ("f1",), ("f2",)]
+    assert rows(SharedLog(spark, target, io.EXTRACTION, ["from", "to"]).read(), "from") == [("f0",), ("f1",), ("f2",)]
 
 
 def test_plug_points(spark):
