@@ -5,9 +5,12 @@ identifiers, are trained from labelled samples.  A run of characters as secrets
 have them is cut where the rules' spans lie; in each rest the stretch with the
 best log-likelihood ratio, random over ordinary, is found for each alphabet (the
 largest sum over neighbouring transitions).  It is a secret if it has at least
-``least`` characters and its ratio exceeds ``margin``; what lies before and after
+``least`` characters, its ratio exceeds ``margin`` and its characters are as
+mixed as those of a key (``mixed``: neither a number nor letters of a few kinds nor words joined by
+capitals); what lies before and after
 it is searched again.  A key is thus found wherever it stands in a path or in a
-long identifier.
+long identifier, and a UUID is marked as a whole.  Long runs are searched in overlapping pieces, so
+that memory doesn't grow with them.
 
 The labelled samples: random strings are drawn with a fixed seed over the
 alphabets that keys are commonly written in; ordinary identifiers are words and
@@ -53,6 +56,24 @@ _STATES[[ord(c) for c in string.ascii_letters + string.digits + "+/=_-."]] = np.
 _N = 69
 
 
+#: Runs are searched in pieces of so many characters, each of which reaches into the next one.
+PIECE, OVERLAP = 1 << 16, 1 << 10
+
+_UUID = re.compile(r"[0-9A-Fa-f]{8}(?:-[0-9A-Fa-f]{4}){3}-[0-9A-Fa-f]{12}")
+_DIGIT = re.compile(r"[0-9]")
+_LETTER = re.compile(r"[A-Za-z]")
+_TURN = re.compile(r"(?<=[a-z])(?=[A-Z])|(?<=[A-Z])(?=[a-z])")
+
+
+def mixed(s: str, kinds: int = 6) -> bool:
+    """Whether characters are mixed as in a key: at least ``kinds`` of them, letters, and digits or capitals all over.
+
+    Without digits two fifths of the places between letters must turn from small letters to
+    capitals or back; in a key of both that is every second one, in joined words about every third.
+    """
+    return len(set(s)) >= kinds and _LETTER.search(s) is not None and (_DIGIT.search(s) is not None or 5 * len(_TURN.findall(s)) >= 2 * len(s))
+
+
 class MarkovPair:
     """Log-likelihood ratios of character transitions, random over ordinary.
 
@@ -78,7 +99,20 @@ class MarkovPair:
         return float(self.ratios[:, x[:-1], x[1:]].sum(1).max() - np.log(len(self.ratios)))
 
     def stretches(self, s: str, least: int, margin: float) -> list[tuple[int, int]]:
-        """The random stretches of a run, as (start, end)."""
+        """The random stretches of a run, as (start, end), in order."""
+        found: list[tuple[int, int]] = []
+        for at in range(0, max(1, len(s) - OVERLAP), PIECE):
+            for a, b in sorted(self._stretches(s[at : at + PIECE + OVERLAP], least, margin)):
+                for m in _UUID.finditer(s, max(0, at + a - 36), at + b + 36):
+                    if m.start() < at + b and m.end() > at + a:
+                        a, b = min(a, m.start() - at), max(b, m.end() - at)
+                if found and at + a <= found[-1][1]:
+                    found[-1] = (min(found[-1][0], at + a), max(found[-1][1], at + b))
+                else:
+                    found.append((at + a, at + b))
+        return found
+
+    def _stretches(self, s: str, least: int, margin: float) -> list[tuple[int, int]]:
         x = _STATES[np.frombuffer(s.encode("ascii", "replace"), np.uint8)]
         steps = self.ratios[:, x[:-1], x[1:]]
         found, todo = [], [(0, len(s))]
@@ -97,7 +131,8 @@ class MarkovPair:
                 # the first and last characters of a key may look ordinary: as far as a separator, if that is near
                 lo = next((i for i in range(lo, max(a, lo - EDGE) - 1, -1) if i == a or s[i - 1] in SEPARATORS), lo)
                 hi = next((i for i in range(hi, min(b, hi + EDGE) + 1) if i == b or s[i] in SEPARATORS), hi)
-                found.append((lo, hi))
+                if mixed(s[lo:hi]):
+                    found.append((lo, hi))
             # a short stretch is no secret, but one may lie on either side of it
             todo += [(a, lo), (hi, b)]
         return found
@@ -159,7 +194,7 @@ def find_spans(text: str, model: MarkovPair, least: int, margin: float) -> list[
         spans += [(m.start(), 0, m.end()) for m in ASSIGN.finditer(text) if m.end(2) - m.start(2) >= 8]
     if "AKIA" in text:
         spans += [(m.start(), 1, m.end()) for m in ACCESS.finditer(text) if m.end() - m.start() >= 16]
-    runs = [m for m in _RUN.finditer(text) if m.end() - m.start() >= least]
+    runs = [m for m in _RUN.finditer(text) if m.end() - m.start() >= min(least, 32)]
     for r in runs:
         spans += [(m.start(), 2, m.end()) for m in HEX.finditer(text, r.start(), r.end()) if m.end() - m.start() >= 32]
     base = sorted(spans)
@@ -207,7 +242,7 @@ def _scanner(model, least: int, margin: float):
             for s in bs.slices(batch.column(1)):
                 n = len(s)
                 counts, base, told = np.zeros((4, n), np.int64), [nothing] * n, [""] * n
-                for i in np.flatnonzero(_suspects(s, least)).tolist():
+                for i in np.flatnonzero(_suspects(s, min(least, 32))).tolist():
                     spans = find_spans(s.row(i).decode("utf-8", "replace"), pair, least, margin)
                     for _, k, _ in spans:
                         counts[k, i] += 1
@@ -256,7 +291,7 @@ def redact_secrets(docs: DataFrame, model: MarkovPair | None = None, least: int
             column = batch.column(place)
             texts = None
             for s in bs.slices(column):
-                for i in np.flatnonzero(_suspects(s, least)).tolist():
+                for i in np.flatnonzero(_suspects(s, min(least, 32))).tolist():
                     text = s.row(i).decode("utf-8", "replace")
                     if spans := find_spans(text, pair, least, margin):
                         texts = column.to_pylist() if texts is None else texts
