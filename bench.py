@@ -30,9 +30,9 @@ def main() -> None:
     from quillspark.plans import binding, catalog
 
     queries, times = catalog.queries(), {}
-    # The index build is a figure of its own: chunks, postings, token impacts, the forward index, sections, parents and edges.
+    # The index build is a figure of its own: chunks, the lexical index, sections, parents, edges, adjacency, and the hits that walks start from.
     start = time.time()
-    for build in (binding.chunks, binding.chunk_postings, binding.chunk_impacts, binding.lexical_index, binding.sections, binding.parents, binding.edges_raw):
+    for build in (binding.chunks, binding.lexical_index, binding.sections, binding.parents, binding.edges_raw, binding.edges, binding.adjacency, binding.wide_hits):
         build(spark, SF_DIR)
     times["index_build"] = round(time.time() - start, 3)
     for name in QUERIES:

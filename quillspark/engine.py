@@ -14,7 +14,7 @@ from quillspark.functions import text as T
 from quillspark.operators import context, corpus, graph, ranking, retrieval, serving, stats
 from quillspark.operators.inverted import LexicalIndex
 from quillspark.profile import DEFAULT, Profile
-from quillspark.scratch import scratch_path
+from quillspark.scratch import materialize, scratch_path
 from quillspark.sources import models
 
 
@@ -63,7 +63,7 @@ class Engine:
         tokens = queries.select("qid", F.explode(T.tokens(F.col("text"), self.profile)).alias("token"))
         lex = self._lexical().top_k(tokens, k, key="chunk_ord")
         ids = self.chunks.select("chunk_ord", "id")
-        return tuple(x.join(ids, "chunk_ord").select("qid", "id", "rnk") for x in (vec, lex))
+        return tuple(materialize(x, "ranked").join(ids, "chunk_ord").select("qid", "id", "rnk") for x in (vec, lex))
 
     def retrieve(self, queries: DataFrame, k: int = 10, dedup: str = "post", rrf_k: int | None = None) -> DataFrame:
         """The ``k`` best chunks of each query (qid, text), with ``score`` and ``rank``."""

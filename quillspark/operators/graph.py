@@ -98,10 +98,17 @@ def pairs_to_type(edges: DataFrame, done: DataFrame | None = None) -> DataFrame:
 
 def sample_exact(rows: DataFrame, key: list[str], n: int, seed: int = 0) -> DataFrame:
     """Exactly ``n`` rows (all if there are fewer), by a seeded hash of their key."""
-    return rows.orderBy(F.xxhash64(F.lit(seed), *key), *key).limit(n)
+    return rows.orderBy(F.md5(F.concat_ws(":", F.lit(str(seed)), *[F.col(c).cast("string") for c in key])), *key).limit(n)
 
 
-def walk(entries: DataFrame, edges: DataFrame, hops: int = 2, profile: Profile = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def adjacency(edges: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
+    """(id, next, relation, adj_ord, dir): where a walk may go from each node, forward and back in one table, sorted by node."""
+    out = edges.where(F.col("relation").isin(*profile.hop_relations)).select(F.col("from").alias("id"), F.col("to").alias("next"), "relation", "adj_ord", F.lit(0).alias("dir"))
+    back = edges.where("relation = 'amends'").select(F.col("to").alias("id"), F.col("from").alias("next"), F.lit("amends (newer)").alias("relation"), "adj_ord", F.lit(1).alias("dir"))
+    return out.unionByName(back).repartitionByRange("id").sortWithinPartitions("id")
+
+
+def walk(entries: DataFrame, edges: DataFrame, hops: int = 2, profile: Profile = DEFAULT, steps: DataFrame | None = None, most: int = 400_000) -> tuple[DataFrame, DataFrame]:
     """Bounded breadth-first walk for all queries: (qid, id, hop, ord) visited and (qid, hop, ord, from, to, relation) logged.
 
     ``entries`` has (qid, id, f_ord).  Nodes of the frontier are taken in order;
@@ -109,16 +116,19 @@ def walk(entries: DataFrame, edges: DataFrame, hops: int = 2, profile: Profile =
     ``amends`` edges that point at it.  A hop stops after the node with which
     ``frontier_cap`` new nodes are reached; the next frontier is the first
     ``frontier_cap`` of them.  The first frontier has no cap.
+
+    ``steps`` is the stored ``adjacency``.  A hop moves the frontier and what was visited, not the edges:
+    up to ``most`` rows of them are broadcast; beyond that the joins are shuffled.
     """
     cap = profile.frontier_cap
-    out = edges.where(F.col("relation").isin(*profile.hop_relations)).select(F.col("from").alias("id"), F.col("to").alias("next"), "relation", "adj_ord", F.lit(0).alias("dir"))
-    back = edges.where("relation = 'amends'").select(F.col("to").alias("id"), F.col("from").alias("next"), F.lit("amends (newer)").alias("relation"), "adj_ord", F.lit(1).alias("dir"))
-    steps = out.unionByName(back)
+    steps = adjacency(edges, profile) if steps is None else steps
     visited = materialize(entries.select("qid", "id", F.lit(0).alias("hop"), F.col("f_ord").cast("long").alias("ord")), "visited")
     frontier, logs = visited, None
+    seen = visited.count()
     for hop in range(1, hops + 1):
-        reached = frontier.select("qid", "id", F.col("ord").alias("f")).join(steps, "id")
-        fresh = reached.join(visited.select("qid", F.col("id").alias("next")), ["qid", "next"], "left_anti")
+        moved = (lambda df: F.broadcast(df)) if seen <= most else (lambda df: df)  # the frontier is a part of what was visited
+        reached = steps.join(moved(frontier.select("qid", "id", F.col("ord").alias("f"))), "id")
+        fresh = reached.join(moved(visited.select("qid", F.col("id").alias("next"))), ["qid", "next"], "left_anti")
         place = F.struct("f", "dir", "adj_ord")
         first = fresh.groupBy("qid", "next").agg(F.min(F.struct(place.alias("place"), F.col("id").alias("at"), "relation")).alias("m"))
         first = first.select("qid", "next", "m.at", "m.relation", "m.place", F.col("m.place.f").alias("f"))
@@ -131,6 +141,7 @@ def walk(entries: DataFrame, edges: DataFrame, hops: int = 2, profile: Profile =
         log = kept.select("qid", F.lit(hop).alias("hop"), "ord", ends.alias("e"), "relation").select("qid", "hop", "ord", "e.from", "e.to", "relation")
         logs = log if logs is None else logs.unionByName(log)
         visited = visited.unionByName(kept.select("qid", F.col("next").alias("id"), F.lit(hop).alias("hop"), "ord"))
+        seen += kept.count() if hop < hops else 0
         frontier = kept.where(F.col("ord") < cap).select("qid", F.col("next").alias("id"), F.lit(hop).alias("hop"), "ord")
     return visited, logs
 
@@ -159,10 +170,10 @@ def reexpand(ordered: DataFrame, chunks: DataFrame, matched: DataFrame, k: int,
     return rows.withColumn("rank", F.row_number().over(W.partitionBy("qid").orderBy("parent_ord", "nth")).cast("long")).where(F.col("rank") <= k).drop("nth", "m")
 
 
-def retrieve_with_graph(entries: DataFrame, chunks: DataFrame, parents: DataFrame, edges: DataFrame, k: int = 10, hops: int = 2, profile: Profile = DEFAULT) -> tuple[DataFrame, DataFrame]:
+def retrieve_with_graph(entries: DataFrame, chunks: DataFrame, parents: DataFrame, edges: DataFrame, k: int = 10, hops: int = 2, profile: Profile = DEFAULT, steps: DataFrame | None = None) -> tuple[DataFrame, DataFrame]:
     """Hits and walk log from ``entries``: retrieved hits (qid, id, parent_id, rank), ``entry_multiple`` times ``k`` of them a query."""
     first = entries.groupBy("qid", F.col("parent_id").alias("id")).agg(F.min("rank").alias("f_ord"))
-    visited, log = walk(first, edges, hops, profile)
+    visited, log = walk(first, edges, hops, profile, steps)
     return reexpand(order_parents(visited, parents, profile), chunks, entries, k, profile), log
 
 

@@ -17,33 +17,29 @@ idf follows) are sums, so a level stores what it adds to them.  Weights of token
 ``compact`` merges levels.  A version is one numbered commit (``sources.commits``); readers hold the
 version they opened.
 
-**Top k.**  Queries are answered in one plan for all of them, with bounds that
-never drop a hit:
-
-1. From the block heads of the tokens asked for: idf, and the most that a token can add.
-2. A query's strongest quarter of tokens is summed up over their documents. The k-th best
-   of these partial sums is a first bound; blocks whose heads can't add up to it are skipped from here on.
-3. Tokens are taken by what they can add at most, up to where the rest of them together stays below the
-   bound; a document without any of these can't be a hit.  Their sums give a better bound.
-4. Documents that reach it with all the rest of the tokens are candidates, and the lists of the
-   rest are read for blocks with candidates.
-
-Where the asked lists are short in total (``direct`` postings), steps 2 to 4
-would cost more than they save, and all lists are summed up at once, with equal results.
+**Top k.**  The blocks of the tokens that all queries of a call ask for meet by range of documents: the
+shuffle moves each asked block once, however many queries want it, and no pair
+of query and document.  A task walks through its ranges.  From the heads it knows the most that a
+document of the range can score for each query; queries whose k-th best score of the task
+is above that skip the range, the others are scored together.
+Each task returns its k best of each query.
 """
 
 from __future__ import annotations
 
 import uuid
+from collections.abc import Iterator
 from dataclasses import dataclass
 from typing import Any
 
+import numpy as np
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.window import Window as W
 
 from quillspark.functions import text as T
-from quillspark.operators.ranking import B, EPSILON, K1, top_k
+from quillspark.operators.ranking import B, EPSILON, K1, Best, top_k
 from quillspark.profile import DEFAULT, Profile
 from quillspark.scratch import materialize
 from quillspark.sources.commits import Commits
@@ -53,6 +49,7 @@ DOCS = "key long, digest string, dl long, tokens array<string>"
 DEAD = "level long, key long"
 DF = "token string, n long, part int"
 BROADCAST = 400_000
+SALT = 4  # tasks that share the blocks of a token when they are written
 MARGIN = 2e-6  # scores are compared after rounding to 6 digits
 
 
@@ -124,21 +121,35 @@ class LexicalIndex:
 
     # ---- writing ----
 
-    def _blocks(self, posts: DataFrame) -> DataFrame:
-        """Postings (key, dl, token, tf) as rows of blocks."""
-        entry = F.struct("key", "tf", "dl")
-        rows = posts.groupBy("token", F.shiftright("key", self.bits).alias("block")).agg(
-            F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.array_sort(F.collect_list(entry)).alias("p")
-        )
+    @property
+    def _tasks(self) -> int:
+        """Tasks that compute more than their input's size tells; adaptive execution would merge them."""
+        return int(self.spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def _blocks(self, rows: DataFrame) -> DataFrame:
+        """Blocks of rows (token, key, dl), one for each occurrence, in one shuffle; documents of a frequent token go to several tasks."""
+        block = F.shiftright("key", self.bits)
+        told = rows.select("token", "key", "dl", self.part_of(F.col("token")).alias("part"), block.alias("block"), F.pmod(block, F.lit(SALT)).alias("salt")).repartition(self._tasks, "part", "salt")
+        counted = told.groupBy("part", "salt", "token", "block", "key").agg(F.count(F.lit(1)).alias("tf"), F.first("dl").alias("dl"))
+        return self._gather(counted)
+
+    @staticmethod
+    def _gather(posts: DataFrame) -> DataFrame:
+        """Blocks of postings (part, salt, token, block, key, tf, dl) that are dealt by part and salt."""
+        whole = posts.groupBy("part", "salt", "token", "block").agg(F.count(F.lit(1)).alias("n"), F.max("tf").alias("most"), F.min("dl").alias("least"), F.collect_list(F.struct("key", "tf", "dl")).alias("p"))
         lists = [F.col(f"p.{c}").alias(f"{c}s") for c in ("key", "tf", "dl")]
-        return rows.select("token", "block", "n", "most", "least", *lists, self.part_of(F.col("token")).alias("part"))
+        return whole.select("token", "block", "n", "most", "least", *lists, "part").sortWithinPartitions("part", "token", "block")
 
-    def _write_level(self, folder: str, docs: DataFrame, posts: DataFrame, dead: DataFrame, df: DataFrame) -> None:
+    def _write_level(self, folder: str, docs: DataFrame, blocks: DataFrame, dead: DataFrame) -> DataFrame:
+        """Writes what doesn't depend on other levels; the document frequencies (token, part, n) of the level's postings."""
         place = f"{self.root}/{folder}"
         docs.write.parquet(f"{place}/docs")
-        self._blocks(posts).repartitionByRange("part", "token", "block").sortWithinPartitions("part", "token", "block").write.partitionBy("part").parquet(f"{place}/postings")
+        blocks.write.partitionBy("part").parquet(f"{place}/postings")
         dead.write.parquet(f"{place}/dead")
-        df.repartition("part").write.partitionBy("part").parquet(f"{place}/df")
+        return self.spark.read.schema(POSTINGS).parquet(f"{place}/postings").groupBy("part", "token").agg(F.sum("n").alias("n"))
+
+    def _write_df(self, folder: str, df: DataFrame) -> None:
+        df.select("token", "n", "part").repartition("part").write.partitionBy("part").parquet(f"{self.root}/{folder}/df")
 
     def _commit(self, levels: list[Level], docs: int, length: int, spread: DataFrame) -> LexicalIndex:
         """The next version; ``spread`` has (df, n): how many tokens have each document frequency."""
@@ -172,18 +183,18 @@ class LexicalIndex:
         new_keys = changes.where("comes").select("key")
         fresh = told if not self.levels else told.join(F.broadcast(new_keys) if count.come <= BROADCAST else new_keys, "key", "left_semi")
         docs = materialize(self._docs(fresh, digest), "docs")
-        posts = docs.select("key", "dl", F.explode("tokens").alias("token")).groupBy("key", "dl", "token").agg(F.count(F.lit(1)).alias("tf"))
         gone = changes.where("goes").select("level", "key")
         lost = self._stored("docs", DOCS).join(F.broadcast(gone) if count.go <= BROADCAST else gone, ["level", "key"], "left_semi")
         lost = materialize(lost.select("dl", F.array_distinct("tokens").alias("tokens")), "lost") if count.go else None
 
-        change = posts.select("token", F.lit(1).alias("n"))
-        if lost is not None:
-            change = change.unionByName(lost.select(F.explode("tokens").alias("token"), F.lit(-1).alias("n")))
-        df = change.groupBy("token").agg(F.sum("n").cast("long").alias("n")).where("n <> 0").select("token", "n", self.part_of(F.col("token")).alias("part"))
         number = self.body["next"]
         folder = f"level-{number:08d}-{uuid.uuid4().hex}"
-        self._write_level(folder, docs.select("key", "digest", "dl", "tokens"), posts, gone, df)
+        occurrences = docs.select("key", "dl", F.explode("tokens").alias("token"))
+        df = self._write_level(folder, docs.select("key", "digest", "dl", "tokens"), self._blocks(occurrences), gone)
+        if lost is not None:
+            minus = lost.select(F.explode("tokens").alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n"))
+            df = df.unionByName(minus.select(self.part_of(F.col("token")).alias("part"), "token", (-F.col("n")).alias("n"))).groupBy("part", "token").agg(F.sum("n").alias("n")).where("n <> 0")
+        self._write_df(folder, df)
         sums = docs.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0]
         minus = lost.agg(F.coalesce(F.sum("dl"), F.lit(0))).first()[0] if lost is not None else 0
         levels = [*self.levels, Level(folder, number, count.come, count.go)]
@@ -221,12 +232,13 @@ class LexicalIndex:
         number = self.body["next"]
         folder = f"level-{number:08d}-{uuid.uuid4().hex}"
         entry = F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p")
-        posts = self.alive(sub.postings().select("token", "level", entry).select("token", "level", F.col("p.keys").alias("key"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
+        rows = sub.postings().select("part", F.pmod("block", F.lit(SALT)).alias("salt"), "token", "block", "level", entry)
+        posts = self.alive(rows.select("part", "salt", "token", "block", "level", F.col("p.keys").alias("key"), F.col("p.tfs").alias("tf"), F.col("p.dls").alias("dl")))
         before = self.dead().where(~F.col("level").isin(numbers))
         carried = materialize(sub.dead().join(before, ["level", "key"], "left_semi") if kept else before.limit(0), "carried")
-        df = sub._stored("df", DF).groupBy("token", "part").agg(F.sum("n").alias("n")).where("n <> 0").select("token", "n", "part")
         docs = materialize(sub._stored("docs", DOCS).join(gone, ["level", "key"], "left_anti"), "docs")
-        self._write_level(folder, docs.select("key", "digest", "dl", "tokens"), posts, carried, df)
+        self._write_level(folder, docs.select("key", "digest", "dl", "tokens"), self._gather(posts.repartition(self._tasks, "part", "salt")), carried)
+        self._write_df(folder, sub._stored("df", DF).groupBy("token", "part").agg(F.sum("n").alias("n")).where("n <> 0"))
         levels = [*kept, Level(folder, number, docs.count(), carried.count())]
         return self._commit(levels, self.docs, self.length, self.frequencies().groupBy("df").agg(F.count(F.lit(1)).alias("n")))
 
@@ -241,78 +253,111 @@ class LexicalIndex:
         raw = F.log(F.lit(float(self.docs)) - df + 0.5) - F.log(df + 0.5)
         return F.when(raw < 0, F.lit(EPSILON * self.mean_idf)).otherwise(raw)
 
-    def asked(self, query_tokens: DataFrame) -> tuple[DataFrame, list[int]]:
-        """(qid, token, qtf, idf, df) of the tokens (qid, token) that the index has, and their partitions."""
-        wanted = materialize(query_tokens.groupBy("qid", "token").agg(F.count(F.lit(1)).cast("double").alias("qtf")).withColumn("part", self.part_of(F.col("token"))), "wanted")
-        told = wanted.agg(F.collect_set("part").alias("parts"), F.count(F.lit(1)).alias("n")).first()
-        parts = sorted(told.parts)  # no more than the index has
-        each = wanted.select("token").distinct()
-        df = self.frequencies(F.broadcast(each) if told.n <= BROADCAST else each, parts)
-        return materialize(wanted.drop("part").join(df, "token").select("qid", "token", "qtf", "df", self._idf(F.col("df")).alias("idf")), "asked"), parts
-
-    def _sums(self, blocks: DataFrame, asked: DataFrame, spared: DataFrame | None = None) -> DataFrame:
-        """(qid, level, key, score) of live documents: what the tokens ``asked`` add; blocks only that are ``spared``, where told."""
+    def wanted(self, query_tokens: DataFrame) -> DataFrame:
+        """(qid, token, qtf, part) of the tokens (qid, token) of queries."""
+        counted = query_tokens.groupBy(F.col("qid").cast("long").alias("qid"), "token").agg(F.count(F.lit(1)).cast("double").alias("qtf"))
+        return counted.withColumn("part", self.part_of(F.col("token")))
+
+    def _names(self, tokens: np.ndarray) -> DataFrame:
+        """(token, t): tokens and their numbers."""
+        return self.spark.createDataFrame(pa.table({"token": pa.array(tokens, pa.string()), "t": pa.array(np.arange(len(tokens), dtype=np.int64))}))
+
+    def _sums(self, blocks: DataFrame, asked: DataFrame) -> DataFrame:
+        """(qid, level, key, score) of live documents by a join: for more asked tokens than are broadcast."""
         rows = blocks.select("token", "level", "block", "keys", "tfs", "dls").join(asked.select("qid", "token", (F.col("qtf") * F.col("idf")).alias("w")), "token")
-        if spared is not None:
-            rows = rows.join(spared, ["qid", "level", "block"], "left_semi")
-        entry = F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p")
-        flat = rows.select("qid", "level", "w", entry)
+        flat = rows.select("qid", "level", "w", F.explode(F.arrays_zip("keys", "tfs", "dls")).alias("p"))
         added = F.col("w") * self._weight(F.col("p.tfs").cast("double"), F.col("p.dls").cast("double"))
         return self.alive(flat.groupBy("qid", "level", F.col("p.keys").alias("key")).agg(F.sum(added).alias("score")))
 
-    @staticmethod
-    def _bound(sums: DataFrame, k: int) -> DataFrame:
-        """(qid, bound): the k-th best score of each query; no row where there are fewer."""
-        best = W.partitionBy("qid").orderBy(F.desc("score"))
-        return sums.select("qid", "score", F.row_number().over(best).alias("r")).where(F.col("r") <= k).groupBy("qid").agg(F.min("score").alias("bound"), F.count(F.lit(1)).alias("n")).where(F.col("n") == k).drop("n")
-
-    def top_k(self, query_tokens: DataFrame, k: int, direct: int = 50_000_000, key: str = "key") -> DataFrame:
-        """(qid, key, score, rnk): the ``k`` best documents of each query, given as (qid, token); ties fall to the lesser key."""
-        asked, parts = self.asked(query_tokens)
-        volume = asked.agg(F.sum("df").alias("v"), F.count(F.lit(1)).alias("n")).first()
-        small = volume.n <= BROADCAST
-        hint = F.broadcast if small else (lambda df: df)
-        blocks = self.postings(parts)
-        if (volume.v or 0) <= direct:
-            sums = self._sums(blocks, hint(asked))
+    def top_k(self, query_tokens: DataFrame, k: int, key: str = "key", most: int = BROADCAST) -> DataFrame:
+        """(qid, key, score, rnk): the ``k`` best documents of each query, given as (qid, token); ties fall to the lesser key.
+
+        Up to ``most`` tokens of queries are broadcast and walked; more are joined, with equal results.
+        """
+        wanted = self.wanted(query_tokens)
+        table = wanted.limit(most + 1).toArrow()
+        if table.num_rows > most:
+            asked = wanted.join(self.frequencies(), "token").select("qid", "token", "qtf", self._idf(F.col("df")).alias("idf"))
+            sums = self._sums(self.postings(), asked)
         else:
-            sums = self._walk(blocks, asked, k, hint)
-        return top_k(sums.select("qid", F.col("key").alias(key), "score"), key, k)
-
-    def _walk(self, blocks: DataFrame, asked: DataFrame, k: int, hint) -> DataFrame:
-        """Exact scores of all documents that may be among the ``k`` best of a query."""
-        heads = blocks.select("token", "level", "block", self._weight(F.col("most").cast("double"), F.col("least").cast("double")).alias("g"))
-        best = heads.join(hint(asked.select("token").distinct()), "token", "left_semi").groupBy("token").agg(F.max("g").alias("g"))
-        # What a token adds is from `low`, less than 0 only for a negative idf, to `high`.
-        high, low = F.greatest(F.lit(0.0), F.col("qtf") * F.col("idf") * F.col("g")), F.least(F.lit(0.0), F.col("qtf") * F.col("idf") * (K1 + 1))
-        order = W.partitionBy("qid").orderBy(F.desc("high"), "token")
-        known = asked.join(best, "token").withColumn("high", high).withColumn("low", low)
-        known = known.withColumn("at", F.row_number().over(order)).withColumn("rest", F.sum("high").over(order.rowsBetween(W.currentRow, W.unboundedFollowing)))
-        known = materialize(known.withColumn("n", F.count(F.lit(1)).over(W.partitionBy("qid"))).withColumn("floor", F.sum("low").over(W.partitionBy("qid"))), "known")
-
-        probe = known.where("low = 0 and at <= ceil(n / 4)")
-        first = self._bound(self._sums(blocks, hint(probe)), k).join(known.select("qid", "floor").distinct(), "qid")
-        first = materialize(first.select("qid", (F.col("bound") + F.col("floor") - MARGIN).alias("bound")), "bound")
-
-        # Blocks that can't reach the bound.  Without a bound a query keeps them all.
-        able = heads.join(hint(known.select("qid", "token", "qtf", "idf")), "token").groupBy("qid", "level", "block").agg(F.sum(F.greatest(F.lit(0.0), F.col("qtf") * F.col("idf") * F.col("g"))).alias("most"))
-        able = able.join(F.broadcast(first) if hint is F.broadcast else first, "qid", "left")
-        able = materialize(able.select("qid", "level", "block", (F.coalesce(F.col("most") >= F.col("bound"), F.lit(True))).alias("may")), "able")
-        count = able.agg(F.count_if("may").alias("may"), F.count(F.lit(1)).alias("n")).first()
-        spared = None
-        if count.may < 0.8 * count.n:  # else the join costs more than it saves
-            spared = able.where("may").select("qid", "level", "block")
-            spared = F.broadcast(spared) if count.may <= BROADCAST else spared
-
-        split = known.join(first, "qid", "left").withColumn("main", (F.col("low") < 0) | F.coalesce(F.col("rest") >= F.col("bound"), F.lit(True)))
-        split = materialize(split.select("qid", "token", "qtf", "idf", "high", "main"), "split")
-        part = materialize(self._sums(blocks, hint(split.where("main")), spared), "part")
-        tail = split.where("not main").groupBy("qid").agg(F.sum("high").alias("tail"))
-        reach = part.join(hint(tail), "qid", "left").join(hint(self._bound(part, k)), "qid", "left")
-        candidates = materialize(reach.where(F.col("bound").isNull() | (F.col("score") + F.coalesce("tail", F.lit(0.0)) >= F.col("bound") - MARGIN)).select("qid", "level", "key", "score"), "candidates")
-        few = candidates.count() <= BROADCAST
-        mark = candidates.select("qid", "level", F.shiftright("key", self.bits).alias("block")).distinct()
-        rest = self._sums(blocks, hint(split.where("not main")), F.broadcast(mark) if few else mark)
-        wanted = candidates.select("qid", "level", "key")
-        rest = rest.join(F.broadcast(wanted) if few else wanted, ["qid", "level", "key"], "left_semi")
-        return candidates.unionByName(rest).groupBy("qid", "level", "key").agg(F.sum("score").alias("score"))
+            sums = self._walk(table, k)
+        return top_k(sums.select(F.col("qid").cast("long").alias("qid"), F.col("key").alias(key), "score"), key, k)
+
+    def _walk(self, wanted: pa.Table, k: int) -> DataFrame:
+        """(qid, key, score): per task the ``k`` best of each query."""
+        parts = np.unique(wanted["part"].to_numpy()).tolist()
+        tokens = np.unique(wanted["token"].to_numpy()) if wanted.num_rows else np.zeros(0, object)
+        idf = self.frequencies(F.broadcast(self._names(tokens)), parts).select("token", self._idf(F.col("df")).alias("idf")).toArrow()
+        idf = dict(zip(idf["token"].to_pylist(), idf["idf"].to_pylist()))  # of asked tokens that the index has
+        names = np.array(sorted(idf), object)
+        number = {x: i for i, x in enumerate(names)}
+        rows = [(q, number[x], n * idf[x]) for q, x, n in zip(*(wanted[c].to_pylist() for c in ("qid", "token", "qtf"))) if x in number]
+        qids, query = np.unique(np.array([r[0] for r in rows], np.int64), return_inverse=True)
+        token = np.array([r[1] for r in rows], np.int64)
+        order = np.argsort(token, kind="stable")
+        starts = np.searchsorted(token[order], np.arange(len(names) + 1))
+        weight = np.array([r[2] for r in rows], np.float64)[order]
+        handle = self.spark.sparkContext.broadcast((qids, starts, query[order], weight, self.length / max(self.docs, 1) or 1.0))
+        rows = self.postings(parts).join(F.broadcast(self._names(names)), "token").select("level", "block", "t", "most", "least", "keys", "tfs", "dls")
+        if self.n_dead:  # a row for each range with dead documents, before its postings
+            gone = self.dead().groupBy("level", F.shiftright("key", self.bits).alias("block")).agg(F.collect_list("key").alias("keys"))
+            none = F.array().cast("array<long>")
+            rows = rows.unionByName(gone.select("level", "block", F.lit(-1).cast("long").alias("t"), F.lit(0).cast("long").alias("most"), F.lit(0).cast("long").alias("least"), "keys", none.alias("tfs"), none.alias("dls")))
+
+        def walk(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            qids, starts, query, weight, mean = handle.value
+            add = lambda tf, dl: tf * (K1 + 1) / (tf + K1 * (1 - B + B * dl / mean))
+            best = Best(k)
+            for t, most, least, lengths, keys, tfs, dls in ranges(batches):
+                live = t >= 0
+                dead = keys[: lengths[0]] if not live[0] else keys[:0]
+                t, most, least, lengths, keys = t[live], most[live], least[live], lengths[live], keys[len(dead) :]
+                row, at = spread(starts[t], starts[t + 1] - starts[t])  # rows of blocks and who asks for them
+                who, column = np.unique(query[at], return_inverse=True)
+                able = np.bincount(column, np.maximum(weight[at], 0.0) * add(most, least)[row], len(who)) >= np.maximum(best.floor(qids[who]) - MARGIN, 1e-9)
+                if not able.any():
+                    continue
+                row, at, column = row[able[column]], at[able[column]], (np.cumsum(able) - 1)[column[able[column]]]
+                docs, place = np.unique(keys, return_inverse=True)
+                ends = np.cumsum(lengths)
+                of_pair, entry = spread((ends - lengths)[row], lengths[row])
+                score = np.bincount(place[entry] * able.sum() + column[of_pair], add(tfs.astype(np.float64), dls)[entry] * weight[at][of_pair], len(docs) * able.sum())
+                alive = ~np.isin(docs, dead)
+                best.add(qids[who[able]], docs[alive], np.round(score.reshape(len(docs), -1)[alive], 6), above=0.0)
+            yield from best.batches("key")
+
+        # Ranges of a level go to one task each, where their blocks follow one another.
+        dealt = rows.repartition(self._tasks, "level", "block").sortWithinPartitions("level", "block", "t")
+        return dealt.mapInArrow(walk, "qid long, key long, score double")
+
+
+def spread(first: np.ndarray, n: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """For each i the numbers from first[i] on, n[i] of them, one list after another, and the i of each."""
+    which = np.repeat(np.arange(len(n)), n)
+    return which, np.arange(len(which)) + np.repeat(first - (np.cumsum(n) - n), n)
+
+
+def ranges(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[np.ndarray, ...]]:
+    """(t, most, least, lengths of lists, keys, tfs, dls) of the rows (level, block, t, most, least, keys, tfs, dls) of one level and block after another."""
+
+    def told(parts: list[pa.RecordBatch]) -> tuple[np.ndarray, ...]:
+        t = pa.Table.from_batches(parts).combine_chunks()
+        flat = lambda c: t[c].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(t["keys"]).to_numpy()
+        return (*(t[c].to_numpy() for c in ("t", "most", "least")), lengths, flat("keys"), flat("tfs"), flat("dls"))
+
+    held: list[pa.RecordBatch] = []
+    last = None
+    for batch in batches:
+        level, block = batch.column(0).to_numpy(), batch.column(1).to_numpy()
+        cuts = np.flatnonzero((level[1:] != level[:-1]) | (block[1:] != block[:-1])) + 1
+        for lo, hi in zip([0, *cuts.tolist()], [*cuts.tolist(), batch.num_rows]):
+            if hi > lo:
+                here = (level[lo], block[lo])
+                if held and here != last:
+                    yield told(held)
+                    held = []
+                held.append(batch.slice(lo, hi - lo))
+                last = here
+    if held:
+        yield told(held)

@@ -83,6 +83,48 @@ def top_k(scores: DataFrame, key: str, k: int, digits: int = 6) -> DataFrame:
     return rounded.withColumn("rnk", F.row_number().over(order).cast("long")).where(F.col("rnk") <= k).withColumn("rnk", F.col("rnk") - 1)
 
 
+class Best:
+    """The ``k`` best (key, score) of each query seen so far in a task; ties fall to the lesser key."""
+
+    def __init__(self, k: int, most: int = 20_000):
+        self.k, self.most, self.limit, self.held, self.size = k, most, most, [], 0
+        self._full, self._floor = np.zeros(0, np.int64), np.zeros(0)
+
+    def floor(self, qids: np.ndarray) -> np.ndarray:
+        """A score that the k-th best of each query already reaches."""
+        at = np.minimum(np.searchsorted(self._full, qids), max(0, len(self._full) - 1))
+        return np.where(self._full[at] == qids, self._floor[at], -np.inf) if len(self._full) else np.full(len(qids), -np.inf)
+
+    def add(self, qids: np.ndarray, keys: np.ndarray, scores: np.ndarray, above: float = -np.inf) -> None:
+        """Scores of a block, those greater than ``above``: a row for each key, a column for each query."""
+        if not scores.size:
+            return
+        least = self.floor(qids)
+        if len(keys) > self.k:
+            least = np.maximum(least, np.partition(scores, len(keys) - self.k, 0)[len(keys) - self.k])
+        row, column = np.nonzero((scores >= least) & (scores > above))  # ties of the last one included
+        self.held.append((qids[column], keys[row], scores[row, column]))
+        self.size += len(row)
+        if self.size > self.limit:
+            self._prune()
+
+    def _prune(self) -> None:
+        q, key, score = (np.concatenate(x) for x in zip(*self.held))
+        order = np.lexsort((key, -score, q))
+        q, key, score = q[order], key[order], score[order]
+        place = np.arange(len(q)) - np.searchsorted(q, q)
+        last = place == self.k - 1
+        self._full, self._floor = q[last], score[last]
+        self.held = [tuple(x[place < self.k] for x in (q, key, score))]
+        self.size = len(self.held[0][0])
+        self.limit = max(self.most, 2 * self.size)
+
+    def batches(self, key: str) -> Iterator[pa.RecordBatch]:
+        if self.held:
+            self._prune()
+            yield pa.RecordBatch.from_arrays([pa.array(x) for x in self.held[0]], names=["qid", key, "score"])
+
+
 def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> DataFrame:
     """(qid, key, score): per task the ``k`` best of each query, so that the shuffle has k rows a query and task.
 
@@ -111,25 +153,25 @@ def vector_scores(vectors: DataFrame, queries: DataFrame, key: str, k: int) -> D
                     lists = part["embedding"].combine_chunks()
                     yield part["qid"].to_numpy(), np.asarray(lists.flatten(), np.float64).reshape(part.num_rows, -1)
 
-    def best(keys: np.ndarray, matrix: np.ndarray) -> Iterator[pa.RecordBatch]:
-        take = min(k, len(keys))
-        for qids, q in blocks():
-            s = np.round(matrix @ q.T, 6) if len(qids) else np.zeros((len(keys), 0))
-            for j, qid in enumerate(qids):
-                top = np.lexsort((keys, -s[:, j]))[:take]
-                yield pa.RecordBatch.from_arrays([pa.array(np.full(take, qid, np.int64)), pa.array(keys[top]), pa.array(s[top, j])], names=["qid", key, "score"])
-
     def scan(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: list[tuple[np.ndarray, np.ndarray]] = []
+        best, held = Best(k), []
+
+        def meet() -> None:
+            keys, matrix = (np.concatenate(x) for x in zip(*held))
+            for qids, q in blocks():
+                if len(qids):
+                    best.add(qids, keys, np.round(matrix @ q.T, 6))
+            held.clear()
+
         for batch in batches:
             if batch.num_rows:
                 keys = batch.column(0).to_numpy()
                 held.append((keys, np.asarray(batch.column(1).flatten(), np.float64).reshape(len(keys), -1)))
             if sum(len(x) for x, _ in held) >= 16_384:
-                yield from best(*(np.concatenate(x) for x in zip(*held)))
-                held = []
+                meet()
         if held:
-            yield from best(*(np.concatenate(x) for x in zip(*held)))
+            meet()
+        yield from best.batches(key)
 
     return vectors.where("embedding is not null").select(F.col(key).cast("long"), F.col("embedding").cast("array<double>")).mapInArrow(scan, f"qid long, {key} long, score double")
 

@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from quillspark.engine import Engine
 from quillspark.functions import text as T
 from quillspark.operators import corpus, graph, ranking, retrieval
+from quillspark.operators.cells import CellIndex
 from quillspark.operators.inverted import LexicalIndex
 from quillspark.profile import DEFAULT
 from quillspark.scratch import materialize, scratch_path
@@ -97,6 +98,15 @@ def edges(spark: SparkSession, sf: str) -> DataFrame:
     return graph.assemble(edges_raw(spark, sf))
 
 
+@once
+def adjacency(spark: SparkSession, sf: str) -> DataFrame:
+    return graph.adjacency(edges(spark, sf))
+
+
+def walk(spark: SparkSession, sf: str) -> tuple[DataFrame, DataFrame]:
+    return graph.walk(walk_entries(spark, sf), edges(spark, sf), steps=adjacency(spark, sf))
+
+
 def _number(c: str):
     return F.regexp_extract(c, r"_(\d+)$", 1).cast("long")
 
@@ -123,15 +133,18 @@ def chunk_postings(spark: SparkSession, sf: str) -> DataFrame:
     return ranking.postings(c, "chunk_ord", "body")
 
 
+def bodies(spark: SparkSession, sf: str) -> DataFrame:
+    return chunks(spark, sf).select("chunk_ord", F.concat("title", F.lit(" "), "text").alias("body"))
+
+
 _indexes: dict[tuple[str, str, str], LexicalIndex] = {}
 
 
 def lexical_index(spark: SparkSession, sf: str) -> LexicalIndex:
-    """The lexical index of all chunks, built on first use; blocks of the chunks of eight documents."""
+    """The lexical index of all chunks, built on first use; ranges of the chunks of about 130 documents."""
     key = (spark.sparkContext.applicationId, sf, version(spark, sf))
     if key not in _indexes:
-        bodies = chunks(spark, sf).select("chunk_ord", F.concat("title", F.lit(" "), "text").alias("body"))
-        _indexes[key] = LexicalIndex.open(spark, scratch_path(spark, "lexical"), parts=16, bits=13).refresh(bodies, "chunk_ord", "body")
+        _indexes[key] = LexicalIndex.open(spark, scratch_path(spark, "lexical"), parts=16, bits=17).refresh(bodies(spark, sf), "chunk_ord", "body")
     return _indexes[key]
 
 
@@ -144,6 +157,17 @@ def query_vectors(spark: SparkSession, sf: str) -> DataFrame:
     return table(spark, sf, "embeddings").select(F.col("vec_id").alias("qid"), "embedding").join(items, "qid", "left_semi")
 
 
+_cells: dict[tuple[str, str, str], CellIndex] = {}
+
+
+def vector_cells(spark: SparkSession, sf: str) -> CellIndex:
+    """All vectors in 16 cells, stored on first use."""
+    key = (spark.sparkContext.applicationId, sf, version(spark, sf))
+    if key not in _cells:
+        _cells[key] = CellIndex.build(table(spark, sf, "embeddings"), "vec_id", 16)
+    return _cells[key]
+
+
 def vector_list(spark: SparkSession, sf: str, k: int = 50) -> DataFrame:
     scores = ranking.vector_scores(table(spark, sf, "embeddings"), query_vectors(spark, sf), "vec_id", k)
     return ranking.top_k(scores, "vec_id", k)
@@ -152,7 +176,7 @@ def vector_list(spark: SparkSession, sf: str, k: int = 50) -> DataFrame:
 def ranked_lists(spark: SparkSession, sf: str, k: int = 50) -> tuple[DataFrame, DataFrame]:
     """Both lists over chunk ids; a vector stands for the first chunk of its document."""
     c = chunks(spark, sf)
-    lex = lexical_list(spark, sf, k).join(c.select("chunk_ord", "id"), "chunk_ord").select("qid", "id", "rnk")
+    lex = materialize(lexical_list(spark, sf, k), "ranked").join(c.select("chunk_ord", "id"), "chunk_ord").select("qid", "id", "rnk")
     vec = vector_list(spark, sf, k).join(c.where("chunk_index = 0").select(F.col("doc_id").alias("vec_id"), "id"), "vec_id").select("qid", "id", "rnk")
     return vec, lex
 

@@ -13,10 +13,13 @@ from quillspark.functions import text as T
 from quillspark.operators import context, corpus, graph, ranking, retrieval, serving, stats
 from quillspark.plans import binding as B
 from quillspark.plans.oracle import sql
+from quillspark.operators.inverted import LexicalIndex
 from quillspark.profile import DEFAULT
+from quillspark.scratch import scratch_path
 from quillspark.shipping import ship_package
-from quillspark.sources import models
-from quillspark.streaming import resume
+from quillspark.sources import io, models
+from quillspark.sources.commits import SharedLog
+from quillspark.streaming import resume, retype
 
 Query = Callable[[SparkSession, str], DataFrame]
 _queries: dict[str, Query] = {}
@@ -102,6 +105,16 @@ def bm25_topk(spark, sf):
     return B.lexical_list(spark, sf, 10)
 
 
+@register("SELECT qid, chunk_ord, score, rnk FROM lex WHERE rnk < 10")
+def refreshed_topk(spark, sf):
+    """The same from an index that began with other documents: some weren't there, some had another text, some are gone now."""
+    bodies, i = B.bodies(spark, sf), F.col("chunk_ord")
+    before = bodies.where(i % 50 != 7).withColumn("body", F.when(i % 50 == 9, F.upper(F.substring("body", 1, 60))).otherwise(F.col("body")))
+    gone = bodies.where(i % 50 == 3).select((-i - 1).alias("chunk_ord"), "body")
+    index = LexicalIndex.open(spark, scratch_path(spark, "refreshed"), parts=4, bits=17).refresh(before.unionByName(gone), "chunk_ord", "body")
+    return index.refresh(bodies, "chunk_ord", "body").top_k(B.query_tokens(spark, sf), 10, key="chunk_ord")
+
+
 _BASE = "SELECT * FROM doc_tokens UNION ALL SELECT doc_id, substr(token, 1, 5) AS token FROM doc_tokens WHERE length(token) > 7"
 
 
@@ -151,6 +164,12 @@ def vector_topk_batch(spark, sf):
     return B.vector_list(spark, sf, 10)
 
 
+@register("SELECT qid, vec_id, score, rnk FROM vec WHERE rnk < 10")
+def vector_topk_cells(spark, sf):
+    """The same from vectors stored in cells."""
+    return B.vector_cells(spark, sf).top_k(B.query_vectors(spark, sf), 10)[0]
+
+
 @register("SELECT vec_id, score, row_number() OVER (ORDER BY score DESC, vec_id) - 1 AS rnk FROM (SELECT v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score FROM embeddings q, embeddings v WHERE q.vec_id = 0) QUALIFY rnk < 10")
 def vector_topk(spark, sf):
     v = B.table(spark, sf, "embeddings")
@@ -193,9 +212,10 @@ def hybrid_retrieve(spark, sf):
     return B.hits(spark, sf).select("qid", "id", "parent_id", "score", "rank")
 
 
-@register("SELECT * FROM (SELECT qid, id, parent_id, row_number() OVER (PARTITION BY qid ORDER BY rnk) - 1 AS rnk FROM (SELECT l.qid, l.id, c.parent_id, l.rnk, row_number() OVER (PARTITION BY l.qid, c.parent_id ORDER BY l.rnk) AS own FROM lexc l JOIN chunks c USING (id)) WHERE own = 1) WHERE rnk < 40")
+@register("SELECT * FROM (SELECT qid, id, parent_id, row_number() OVER (PARTITION BY qid ORDER BY rnk) - 1 AS rnk FROM (SELECT l.qid, l.id, c.parent_id, l.rnk, row_number() OVER (PARTITION BY l.qid, c.parent_id ORDER BY l.rnk) AS own FROM lexwide l JOIN chunks c USING (id)) WHERE own = 1) WHERE rnk < 40")
 def dedupe_pre_rrf(spark, sf):
-    _, lex = B.ranked_lists(spark, sf)
+    """Three times the pool of hits, of which the first of each parent stays."""
+    _, lex = B.ranked_lists(spark, sf, 150)
     rows = lex.join(B.chunks(spark, sf).select("id", "parent_id"), "id")
     return ranking.first_per_parent(rows, 40).select("qid", "id", "parent_id", "rnk")
 
@@ -271,6 +291,16 @@ def edge_retype_v2(spark, sf):
     return graph.retype(e, B.extraction_log(e))[0].select(F.col("from").alias("f"), F.col("to").alias("t"), "relation", "confidence", "llm_typed")
 
 
+@register("SELECT f, t, relation, CAST(confidence AS DOUBLE) AS confidence, llm_typed FROM v2")
+def retype_stream(spark, sf):
+    """The same from a stream of the log in four files whose lines are out of order."""
+    e, root = B.edges(spark, sf), scratch_path(spark, "retype")
+    B.extraction_log(e).withColumn("file", F.pmod(F.xxhash64("line"), F.lit(4))).repartition(4, "file").write.partitionBy("file").json(f"{root}/log")
+    log = spark.readStream.schema(retype.LOG).option("maxFilesPerTrigger", "2").option("recursiveFileLookup", "true").json(f"{root}/log")
+    retype.run_to_end(retype.changed_edges(log, e), f"{root}/out", f"{root}/checkpoint").awaitTermination()
+    return retype.settled(e, retype.last_words(spark, f"{root}/out")).select(F.col("from").alias("f"), F.col("to").alias("t"), "relation", "confidence", "llm_typed")
+
+
 @register(
     """SELECT count(*) FILTER (NOT missing AND confidence >= 0.7 AND relation = 'none') AS dropped_none,
     count(*) FILTER (NOT missing AND confidence >= 0.7 AND relation IN ('interpreted_by', 'clarified_by', 'overrides')) AS retyped,
@@ -284,24 +314,24 @@ def retype_stats(spark, sf):
 
 @register("SELECT qid, id, hop, ord FROM visited")
 def graph_walk_2hop(spark, sf):
-    return graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[0]
+    return B.walk(spark, sf)[0]
 
 
 @register("SELECT qid, hop, ord, f, t, relation FROM walked")
 def traversal_log(spark, sf):
-    log = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[1]
+    log = B.walk(spark, sf)[1]
     return log.select("qid", "hop", "ord", F.col("from").alias("f"), F.col("to").alias("t"), "relation")
 
 
 @register("SELECT qid, id, parent_ord FROM ordered")
 def graph_parent_order(spark, sf):
-    visited, _ = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))
+    visited, _ = B.walk(spark, sf)
     return graph.order_parents(visited, B.parents(spark, sf))
 
 
 @register("SELECT parent_id, arg_min(id, chunk_ord) AS chunk_id FROM (SELECT f AS parent_id FROM walked UNION SELECT t FROM walked) JOIN chunks USING (parent_id) GROUP BY parent_id")
 def walk_endpoints(spark, sf):
-    log = graph.walk(B.walk_entries(spark, sf), B.edges(spark, sf))[1]
+    log = B.walk(spark, sf)[1]
     return serving.endpoints(log, B.chunks(spark, sf))
 
 
@@ -332,13 +362,57 @@ def resume_antijoin(spark, sf):
     return resume.remaining(pairs, done, ["from", "to"]).select(F.col("from").alias("f"), F.col("to").alias("t"))
 
 
+@register("SELECT f, t, min(line) AS line FROM log GROUP BY f, t")
+def shared_log(spark, sf):
+    """The first line of each pair, appended to one log by two writers whose rows overlap and one that repeats a batch."""
+    log = B.extraction_log(B.edges(spark, sf)).groupBy("from", "to").agg(F.min("line").alias("line"))
+    one, two = (SharedLog(spark, root, "from string, to string, line long", ["from", "to"]) for root in [scratch_path(spark, "log")] * 2)
+    one.append(log.where("line % 3 <> 0"), "first")
+    two.append(log.where("line % 3 <> 1"), "second")
+    one.append(log, "second")
+    return two.read().select(F.col("from").alias("f"), F.col("to").alias("t"), "line")
+
+
+@register("SELECT id, source, type, statute, title, date, CAST(len(chunk_ids) AS INT) AS chunk_count FROM parents")
+def stored_vertices(spark, sf):
+    """Vertices written and read back."""
+    path = scratch_path(spark, "vertices")
+    io.vertices(B.parents(spark, sf)).write.parquet(path)
+    return io.read_or_empty(spark, path, io.VERTEX)
+
+
+@register("SELECT id, parent_id, md5(text) AS digest, array_to_string(refs, ',') AS refs FROM chunks")
+def json_lines(spark, sf):
+    """Chunks written as JSON lines, with lines between that don't parse, and read back."""
+    path = scratch_path(spark, "lines")
+    c = B.chunks(spark, sf)
+    io.append_json_lines(c.drop("chunk_ord", "doc_id"), path)
+    c.where("chunk_index = 0").select(F.concat(F.lit("no json: "), "id")).write.mode("append").text(path)
+    return io.read_json_lines(spark, path, io.CHUNK).select("id", "parent_id", F.md5("text").alias("digest"), F.array_join("references", ",").alias("refs"))
+
+
+@register("SELECT CAST(vec_id // ((count(*) OVER () + 3) // 4) AS INT) AS shard, vec_id, CAST(len(embedding) AS INT) AS dim FROM embeddings")
+def vector_shards(spark, sf):
+    """Vectors written in four contiguous shards and read back, those shards with gaps left out."""
+    path = scratch_path(spark, "shards")
+    io.write_vectors(B.table(spark, sf, "embeddings"), path, 4, "vec_id")
+    rows = io.read_vectors(spark, path)
+    return rows.join(io.shard_gaps(rows, "vec_id").select("shard"), "shard", "left_anti").select("shard", "vec_id", F.size("embedding").alias("dim"))
+
+
+@register("SELECT id, parent_id AS derived FROM chunks")
+def parent_ids(spark, sf):
+    """The parent of each chunk from its id alone."""
+    return B.chunks(spark, sf).select("id", T.parent_of(F.col("id")).alias("derived"))
+
+
 @register("SELECT qid, rank, parent_id, id FROM regrown WHERE rank <= 10")
 def graph_retrieve(spark, sf):
-    hits, _ = graph.retrieve_with_graph(B.wide_hits(spark, sf), B.chunks(spark, sf), B.parents(spark, sf), B.edges(spark, sf))
+    hits, _ = graph.retrieve_with_graph(B.wide_hits(spark, sf), B.chunks(spark, sf), B.parents(spark, sf), B.edges(spark, sf), steps=B.adjacency(spark, sf))
     return hits.select("qid", "rank", "parent_id", "id")
 
 
-@register(None)
+@register("SELECT doc_id FROM documents ORDER BY md5('42:' || doc_id), doc_id LIMIT 100")
 def sample_exact_n(spark, sf):
     return graph.sample_exact(B.table(spark, sf, "documents").select("doc_id"), ["doc_id"], 100, seed=42)
 

@@ -103,7 +103,9 @@ CTE["qtok"] = "SELECT item_id AS qid, token, count(*) AS qtf FROM (SELECT item_i
 CTE["bm25"] = """
 SELECT qid, chunk_ord, round(sum(idf * (tf * 2.5 / (tf + 1.5 * (0.25 + 0.75 * dl / (SELECT avgdl FROM n_docs)))) * qtf), 6) AS score
 FROM posts JOIN idf USING (token) JOIN qtok USING (token) JOIN lens USING (chunk_ord) GROUP BY ALL"""
-CTE["lex"] = "SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) - 1 AS rnk FROM bm25 WHERE score > 0) WHERE rnk < 50"
+CTE["lexall"] = "SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, chunk_ord) - 1 AS rnk FROM bm25 WHERE score > 0"
+CTE["lex"] = "SELECT * FROM lexall WHERE rnk < 50"
+CTE["lexwide"] = "SELECT qid, id, rnk FROM lexall JOIN chunks USING (chunk_ord) WHERE rnk < 150"
 CTE["vec"] = """
 SELECT * FROM (SELECT *, row_number() OVER (PARTITION BY qid ORDER BY score DESC, vec_id) - 1 AS rnk FROM (
   SELECT q.vec_id AS qid, v.vec_id, round(list_dot_product(CAST(q.embedding AS DOUBLE[]), CAST(v.embedding AS DOUBLE[])), 6) AS score
