@@ -29,7 +29,7 @@ from quillspark.sources.commits import Commits
 TYPED = ("interpreted_by", "clarified_by", "overrides")
 COUNTERS = ("dropped_none", "retyped", "kept_references", "low_conf_skipped", "missing_edge")
 
-CHANGED = "from string, to string, known boolean, deleted boolean, relation string, confidence double, ref_key string, llm_typed boolean, adj_ord long, " + ", ".join(f"{c} long" for c in COUNTERS)
+CHANGED = "from string, to string, known boolean, deleted boolean, relation string, confidence double, llm_typed boolean, " + ", ".join(f"{c} long" for c in COUNTERS)
 LOG = "line long, from string, to string, relation string, confidence double"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
@@ -39,12 +39,12 @@ class _Edge(StatefulProcessor):
         self.floor, self.ceiling = floor, ceiling
 
     def init(self, handle: StatefulProcessorHandle) -> None:
-        self.edge = handle.getValueState("edge", "relation string, confidence double, ref_key string, adj_ord long")
+        self.edge = handle.getValueState("edge", "relation string, confidence double")
         self.lines = handle.getMapState("lines", "line long", "relation string, confidence double")
 
     def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
         row = initialState.iloc[0]
-        self.edge.update((row["relation"], float(row["confidence"]), None if pd.isna(row["ref_key"]) else row["ref_key"], int(row["adj_ord"])))
+        self.edge.update((row["relation"], float(row["confidence"])))
 
     def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
         for part in rows:
@@ -55,7 +55,7 @@ class _Edge(StatefulProcessor):
     def _settle(self, key) -> tuple:
         """The edge after all its lines, and how many of them did what."""
         known, count = self.edge.exists(), dict.fromkeys(COUNTERS, 0)
-        relation, confidence, ref_key, place = self.edge.get() if known else (None, None, None, None)
+        relation, confidence = self.edge.get() if known else (None, None)
         deleted, typed = False, False
         for (_,), (said, sure) in sorted(self.lines.iterator(), key=lambda x: x[0][0]):
             if not known or deleted:
@@ -71,13 +71,13 @@ class _Edge(StatefulProcessor):
             elif said == "references":
                 confidence, typed = min(confidence, self.ceiling), True
                 count["kept_references"] += 1
-        return (*key, known, deleted, relation, confidence, ref_key, typed, place, *count.values())
+        return (*key, known, deleted, relation, confidence, typed, *count.values())
 
 
 def changed_edges(log: DataFrame, edges: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """The stream of edges (``CHANGED``) that each micro-batch of ``log`` (line, from, to, relation, confidence) touches."""
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    first = edges.select("from", "to", "relation", "confidence", "ref_key", "adj_ord").groupBy("from", "to")
+    first = edges.select("from", "to", "relation", "confidence").groupBy("from", "to")
     return log.groupBy("from", "to").transformWithStateInPandas(
         statefulProcessor=_Edge(profile.confidence_floor, profile.reference_ceiling), outputStructType=CHANGED, outputMode="Update", timeMode="None", initialState=first
     )
@@ -110,8 +110,7 @@ def settled(edges: DataFrame, words: DataFrame) -> DataFrame:
     """The edges after the log, as ``graph.retype`` returns them."""
     new = words.where("known").select("from", "to", "deleted", F.col("relation").alias("r"), F.col("confidence").alias("c"), "llm_typed")
     rows = edges.join(new, ["from", "to"], "left").where("not coalesce(deleted, false)")
-    value = lambda a, b: F.coalesce(a, b)
-    return rows.select("from", "to", value("r", "relation").alias("relation"), value("c", "confidence").alias("confidence"), "ref_key", F.coalesce("llm_typed", F.lit(False)).alias("llm_typed"), "adj_ord")
+    return rows.select("from", "to", F.coalesce("r", "relation").alias("relation"), F.coalesce("c", "confidence").alias("confidence"), "ref_key", F.coalesce("llm_typed", F.lit(False)).alias("llm_typed"), "adj_ord")
 
 
 def counters(words: DataFrame) -> DataFrame:
