@@ -18,7 +18,7 @@ from quillspark.scratch import materialize, scratch_path
 from quillspark.sources import models
 
 
-_BITS = 20  # qid and number of a sub-query share one key; a plan of more sub-queries is an error
+_BITS = 20  # qid and number of a sub-query share one key; more sub-queries, or a qid that leaves no room for them, are errors
 
 
 @dataclass
@@ -52,7 +52,8 @@ class Engine:
         """(qid, question, sub_idx, sub, text): the planner's sub-queries of (qid, question), acronyms expanded."""
         replies = models.complete_rows(questions, "qid", "question", self.plan)
         subs = models.sub_queries(questions, replies)
-        fits = F.when(F.col("sub_idx") < 1 << _BITS, F.col("sub_idx")).otherwise(F.raise_error(F.lit("a plan has too many sub-queries")).cast("int"))
+        room = (F.col("sub_idx") < 1 << _BITS) & F.col("qid").cast("long").between(-(1 << 63 - _BITS), (1 << 63 - _BITS) - 1)
+        fits = F.when(room, F.col("sub_idx")).otherwise(F.raise_error(F.lit("a plan has too many sub-queries, or an id is too large for them")).cast("int"))
         subs = subs.withColumn("sub", F.shiftleft(F.col("qid").cast("long"), _BITS) + fits)
         return subs.withColumn("text", T.expand_query(F.col("text"), self.profile))
 

@@ -137,13 +137,19 @@ def expanded_queries(spark, sf):
     return B.table(spark, sf, "benchmark").select(F.col("item_id").alias("qid"), T.expand_query(F.concat("text", F.lit(" "), name, F.lit("?"))).alias("expanded"))
 
 
-_TITLES = ["Laki tuloverolain muuttamisesta", "TVL ohje", "Perintö ja lahja", "Xtvl", "Korkotulojen uusi lähdevero", "arvonlisäverolaki", "Kiinteistövero 2020", "plain"]
+# A title for each rule, with the statute it stands for, and titles that come near to one.
+_TITLES = {
+    "TVL ohje": "TVL", "ohje (AVL)": "AVL", "EPL 13": "EPL", "VML-ohje": "VML", "uusi tyel": "TyEL", "MEL 2020": "MEL", "yel, opas": "YEL", "MYEL": "MYEL",
+    "Laki tuloverolain muuttamisesta": "TVL", "arvonlisäverolaki": "AVL", "Ennakkoperintälaki": "EPL", "Laki verotusmenettelystä": "VML", "Työntekijän eläkelaki": "TyEL", "TYÖNTEKIJÄIN ELÄKELAKI": "TyEL",
+    "Merimieseläkelaki": "MEL", "yrittäjän eläkelaki, 3 §": "YEL", "yrittäjän eläkelain 3 §": None, "Maatalousyrittäjän uusi eläkelaki": "MYEL", "Perintö ja lahja": "PerVL", "Kiinteistövero 2020": "KiVL", "Elinkeinoverolaki": "EVL", "Lähdeverolaki": "LähdeVL",
+    "Korkotulojen uusi lähdevero": "KoroVL", "Varojen siirtymisestä suoritettava vero": "PerVL", "Xtvl": None, "plain": None, "Perintö": None, "AVL ja TVL": "TVL", "korkotulojen lähdeverolaki": "LähdeVL",
+}
 _FOLDERS = ["Korkein hallinto-oikeus", "Asetus 3", "Lait", "Ennakkoratkaisut", "KVL 1", "Ohjeet"]
 
 
 @register(
     f"""SELECT doc_id, CASE WHEN doc_id % 4 = 0 THEN NULL ELSE '20' || lpad(CAST(doc_id % 30 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 12 + 1 AS VARCHAR), 2, '0') || '-' || lpad(CAST(doc_id % 28 + 1 AS VARCHAR), 2, '0') END AS date,
-    ['TVL', 'TVL', 'PerVL', NULL, 'KoroVL', 'AVL', 'KiVL', NULL][doc_id % 8 + 1] AS statute,
+    [{", ".join("NULL" if x is None else f"'{x}'" for x in _TITLES.values())}][doc_id % {len(_TITLES)} + 1] AS statute,
     CASE WHEN source = 'vero' THEN CASE WHEN doc_id % 6 IN (3, 4) THEN 'COURT_CASE' ELSE 'GUIDANCE' END ELSE CASE doc_id % 6 WHEN 0 THEN 'COURT_CASE' WHEN 1 THEN 'STATUTE' ELSE 'ARTICLE' END END AS type FROM d"""
 )
 def document_metadata(spark, sf):
@@ -153,7 +159,7 @@ def document_metadata(spark, sf):
     stamp = F.concat(F.lit(" 20"), F.lpad((i % 30).cast("string"), 2, "0"), F.lit("."), (i % 12 + 1).cast("string"), F.lit("/"), (i % 28 + 1).cast("string"), F.lit(" 2099-12-12"))
     text = F.concat(F.regexp_replace("text", "20", ""), F.when(i % 4 == 0, F.lit(" 1999-01-01 20-1-1")).otherwise(stamp))
     d = B.documents(spark, sf)
-    return d.select("doc_id", T.extract_date(text).alias("date"), T.infer_statute(pick(_TITLES), F.lit("x/y")).alias("statute"), T.classify_type(F.col("source"), pick(_FOLDERS)).alias("type"))
+    return d.select("doc_id", T.extract_date(text).alias("date"), T.infer_statute(pick(list(_TITLES)), F.lit("x/y")).alias("statute"), T.classify_type(F.col("source"), pick(_FOLDERS)).alias("type"))
 
 
 # ---- vectors and fusion ----

@@ -2,6 +2,8 @@
 
 import json
 
+import pytest
+
 from quillspark.engine import Engine
 from quillspark.operators import ranking
 from quillspark.sources import models
@@ -19,6 +21,8 @@ def test_engine(spark):
     questions = spark.createDataFrame([(1, "which fruit"), (2, "roads")], "qid long, question string")
     subs = sorted((r.qid, r.sub_idx, r.text) for r in engine.sub_queries(questions).collect())
     assert subs == [(1, 0, "pears"), (1, 1, "plums"), (2, 0, "roads")]
+    with pytest.raises(Exception, match="too large"):
+        engine.sub_queries(spark.createDataFrame([(1 << 43, "roads")], "qid long, question string")).collect()
     packed = {r.qid: r.context for r in engine.answer_context(questions, k=2).collect()}
     assert "pears and plums" in packed[1] and "roads and rails" in packed[2]
     events = sorted((r.qid, r.seq, r.event, r.data) for r in engine.ask_events(questions, k=4).collect())
@@ -32,8 +36,6 @@ def test_engine_upkeep(spark):
     import threading
     import time
 
-    import pytest
-
     from quillspark.operators import stats
 
     c = spark.createDataFrame([chunk("a", title="a", text="apples", chunk_ord=0)], CHUNK).selectExpr("*", "0 as chunk_index")
