@@ -16,7 +16,8 @@ equal bytes and fingerprint have a common prefix of ``k`` bytes at least.
 
 *Levels.*  Documents come in batches.  Each batch gets its own array, sorted over
 all tasks by ranges of suffixes.  It is merge-scanned against all existing
-levels: the sorted runs are merged, neighbours are compared, and intervals with a
+levels: all are dealt by ranges and sorted together, which shuffles the stored entries for each
+batch, neighbours are compared, and intervals with a
 common prefix of ``k`` bytes that hold a new suffix and another one are reported.
 The same pass writes the merge of levels of equal rank, two of rank r giving one
 of rank r + 1, so that n batches leave about log2(n) levels and each entry is
