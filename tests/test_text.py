@@ -95,3 +95,9 @@ def test_html_leaves():
     title, text = html.read_page("<html><title>T</title><body><h2>Sub</h2>loose</body></html>", "stem")
     assert title == "T" and text == "Sub loose"
     assert html.read_page(None, "stem") == ("stem", "")
+
+
+def test_references_without_semicolon():
+    page = "<h1>R&amp;D &lt;&amp;&amp &ltx &#65; &#65 A&B</h1>"
+    assert html.read_page(page, closed=True)[0] == "R&D <&&amp &ltx A &#65 A&B"
+    assert html.read_page(page)[0] == "R&D <&& <x A A A&B"
