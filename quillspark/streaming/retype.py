@@ -1,12 +1,13 @@
 """Re-typing of edges as a stateful stream: each edge keeps what a log has said of it so far.
 
-State is keyed by (from, to): the edge as it was assembled (initial state) and the
-lines of the log that concern it, by line number.  A micro-batch adds its
-lines; the state of each edge they touch is settled anew from all its lines in
-their order, so lines may come late, out of order or twice, and any split of
+State is keyed by (from, to): the lines of the log that concern an edge so far, as
+a set.  A micro-batch adds its lines; the edges they touch are joined with the
+assembled ones and settled anew from all their lines in the lines' order, so these may
+come late, out of order or twice, and any split of
 the log ends with the same edges.  Each batch puts out the edges it touched
 (update mode), with the counters of their lines; ``settled`` takes the last word on
-each edge, ``counters`` sums up.
+each edge, ``counters`` sums up.  All of it are native expressions: no row
+and no state leaves the JVM.
 
 An edge's lines fit in memory: a log has a few for each.  Edges that no line
 concerns have no output and stay as they were.
@@ -14,12 +15,9 @@ concerns have no output and stay as they were.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql.streaming import StatefulProcessor, StatefulProcessorHandle, StreamingQuery
+from pyspark.sql.streaming import StreamingQuery
 from pyspark.sql.window import Window as W
 
 from quillspark.profile import DEFAULT, Profile
@@ -34,53 +32,36 @@ LOG = "line long, from string, to string, relation string, confidence double"
 _PROVIDER = "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider"
 
 
-class _Edge(StatefulProcessor):
-    def __init__(self, floor: float, ceiling: float):
-        self.floor, self.ceiling = floor, ceiling
-
-    def init(self, handle: StatefulProcessorHandle) -> None:
-        self.edge = handle.getValueState("edge", "relation string, confidence double")
-        self.lines = handle.getMapState("lines", "line long", "relation string, confidence double")
-
-    def handleInitialState(self, key, initialState: pd.DataFrame, timerValues) -> None:
-        row = initialState.iloc[0]
-        self.edge.update((row["relation"], float(row["confidence"])))
-
-    def handleInputRows(self, key, rows: Iterator[pd.DataFrame], timerValues) -> Iterator[pd.DataFrame]:
-        for part in rows:
-            for line, relation, confidence in zip(part["line"], part["relation"], part["confidence"]):
-                self.lines.updateValue((int(line),), (relation, None if pd.isna(confidence) else float(confidence)))
-        yield pd.DataFrame([self._settle(key)], columns=[c.split()[0] for c in CHANGED.split(", ")])
-
-    def _settle(self, key) -> tuple:
-        """The edge after all its lines, and how many of them did what."""
-        known, count = self.edge.exists(), dict.fromkeys(COUNTERS, 0)
-        relation, confidence = self.edge.get() if known else (None, None)
-        deleted, typed = False, False
-        for (_,), (said, sure) in sorted(self.lines.iterator(), key=lambda x: x[0][0]):
-            if not known or deleted:
-                count["missing_edge"] += 1
-            elif sure is None or sure < self.floor:
-                count["low_conf_skipped"] += sure is not None
-            elif said == "none":
-                deleted = True
-                count["dropped_none"] += 1
-            elif said in TYPED:
-                relation, confidence, typed = said, sure, True
-                count["retyped"] += 1
-            elif said == "references":
-                confidence, typed = min(confidence, self.ceiling), True
-                count["kept_references"] += 1
-        return (*key, known, deleted, relation, confidence, typed, *count.values())
+def _settle(profile: Profile) -> Column:
+    """The edge (known, r, c) after all its ``lines``, and how many of them did what."""
+    s = F.array_sort("lines")
+    s = F.filter(s, lambda x, i: ~F.coalesce(F.get(s, i + 1)["line"] == x["line"], F.lit(False)))  # a line number counts once
+    zero = F.lit(0).cast("long")
+    start = F.struct(F.lit(False).alias("deleted"), F.col("r").alias("relation"), F.col("c").alias("confidence"), F.lit(False).alias("llm_typed"), *[zero.alias(c) for c in COUNTERS])
+
+    def step(acc: Column, x: Column) -> Column:
+        live = F.col("known") & ~acc["deleted"]
+        sure = live & F.coalesce(x["confidence"] >= profile.confidence_floor, F.lit(False))
+        said = lambda *names: sure & F.coalesce(x["relation"].isin(*names), F.lit(False))
+        none, typed, kept = said("none"), said(*TYPED), said("references")
+        low = live & ~sure & x["confidence"].isNotNull()
+        told = dict(zip(COUNTERS, (none, typed, kept, low, ~live)))
+        return F.struct(
+            (acc["deleted"] | none).alias("deleted"), F.when(typed, x["relation"]).otherwise(acc["relation"]).alias("relation"),
+            F.when(typed, x["confidence"]).when(kept, F.least(acc["confidence"], F.lit(profile.reference_ceiling))).otherwise(acc["confidence"]).alias("confidence"),
+            (acc["llm_typed"] | typed | kept).alias("llm_typed"), *[(acc[c] + told[c].cast("long")).alias(c) for c in COUNTERS],
+        )
+
+    return F.aggregate(s, start, step)
 
 
 def changed_edges(log: DataFrame, edges: DataFrame, profile: Profile = DEFAULT) -> DataFrame:
     """The stream of edges (``CHANGED``) that each micro-batch of ``log`` (line, from, to, relation, confidence) touches."""
     log.sparkSession.conf.set("spark.sql.streaming.stateStore.providerClass", _PROVIDER)
-    first = edges.select("from", "to", "relation", "confidence").groupBy("from", "to")
-    return log.groupBy("from", "to").transformWithStateInPandas(
-        statefulProcessor=_Edge(profile.confidence_floor, profile.reference_ceiling), outputStructType=CHANGED, outputMode="Update", timeMode="None", initialState=first
-    )
+    told = log.groupBy("from", "to").agg(F.collect_set(F.struct("line", "relation", "confidence")).alias("lines"))
+    first = edges.select("from", "to", F.lit(True).alias("known"), F.col("relation").alias("r"), F.col("confidence").cast("double").alias("c"))
+    rows = told.join(first, ["from", "to"], "left").withColumn("known", F.coalesce("known", F.lit(False)))
+    return rows.withColumn("s", _settle(profile)).select("from", "to", "known", *[f"s.{c}" for c in ("deleted", "relation", "confidence", "llm_typed", *COUNTERS)])
 
 
 def run_to_end(changed: DataFrame, target: str, checkpoint: str) -> StreamingQuery:

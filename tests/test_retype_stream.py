@@ -35,3 +35,11 @@ def test_any_split_of_the_log(spark, tmp_path, seed, n_files):
     columns = ["from", "to", "relation", "confidence", "ref_key", "llm_typed", "adj_ord"]
     assert flat(retype.settled(edges, words).select(columns)) == flat(want.select(columns))
     assert flat(retype.counters(words)) == flat(stats)
+
+
+def test_no_row_goes_through_python(spark, tmp_path):
+    edges = spark.createDataFrame([("a", "b", "cites", 0.85)], "from string, to string, relation string, confidence double")
+    (tmp_path / "log").mkdir()
+    stream = spark.readStream.schema(retype.LOG).json(str(tmp_path / "log"))
+    plan = retype.changed_edges(stream, edges)._jdf.queryExecution().logical().toString()
+    assert "Python" not in plan and "Pandas" not in plan
