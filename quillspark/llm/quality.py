@@ -7,12 +7,13 @@ document's score is the sum of ``log(target / corpus)`` over its n-grams divided
 their number.  It is kept if it passes the base rules and its score reaches the
 threshold.
 
-The target is fitted on at most ``max_trusted`` documents labelled good, those
-with the least hash of their id; half of them give the counts, the other half
-the threshold: their mean score less ``spread`` standard deviations, on a grid
-of 1/10000.  The corpus counts cover all documents.  The fitted table has one
-number for each bucket, whatever the input, and is part of the scoring plan as a
-constant (some 300 KB for 32,768 buckets).
+The target is fitted on all documents labelled good.  The threshold is their mean
+score less ``spread`` standard deviations, on a grid of 1/10000; for it each is
+scored by counts of the half of them that it isn't in (halves by a hash of the
+id), so that no document vouches for itself.  The corpus counts cover all
+documents.  The fitted tables have one number for each bucket, whatever the
+input, and are part of the scoring plan as constants (some 300 KB each for
+32,768 buckets).
 
 Everything is a DataFrame expression.  Counts of repeated windows are made in
 the row, by hashing each window of eight words and sorting the hashes, so no
@@ -81,65 +82,69 @@ def gram_buckets(w: Column, buckets: int) -> Column:
     return F.concat(ones, F.slice(twos, 2, F.greatest(F.size(w) - 1, F.lit(0))))
 
 
-def trusted_ids(labels: DataFrame, max_trusted: int) -> DataFrame:
-    """At most ``max_trusted`` ids labelled good, each with the half it serves."""
+def trusted_ids(labels: DataFrame) -> DataFrame:
+    """All ids labelled good, each with the half it is in."""
     ids = labels.where("quality = 1 and doc_id is not null").select(F.col("doc_id").cast("long").alias("trusted_id")).distinct()
-    order = F.xxhash64("trusted_id")
-    return ids.orderBy(order, "trusted_id").limit(max_trusted).withColumn("half", F.pmod(F.shiftright(order, 7), F.lit(2)))
+    return ids.withColumn("half", F.pmod(F.shiftright(F.xxhash64("trusted_id"), 7), F.lit(2)))
 
 
-def gram_counts(docs: DataFrame, trusted: DataFrame, buckets: int) -> DataFrame:
-    """(b, n, t): how often each bucket occurs in the corpus and in the first half of the trusted documents.
+def with_half(docs: DataFrame, trusted: DataFrame, most: int = 2_000_000) -> DataFrame:
+    """``docs`` with the ``half`` of trusted ones; up to ``most`` ids are broadcast, more are joined by a shuffle."""
+    known = F.broadcast(trusted) if trusted.count() <= most else trusted
+    return docs.join(known, F.col("doc_id") == F.col("trusted_id"), "left").drop("trusted_id")
+
+
+def gram_counts(docs: DataFrame, buckets: int) -> DataFrame:
+    """(b, n, t0, t1): how often each bucket occurs in the corpus (doc_id, text, half) and in both halves of the trusted documents.
 
     At most ``buckets`` rows; partial counts are made before the shuffle.
     """
-    ids = trusted.where("half = 0").select("trusted_id")
-    flagged = docs.join(F.broadcast(ids), F.col("doc_id") == F.col("trusted_id"), "left")
-    grams = flagged.select(F.col("trusted_id").isNotNull().cast("long").alias("good"), F.explode(let(split_words(F.col("text")), lambda w: gram_buckets(w, buckets))).alias("b"))
-    return grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.sum("good").alias("t"))
+    grams = docs.select("half", F.explode(let(split_words(F.col("text")), lambda w: gram_buckets(w, buckets))).alias("b"))
+    return grams.groupBy("b").agg(F.count(F.lit(1)).alias("n"), F.count_if(F.col("half") == 0).alias("t0"), F.count_if(F.col("half") == 1).alias("t1"))
 
 
-def gram_weights(counts: DataFrame, buckets: int, smooth: float) -> Column:
-    """The log ratio of each bucket as a constant array.
+def gram_weights(counts: DataFrame, buckets: int, smooth: float, goods: tuple[str, ...]) -> list[Column]:
+    """The log ratio of each bucket as a constant array, for each count of good occurrences in ``goods``.
 
     The table of counts has at most ``buckets`` rows; it comes to the driver
-    and goes into the plan as one string that the optimizer folds to an array.
+    and goes into the plan as strings that the optimizer folds to arrays.
     """
-    total = counts.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("n"), F.coalesce(F.sum("t"), F.lit(0)).alias("t")).first()
-    n, t = F.coalesce(F.col("n"), F.lit(0)), F.coalesce(F.col("t"), F.lit(0))
-    log = F.log((t + smooth) / (total.t + smooth * buckets)) - F.log((n + smooth) / (total.n + smooth * buckets))
-    every = counts.sparkSession.range(buckets).withColumnRenamed("id", "b").join(counts, "b", "left")
-    found = every.select("b", F.round(log if total.t else F.lit(0.0), 6).alias("v")).collect()
-    table = [0.0] * buckets
+    total = counts.agg(*[F.coalesce(F.sum(F.expr(x)), F.lit(0)).alias(f"v{i}") for i, x in enumerate(("n", *goods))]).first()
+    every = counts.sparkSession.range(buckets).withColumnRenamed("id", "b").join(counts, "b", "left").na.fill(0)
+
+    def ratio(i: int, good: str) -> Column:
+        log = F.log((F.expr(good) + smooth) / (total[i] + smooth * buckets)) - F.log((F.col("n") + smooth) / (total.v0 + smooth * buckets))
+        return F.round(log if total[i] else F.lit(0.0), 6).alias(f"v{i}")
+
+    found = every.select("b", *[ratio(i, x) for i, x in enumerate(goods, 1)]).collect()
+    tables = [[0.0] * buckets for _ in goods]
     for r in found:
-        table[r.b] = r.v
-    return F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>")
+        for table, v in zip(tables, r[1:]):
+            table[r.b] = v
+    return [F.split(F.lit(",".join(map(repr, table))), ",").cast("array<double>") for table in tables]
 
 
-def likelihood_score(w: Column, weights: Column, buckets: int) -> Column:
-    """Mean log ratio of the n-grams of ``w``; 0 if there are none."""
-    total = lambda g: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(weights, b)) / F.greatest(F.size(g), F.lit(1))
-    return let(gram_buckets(w, buckets), total)
+def likelihood_scores(w: Column, buckets: int, whole: Column, half: Column, others: tuple[Column, Column]) -> Column:
+    """Mean log ratios of the n-grams of ``w``, 0 if there are none: ``score`` by the weights ``whole``, for trusted documents ``cross`` by those of the other half."""
+    mean = lambda g, weights: F.aggregate(g, F.lit(0.0), lambda acc, b: acc + F.get(weights, b)) / F.greatest(F.size(g), F.lit(1))
+    cross = lambda g: F.when(half == 0, mean(g, others[0])).when(half == 1, mean(g, others[1]))
+    return let(gram_buckets(w, buckets), lambda g: F.struct(mean(g, whole).alias("score"), cross(g).alias("cross")))
 
 
-def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, max_trusted: int = 20_000, smooth: float = 0.5, spread: float = 4.0) -> DataFrame:
+def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, smooth: float = 0.5, spread: float = 4.0) -> DataFrame:
     """One row for each document.
 
     Columns: doc_id, n_words, word_chars, n_symbols, n_dup_lines,
     n_repeat_words, base_failed, score, threshold, kept.
     """
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    trusted = materialize(trusted_ids(labels, max_trusted), "trusted")
-    counts = materialize(gram_counts(docs, trusted, buckets), "grams")
-    weights = gram_weights(counts, buckets, smooth)
-    score = lambda w: likelihood_score(w, weights, buckets)
-
-    second = docs.join(F.broadcast(trusted.where("half = 1").select("trusted_id")), F.col("doc_id") == F.col("trusted_id"), "left_semi")
-    spread_of = second.select(let(split_words(F.col("text")), score).alias("s")).agg(F.avg("s").alias("m"), F.stddev_pop("s").alias("d")).first()
-    threshold = math.floor(((spread_of.m or 0.0) - spread * (spread_of.d or 0.0)) * 10_000) / 10_000
+    docs = with_half(docs, materialize(trusted_ids(labels), "trusted"))
+    counts = materialize(gram_counts(docs, buckets), "grams")
+    whole, zero, one = gram_weights(counts, buckets, smooth, ("t0 + t1", "t0", "t1"))
+    scores = lambda w: likelihood_scores(w, buckets, whole, F.col("half"), (one, zero))
 
     text = F.coalesce(F.col("text"), F.lit(""))
-    judged = let(split_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), score(w).alias("score")))
+    judged = let(split_words(text), lambda w: F.struct(F.size(w).cast("long").alias("n_words"), repeat_words(w).alias("n_repeat_words"), scores(w).alias("s")))
     out = docs.select(
         "doc_id",
         judged.alias("j"),
@@ -147,7 +152,10 @@ def quality_rules(docs: DataFrame, labels: DataFrame, buckets: int = 1 << 15, ma
         (F.length(text) - F.length(F.translate(text, SYMBOLS, ""))).cast("long").alias("n_symbols"),
         dup_lines(text).alias("n_dup_lines"),
     )
-    out = out.select("doc_id", "j.n_words", "word_chars", "n_symbols", "n_dup_lines", "j.n_repeat_words", "j.score")
+    out = out.select("doc_id", "j.n_words", "word_chars", "n_symbols", "n_dup_lines", "j.n_repeat_words", "j.s.score", "j.s.cross")
+    out = materialize(out, "scored")
+    spread_of = out.agg(F.avg("cross").alias("m"), F.stddev_pop("cross").alias("d")).first()
+    threshold = math.floor(((spread_of.m or 0.0) - spread * (spread_of.d or 0.0)) * 10_000) / 10_000
     failed = (F.col("n_words") < 20) | (F.col("n_repeat_words") * 100 > F.col("n_words") * 30)
     out = out.withColumn("base_failed", failed).withColumn("threshold", F.lit(threshold))
-    return out.withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold")))
+    return out.drop("cross").withColumn("kept", ~F.col("base_failed") & (F.col("score") >= F.col("threshold")))

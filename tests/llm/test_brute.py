@@ -253,6 +253,23 @@ def test_quality(spark, make_docs):
     assert quality.quality_rules(make_docs(rows).where("false"), labels).count() == 0
 
 
+def test_every_trusted_document_counts(spark, make_docs):
+    rng = random.Random(3)
+    rows = [(i, invented(rng, 40)) for i in range(12)]
+    labels = spark.createDataFrame([(i, 1, 0) for i in range(8)], "doc_id long, quality int, toxic int")
+    docs = quality.with_half(make_docs(rows), quality.trusted_ids(labels))
+    assert {r.doc_id for r in docs.where("half is not null").collect()} == set(range(8))
+    total = quality.gram_counts(docs, 1 << 12).agg({"n": "sum", "t0": "sum", "t1": "sum"}).first().asDict()
+    grams = [2 * len(BLANK.findall(t)) - 1 for _, t in rows]
+    assert total["sum(n)"] == sum(grams) and total["sum(t0)"] + total["sum(t1)"] == sum(grams[:8])
+    # a rare word of a trusted document speaks for it
+    for i in range(2):
+        own = [(n, f"{t} {'word' + str(i) + ' ' if n == i else ''}") for n, t in rows]
+        judged = quality.quality_rules(make_docs([*own, (50, f"word{i} " * 30), (51, "other " * 30)]), labels, buckets=1 << 12)
+        score = {r.doc_id: r.score for r in judged.collect()}
+        assert score[50] > score[51]
+
+
 # ---- near duplicates ----
 
 
