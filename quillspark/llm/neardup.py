@@ -54,6 +54,7 @@ _rng = np.random.Generator(np.random.PCG64(99))
 _MUL = _rng.integers(0, 2**32, 4096, dtype=np.uint32) | np.uint32(1)
 _ADD = _rng.integers(0, 2**32, 4096, dtype=np.uint32)
 _CHUNK = 1 << 16
+MOST = 100_000  # keys of a semi-join that are broadcast, which takes driver memory; more are shuffled
 
 
 def shingle_sets(s: bs.TextSlice, k: int) -> list[np.ndarray]:
@@ -167,7 +168,7 @@ def estimated(pairs: DataFrame, classes: DataFrame, percent: int, least: float)
 def verified(pairs: DataFrame, texts: DataFrame, k: int, percent: int) -> DataFrame:
     """(a, b): the pairs whose full sets reach the threshold."""
     ends = pairs.select(F.col("a").alias("cid")).unionByName(pairs.select(F.col("b").alias("cid")))
-    texts = semi_join(texts, ends, ["cid"])
+    texts = semi_join(texts, ends, ["cid"], MOST)
     both = pairs.select("a", "b").join(texts.select(F.col("cid").alias("a"), F.col("text").alias("t_a")), "a")
     both = both.join(texts.select(F.col("cid").alias("b"), F.col("text").alias("t_b")), "b").select("a", "b", "t_a", "t_b")
 
@@ -224,7 +225,7 @@ def stray_links(placed: DataFrame, groups: DataFrame, texts: DataFrame, k: int,
     every = lambda n: F.explode(F.sequence(F.lit(0).cast("long"), F.col(n) - 1))
     asking = rows.where("c != main").select("g", own("n_i").alias("i"), every("n_j").alias("j"), F.lit(0).alias("role"), "cid", "c")
     asked = rows.select("g", every("n_i").alias("i"), own("n_j").alias("j"), F.lit(1).alias("role"), "cid", "c")
-    placed_texts = asking.unionByName(asked).join(semi_join(texts, rows.select("cid"), ["cid"]), "cid").select("g", "i", "j", "role", "cid", "c", "text")
+    placed_texts = asking.unionByName(asked).join(semi_join(texts, rows.select("cid"), ["cid"], MOST), "cid").select("g", "i", "j", "role", "cid", "c", "text")
 
     def judge(block: list[tuple]) -> list[tuple]:
         column = pa.array([r[6] for r in block], pa.large_string())
@@ -287,9 +288,9 @@ def class_components(docs: DataFrame, classes: DataFrame, k: int, percent: int,
     ends = in_band.groupBy("band").agg(F.min(draw).alias("p"), F.max(draw).alias("q")).select("band", F.col("p.cid").alias("p"), F.col("q.cid").alias("q")).where("p != q")
     members = materialize(in_band.join(ends, "band"), "members")
 
-    wanted = semi_join(classes.select("cid", "doc", "tk"), members.select("cid"), ["cid"]).select("cid", F.col("doc").alias("d"), F.col("tk").alias("t"))
+    wanted = semi_join(classes.select("cid", "doc", "tk"), members.select("cid"), ["cid"], MOST).select("cid", F.col("doc").alias("d"), F.col("tk").alias("t"))
     source = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.xxhash64("text").alias("tk"), F.col("text").cast("string").alias("text"))
-    source = semi_join(source, wanted.select(F.col("d").alias("doc_id"), F.col("t").alias("tk")), ["doc_id", "tk"])
+    source = semi_join(source, wanted.select(F.col("d").alias("doc_id"), F.col("t").alias("tk")), ["doc_id", "tk"], MOST)
     texts = source.join(wanted, F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("tk") == F.col("t")))
     texts = materialize(texts.groupBy("cid").agg(F.min("text").alias("text")), "texts")
 

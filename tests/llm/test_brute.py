@@ -273,6 +273,17 @@ def test_every_trusted_document_counts(spark, make_docs):
 # ---- near duplicates ----
 
 
+def test_shuffled_keys_give_the_same_groups(spark, make_docs, monkeypatch):
+    """Key tables beyond the bound of a broadcast, which is driver memory."""
+    rng = random.Random(12)
+    base = [invented(rng, 60) for _ in range(4)]
+    rows = [(i, base[i % 4] + (f" end{i}" if i % 3 else "")) for i in range(16)]
+    assert neardup.MOST <= 100_000
+    monkeypatch.setattr(neardup, "MOST", 1)
+    got = {(r.doc_id, r.component_id) for r in neardup.near_duplicates(make_docs(rows), 2).collect()}
+    assert got == {(i, i % 4) for i in range(16)}
+
+
 def groups_model(rows, k, percent):
     sets = []
     for _, t in rows:
