@@ -3,7 +3,7 @@
 from pyspark.sql import functions as F
 
 from quillspark.functions import text as T
-from quillspark.operators import corpus, inverted, ranking
+from quillspark.operators import corpus, graph, inverted, ranking
 from quillspark.profile import DEFAULT
 
 
@@ -40,3 +40,21 @@ def test_unique_keys_are_not_shuffled(spark):
     posts = ranking.unique_postings(docs, "key", "text")
     assert "Exchange" not in posts._jdf.queryExecution().executedPlan().toString()
     assert sorted(map(tuple, posts.collect())) == sorted(map(tuple, ranking.postings(docs, "key", "text").collect())) == [(1, "a", 2), (1, "b", 3), (4, "c", 1)]
+
+
+def test_places_of_a_key_are_not_ordered_together(spark):
+    """One key that every parent bears: the targets are those of a loop, and no plan sorts or numbers the places of a key."""
+    kinds = [("finlex", "t"), ("vero", "t"), ("finlex", "Laki A 3 ja 4 §:n muuttamisesta")]
+    data = [(f"p{i}", kinds[i % 3][0], "ARTICLE", "A", kinds[i % 3][1], None, ["A_§3", f"A_§{100 + i % 40}"] if i % 5 else ["A_§3"], i) for i in range(300)]
+    p = spark.createDataFrame(data, "id string, source string, type string, statute string, title string, date string, references array<string>, parent_ord long")
+    got = graph.build_edges(p)
+    assert "Window" not in got._jdf.queryExecution().executedPlan().toString()
+    keys = {d[0]: {*d[6], *(["A_§3", "A_§4"] if "ja" in d[4] else [])} for d in data}
+    want = set()
+    for d in data:
+        for refs, relation, fits in ((d[6], "cites", lambda t: t[1] == "finlex"), (["A_§3", "A_§4"] if "ja" in d[4] else [], "amends", lambda t: t[1] == "finlex" and "ja" not in t[4])):
+            for k in refs:
+                want |= {(d[0], t[0], relation, k) for t in [t for t in data if k in keys[t[0]] and fits(t) and t[0] != d[0]][:3]}
+    assert {(r["from"], r["to"], r.relation, r.ref_key) for r in got.collect()} == want
+    shuffled = graph.build_edges(p, corpus.parent_sections(p), most=0)
+    assert sorted(map(str, shuffled.collect())) == sorted(map(str, got.collect()))
