@@ -280,3 +280,52 @@ def test_plug_points(spark):
     c = spark.createDataFrame([("a", "t", "body words"), ("b", None, None)], "id string, title string, text string")
     got = {r.id: r.embedding for r in models.embed_chunks(c, models.hashed_embedder(8)).collect()}
     assert sum(x * x for x in got["a"]) == pytest.approx(1) and set(got["b"]) == {0.0}
+
+
+@pytest.mark.parametrize("most", [400_000, 0])
+def test_walk_through_nodes_of_high_degree(spark, most):
+    """Frontiers of hubs that share their neighbours: several rounds, the same walk as the loop's, and little reached that isn't kept."""
+    from dataclasses import replace
+
+    rng = random.Random(5)
+    profile = replace(DEFAULT, frontier_cap=4)
+    hubs, pairs = [f"h{i}" for i in range(12)], []
+    for i in range(400):
+        to = rng.sample(hubs, 1 if i < 200 else 2) if i % 4 else hubs[:6]
+        pairs += [(f"n{i}", h, rng.choice(["cites", "amends", "amends"])) for h in to]
+    pairs += [(a, b, "cites") for a in hubs for b in rng.sample(hubs, 3) if a != b]
+    out, back = {}, {}
+    for a, b, r in pairs:
+        out.setdefault(a, []).append((b, r))
+        back.setdefault(b, []).append((a, r))
+    entry = {q: rng.sample(hubs, 2) + rng.sample([f"n{i}" for i in range(400)], 5) if q % 2 else [f"n{i}" for i in rng.sample(range(400), 6)] for q in range(16)}
+    entries = [(q, e, i) for q, es in entry.items() for i, e in enumerate(es)]
+    edges = [(a, b, r, i) for i, (a, b, r) in enumerate(pairs)]
+    visited, log = graph.walk(spark.createDataFrame(entries, "qid long, id string, f_ord long"), spark.createDataFrame(edges, "from string, to string, relation string, adj_ord long"), 2, profile, most=most)
+    seen, told = {}, {}
+    for r in visited.collect():
+        seen.setdefault(r.qid, []).append(r.id)
+    for r in sorted(log.collect(), key=lambda r: (r.hop, r.ord)):
+        told.setdefault(r.qid, []).append((r["from"], r["to"], r.relation))
+    for q, es in entry.items():
+        v, steps = walk_model(es, out, back, 2, 4)
+        assert sorted(seen[q]) == sorted(v) and told.get(q, []) == steps
+
+
+def test_a_hop_stops_at_the_first_hub(spark, monkeypatch):
+    """Of a frontier of 10 hubs with 500 sources each only the first is gone through, and no table of visited nodes is broadcast."""
+    edges = [(f"n{h}_{i}", f"h{h}", "amends", h * 1000 + i) for h in range(10) for i in range(500)]
+    entries = spark.createDataFrame([(q, f"h{(q + h) % 10}", h) for q in range(3) for h in range(10)], "qid long, id string, f_ord long")
+    plans, real = [], graph.materialize
+
+    def kept(df, tag):
+        plans.append((tag, df))
+        return real(df, tag)
+
+    monkeypatch.setattr(graph, "materialize", kept)
+    visited, _ = graph.walk(entries, spark.createDataFrame(edges, "from string, to string, relation string, adj_ord long"), 1)
+    assert visited.count() == 3 * 510
+    hop = [df for tag, df in plans if tag == "hop"]
+    assert len(hop) == 1 and hop[0].count() == 3 * 500
+    plan = hop[0]._jdf.queryExecution().optimizedPlan().toString()
+    assert "LeftAnti" not in plan and "sum(degree" in plan
