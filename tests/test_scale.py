@@ -58,3 +58,12 @@ def test_places_of_a_key_are_not_ordered_together(spark):
     assert {(r["from"], r["to"], r.relation, r.ref_key) for r in got.collect()} == want
     shuffled = graph.build_edges(p, corpus.parent_sections(p), most=0)
     assert sorted(map(str, shuffled.collect())) == sorted(map(str, got.collect()))
+
+
+def test_documents_of_a_level_are_written_once(spark, tmp_path, monkeypatch):
+    tags, real = [], inverted.materialize
+    monkeypatch.setattr(inverted, "materialize", lambda df, tag: tags.append(tag) or real(df, tag))
+    docs = spark.createDataFrame([(1, "a b a"), (2, "c"), (3, None)], "key long, text string")
+    index = inverted.LexicalIndex.open(spark, str(tmp_path / "i"), parts=2, bits=1).refresh(docs, "key", "text")
+    assert tags == ["changes"] and index.length == 4
+    assert sorted((r.key, r.dl, r.tokens) for r in index.live_docs().collect()) == [(1, 3, ["a", "b", "a"]), (2, 1, ["c"]), (3, 0, [])]
