@@ -356,6 +356,22 @@ def test_large_groups_across_blocks(spark, make_docs):
     assert {r.doc_id: r.component_id for r in got} == dict(enumerate(label.tolist()))
 
 
+def test_strays_meet_by_rare_shingles(spark, monkeypatch):
+    """A template with fillings of its own in each text: what meets are the few alike, not strays times classes."""
+    template = " ".join(f"t{i}" for i in range(40))
+    texts = [f"{template} " + " ".join(f"own{i}x{j}" for j in range(20)) for i in range(500)]
+    texts += [t + " more" for t in texts[:5]]
+    kept = {}
+    plain = neardup.materialize
+    monkeypatch.setattr(neardup, "materialize", lambda df, tag: kept.setdefault(tag, plain(df, tag)))
+    n = len(texts)
+    placed = spark.createDataFrame([(i, i if i != 499 else 498, 60) for i in range(n)], "cid long, c long, n long")
+    groups = spark.createDataFrame([(i, 0) for i in range(n)], "node long, component long")
+    links = neardup.stray_links(placed, groups, spark.createDataFrame(list(enumerate(texts)), "cid long, text string"), 2, 80, 50, 100)
+    assert {(min(r), max(r)) for r in links.collect()} == {(i, 500 + i) for i in range(5)}
+    assert kept["pairs"].count() == 5 and kept["strays"].count() == n
+
+
 def test_sketches_merge():
     import numpy as np
 
