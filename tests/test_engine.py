@@ -3,6 +3,7 @@
 import json
 
 import pytest
+from pyspark.sql import functions as F
 
 from quillspark.engine import Engine
 from quillspark.operators import ranking
@@ -31,6 +32,30 @@ def test_engine(spark):
     assert any(json.loads(e[3]) == {"from": "c", "to": "d", "relation": "cites"} for e in mine if e[2] == "hop")
 
 
+def test_whole_event_stream(spark):
+    """More hops and sources than a screen shows, a long context, sub-queries and questions without hits."""
+    n = 40
+    about = lambda i: f"{'pears' if i < 30 else 'roads'} number{i} " + "word " * 120
+    c = spark.createDataFrame([chunk(f"n{i:02d}", title=f"n{i}", text=about(i), chunk_ord=i) for i in range(n)], CHUNK).selectExpr("*", "0 as chunk_index")
+    vectors = spark.createDataFrame([], "chunk_ord long, embedding array<float>")
+    parents = spark.createDataFrame([(f"n{i:02d}", "ARTICLE", None) for i in range(n)], "id string, type string, date string")
+    edges = spark.createDataFrame([("n00", f"n{i:02d}", "cites", i) for i in range(1, n)], "from string, to string, relation string, adj_ord long")
+    plan = lambda q: json.dumps(["number0", "number0", "nowhere"]) if q == "first" else "[]"
+    engine = Engine(c, vectors, parents, edges, models.hashed_embedder(32), plan)
+    questions = spark.createDataFrame([(1, "first"), (2, "nothing like it")], "qid long, question string")
+    events = {q: [] for q in (1, 2)}
+    for r in engine.ask_events(questions, k=35).orderBy("qid", "seq").collect():
+        events[r.qid].append((r.event, json.loads(r.data)))
+    of = lambda name, q=1: [d for e, d in events[q] if e == name]
+    assert [d["to"] for d in of("hop")] == 2 * [f"n{i:02d}" for i in range(1, n)]
+    assert len(of("sources")) == 35 and of("done")[0]["n_blocks"] == 70 and of("done")[0]["n_chars"] > 70 * 600
+    assert [(d["sub_idx"], d["hits"], d["new_parents"]) for d in of("sub_done")] == [(0, 35, 35), (1, 35, 0), (2, 0, 0)]
+    assert [(d["id"], d["sub_idx"]) for d in of("entry")] == [(f"n{i:02d}", 0 if i < 35 else None) for i in range(n)]
+    assert [(e, d.get("hits"), d.get("n_blocks")) for e, d in events[2]] == [("plan", None, None), ("sub_done", 0, None), ("done", None, 0)]
+    few = engine.ask_events(questions, k=35, budget=1500, most_hops=30, most_sources=25)
+    assert {r.event: r.n for r in few.where("qid = 1").groupBy("event").agg(F.count("*").alias("n")).collect()} == {"plan": 1, "sub_done": 3, "entry": 35, "hop": 30, "sources": 25, "done": 1}
+
+
 def test_engine_upkeep(spark):
     """Warm-up, cancellation, the registry, search fallback and counters."""
     import threading
