@@ -6,7 +6,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from quillspark.engine import Engine
-from quillspark.operators import ranking
+from quillspark.operators import graph, ranking
 from quillspark.sources import models
 from test_operators import CHUNK, chunk
 
@@ -56,6 +56,27 @@ def test_whole_event_stream(spark):
     assert {r.event: r.n for r in few.where("qid = 1").groupBy("event").agg(F.count("*").alias("n")).collect()} == {"plan": 1, "sub_done": 3, "entry": 35, "hop": 30, "sources": 25, "done": 1}
 
 
+def test_what_a_walk_found_is_ranked_without_texts(spark):
+    """Of all chunks of the visited parents only ids go through the windows; texts are joined to the k that are left."""
+    c = spark.createDataFrame([chunk(f"p{i}#c{j}", parent_id=f"p{i}", text=f"t{i}{j}", chunk_ord=i * 10 + j) for i in range(4) for j in range(3)], CHUNK)
+    ordered = spark.createDataFrame([(1, f"p{i}", 3 - i) for i in range(4)], "qid long, id string, parent_ord long")
+    matched = spark.createDataFrame([(1, "p3#c2", 1)], "qid long, id string, rank long")
+    out = graph.reexpand(ordered, c, matched, 2)
+    assert [(r.rank, r.id, r.parent_id, r.text) for r in out.orderBy("rank").collect()] == [(1, "p3#c2", "p3", "t32"), (2, "p3#c0", "p3", "t30")]
+    plan = out._jdf.queryExecution().optimizedPlan()
+    windows = [n for n in [plan.apply(i) for i in range(60)] if n is not None and n.nodeName() == "Window"]
+    assert windows and not any("text#" in w.output().mkString(",") for w in windows)
+
+
+def test_embedder_hashes_a_word_once(monkeypatch):
+    calls = []
+    plain = models.hashlib.blake2b
+    monkeypatch.setattr(models.hashlib, "blake2b", lambda w, **k: calls.append(w) or plain(w, **k))
+    embed = models.hashed_embedder(8)
+    got = embed(["a b A a", "", "b c"] * 20)
+    assert sorted(calls) == [b"a", b"b", b"c"] and (got[:3] == got[57:]).all() and abs(got[0]).sum() in (2, 4) and not got[1].any()
+
+
 def test_engine_upkeep(spark):
     """Warm-up, cancellation, the registry, search fallback and counters."""
     import threading
